@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from tessera.llm.decontamination import OP1_SQL, op1_benchmark_decontamination
 from tessera.llm.packing import op3_sequence_packing
 
 QUERIES = {
+    "op1_benchmark_decontamination": op1_benchmark_decontamination,
     "op3_sequence_packing": op3_sequence_packing,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op1_benchmark_decontamination": OP1_SQL,
+}
