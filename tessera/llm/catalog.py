@@ -6,10 +6,12 @@ from tessera.llm.decontamination import OP1_SQL, op1_benchmark_decontamination
 from tessera.llm.language_id import op6_language_id
 from tessera.llm.packing import op3_sequence_packing
 from tessera.llm.quality import op9_quality_classifier
+from tessera.llm.secrets import op5_secret_scan
 
 QUERIES = {
     "op1_benchmark_decontamination": op1_benchmark_decontamination,
     "op3_sequence_packing": op3_sequence_packing,
+    "op5_secret_scan": op5_secret_scan,
     "op6_language_id": op6_language_id,
     "op9_quality_classifier": op9_quality_classifier,
 }
