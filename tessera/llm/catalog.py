@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from tessera.llm.decontamination import OP1_SQL, op1_benchmark_decontamination
+from tessera.llm.fixity import OP4_SQL, op4_merkle_fixity
 from tessera.llm.language_id import op6_language_id
 from tessera.llm.packing import op3_sequence_packing
 from tessera.llm.quality import op9_quality_classifier
@@ -11,6 +12,7 @@ from tessera.llm.secrets import op5_secret_scan
 QUERIES = {
     "op1_benchmark_decontamination": op1_benchmark_decontamination,
     "op3_sequence_packing": op3_sequence_packing,
+    "op4_merkle_fixity": op4_merkle_fixity,
     "op5_secret_scan": op5_secret_scan,
     "op6_language_id": op6_language_id,
     "op9_quality_classifier": op9_quality_classifier,
@@ -18,4 +20,5 @@ QUERIES = {
 
 ORACLE_SQL: dict[str, str] = {
     "op1_benchmark_decontamination": OP1_SQL,
+    "op4_merkle_fixity": OP4_SQL,
 }
