@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from tessera.llm.decontamination import OP1_SQL, op1_benchmark_decontamination
+from tessera.llm.edit_counts import op10_edit_token_counts
 from tessera.llm.fixity import OP4_SQL, op4_merkle_fixity
 from tessera.llm.language_id import op6_language_id
 from tessera.llm.packing import op3_sequence_packing
@@ -16,6 +17,7 @@ QUERIES = {
     "op5_secret_scan": op5_secret_scan,
     "op6_language_id": op6_language_id,
     "op9_quality_classifier": op9_quality_classifier,
+    "op10_edit_token_counts": op10_edit_token_counts,
 }
 
 ORACLE_SQL: dict[str, str] = {
