@@ -9,6 +9,7 @@ from tessera.llm.language_id import op6_language_id
 from tessera.llm.packing import op3_sequence_packing
 from tessera.llm.quality import op9_quality_classifier
 from tessera.llm.secrets import op5_secret_scan
+from tessera.llm.topk import OP7_SQL, op7_topk_search
 
 QUERIES = {
     "op1_benchmark_decontamination": op1_benchmark_decontamination,
@@ -16,6 +17,7 @@ QUERIES = {
     "op4_merkle_fixity": op4_merkle_fixity,
     "op5_secret_scan": op5_secret_scan,
     "op6_language_id": op6_language_id,
+    "op7_topk_search": op7_topk_search,
     "op9_quality_classifier": op9_quality_classifier,
     "op10_edit_token_counts": op10_edit_token_counts,
 }
@@ -23,4 +25,5 @@ QUERIES = {
 ORACLE_SQL: dict[str, str] = {
     "op1_benchmark_decontamination": OP1_SQL,
     "op4_merkle_fixity": OP4_SQL,
+    "op7_topk_search": OP7_SQL,
 }
