@@ -6,6 +6,7 @@ from tessera.llm.decontamination import OP1_SQL, op1_benchmark_decontamination
 from tessera.llm.edit_counts import op10_edit_token_counts
 from tessera.llm.fixity import OP4_SQL, op4_merkle_fixity
 from tessera.llm.language_id import op6_language_id
+from tessera.llm.neardup import OP2_SQL, op2_minhash_neardup
 from tessera.llm.packing import op3_sequence_packing
 from tessera.llm.quality import op9_quality_classifier
 from tessera.llm.secrets import op5_secret_scan
@@ -13,6 +14,7 @@ from tessera.llm.topk import OP7_SQL, op7_topk_search
 
 QUERIES = {
     "op1_benchmark_decontamination": op1_benchmark_decontamination,
+    "op2_minhash_neardup": op2_minhash_neardup,
     "op3_sequence_packing": op3_sequence_packing,
     "op4_merkle_fixity": op4_merkle_fixity,
     "op5_secret_scan": op5_secret_scan,
@@ -24,6 +26,7 @@ QUERIES = {
 
 ORACLE_SQL: dict[str, str] = {
     "op1_benchmark_decontamination": OP1_SQL,
+    "op2_minhash_neardup": OP2_SQL,
     "op4_merkle_fixity": OP4_SQL,
     "op7_topk_search": OP7_SQL,
 }
