@@ -10,6 +10,7 @@ from tessera.llm.neardup import OP2_SQL, op2_minhash_neardup
 from tessera.llm.packing import op3_sequence_packing
 from tessera.llm.quality import op9_quality_classifier
 from tessera.llm.secrets import op5_secret_scan
+from tessera.llm.suffix_dedup import op8_suffix_dedup
 from tessera.llm.topk import OP7_SQL, op7_topk_search
 
 QUERIES = {
@@ -20,6 +21,7 @@ QUERIES = {
     "op5_secret_scan": op5_secret_scan,
     "op6_language_id": op6_language_id,
     "op7_topk_search": op7_topk_search,
+    "op8_suffix_dedup": op8_suffix_dedup,
     "op9_quality_classifier": op9_quality_classifier,
     "op10_edit_token_counts": op10_edit_token_counts,
 }
