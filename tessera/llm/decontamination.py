@@ -179,14 +179,20 @@ def contamination_hits(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc
     return out
 
 
-def _hits_of(ids: pa.Array, words: Words, tests: TestSuffixes) -> pa.RecordBatch:
-    n, counts = len(words.hash), np.diff(words.bounds)
-    place, test, length, _ = longest_matches(words, tests)
-    depth = np.zeros(n + 1, dtype=np.int64)
+def _hit_words(words: Words, matches: tuple[np.ndarray, ...]) -> np.ndarray:
+    """Whether each word lies in an occurrence of a window."""
+    place, _, length, _ = matches
+    depth = np.zeros(len(words.hash) + 1, dtype=np.int64)
     np.add.at(depth, place, 1)
     np.add.at(depth, place + length, -1)
-    hit = np.cumsum(depth)[:n] > 0
-    row = words.rows()
+    return np.cumsum(depth)[:-1] > 0
+
+
+def _hits_of(ids: pa.Array, words: Words, tests: TestSuffixes) -> pa.RecordBatch:
+    n, counts = len(words.hash), np.diff(words.bounds)
+    matches = longest_matches(words, tests)
+    place, test, _, _ = matches
+    hit, row = _hit_words(words, matches), words.rows()
     change = hit.copy()
     change[1:] &= ~hit[:-1] | (row[1:] != row[:-1])
     stop = hit.copy()
@@ -231,10 +237,27 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, percent: int = 5, **opt
     )
 
 
-def remove_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
-    """Documents that are not contaminated, with all their columns."""
-    bad = decontaminate(docs, benchmark, id_col=id_col, **options).where("contaminated").select(F.col("doc_id").alias("__bad"))
-    return docs.join(bad, docs[id_col] == bad["__bad"], "left_anti")
+def remove_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW, part_bytes: int = PART_BYTES, percent: int = 5) -> DataFrame:
+    """Documents that are not contaminated, with all their columns.
+
+    A benchmark of one part is checked where the rows lie; with more, hits of all parts
+    are merged by id before documents go.
+    """
+    parts = _benchmark_parts(benchmark, part_bytes, item_col, item_text_col)
+    if len(parts) > 1:
+        bad = decontaminate(docs, benchmark, percent, id_col=id_col, text_col=text_col, item_col=item_col, item_text_col=item_text_col, window=window, part_bytes=part_bytes)
+        bad = bad.where("contaminated").select(F.col("doc_id").alias("__bad"))
+        return docs.join(bad, docs[id_col] == bad["__bad"], "left_anti")
+    shared = docs.sparkSession.sparkContext.broadcast(TestSuffixes.of([tuple(r) for r in parts[0].toLocalIterator()], window))
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows, data, offsets in slices(batches, text_col):
+            words = Words(data, offsets, IS_WORD)
+            hit = np.concatenate([[0], np.cumsum(_hit_words(words, longest_matches(words, shared.value)))])
+            n_hit = hit[words.bounds[1:]] - hit[words.bounds[:-1]]
+            yield rows.filter(pa.array((n_hit == 0) | (100 * n_hit < percent * np.diff(words.bounds))))
+
+    return docs.mapInArrow(keep, docs.schema)
 
 
 def op1_benchmark_decontamination(spark, sf_dir: str) -> DataFrame:
