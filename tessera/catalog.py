@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict[str, str] = {}
-FLAGSHIP = "prototype_predict"
+from tessera.queries import manifest
+
+QUERIES: dict = {**manifest.QUERIES}
+ORACLE_SQL: dict[str, str] = {**manifest.ORACLE_SQL}
+FLAGSHIP = "manifest_rule_violations"
