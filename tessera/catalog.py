@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from tessera.queries import manifest
+from tessera.queries import manifest, sequences, vectors
 
-QUERIES: dict = {**manifest.QUERIES}
-ORACLE_SQL: dict[str, str] = {**manifest.ORACLE_SQL}
-FLAGSHIP = "manifest_rule_violations"
+_MODULES = (manifest, vectors, sequences)
+QUERIES: dict = {k: f for m in _MODULES for k, f in m.QUERIES.items()}
+ORACLE_SQL: dict[str, str] = {k: s for m in _MODULES for k, s in m.ORACLE_SQL.items()}
+FLAGSHIP = "prototype_predict"

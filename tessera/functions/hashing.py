@@ -9,6 +9,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 NUL = "\0"
 
@@ -29,7 +30,7 @@ def salted_hash(salt: str, *parts: Column, separator: str = NUL) -> Column:
     return F.sha2(F.concat(F.lit(salt).cast("binary"), *led), 256)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def canonical_json_hash(texts: pd.Series) -> pd.Series:
     """SHA-256 of JSON text with sorted keys and no blanks; null for what is no JSON."""
 
@@ -43,7 +44,7 @@ def canonical_json_hash(texts: pd.Series) -> pd.Series:
     return texts.map(one)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def waveform_hash(signals: pd.Series, rates: pd.Series) -> pd.Series:
     """SHA-256 of the rate, the length and the float32 samples."""
 

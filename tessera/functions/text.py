@@ -7,6 +7,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Every character that Unicode calls white space.
 UNICODE_SPACE = r"[\x09-\x0D\x1C-\x20\x85\xA0  -     　]+"
@@ -18,7 +19,7 @@ def normalized_phrase(text: Column, fold_sharp_s: bool = True) -> Column:
     return F.replace(out, F.lit("ß"), F.lit("ss")) if fold_sharp_s else out
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def compatibility_phrase(texts: pd.Series) -> pd.Series:
     """Compatibility normalization, flexible pause mark, white space and full case folding."""
     composed = texts.map(lambda t: None if t is None else unicodedata.normalize("NFKC", t))
