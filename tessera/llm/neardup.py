@@ -133,8 +133,8 @@ def _bitmap(ids: DataFrame):
     """A broadcast bitmap of fixed size with the hashed ids."""
     words = ids.select(_slot("id").alias("s")).groupBy(F.floor(F.col("s") / 64).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(s % 64 as int))")).alias("bits"))
     held = np.zeros(BITMAP_BITS // 64, dtype=U64)
-    part = words.toPandas()
-    held[part["word"].to_numpy(np.int64)] = part["bits"].to_numpy(np.int64).view(U64)
+    part = words.toArrow()
+    held[part.column("word").to_numpy()] = part.column("bits").to_numpy().view(U64)
     return ids.sparkSession.sparkContext.broadcast(held)
 
 

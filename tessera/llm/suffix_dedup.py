@@ -113,9 +113,9 @@ def _in_bitmap(bitmap: np.ndarray, slot: np.ndarray) -> np.ndarray:
 
 def _bitmap(slots: DataFrame):
     """Broadcast bitmap of fixed size from a column ``slot``."""
-    words = slots.select(F.shiftright("slot", 6).alias("word"), F.expr("shiftleft(1L, cast(slot & 63 as int))").alias("bit")).groupBy("word").agg(F.bit_or("bit").alias("bits")).toPandas()
+    words = slots.select(F.shiftright("slot", 6).alias("word"), F.expr("shiftleft(1L, cast(slot & 63 as int))").alias("bit")).groupBy("word").agg(F.bit_or("bit").alias("bits")).toArrow()
     held = np.zeros((1 << BITMAP_BITS) // 64, dtype=U64)
-    held[words["word"].to_numpy(np.int64)] = words["bits"].to_numpy(np.int64).view(U64)
+    held[words.column("word").to_numpy()] = words.column("bits").to_numpy().view(U64)
     return slots.sparkSession.sparkContext.broadcast(held)
 
 
