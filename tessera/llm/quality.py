@@ -2,9 +2,10 @@
 
 A small network over shape features of whole texts is trained on trusted
 positives and unlabelled web text only: it minimises the non-negative unbiased
-risk  pi * E_P[l(g)] + max(0, E_U[l(-g)] - pi * E_P[l(-g)])  with the logistic
-loss, so that its sigmoid estimates the chance of label 1. The class prior
-``pi`` is the share of label 1 among the labelled training rows.
+risk  pi * E_P[l(g)] + max(0, E_U[l(-g)] - pi * E_P[l(-g)])  with the
+sigmoid loss, which is bounded, so that single texts cannot drive the risk. The
+class prior ``pi`` is the share of label 1 among the labelled training rows. The
+score is the sigmoid of the network's output: label 1 is likelier from 0.5 on.
 
 Positives and unlabelled texts are drawn by hashed id, about ``fit_positives``
 and ``fit_unlabelled`` whole texts (documented bounds that do not depend on the
@@ -59,7 +60,7 @@ def _repeats(words: Words, rows: int) -> tuple[np.ndarray, np.ndarray]:
     row = words.rows()
     n = np.maximum(np.diff(words.bounds), 1)
     if not len(row):
-        return np.ones(rows), np.zeros(rows)
+        return np.zeros(rows), np.zeros(rows)
     _, at, count = np.unique(words.hash + row.astype(U64) * U64(0xD6E8FEB86659FD93), return_index=True, return_counts=True)
     most = np.zeros(rows)
     np.maximum.at(most, row[at], count)
@@ -112,7 +113,7 @@ class QualityModel:
         return 1 / (1 + np.exp(-np.clip(self.logits(x), -40, 40).astype(np.float64)))
 
 
-def fit_nnpu(positive: np.ndarray, unlabelled: np.ndarray, prior: float, epochs: int = 60, batches: int = 12, rate: float = 5e-3, decay: float = 1e-4, seed: int = 17) -> QualityModel:
+def fit_nnpu(positive: np.ndarray, unlabelled: np.ndarray, prior: float, epochs: int = 60, batches: int = 12, rate: float = 5e-3, decay: float = 1e-3, seed: int = 17) -> QualityModel:
     """Minimises the non-negative risk by Adam; where the negative part falls below zero, its ascent replaces the step."""
     mean, scale = unlabelled.mean(axis=0), unlabelled.std(axis=0) + 1e-3
     norm = lambda x: np.clip((x - mean) / scale, -8, 8).astype(np.float64)
@@ -133,11 +134,12 @@ def fit_nnpu(positive: np.ndarray, unlabelled: np.ndarray, prior: float, epochs:
             hp, hu = np.maximum(xp @ w[0] + w[1], 0), np.maximum(xu @ w[0] + w[1], 0)
             gp, gu = hp @ w[2] + w[3], hu @ w[2] + w[3]
             sp, su = 1 / (1 + np.exp(-gp)), 1 / (1 + np.exp(-gu))
-            negative = np.logaddexp(0, gu).mean() - prior * np.logaddexp(0, gp).mean()
+            negative = su.mean() - prior * sp.mean()
+            steep_p, steep_u = sp * (1 - sp), su * (1 - su)
             if negative >= 0:
-                dp, du = (prior * (sp - 1) - prior * sp) / len(a), su / len(b)
+                dp, du = -2 * prior * steep_p / len(a), steep_u / len(b)
             else:
-                dp, du = prior * sp / len(a), -su / len(b)
+                dp, du = prior * steep_p / len(a), -steep_u / len(b)
             grads = [x + y for x, y in zip(gradients(xp, dp, hp), gradients(xu, du, hu), strict=True)]
             t += 1
             for i, g in enumerate(grads):
