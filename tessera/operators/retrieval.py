@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions.scoring import linear, softmax
-from tessera.functions.vectors import as_doubles, at_quantile, dot, l2_normalized
+from tessera.functions.vectors import as_doubles, at_quantile, cosine, dot, l2_normalized
 
 #: Prototypes that a task may hold at once.
 MAX_PROTOTYPES = 100_000
@@ -122,3 +122,44 @@ def attention_pooled(frames: Column, scores: Column) -> Column:
     total = F.aggregate(e, F.lit(0.0), lambda s, x: s + x)
     parts = F.zip_with(frames, e, lambda f, w: F.transform(as_doubles(f), lambda x: x * w / total))
     return F.aggregate(F.slice(parts, 2, F.size(parts)), F.element_at(parts, 1), lambda s, v: F.zip_with(s, v, lambda x, y: x + y))
+
+
+def margins_to_others(ranked: Column) -> Column:
+    """For each candidate its score less the best other candidate's, from the first two of the ranking."""
+    first, second = F.element_at(ranked, 1), F.element_at(ranked, F.least(F.lit(2), F.size(ranked)))
+    return F.transform(ranked, lambda c: F.struct(c["label"].alias("label"), (c["score"] - F.when(c["label"] == first["label"], second["score"]).otherwise(first["score"])).alias("margin")))
+
+
+def candidate_evidence(reranked: Column, support_mean: Column, log_shot: Column) -> Column:
+    """Seven features of every candidate: fused, first and second scores, their margins to the best other, support and shot."""
+
+    def best_other(f: str, label: Column) -> Column:
+        return F.coalesce(F.array_max(F.transform(F.filter(reranked, lambda o: o["label"] != label), lambda o: o[f])), F.lit(0.0))
+
+    return F.transform(
+        reranked,
+        lambda c: F.struct(c["label"].alias("label"), F.array(c["fused"], c["first"], c["second"], c["fused"] - best_other("fused", c["label"]), c["first"] - best_other("first", c["label"]), support_mean, log_shot).alias("features")),
+    )
+
+
+def formatted_candidates(reranked: Column, digits: int = 4) -> Column:
+    """Candidates as one line of text, best first."""
+    return F.array_join(F.transform(reranked, lambda c: F.concat(c["label"].cast("string"), F.lit("="), F.format_number(c["fused"], digits))), "; ")
+
+
+def cluster_members(clusters: DataFrame, segments: DataFrame, label: str, member: str, order: str) -> DataFrame:
+    """Label clusters -> members -> segment rows; a segment listed twice stays with the label that comes first."""
+    each = clusters.select(label, F.col(order).alias("__o"), F.explode("members").alias(member))
+    first = each.groupBy(member).agg(F.min_by(F.col(label), F.struct("__o", label)).alias(label))
+    return first.join(segments, member)
+
+
+def frame_parity(pairs: DataFrame, key: str, a: str, b: str) -> DataFrame:
+    """Per pair of frame sequences: mean, least and 5th percentile cosine and greatest difference; other shapes give NaN and infinity."""
+    same = (F.size(a) == F.size(b)) & (F.size(F.element_at(a, 1)) == F.size(F.element_at(b, 1)))
+    zipped = F.arrays_zip(F.col(a).alias("x"), F.col(b).alias("y"))
+    frames = pairs.where(same).select(key, F.explode(zipped).alias("f")).select(key, cosine(F.col("f.x"), F.col("f.y")).alias("c"), F.array_max(F.zip_with(as_doubles(F.col("f.x")), as_doubles(F.col("f.y")), lambda x, y: F.abs(x - y))).alias("d"))
+    found = frames.groupBy(key).agg(F.avg("c").alias("mean_cosine"), F.min("c").alias("min_cosine"), F.percentile("c", F.lit(0.05)).alias("p05_cosine"), F.max("d").alias("max_abs"))
+    nan, inf = F.lit(float("nan")), F.lit(float("inf"))
+    other = pairs.where(~F.coalesce(same, F.lit(False))).select(key, nan.alias("mean_cosine"), nan.alias("min_cosine"), nan.alias("p05_cosine"), inf.alias("max_abs"))
+    return found.unionByName(other)

@@ -13,6 +13,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql import Window
 
 from tessera.operators.metrics import ratio
@@ -119,3 +120,41 @@ def exact_2d(rows: DataFrame, slices: int = 8, min_unknown_reject: float = 0.85)
     found = thresholds.mapInPandas(search, fields)
     key = F.struct("correct_accept", (-F.col("wrong_intent")).alias("w"), "unknown_reject", "score_threshold", "margin_threshold")
     return found.agg(F.max_by(F.struct(*[F.col(f.split()[0]) for f in fields.split(", ")]), key).alias("b")).select("b.*")
+
+
+def gated_threshold(rows: DataFrame, score: str, true: str, pred: str, classes: list, limits: dict[str, float], by: list[str] = ()) -> DataFrame:
+    """One-dimensional search under five constraints with macro-F1: the best passing threshold, else the least violation.
+
+    Per-class counts are cumulated with the others, so every candidate's F1 comes from the same window.
+    """
+    from tessera.operators.metrics import gate_pass, gate_violation
+
+    known = F.col(true).isNotNull()
+    right = known & (F.col(true) == F.col(pred))
+    counted = {"correct": right, "wrong": known & ~right, "unknown": ~known}
+    for i, c in enumerate(classes):
+        counted |= {f"tp{i}": right & (F.col(true) == c), f"pp{i}": known & (F.col(pred) == c), f"ap{i}": known & (F.col(true) == c)}
+    t = threshold_table(rows, score, {k: F.coalesce(v, F.lit(False)) for k, v in counted.items()}, by)
+    f1 = F.lit(0.0)
+    for i in range(len(classes)):
+        f1 = f1 + ratio(2.0 * F.col(f"tp{i}"), F.col(f"pp{i}") + F.col(f"total_ap{i}"))
+    n = F.col("total_correct") + F.col("total_wrong")
+    rates = t.select(
+        *by,
+        F.col("t").alias("threshold"),
+        (f1 / F.lit(float(len(classes)))).alias("macro_f1"),
+        ratio(F.col("correct"), n).alias("correct_accept"),
+        ratio(F.col("wrong"), n).alias("wrong_intent"),
+        (1 - ratio(F.col("correct") + F.col("wrong"), n)).alias("known_reject"),
+        (1 - ratio(F.col("unknown"), F.col("total_unknown"))).alias("unknown_reject"),
+    )
+    judged = rates.withColumn("passed", gate_pass(limits)).withColumn("violation", gate_violation(limits))
+    rest = [c for c in judged.columns if c not in by]
+    key = F.struct("passed", F.when(F.col("passed"), F.col("macro_f1")).otherwise(-F.col("violation")).alias("k"), "correct_accept", "threshold")
+    return judged.groupBy(*by).agg(F.max_by(F.struct(*rest), key).alias("b")).select(*by, "b.*")
+
+
+@F.pandas_udf(T.DoubleType())
+def next_after(x: pd.Series, toward: pd.Series) -> pd.Series:
+    """The next double in a direction: sentinel candidates just beyond observed scores."""
+    return pd.Series(np.nextafter(x.to_numpy(np.float64), toward.to_numpy(np.float64)))
