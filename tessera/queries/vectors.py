@@ -174,14 +174,14 @@ def per_intent_rates(spark, sf_dir):
 
 
 @query(SCORES_SQL + f""", s AS (SELECT *, {_STATE} AS status FROM scores) SELECT CASE WHEN known AND status = 'ACCEPT' AND pred = label THEN 'known_correct_accept' WHEN known AND status = 'ACCEPT' THEN 'known_wrong_accept' WHEN known AND status = 'CONFIRM' THEN 'known_confirm' WHEN known THEN 'known_reject' WHEN status = 'ACCEPT' THEN 'unknown_accept' WHEN status = 'CONFIRM' THEN 'unknown_confirm' ELSE 'unknown_reject' END AS outcome,
-count(*) AS n, round(min(score), 6) AS min, round(quantile_cont(score, 0.25), 6) AS q25, round(median(score), 6) AS median, round(quantile_cont(score, 0.75), 6) AS q75, round(max(score), 6) AS max FROM s GROUP BY 1""")
+count(*) AS n, round(min(score), 6) AS min, round(quantile_cont(score, 0.25), 8) AS q25, round(median(score), 8) AS median, round(quantile_cont(score, 0.75), 8) AS q75, round(max(score), 6) AS max FROM s GROUP BY 1""")
 def outcome_group_summary(spark, sf_dir):
     from tessera.operators.views import outcome_group
 
     rows = _with_status(score_table(spark, sf_dir))
     q = F.percentile("score", F.array(*[F.lit(p) for p in (0.25, 0.5, 0.75)]))
     out = rows.groupBy(outcome_group(F.col("known"), F.col("status"), F.col("pred"), F.col("label")).alias("outcome")).agg(F.count("*").alias("n"), F.min("score").alias("min"), q.alias("q"), F.max("score").alias("max"))
-    return out.select("outcome", "n", F.round("min", 6).alias("min"), *[F.round(F.element_at("q", i + 1), 6).alias(n) for i, n in enumerate(("q25", "median", "q75"))], F.round("max", 6).alias("max"))
+    return out.select("outcome", "n", F.round("min", 6).alias("min"), *[F.round(F.element_at("q", i + 1), 8).alias(n) for i, n in enumerate(("q25", "median", "q75"))], F.round("max", 6).alias("max"))
 
 
 def _candidates_sql(score: str, accept: str, key: str, feasible: str, extra: str = "") -> str:
