@@ -47,7 +47,7 @@ BUCKET_BYTES = 1 << 20
 HOT = 4096
 BITMAP_BITS = 26
 BITMAP_KEYS = (1 << BITMAP_BITS) // 8
-SLICE = 2 << 20
+SLICE = 1 << 20
 OTHER_BASE = 0xD6E8FEB86659FD93 | 5
 
 
