@@ -15,7 +15,7 @@ def shared_folder(spark: SparkSession) -> str:
         return named.get()
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
-        if not context.master.startswith("local["):
+        if not context.master.startswith("local") or context.master.startswith("local-cluster"):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         folder = tempfile.mkdtemp(prefix="tessera-checkpoints-")
     context.setCheckpointDir(folder)
