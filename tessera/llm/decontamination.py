@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.textbytes import U64, Words, byte_class, mixed, slices, text_buffers
+from tessera.llm.textbytes import U64, Words, byte_class, mixed, slices, small_batches, text_buffers
 
 WINDOW = 13
 #: Benchmark text that is sent to tasks at once.
@@ -152,6 +152,7 @@ def longest_matches(words: Words, tests: TestSuffixes) -> tuple[np.ndarray, np.n
 
 
 def _benchmark_parts(benchmark: DataFrame, part_bytes: int, item_col: str, text_col: str) -> list[DataFrame]:
+    small_batches(benchmark.sparkSession)
     items = benchmark.select(F.col(item_col).cast("string").alias("item_id"), F.col(text_col).alias("text"))
     total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     parts = -(-total // part_bytes) if total > part_bytes else 1

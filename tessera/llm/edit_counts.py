@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.pretokens import Pieces, default_tokenizer_path, piece_cache
-from tessera.llm.textbytes import slices
+from tessera.llm.textbytes import slices, small_batches
 
 #: Pre-tokens of a block at first.
 BLOCK = 32
@@ -201,6 +201,7 @@ def count_after_edits(docs: DataFrame, edits: Column, id_col: str = "doc_id", te
     ``edits``: array<struct<start, removed, added>>, in the order in which they were made. The
     special token's string in a text is counted as ordinary text.
     """
+    small_batches(docs.sparkSession)
     path = tokenizer_path or default_tokenizer_path()
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), edits.cast("array<struct<start:long,removed:long,added:string>>").alias("edits"))
     return rows.mapInArrow(lambda it: edited_counts(it, path), "doc_id long, tokens_before long, n_edits long, tokens_after long, pieces_encoded long, chars_after long")

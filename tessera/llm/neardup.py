@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 
 from tessera.llm.checkpoints import cut
 from tessera.llm.components import least_members
-from tessera.llm.textbytes import U64, RollingHash, Words, byte_class, mixed, slices
+from tessera.llm.textbytes import U64, RollingHash, Words, byte_class, mixed, slices, small_batches
 
 SHINGLE = 5
 PERCENT = 75
@@ -207,6 +207,7 @@ def _compare(key: tuple, table: pa.Table) -> pa.Table:
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id (the least id of its group), kept."""
+    small_batches(docs.sparkSession)
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     prints = cut(texts.mapInArrow(_fingerprints, "doc_id long, n_shingles long, set_a long, set_b long, bands array<long>, sketch array<long>"))
     same = ["set_a", "set_b", "n_shingles"]

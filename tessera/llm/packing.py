@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.pretokens import default_tokenizer_path, encode_rows
-from tessera.llm.textbytes import slices
+from tessera.llm.textbytes import slices, small_batches
 
 WINDOW = 2048
 #: Documents whose pieces one task packs.
@@ -119,6 +119,7 @@ def pack_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     ``docs`` needs an integer ``id_col`` and a string ``text_col``; other columns are not read.
     An empty table gives no rows.
     """
+    small_batches(docs.sparkSession)
     path = tokenizer_path or default_tokenizer_path()
     shards = max(1, -(-docs.count() // shard_docs))
     fields = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long" + ", ids array<int>" * with_ids

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.textbytes import LOWER, U64, Words, byte_class, slices
+from tessera.llm.textbytes import LOWER, U64, Words, byte_class, slices, small_batches
 
 FIT_POSITIVES = 3000
 FIT_UNLABELLED = 6000
@@ -166,6 +166,7 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def fit_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", fit_positives: int = FIT_POSITIVES, fit_unlabelled: int = FIT_UNLABELLED) -> QualityModel | None:
     """Learns from labels of training rows; None without any positive."""
+    small_batches(docs.sparkSession)
     known = labels.select(F.col(id_col).alias("id"), F.col(label_col).alias("label")).where(learns("id") & F.col("label").isNotNull()).groupBy("id").agg(F.min("label").alias("label"))
     n, ones = known.agg(F.count("*"), F.coalesce(F.sum((F.col("label") == 1).cast("long")), F.lit(0))).first()
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where(learns("id"))
@@ -183,6 +184,7 @@ def fit_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text
 
 def score_quality(docs: DataFrame, model: QualityModel | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: doc_id and score."""
+    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

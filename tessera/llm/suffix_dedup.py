@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.checkpoints import cut
-from tessera.llm.textbytes import CODES, U64, RollingHash, mixed, slices
+from tessera.llm.textbytes import CODES, U64, RollingHash, mixed, slices, small_batches
 
 MIN_LENGTH = 200
 GRAM = 24
@@ -292,6 +292,7 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """doc_id, start, end of repeated byte ranges; ranges of a document may overlap."""
     if min_length % 8 or min_length < 2 * GRAM:
         raise ValueError("min_length must be a multiple of 8 and at least 48")
+    small_batches(docs.sparkSession)
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     counted = texts.select("text").mapInArrow(_count_minimizers(min_length), "minimizer long, n long")
     shared = cut(counted.groupBy("minimizer").agg(F.sum("n").alias("n")).where("n > 1").select("minimizer"))

@@ -15,6 +15,9 @@ import pyarrow.compute as pc
 #: Bytes of text that a task handles at once; a longer document is a slice of its own.
 SLICE_BYTES = 1 << 20
 
+#: Rows of an Arrow batch with whole texts.
+BATCH_ROWS = 1000
+
 BASE = 0x9E3779B97F4A7C15
 U64 = np.uint64
 
@@ -82,6 +85,13 @@ class RollingHash:
         return h
 
 
+def small_batches(spark) -> None:
+    """Lowers the session's rows per Arrow batch to BATCH_ROWS, if more: a batch of whole texts has to fit a task twice."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= BATCH_ROWS:
+        spark.conf.set(key, str(BATCH_ROWS))
+
+
 def text_buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The bytes of a string column and the offsets of its rows; null is an empty text."""
     if isinstance(column, pa.ChunkedArray):
