@@ -39,7 +39,7 @@ MIXED = r"^(?=.*[0-9])(?=.*[a-z])(?=.*[A-Z])"
 ALLOW_LIST = (
     r"(?i)example|placeholder|changeme|dummy|x{6}|0{8}|1234567",
     r"^[0-9a-fA-F]{8}(?:-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}$",
-    r"^(?:[A-Za-z]+[/_-])+[A-Za-z]*$",
+    r"^(?:[A-Za-z]++[/_-])++[A-Za-z]*$",  # possessive, so that long paths need no deep stack
     r"(.{2,8})\1{3}",
 )
 
@@ -75,34 +75,46 @@ def _c_log_c(window: int) -> Column:
     return F.array(*[F.lit(c * math.log2(c) if c else 0.0) for c in range(window + 1)])
 
 
+def _bound(value: Column, body) -> Column:
+    """``body`` of a value computed once: within lambdas, an expression used at every step is computed at every step."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def entropy_windows(candidate: Column, bits: Column, window: int = WINDOW) -> Column:
     """array<struct<start, end>> within ``candidate``: unions of windows whose entropy is at least ``bits``."""
-    chars = F.split(candidate, "")
-    alphabet = F.array_distinct(chars)
-    codes = F.transform(chars, lambda c: F.array_position(alphabet, c).cast("int"))
     table = _c_log_c(window)
     term = lambda c: F.element_at(table, c + 1)
-    start = F.struct(
-        F.array_repeat(F.lit(0), F.size(alphabet)).alias("counts"),
-        F.lit(0.0).alias("total"),
-        F.array().cast("array<struct<start:int,end:int>>").alias("spans"),
-    )
-
-    def slide(state: Column, at: Column) -> Column:
-        enters = F.element_at(codes, at)
-        leaves = F.when(at > window, F.element_at(codes, F.greatest(at - window, F.lit(1)))).otherwise(F.lit(0))
-        counts = F.transform(state["counts"], lambda n, i: n + (i + 1 == enters).cast("int") - (i + 1 == leaves).cast("int"))
-        grown, shrunk = F.element_at(state["counts"], enters), F.element_at(state["counts"], F.greatest(leaves, F.lit(1)))
-        change = F.when(enters == leaves, 0.0).otherwise(term(grown + 1) - term(grown) + F.when(leaves > 0, term(shrunk - 1) - term(shrunk)).otherwise(0.0))
-        total = state["total"] + change
-        high = (at >= window) & (math.log2(window) - total / window >= bits)
-        last = F.try_element_at(state["spans"], F.lit(-1))
-        joins = last.isNotNull() & (last["end"] >= at - window)
-        kept = F.when(joins, F.slice(state["spans"], 1, F.size(state["spans"]) - 1)).otherwise(state["spans"])
-        span = F.struct(F.when(joins, last["start"]).otherwise(at - window).alias("start"), at.alias("end"))
-        return F.struct(counts.alias("counts"), total.alias("total"), F.when(high, F.array_append(kept, span)).otherwise(state["spans"]).alias("spans"))
-
-    return F.aggregate(F.sequence(F.lit(1), F.size(chars)), start, slide, lambda s: s["spans"])
+    span = lambda start, end: F.struct(start.alias("start"), end.alias("end"))
+    grown_by = lambda spans, last: F.when(last["end"] > 0, F.array_append(spans, last)).otherwise(spans)
+
+    def slid(codes: Column, alphabet: Column) -> Column:
+        start = F.struct(
+            F.array_repeat(F.lit(0), F.size(alphabet)).alias("counts"),
+            F.lit(0.0).alias("total"),
+            F.array().cast("array<struct<start:int,end:int>>").alias("spans"),
+            span(F.lit(0), F.lit(0)).alias("last"),
+        )
+
+        def slide(state: Column, at: Column) -> Column:
+            enters = F.element_at(codes, at)
+            leaves = F.when(at > window, F.element_at(codes, F.greatest(at - window, F.lit(1)))).otherwise(F.lit(0))
+            counts = F.transform(state["counts"], lambda n, i: n + (i + 1 == enters).cast("int") - (i + 1 == leaves).cast("int"))
+            grown, shrunk = F.element_at(state["counts"], enters), F.element_at(state["counts"], F.greatest(leaves, F.lit(1)))
+            change = F.when(enters == leaves, 0.0).otherwise(term(grown + 1) - term(grown) + F.when(leaves > 0, term(shrunk - 1) - term(shrunk)).otherwise(0.0))
+            total = state["total"] + change
+            high = (at >= window) & (math.log2(window) - total / window >= bits)
+            last = state["last"]
+            joins = (last["end"] > 0) & (last["end"] >= at - window)
+            spans = F.when(high & ~joins, grown_by(state["spans"], last)).otherwise(state["spans"])
+            newest = F.when(high, span(F.when(joins, last["start"]).otherwise(at - window), at)).otherwise(last)
+            return F.struct(counts.alias("counts"), total.alias("total"), spans.alias("spans"), newest.alias("last"))
+
+        return F.aggregate(F.sequence(F.lit(1), F.size(codes)), start, slide, lambda s: grown_by(s["spans"], s["last"]))
+
+    def coded(chars: Column) -> Column:
+        return _bound(F.array_distinct(chars), lambda alphabet: _bound(F.transform(chars, lambda c: F.array_position(alphabet, c).cast("int")), lambda codes: slid(codes, alphabet)))
+
+    return _bound(F.split(candidate, ""), coded)
 
 
 def _entropy_spans(candidates: Column) -> Column:

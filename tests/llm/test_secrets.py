@@ -79,6 +79,15 @@ def test_incremental_entropy_equals_recounting(spark):
             assert [(s.start, s.end) for s in r.w] == slow_windows(r.c, bits), r.c
 
 
+def test_long_candidates(spark):
+    rng = random.Random(6)
+    blob = "".join(rng.choice(KEY) for _ in range(20_000))
+    path = "Ab/" * 20_000 + "x"
+    found = {r.doc_id: r.added_spans for r in find_secrets(documents(spark, [blob, path, path + "9"])).collect()}
+    assert [(s.start, s.end) for s in found[0]] == slow_windows(blob, MIXED_BITS)
+    assert found[1] == [] and found[2] == []
+
+
 def test_added_spans_and_allow_list(spark):
     got = {r.doc_id: r.added_spans for r in find_secrets(documents(spark, TEXTS)).collect()}
     assert len(got[4]) == 1 and got[4][0].start >= 4 and got[4][0].end <= 44
