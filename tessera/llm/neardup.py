@@ -12,7 +12,8 @@ Links are looked for in two rounds, both without pairing all members of a bucket
    edited shares more bands with them than they with each other. Pairs that the
    estimate leaves are confirmed on full sets and joined to components.
 2. Buckets that still hold several components are compared block by block in
-   tasks of a bounded size, by estimate and then on sets of 31-bit hashes.
+   tasks of a bounded size, by estimate and then on sets of 31-bit hashes; blocks
+   of the largest component meet only those of the others.
    Components that a task has found linked are not compared again, so it returns
    at most a spanning set of links, and these are confirmed on full sets too.
 
@@ -232,9 +233,16 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     labels = least_members(links)
 
     labelled = members.join(labels, "id", "left").select("key", "id", F.coalesce("component", "id").alias("component"))
-    mixed_ = labelled.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.count("*").alias("n")).where("x <> y").select("key", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
-    left = labelled.join(mixed_, "key").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
-    dealt = left.select("key", "id", "component", "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    # the bucket's largest component is linked within itself: its blocks meet only those of the rest
+    parts = labelled.groupBy("key", "component").agg(F.count("*").alias("n"))
+    mixed_ = parts.groupBy("key").agg(F.sum("n").alias("n"), F.max(F.struct("n", "component")).alias("lead")).where("n > lead.n")
+    blocks_of = lambda n: F.ceil(n / BLOCK).cast("int")
+    mixed_ = mixed_.select("key", F.col("lead.component").alias("largest"), blocks_of(F.col("n") - F.col("lead.n")).alias("rest"), blocks_of(F.col("lead.n")).alias("more"))
+    slot = F.xxhash64("id")
+    in_rest = F.col("component") != F.col("largest")
+    left = labelled.join(mixed_, "key").withColumn("block", F.when(in_rest, F.pmod(slot, F.col("rest"))).otherwise(F.col("rest") + F.pmod(slot, F.col("more"))).cast("int"))
+    meets = F.sequence(F.lit(0), F.col("rest") - 1 + F.when(in_rest, F.col("more")).otherwise(0))
+    dealt = left.select("key", "id", "component", "block", F.explode(meets).alias("other"))
     dealt = dealt.select("key", "id", "component", "block", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"))
     small = sets.join(sketches, "id").select("id", "sketch", F.transform("shingles", lambda x: x.bitwiseAND(F.lit(0x7FFFFFFF)).cast("int")).alias("small"))
     more = dealt.join(small, "id").groupBy("key", "low", "high").applyInArrow(_compare, "a long, b long")
