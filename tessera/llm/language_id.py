@@ -3,8 +3,9 @@
 A text's vector counts hashed byte trigrams of its lower-cased words; counts are
 damped, weighted by inverse document frequency and normalised. Each language
 has several centroids, found by spherical k-means. A text gets the language of
-the centroid with the greatest cosine; it is rejected where even that is far
-below what the language's own training texts reach.
+the centroid with the greatest cosine; it is rejected where even that lies nearer
+to what texts of other languages reach there than to what the language's own texts do.
+The training texts and crops of them show both, by length: short texts reach less.
 
 Document frequencies come from every training text, in one distributed pass
 that returns one number per feature. Centroids are fitted on about ``fit_docs``
@@ -27,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.textbytes import LOWER, byte_class, slices, small_batches
+from tessera.llm.textbytes import LOWER, byte_class, slices, small_batches, text_buffers
 
 FEATURES = 4096
 CLUSTERS = 3
@@ -37,8 +38,14 @@ FIT_DOCS = 400
 FIT_TEXTS = 40_000
 #: Languages learned, the most frequent first.
 MAX_LANGUAGES = 1000
-#: A text is rejected below this share of the cosine that 99 of 100 training texts of its language exceed.
-REJECT_SHARE = 0.15
+#: The cosine that all but this share of a language's own texts exceed, and the one that this share of other languages' stay below.
+OWN_LOW, OTHER_HIGH = 0.01, 0.95
+#: Characters of the crops of training texts.
+CROPS = (10, 25, 60, 150)
+#: Floors are set by the number of distinct features: below 8, 16, ... and from the last on.
+LENGTHS = np.array([8, 16, 32, 64, 128, 256])
+#: Own texts that a length needs for a floor of its own.
+LEAST = 10
 UNKNOWN = "und"
 #: Rows of counts held at once.
 BLOCK = 128
@@ -107,7 +114,11 @@ class LanguageModel:
     idf: np.ndarray
     centroids: np.ndarray = field(default_factory=lambda: np.zeros((0, FEATURES), np.float32))
     owner: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))
-    floor: np.ndarray = field(default_factory=lambda: np.zeros(0, np.float32))  # by language
+    floor: np.ndarray = field(default_factory=lambda: np.zeros((0, len(LENGTHS) + 1), np.float32))  # by language and length
+
+    def floors(self, own: np.ndarray, features: np.ndarray) -> np.ndarray:
+        """The cosine below which a text of so many distinct features is rejected by its language."""
+        return self.floor[own, np.searchsorted(LENGTHS, features, side="right")]
 
     def nearest(self, vectors: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Language and cosine of the nearest centroid; ties go to the earlier language."""
@@ -152,8 +163,12 @@ def _document_frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Reco
 
 def _sample_vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for rows, data, offsets in slices(batches, "text"):
-        packed = [c.astype(np.float32).tobytes() for _, counts in trigram_counts(data, offsets) for c in _sparse(counts)]
-        yield pa.RecordBatch.from_arrays([rows.column(0), pa.array(packed, pa.binary())], ["lang", "counts"])
+        langs, texts = rows.column(0), rows.column(1).to_pylist()
+        crops = [t[(len(t) - n) // 2 :][:n] for t in texts for n in CROPS if len(t) > n]
+        owner = [i for i, t in enumerate(texts) for n in CROPS if len(t) > n]
+        for crop, owners, buffers in ((False, langs, (data, offsets)), (True, langs.take(pa.array(owner, pa.int64())), text_buffers(pa.array(crops, pa.string())))):
+            packed = [c.astype(np.float32).tobytes() for _, counts in trigram_counts(*buffers) for c in _sparse(counts)]
+            yield pa.RecordBatch.from_arrays([owners, pa.array([crop] * len(packed), pa.bool_()), pa.array(packed, pa.binary())], ["lang", "crop", "counts"])
 
 
 def _sparse(counts: np.ndarray) -> Iterator[np.ndarray]:
@@ -169,6 +184,42 @@ def _dense(sparse: list[np.ndarray]) -> np.ndarray:
     return out
 
 
+def _fit_floors(model: LanguageModel, by_lang: dict[str, list[np.ndarray]]) -> np.ndarray:
+    """Floors by language and length, between the cosines of its own texts and those of the languages left out of it.
+
+    To a language's centroids every other language is one that they have not learned. Rolled
+    counts, which keep a text's length but no trigram, stand for gibberish, also where only one
+    language is known. Where own and other texts overlap, the own texts stay.
+    """
+    n = len(model.languages)
+    low, high = np.full((n, len(LENGTHS) + 1), np.nan), np.zeros((n, len(LENGTHS) + 1))
+    starts = np.searchsorted(model.owner, np.arange(n))
+    for own, lang in enumerate(model.languages):
+        for at in range(0, len(by_lang[lang]), 2048):
+            counts = _dense(by_lang[lang][at : at + 2048])
+            length = np.searchsorted(LENGTHS, (counts > 0).sum(axis=1), side="right")
+            some = counts.any(axis=1)
+            for gibberish in (True, False):
+                vectors = weighted(np.roll(counts, FEATURES // 2, axis=1) if gibberish else counts, model.idf)
+                cos = np.maximum.reduceat(vectors @ model.centroids.T, starts, axis=1)
+                for c in np.unique(length[some]):
+                    x = cos[some & (length == c)]
+                    others = np.quantile(x, OTHER_HIGH, axis=0)
+                    if not gibberish:
+                        others[own] = 0
+                        if len(x) >= LEAST:
+                            low[own, c] = np.fmin(low[own, c], np.quantile(x[:, own], OWN_LOW))
+                    high[:, c] = np.maximum(high[:, c], others)
+    out = np.where(high < low, np.sqrt(low * high), low)
+    for row in out:
+        known = np.flatnonzero(~np.isnan(row))
+        if len(known):
+            # a length without own texts takes the floor of the next shorter one that has them, the lower one
+            row[:] = row[known[np.maximum(np.searchsorted(known, np.arange(len(row)), side="right") - 1, 0)]]
+            row[: known[0]] = 0
+    return np.nan_to_num(out, nan=0.0).astype(np.float32)
+
+
 def fit_languages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", fit_docs: int = FIT_DOCS, max_languages: int = MAX_LANGUAGES, clusters: int = CLUSTERS) -> LanguageModel:
     """Learns from the training rows of ``docs`` that have a language."""
     small_batches(docs.sparkSession)
@@ -184,21 +235,21 @@ def fit_languages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     each = min(fit_docs, FIT_TEXTS / len(sizes))
     share = F.create_map(*[F.lit(x) for lang, n in sizes.items() for x in (lang, each / n)])
     draw = F.pmod(F.xxhash64(F.col("id").cast("string")), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    sample = texts.where(draw < F.element_at(share, F.col("lang"))).select("lang", "text").mapInArrow(_sample_vectors, "lang string, counts binary")
+    sample = texts.where(draw < F.element_at(share, F.col("lang"))).select("lang", "text").mapInArrow(_sample_vectors, "lang string, crop boolean, counts binary")
     by_lang: dict[str, list[np.ndarray]] = {}
+    crops: dict[str, list[np.ndarray]] = {}
     for r in sample.collect():
-        by_lang.setdefault(r["lang"], []).append(np.frombuffer(r["counts"], dtype=np.float32))
+        (crops if r["crop"] else by_lang).setdefault(r["lang"], []).append(np.frombuffer(r["counts"], dtype=np.float32))
     model = LanguageModel(sorted(by_lang), idf)
-    centers, floors = [], []
+    centers = []
     for lang in model.languages:
         vectors = weighted(_dense(by_lang[lang]), idf)
         vectors = vectors[np.lexsort(vectors.T[:8])]  # the order of rows must not matter
         centers.append(spherical_kmeans(vectors, clusters))
-        floors.append(REJECT_SHARE * float(np.quantile((vectors @ centers[-1].T).max(axis=1), 0.01)))
     if centers:
         model.centroids = np.concatenate(centers).astype(np.float32)
         model.owner = np.repeat(np.arange(len(centers)), [len(c) for c in centers])
-        model.floor = np.array(floors, dtype=np.float32)
+        model.floor = _fit_floors(model, {lang: by_lang[lang] + crops.get(lang, []) for lang in model.languages})
     return model
 
 
@@ -212,15 +263,15 @@ def predict_languages(docs: DataFrame, model: LanguageModel, id_col: str = "doc_
         names = pa.array([*m.languages, UNKNOWN], pa.string())
         for rows, data, offsets in slices(batches, "text"):
             n = rows.num_rows
-            lang, score = np.full(n, len(m.languages)), np.zeros(n)
+            lang, score, floor = np.full(n, len(m.languages)), np.zeros(n), np.full(n, np.inf)
             if len(m.centroids):
                 for at, counts in trigram_counts(data, offsets):
+                    features = (counts > 0).sum(axis=1)
                     own, cos = m.nearest(weighted(counts, m.idf))
-                    lang[at : at + len(own)], score[at : at + len(own)] = own, cos
+                    lang[at : at + len(own)], score[at : at + len(own)], floor[at : at + len(own)] = own, cos, m.floors(own, features)
                 letters = has_letter(data, offsets)
-                lang[~letters], score[~letters] = len(m.languages), 0.0
-            floor = np.append(m.floor, np.inf)
-            yield pa.RecordBatch.from_arrays([rows.column(0), names.take(pa.array(lang)), pa.array(score, pa.float64()), pa.array(score < floor[lang])], ["doc_id", "lang_pred", "score", "rejected"])
+                lang[~letters], score[~letters], floor[~letters] = len(m.languages), 0.0, np.inf
+            yield pa.RecordBatch.from_arrays([rows.column(0), names.take(pa.array(lang)), pa.array(score, pa.float64()), pa.array(score < floor)], ["doc_id", "lang_pred", "score", "rejected"])
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(predict, "doc_id long, lang_pred string, score double, rejected boolean")
 
@@ -236,8 +287,9 @@ def keep_identified(docs: DataFrame, model: LanguageModel, text_col: str = "text
             ok = np.zeros(rows.num_rows, dtype=bool)
             if len(m.centroids):
                 for at, counts in trigram_counts(data, offsets):
+                    features = (counts > 0).sum(axis=1)
                     own, cos = m.nearest(weighted(counts, m.idf))
-                    ok[at : at + len(own)] = cos >= m.floor[own]
+                    ok[at : at + len(own)] = cos >= m.floors(own, features)
                 ok &= has_letter(data, offsets)
             yield rows.filter(pa.array(ok))
 

@@ -55,6 +55,23 @@ def test_learning_ignores_held_out_languages(spark, corpus):
     assert a.languages == b.languages and np.array_equal(a.centroids, b.centroids)
 
 
+def test_rejects_unlearned_languages_and_gibberish(spark, corpus):
+    rng = random.Random(9)
+    noise = [" ".join("".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randint(2, 9))) for _ in range(n)) for n in (50, 200) for _ in range(20)]
+    for unlearned in SYLLABLES:
+        learned = [lang for lang in SYLLABLES if lang != unlearned]
+        model = fit_languages(corpus.where(f"lang <> '{unlearned}'"))
+        foreign = [make(rng, unlearned, n) for n in (40, 200) for _ in range(20)]
+        short = [make(rng, lang, n) for lang in learned for n in (3, 5, 40) for _ in range(20)]
+        texts = foreign + noise + short
+        docs = spark.createDataFrame([(i, t, None, "s", 1) for i, t in enumerate(texts)], documents(spark, []).schema)
+        rejected = {r.doc_id for r in predict_languages(docs, model).where("rejected").collect()}
+        alien = set(range(len(foreign + noise)))
+        assert len(rejected & alien) > 0.9 * len(alien), unlearned
+        assert len(rejected - alien) <= 0.02 * len(short), unlearned
+        assert {r.doc_id for r in keep_identified(docs, model).collect()} == set(range(len(texts))) - rejected
+
+
 def test_no_training_data(spark, corpus):
     model = fit_languages(corpus.limit(0))
     assert {r.lang_pred for r in predict_languages(corpus, model).collect()} == {"und"}
