@@ -7,6 +7,7 @@ partially aggregated count.
 
 from __future__ import annotations
 
+import heapq
 from collections.abc import Iterator
 
 import numpy as np
@@ -88,40 +89,117 @@ def grid_table(rows: DataFrame, score: str, margin: str, scores: list[float], ma
     return full.where("i > 0 and j > 0").select(pick(scores, "i").alias("s"), pick(margins, "j").alias("m"), *counted)
 
 
-def exact_2d(rows: DataFrame, slices: int = 8, min_unknown_reject: float = 0.85) -> DataFrame:
+def exact_2d(rows: DataFrame, slices: int = 8, min_unknown_reject: float = 0.85, digits: int = 6) -> DataFrame:
     """All pairs of observed thresholds: the one with most correct accepts whose unknown rejects reach the limit.
 
-    ``rows``: known, right (booleans), score, margin; a calibration pool, which is small by design
-    and is gathered once and sent to tasks that share the score thresholds.
+    ``rows``: known, right (booleans), score, margin. Rows are counted by rounded score and margin and
+    dealt to ranges of scores. A range starts from the counts per margin of all higher ranges and takes
+    its own from the highest score down: a task holds one number per rounded margin, whatever the rows.
+
+    As the score threshold falls, the least margin that rejects enough unknown rows only rises. The best
+    margin of a score is the least margin of a right row from there on, for which no right row is lost.
     """
-    pool = rows.select("known", "right", "score", "margin").toPandas()
-    known, right, score, margin = (pool[c].to_numpy() for c in ("known", "right", "score", "margin"))
-    ms = np.unique(np.append(margin, [-np.inf, np.inf]))
-    n_known, n_unknown = max(known.sum(), 1), max((~known).sum(), 1)
+    kinds = {"right": F.col("known") & F.col("right"), "wrong": F.col("known") & ~F.col("right"), "unknown": ~F.col("known")}
+    totals = rows.agg(F.count_if(F.col("known")), F.count_if(~F.col("known")), F.percentile_approx(F.round("score", digits), [i / slices for i in range(1, slices)], 1000)).first()
+    n_known, n_unknown, bounds = max(totals[0], 1), max(totals[1], 1), sorted(set(totals[2] or []))
+    score, margin = F.round("score", digits).alias("s"), F.coalesce(F.round("margin", digits), F.lit(float("nan"))).alias("m")
+    cells = rows.where(F.col("score").isNotNull()).groupBy(score, margin).agg(*[F.count_if(c).alias(n) for n, c in kinds.items()])
+    # range 0 has the highest scores
+    place = F.lit(0)
+    for x in bounds:
+        place = place + (F.col("s") < x).cast("int")
+    cells = cells.withColumn("range", place)
+    per = cells.where(~F.isnan("m")).groupBy("m", "range").agg(*[F.sum(n).alias(n) for n in kinds])
+    held = per.groupBy("m").agg(F.collect_list(F.struct("range", *kinds)).alias("held")).select("m", "held", F.explode(F.sequence(F.lit(0), F.lit(len(bounds)))).alias("range"))
+    above = lambda n: F.aggregate("held", F.lit(0).cast("long"), lambda t, x: t + F.when(x["range"] < F.col("range"), x[n]).otherwise(0)).alias(n)
+    carried = held.select("range", F.lit(True).alias("carried"), F.lit(None).cast("double").alias("s"), "m", *[above(n) for n in kinds])
+    dealt = carried.unionByName(cells.withColumn("carried", F.lit(False))).repartition(len(bounds) + 1, "range")
 
     def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        sweep, at = None, None
         for part in batches:
-            best = None
-            for s in part["s"]:
-                reached = score >= s
-                at = np.searchsorted(ms, margin[reached], side="right")
-                above = lambda mask: np.bincount(at[mask[reached]], minlength=len(ms) + 1)[::-1].cumsum()[::-1][1:]
-                ca, wi, far = above(known & right) / n_known, above(known & ~right) / n_known, above(~known) / n_unknown
-                ok = np.flatnonzero(1 - far >= min_unknown_reject - EPS)
-                if len(ok):
-                    i = ok[np.lexsort((ms[ok], -far[ok], -wi[ok], ca[ok]))[-1]]
-                    found = (ca[i], -wi[i], -far[i], s, ms[i])
-                    best = max(best, found) if best else found
-            if best:
-                yield pd.DataFrame([{"correct_accept": best[0], "wrong_intent": -best[1], "unknown_reject": 1 + best[2], "score_threshold": best[3], "margin_threshold": best[4]}])
+            for (number, carried), rows in part.groupby(["range", "carried"], sort=False):
+                if number != at:
+                    if sweep:
+                        yield from sweep.found()
+                    sweep, at = _Sweep(n_known, n_unknown, min_unknown_reject), number
+                (sweep.carry if carried else sweep.add)(rows)
+        if sweep:
+            yield from sweep.found()
 
     fields = "correct_accept double, wrong_intent double, unknown_reject double, score_threshold double, margin_threshold double"
-    thresholds = rows.select(F.col("score").alias("s")).distinct().repartition(slices)
-    found = thresholds.mapInPandas(search, fields)
+    found = dealt.sortWithinPartitions("range", F.desc("carried"), F.when(F.col("carried"), F.col("m")), F.desc("s")).mapInPandas(search, fields)
     key = F.struct("correct_accept", (-F.col("wrong_intent")).alias("w"), "unknown_reject", "score_threshold", "margin_threshold")
     return found.agg(F.max_by(F.struct(*[F.col(f.split()[0]) for f in fields.split(", ")]), key).alias("b")).select("b.*")
 
 
+class _Sweep:
+    """One range of scores: counts by the rank of a margin, and sums from the least margin on that rejects enough."""
+
+    def __init__(self, n_known: int, n_unknown: int, min_unknown_reject: float):
+        self.n_known, self.n_unknown, self.limit = n_known, n_unknown, min_unknown_reject - EPS
+        self.parts: list[pd.DataFrame] | None = []
+        self.best: tuple | None = None
+        self.score: float | None = None
+
+    def carry(self, rows: pd.DataFrame) -> None:
+        """Every margin of the pool, ascending, with the counts of the higher ranges."""
+        self.parts.append(rows)
+
+    def start(self) -> None:
+        held = pd.concat(self.parts) if self.parts else pd.DataFrame({"m": [], "right": [], "wrong": [], "unknown": []})
+        self.parts = None
+        self.ms = held["m"].to_numpy(np.float64)
+        self.right, self.wrong, self.unknown = (held[n].to_numpy(np.int64).copy() for n in ("right", "wrong", "unknown"))
+        self.rights = np.flatnonzero(self.right).tolist()  # a heap, as it ascends
+        self.least = 0
+        self.r, self.w, self.u = int(self.right.sum()), int(self.wrong.sum()), int(self.unknown.sum())
+        self.raise_margin()
+
+    def raise_margin(self) -> None:
+        while self.least < len(self.ms) and 1 - self.u / self.n_unknown < self.limit:
+            i = self.least
+            self.r, self.w, self.u, self.least = self.r - int(self.right[i]), self.w - int(self.wrong[i]), self.u - int(self.unknown[i]), i + 1
+
+    def add(self, rows: pd.DataFrame) -> None:
+        """Cells from the highest score down."""
+        if self.parts is not None:
+            self.start()
+        ranks = np.searchsorted(self.ms, rows["m"].to_numpy())
+        for s, i, gap, r, w, u in zip(rows["s"].tolist(), ranks.tolist(), rows["m"].isna().tolist(), rows["right"].tolist(), rows["wrong"].tolist(), rows["unknown"].tolist(), strict=True):
+            if s != self.score:
+                self.judge()
+                self.score = s
+            if gap:
+                continue  # no margin threshold accepts it
+            if r and not self.right[i]:
+                heapq.heappush(self.rights, i)
+            self.right[i] += r
+            self.wrong[i] += w
+            self.unknown[i] += u
+            if i >= self.least:
+                self.r, self.w, self.u = self.r + r, self.w + w, self.u + u
+                self.raise_margin()
+
+    def judge(self) -> None:
+        """Keeps the score whose cells are all in, where it is the best so far."""
+        if self.score is None or 1 - self.u / self.n_unknown < self.limit or (self.best and self.r / self.n_known < self.best[0]):
+            return
+        while self.rights and self.rights[0] < self.least:
+            heapq.heappop(self.rights)
+        at = self.rights[0] if self.rights else len(self.ms)
+        w = self.w - int(self.wrong[self.least : at].sum())
+        u = self.u - int(self.unknown[self.least : at].sum())
+        found = (self.r / self.n_known, -w / self.n_known, -u / self.n_unknown, self.score, float(self.ms[at]) if at < len(self.ms) else np.inf)
+        self.best = max(self.best, found) if self.best else found
+
+    def found(self) -> Iterator[pd.DataFrame]:
+        self.judge()
+        if self.best:
+            b = self.best
+            yield pd.DataFrame([{"correct_accept": b[0], "wrong_intent": -b[1], "unknown_reject": 1 + b[2], "score_threshold": b[3], "margin_threshold": b[4]}])
+
+
 def gated_threshold(rows: DataFrame, score: str, true: str, pred: str, classes: list, limits: dict[str, float], by: list[str] = ()) -> DataFrame:
     """One-dimensional search under five constraints with macro-F1: the best passing threshold, else the least violation.
 

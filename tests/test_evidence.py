@@ -51,6 +51,27 @@ def test_gated_threshold_equals_enumeration(spark):
         assert (got.passed, got.threshold) == (best[0], best[3])
 
 
+def test_exact_2d_equals_enumeration_without_gathering_rows(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    monkeypatch.setattr(type(spark.range(1)), "toPandas", lambda self: pytest.fail("the pool was gathered"))
+    for seed, limit in ((0, 0.85), (1, 0.5), (2, 1.0), (3, 0.0)):
+        rows = [(bool(k), bool(k and r), float(s / 20), float(m / 10)) for k, r, s, m in zip(rng.integers(0, 3, 250) > seed % 2, rng.integers(0, 2, 250), rng.integers(0, 21, 250), rng.integers(0, 8, 250), strict=True)]
+        rows += [(True, True, 0.99, None), (False, False, 0.31, None)]
+        known, unknown = sum(r[0] for r in rows), sum(not r[0] for r in rows)
+        best = None
+        for s in {r[2] for r in rows}:
+            for m in {*(r[3] for r in rows if r[3] is not None), math.inf, -math.inf}:
+                acc = [r for r in rows if r[2] >= s and r[3] is not None and r[3] >= m]
+                far = sum(not r[0] for r in acc) / unknown
+                if 1 - far >= limit - 1e-12:
+                    key = (sum(r[1] for r in acc) / known, -sum(r[0] and not r[1] for r in acc) / known, -far, s, m)
+                    best = max(best or key, key)
+        df = spark.createDataFrame(rows, "known boolean, right boolean, score double, margin double").repartition(5)
+        for slices in (1, 3, 8):
+            got = thresholds.exact_2d(df, slices, limit).first()
+            assert tuple(got) == pytest.approx((best[0], -best[1], 1 + best[2], best[3], best[4])), (seed, slices)
+
+
 def test_signal_functions(spark):
     x = [math.sin(2 * math.pi * 8 * i / 256) for i in range(512)]
     df = spark.createDataFrame([(x,), ([0.5],)], "s array<double>")
