@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions.text import file_stem, label_line, markdown_row, percent
 from tessera.operators import metrics, selection
+from tessera.queries.manifest import LINES_SQL, text_lines
 from tessera.session import table
 
 QUERIES: dict = {}
@@ -159,6 +160,12 @@ def label_lines(spark, sf_dir):
     return lines.select("doc_id", label_line(F.col("line")).alias("x")).select("doc_id", F.col("x.key").alias("key"), F.col("x.text").alias("rest"))
 
 
+@query(rf"WITH {LINES_SQL}, found AS (SELECT doc_id, line_no, regexp_extract(line, '^\s*(\S+)\s+(.*?)\s*$', 1) AS key, regexp_extract(line, '^\s*(\S+)\s+(.*?)\s*$', 2) AS rest FROM lines) SELECT doc_id, line_no, regexp_replace(regexp_extract(key, '[^/]*$'), '\.[^.]+$', '') AS key, rest FROM found")
+def document_label_lines(spark, sf_dir):
+    """``label_lines`` over every line of a text."""
+    return text_lines(spark, sf_dir).select("doc_id", "line_no", label_line(F.col("line")).alias("x")).select("doc_id", "line_no", F.col("x.key").alias("key"), F.col("x.text").alias("rest"))
+
+
 @query(r"SELECT page_id, regexp_replace(regexp_extract(url, '[^/]*$'), '\.[^.]+$', '') AS stem FROM pages")
 def url_stems(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", file_stem(F.col("url")).alias("stem"))

@@ -284,6 +284,21 @@ def field_fallback_and_delimiter(spark, sf_dir):
     return docs.select("doc_id", first_present(F.substring_index("text", "|", 1), F.col("lang")).alias("value"), delimiter_of(F.col("text")).alias("delimiter"))
 
 
+LINES_SQL = "lines AS (SELECT doc_id, lang, CAST(i AS INTEGER) AS line_no, parts[i] AS line FROM (SELECT doc_id, lang, string_split(text, chr(10)) AS parts FROM documents), unnest(range(1, len(parts) + 1)) AS t(i))"
+
+
+def text_lines(spark, sf_dir):
+    """Every line of every document, numbered from 1."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "lang", F.posexplode(F.split("text", "\n")).alias("at", "line"))
+    return docs.select("doc_id", "lang", (F.col("at") + 1).alias("line_no"), "line")
+
+
+@query(f"WITH {LINES_SQL} SELECT doc_id, line_no, coalesce(nullif(trim(regexp_extract(line, '^[^|]*')), ''), lang) AS value, CASE WHEN contains(line, chr(9)) THEN 'tab' WHEN contains(line, '|') THEN 'pipe' WHEN contains(line, ',') THEN 'comma' WHEN contains(line, ';') THEN 'semicolon' WHEN contains(line, ' ') THEN 'space' ELSE 'none' END AS delimiter FROM lines")
+def line_fields_and_delimiters(spark, sf_dir):
+    """``field_fallback_and_delimiter`` over whole texts, line by line."""
+    return text_lines(spark, sf_dir).select("doc_id", "line_no", first_present(F.substring_index("line", "|", 1), F.col("lang")).alias("value"), delimiter_of(F.col("line")).alias("delimiter"))
+
+
 @query("SELECT k AS key, count(*) AS n FROM events, unnest(json_keys(props)) AS t(k) WHERE regexp_matches(k, '(?i)k|session') GROUP BY k")
 def session_keys(spark, sf_dir):
     keys = table(spark, sf_dir, "events").select(F.explode(F.json_object_keys("props")).alias("key"))
