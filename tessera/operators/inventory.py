@@ -166,6 +166,36 @@ def exclusion_reasons(candidates: DataFrame, ordered: dict[str, DataFrame | Colu
     return out.withColumn("reason", reason).drop(*[f"__{i}" for i in range(len(ordered))])
 
 
+#: Words of a phrase window.
+PHRASE_WORDS = 13
+
+
+def phrase_words(text: Column) -> Column:
+    """Lower-case runs of letters and digits."""
+    return F.regexp_extract_all(F.lower(text), F.lit(r"([\p{L}\p{N}]+)"), F.lit(1))
+
+
+def holding_phrases(docs: DataFrame, sealed: DataFrame, key: str, text: str) -> DataFrame:
+    """Distinct keys of documents that hold a window of ``PHRASE_WORDS`` words of a sealed text, or the whole of a shorter one.
+
+    Only hashes and positions of windows are joined; the words are compared afterwards.
+    """
+    windows = lambda k: F.transform(F.sequence(F.lit(1), F.size("w") - k + 1), lambda i: F.slice("w", i, k))
+    hashes = lambda k: F.transform(F.sequence(F.lit(1), F.size("w") - k + 1), lambda i: F.xxhash64(F.slice("w", i, k)))
+    width = F.least(F.size("w"), F.lit(PHRASE_WORDS))
+    items = sealed.select(phrase_words(F.col(text)).alias("w")).where(F.size("w") > 0)
+    grams = items.select(width.alias("k"), F.explode(windows(width)).alias("gram")).distinct()
+    grams = grams.withColumn("h", F.xxhash64("gram"))
+    widths = [r["k"] for r in grams.select("k").distinct().collect()]
+    if not widths:
+        return docs.select(key).limit(0)
+    words = docs.where(F.col(key).isNotNull()).select(key, phrase_words(F.col(text)).alias("w"))
+    held = F.array(*[F.struct(F.lit(k).alias("k"), F.when(F.size("w") >= k, hashes(F.lit(k))).alias("hs")) for k in sorted(widths)])
+    each = words.select(key, F.explode(held).alias("x")).select(key, F.col("x.k").alias("k"), F.posexplode("x.hs").alias("at", "h"))
+    hits = each.join(grams, ["k", "h"]).select(key, "k", "at", "gram")
+    return hits.join(words, key).where(F.slice("w", F.col("at") + 1, F.col("k")) == F.col("gram")).select(key).distinct()
+
+
 def dense_grid(rows: DataFrame, a: str, b: str) -> DataFrame:
     """Every combination of the two keys' values with its count, zero where none occurs.
 

@@ -244,6 +244,21 @@ def exposure_exclusion_reasons(spark, sf_dir):
     return out.groupBy(F.coalesce("reason", F.lit("kept")).alias("reason")).agg(F.count("*").alias("n"))
 
 
+@query(r"""WITH b AS (SELECT regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM benchmark), bw AS (SELECT w, least(len(w), 13) AS k FROM b WHERE len(w) > 0),
+grams AS (SELECT DISTINCT k, array_to_string(w[i:i + k - 1], ' ') AS gram FROM bw, unnest(range(1, len(w) - k + 2)) AS t(i)),
+d AS (SELECT doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM documents),
+held AS (SELECT DISTINCT doc_id FROM (SELECT doc_id, k, array_to_string(w[i:i + k - 1], ' ') AS gram FROM (SELECT doc_id, w, k FROM d, (SELECT DISTINCT k FROM grams) WHERE len(w) >= k), unnest(range(1, len(w) - k + 2)) AS t(i)) JOIN grams USING (k, gram))
+SELECT coalesce(reason, 'kept') AS reason, count(*) AS n FROM (
+SELECT CASE WHEN trim(text) = '' THEN 'empty' WHEN doc_id IN (SELECT doc_id FROM labels WHERE toxic = 1) THEN 'toxic' WHEN doc_id IN (SELECT doc_id FROM held) THEN 'benchmark' END AS reason FROM documents) GROUP BY 1""")
+def exposure_phrase_reasons(spark, sf_dir):
+    """``exposure_exclusion_reasons`` with benchmark passages found anywhere in a document, not only before its first full stop."""
+    docs = table(spark, sf_dir, "documents")
+    held = inventory.holding_phrases(docs, table(spark, sf_dir, "benchmark"), "doc_id", "text")
+    toxic = table(spark, sf_dir, "labels").where("toxic = 1")
+    out = inventory.exclusion_reasons(docs.select("doc_id", F.trim("text").alias("t")), {"empty": F.col("t") == "", "toxic": toxic, "benchmark": held}, "doc_id")
+    return out.groupBy(F.coalesce("reason", F.lit("kept")).alias("reason")).agg(F.count("*").alias("n"))
+
+
 @query("SELECT user_id, event_type, coalesce(n, 0) AS n FROM (SELECT DISTINCT user_id FROM events) CROSS JOIN (SELECT DISTINCT event_type FROM events) LEFT JOIN (SELECT user_id, event_type, count(*) AS n FROM events WHERE value > 50 GROUP BY ALL) USING (user_id, event_type) WHERE user_id IN (SELECT user_id FROM events WHERE value > 50) AND event_type IN (SELECT event_type FROM events WHERE value > 50)")
 def dense_user_type_grid(spark, sf_dir):
     return inventory.dense_grid(table(spark, sf_dir, "events").where("value > 50"), "user_id", "event_type")
