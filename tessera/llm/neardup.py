@@ -23,7 +23,12 @@ capped: a bucket of any size is cut into blocks.
 
 Words are runs of anything but ASCII white space, A-Z in lower case. Fewer than
 five words make one shingle. A text without words has an empty set and is linked
-with nothing. Rows that repeat an id are rows of their own with that id.
+with nothing.
+
+Rows get numbers of their own when they are fingerprinted, and classes and links
+go by these, so rows that repeat an id, or have none, keep all their links. A
+component's id is the least id of its rows, null if none has one; ``kept`` marks
+its rows with that id, which may be several; ``stays`` marks exactly one of them.
 """
 
 from __future__ import annotations
@@ -50,6 +55,9 @@ BLOCK = 256
 #: Bits of the bitmap that spares most texts a shuffle; its size is fixed, ids that it lets through in error are dropped later.
 BITMAP_BITS = 1 << 25
 
+#: What equal sets agree in.
+SAME = ["set_a", "set_b", "n_shingles"]
+
 IS_SOLID = byte_class((0x09, 0x0D), (0x20, 0x20), negate=True)
 _rng = np.random.default_rng(2024)
 _FLIPS = _rng.integers(1, 2**63, MINIMA, dtype=U64)
@@ -86,17 +94,22 @@ def minima(h: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     return out
 
 
+def set_sums(h: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """Two sums over each row's shingles, equal for equal sets."""
+    sums = np.zeros((2, len(bounds) - 1), dtype=U64)
+    full = np.flatnonzero(np.diff(bounds))
+    if len(full):
+        sums[0, full] = np.add.reduceat(mixed(h), bounds[:-1][full])
+        sums[1, full] = np.add.reduceat(mixed(h ^ U64(0xA5A5A5A5A5A5A5A5)), bounds[:-1][full])
+    return sums
+
+
 def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for rows, data, offsets in slices(batches, "text"):
         h, bounds = shingle_sets(data, offsets)
         low = minima(h, bounds)
         n = rows.num_rows
         count = np.diff(bounds)
-        full = np.flatnonzero(count)
-        sums = np.zeros((2, n), dtype=U64)
-        if len(full):
-            sums[0, full] = np.add.reduceat(mixed(h), bounds[:-1][full])
-            sums[1, full] = np.add.reduceat(mixed(h ^ U64(0xA5A5A5A5A5A5A5A5)), bounds[:-1][full])
         keys = np.zeros((n, BANDS), dtype=U64)
         for b in range(BANDS):
             k = np.full(n, b + 1, dtype=U64)
@@ -109,34 +122,32 @@ def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         packed = np.zeros((n, MINIMA // per), dtype=U64)
         for i in range(MINIMA):
             packed[:, i // per] |= bits[:, i] << U64(BITS * (i % per))
+        sums = set_sums(h, bounds)
         lists = [pa.FixedSizeListArray.from_arrays(pa.array(x.view(np.int64).ravel()), x.shape[1]).cast(pa.list_(pa.int64())) for x in (keys, packed)]
-        yield pa.RecordBatch.from_arrays([rows.column(0), pa.array(count.astype(np.int64)), *(pa.array(s.view(np.int64)) for s in sums), *lists], ["doc_id", "n_shingles", "set_a", "set_b", "bands", "sketch"])
+        yield pa.RecordBatch.from_arrays([rows.column(0), rows.column(2), pa.array(count.astype(np.int64)), *(pa.array(s.view(np.int64)) for s in sums), *lists], ["doc_id", "text_hash", "n_shingles", "set_a", "set_b", "bands", "sketch"])
 
 
 def _sets(bitmap):
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = bitmap.value
         for batch in batches:
-            slot = batch.column(2).to_numpy()
+            slot = batch.column(1).to_numpy()
             some = pa.array((held[slot >> 6] >> (slot & 63).astype(U64)) & U64(1) == 1)
-            for rows, data, offsets in slices([batch.filter(some)], "text"):
+            for _, data, offsets in slices([batch.filter(some)], "text"):
                 h, bounds = shingle_sets(data, offsets)
-                yield pa.RecordBatch.from_arrays([rows.column(0), pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(h.view(np.int64)))], ["id", "shingles"])
+                sums = (pa.array(s.view(np.int64)) for s in set_sums(h, bounds))
+                yield pa.RecordBatch.from_arrays([*sums, pa.array(np.diff(bounds).astype(np.int64)), pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(h.view(np.int64)))], [*SAME, "shingles"])
 
     return sets
 
 
-def _slot(column: str) -> Column:
-    return F.pmod(F.xxhash64(column), F.lit(BITMAP_BITS))
-
-
-def _bitmap(ids: DataFrame):
-    """A broadcast bitmap of fixed size with the hashed ids."""
-    words = ids.select(_slot("id").alias("s")).groupBy(F.floor(F.col("s") / 64).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(s % 64 as int))")).alias("bits"))
+def _bitmap(slots: DataFrame):
+    """A broadcast bitmap of fixed size with the ``slot`` of some rows."""
+    words = slots.select(F.col("slot").alias("s")).groupBy(F.floor(F.col("s") / 64).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(s % 64 as int))")).alias("bits"))
     held = np.zeros(BITMAP_BITS // 64, dtype=U64)
     part = words.toArrow()
     held[part.column("word").to_numpy()] = part.column("bits").to_numpy().view(U64)
-    return ids.sparkSession.sparkContext.broadcast(held)
+    return slots.sparkSession.sparkContext.broadcast(held)
 
 
 def estimate(a: Column, b: Column) -> Column:
@@ -207,13 +218,16 @@ def _compare(key: tuple, table: pa.Table) -> pa.Table:
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per document: doc_id, n_shingles, component_id (the least id of its group), kept."""
+    """One row per document: doc_id, n_shingles, component_id (the least id of its group), kept, stays, text_hash."""
     small_batches(docs.sparkSession)
-    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    prints = cut(texts.mapInArrow(_fingerprints, "doc_id long, n_shingles long, set_a long, set_b long, bands array<long>, sketch array<long>"))
-    same = ["set_a", "set_b", "n_shingles"]
+    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("text_hash"))
+    prints = texts.mapInArrow(_fingerprints, "doc_id long, text_hash long, n_shingles long, set_a long, set_b long, bands array<long>, sketch array<long>")
+    prints = cut(prints.withColumn("row", F.monotonically_increasing_id()))
+    slot = F.pmod(F.xxhash64("doc_id", "text_hash"), F.lit(BITMAP_BITS))
     some = prints.where("n_shingles > 0")
-    classes = cut(some.groupBy(*same).agg(F.min("doc_id").alias("id"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch")))
+    least = F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "row")
+    firsts = F.min(F.struct("row", slot.alias("slot"))).alias("first"), F.min(least).alias("least")
+    classes = cut(some.groupBy(*SAME).agg(*firsts, F.first("bands").alias("bands"), F.first("sketch").alias("sketch")).withColumn("id", F.col("first.row")))
 
     rows = classes.select("id", F.explode("bands").alias("key"))
     sizes = rows.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
@@ -226,9 +240,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     near = stars.join(sketches.select(F.col("id").alias("b"), F.col("sketch").alias("sketch_b")), "b").join(sketches.select(F.col("id").alias("a"), F.col("sketch").alias("sketch_a")), "a")
     pairs = near.where(estimate(F.col("sketch_a"), F.col("sketch_b")) >= ESTIMATE_FLOOR).select("a", "b")
 
-    wanted = members.select("id").distinct()
-    held = texts.withColumn("slot", _slot("doc_id")).mapInArrow(_sets(_bitmap(wanted)), "id long, shingles array<long>")
-    sets = cut(held.join(wanted, "id", "left_semi").dropDuplicates(["id"]))
+    wanted = classes.select(*SAME, "id", "first.slot").join(members.select("id").distinct(), "id")
+    held = texts.select("text", slot.alias("slot")).mapInArrow(_sets(_bitmap(wanted)), "set_a long, set_b long, n_shingles long, shingles array<long>")
+    # rows that a bitmap lets through, or that repeat a class's first row, are equal sets: any of them will do
+    sets = cut(held.join(wanted.select(*SAME, "id"), SAME).dropDuplicates(["id"]).select("id", "shingles"))
     links = cut(_confirmed(pairs, sets))
     labels = least_members(links)
 
@@ -249,20 +264,33 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     found = _confirmed(more.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), sets)
     labels = least_members(links.unionByName(found))
 
-    groups = classes.select(*same, "id").join(labels, "id", "left").select(*same, F.coalesce("component", "id").alias("component_id"))
-    grouped = some.select("doc_id", *same).join(groups, same, "left").select("doc_id", "n_shingles", "component_id")
-    alone = prints.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
-    return grouped.unionByName(alone).withColumn("kept", F.col("doc_id") == F.col("component_id"))
+    named = classes.select(*SAME, "id", "least").join(labels, "id", "left")
+    together = named.where(F.col("component").isNotNull()).groupBy("component").agg(F.min("least").alias("of_all"))
+    groups = named.join(together, "component", "left").select(*SAME, F.coalesce("of_all", "least").alias("least"))
+    grouped = some.select("doc_id", "row", "text_hash", *SAME).join(groups, SAME, "left")
+    grouped = grouped.select("doc_id", "n_shingles", F.col("least.doc_id").alias("component_id"), (F.col("row") == F.col("least.row")).alias("stays"), "text_hash")
+    alone = prints.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"), F.lit(True).alias("stays"), "text_hash")
+    kept = F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept")
+    return grouped.unionByName(alone).select("doc_id", "n_shingles", "component_id", kept, "stays", "text_hash")
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with one document of each group, the one with the least id."""
-    gone = near_duplicates(docs, id_col, text_col).where(~F.col("kept")).select(F.col("doc_id").alias("__gone"))
-    return docs.join(gone, docs[id_col] == gone["__gone"], "left_anti")
+    """``docs`` with one document of each group, one with the least id; of rows equal in id and text too, one stays."""
+    found = near_duplicates(docs, id_col, text_col)
+    rows = found.where("n_shingles > 0").groupBy(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash"))
+    rows = cut(rows.agg(F.max("stays").alias("__stays"), F.count("*").alias("__n")).where("not __stays or __n > 1"))
+    key = docs[id_col].cast("long").eqNullSafe(F.col("__id")) & (F.xxhash64(docs[text_col]) == F.col("__hash"))
+    out = docs.join(rows, key, "left_anti")
+    again = rows.where("__stays")
+    if again.limit(1).count():
+        # rows alike in id and text, one of which stays
+        alike = docs.join(again.select("__id", "__hash"), key).dropDuplicates(["__id", "__hash"])
+        out = out.unionByName(alike.select(*[alike[c] for c in docs.columns]))
+    return out
 
 
 def op2_minhash_neardup(spark, sf_dir: str) -> DataFrame:
-    return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet")).select("doc_id", "n_shingles", "component_id", "kept")
 
 
 #: Every pair that shares a shingle, so only for small tables.

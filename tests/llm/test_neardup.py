@@ -75,3 +75,26 @@ def test_chain_of_components(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 101)], "a long, b long")
     got = {r.id: r.component for r in least_members(links).collect()}
     assert got == {i: 0 for i in range(41)} | {100: 100, 101: 100}
+
+
+def test_repeated_and_null_ids_keep_their_links(spark):
+    rng = random.Random(9)
+    a, b, c = (words(rng, 80) for _ in range(3))
+    rows = [(1, a), (1, b), (2, a + " more"), (3, b + " more"), (None, c), (None, c + " more"), (None, None), (5, c), (1, a), (None, words(rng, 30)), (7, ""), (7, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = near_duplicates(docs)
+    by_text = {(r.doc_id, r.n_shingles): (r.component_id, r.kept) for r in got.collect()}
+    assert by_text[1, 76] == (1, True) and by_text[2, 77] == (1, False) and by_text[3, 77] == (1, False)
+    assert by_text[5, 76] == (5, True) and by_text[None, 76] == (5, False) and by_text[None, 77] == (5, False)
+    assert by_text[None, 26] == (None, True) and by_text[None, 0] == (None, True)
+    assert got.count() == len(rows)
+    kept = sorted((tuple(r) for r in drop_near_duplicates(docs).collect()), key=str)
+    assert kept == sorted([(1, a), (1, b), (None, None), (5, c), (None, rows[9][1]), (7, ""), (7, "")], key=str)
+
+
+def test_identical_rows_leave_one(spark):
+    text = words(random.Random(4), 50)
+    docs = with_clashes(spark.createDataFrame([(4, text)] * 3 + [(None, text + " x")] * 2, "doc_id long, text string"), "row", "least")
+    kept = drop_near_duplicates(docs)
+    assert kept.columns == docs.columns
+    assert [(r.doc_id, r.text) for r in kept.collect()] == [(4, text)]
