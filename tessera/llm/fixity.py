@@ -6,15 +6,18 @@ make the node above, up to one root for each archive, and the same over
 archives up to one root for the replica. The audit compares the two roots and
 then only the children of nodes that differ, level by level, down to records.
 
-A range has a bounded number of records, because a record's header has a length
-of its own, and an inner node at most ``FANOUT`` children, so no group grows
-with the input. Only hashes are shuffled. The hash tables are kept in the shared
-folder, so descending reads them again instead of the records.
-
-A null payload or url counts as empty. Records found in one replica only are
-reported as missing or extra; repeated rows of a record make its range differ
-unless both replicas repeat them. Empty replicas have no roots and do not
-differ; if one is empty, all records of the other are reported.
+A range has at most ``LEAF_BYTES`` offsets and an inner node ``FANOUT`` children,
+so no group that is gathered grows with the input. Rows of one offset are summed,
+not gathered: a count and sums of two hashes. Only hashes are shuffled. The hash
+tables are kept in the shared folder, so descending reads them again instead of
+the records.
+
+A null payload or url counts as empty; null archives and offsets are values like
+others. Records found in one replica only are reported as missing or extra. Rows
+of one offset are compared as a multiset, in any order: a digest that one replica
+holds more often is reported once, beside one that the other holds more often if
+there is such. Empty replicas have no roots and do not differ; if one is empty,
+all records of the other are reported.
 """
 
 from __future__ import annotations
@@ -53,9 +56,16 @@ def _up(nodes: DataFrame, archive: Column, at: Column, position: Column) -> Data
     return nodes.groupBy(archive.alias("archive"), at.alias("at")).agg(_node(F.collect_list(child)).alias("digest"))
 
 
+def _by_offset(hashes: DataFrame) -> DataFrame:
+    """One digest for each archive and offset: the row's own, or one of all rows there, whatever their order."""
+    total = lambda seed: F.sum(F.xxhash64("digest", "length", F.lit(seed)).cast("decimal(20,0)")).cast("string")
+    sums = hashes.groupBy("archive", "offset").agg(F.count("*").alias("n"), F.max("digest").alias("own"), total(1).alias("x"), total(2).alias("y"))
+    return sums.select("archive", "offset", F.when(F.col("n") == 1, F.col("own")).otherwise(F.sha2(F.concat_ws(":", F.col("n").cast("string"), "x", "y").cast("binary"), 256)).alias("digest"))
+
+
 def merkle_levels(hashes: DataFrame, height: int, archive_height: int) -> list[DataFrame]:
     """Node tables (archive, at, digest) from the leaves up to the replica's root."""
-    levels = [_up(hashes, F.col("archive"), F.floor(F.col("offset") / LEAF_BYTES), F.col("offset"))]
+    levels = [_up(_by_offset(hashes), F.col("archive"), F.floor(F.col("offset") / LEAF_BYTES), F.col("offset"))]
     for _ in range(height):
         levels.append(_up(levels[-1], F.col("archive"), F.floor(F.col("at") / FANOUT), F.col("at")))
     for _ in range(archive_height):
@@ -88,39 +98,62 @@ def audit_hashes(a: DataFrame, b: DataFrame) -> DataFrame:
     la, lb = ([cut(x) for x in merkle_levels(h, height, archive_height)] for h in (ha, hb))
     differing = None
     for k in range(len(la) - 1, -1, -1):
-        left, right = (x[k].withColumnRenamed("digest", name) for x, name in ((la, "a"), (lb, "b")))
+        nodes = _side_by_side(la[k], lb[k], ["archive", "at"], "digest")
         if differing is not None:
             over = F.col("archive") if k <= height - 1 else F.floor(F.col("archive") / FANOUT)
             up = F.floor(F.col("at") / FANOUT) if k <= height - 1 else F.col("at")
             parents = differing.select(F.col("archive").alias("up_archive"), F.col("at").alias("up_at"))
-            left, right = (x.join(parents, (over == F.col("up_archive")) & (up == F.col("up_at")), "left_semi") for x in (left, right))
-        differing = left.join(right, ["archive", "at"], "full_outer").where(~F.col("a").eqNullSafe(F.col("b"))).select("archive", "at")
-    bad = differing.select("archive", F.col("at").alias("leaf"))
-    ra, rb = (h.withColumn("leaf", F.floor(F.col("offset") / LEAF_BYTES)).join(bad, ["archive", "leaf"], "left_semi").select("archive", "offset", F.col("length").alias(f"length_{s}"), F.col("digest").alias(f"digest_{s}")) for h, s in ((ha, "a"), (hb, "b")))
-    both = ra.join(rb, ["archive", "offset"], "full_outer").where(~F.col("digest_a").eqNullSafe(F.col("digest_b")))
-    finding = F.when(F.col("digest_b").isNull(), "missing").when(F.col("digest_a").isNull(), "extra").otherwise("changed")
+            left, right = (x[k].join(parents, over.eqNullSafe(F.col("up_archive")) & up.eqNullSafe(F.col("up_at")), "left_semi") for x in (la, lb))
+            nodes = _side_by_side(left, right, ["archive", "at"], "digest")
+        differing = nodes.where(~F.col("digest_a").eqNullSafe(F.col("digest_b"))).select("archive", "at")
+    bad = differing.select(F.col("archive").alias("bad_archive"), F.col("at").alias("bad_leaf"))
+    leaf = F.floor(F.col("offset") / LEAF_BYTES)
+    within = F.col("archive").eqNullSafe(F.col("bad_archive")) & leaf.eqNullSafe(F.col("bad_leaf"))
+    counted = [h.join(bad, within, "left_semi").groupBy("archive", "offset", "length", "digest").agg(F.count("*").alias("n")) for h in (ha, hb)]
+    surplus = _side_by_side(*counted, ["archive", "offset", "length", "digest"], "n").withColumn("more", F.coalesce("n_a", F.lit(0)) - F.coalesce("n_b", F.lit(0))).where("more <> 0")
+    nth = F.row_number().over(Window.partitionBy("archive", "offset", F.col("more") > 0).orderBy("digest", "length"))
+    of = lambda c, mine: F.max(F.when((F.col("more") > 0) == mine, F.col(c)))
+    both = surplus.withColumn("nth", nth).groupBy("archive", "offset", "nth").agg(of("length", True).alias("length_a"), of("length", False).alias("length_b"), of("digest", True).alias("digest_a"), of("digest", False).alias("digest_b"), F.max("more").alias("high"), F.min("more").alias("low"))
+    finding = F.when(F.col("low") > 0, "missing").when(F.col("high") < 0, "extra").otherwise("changed")
     return both.select("archive", "offset", "length_a", "length_b", "digest_a", "digest_b", finding.alias("finding"))
 
 
+def _side_by_side(a: DataFrame, b: DataFrame, keys: list[str], value: str) -> DataFrame:
+    """A full outer join of tables with unique keys, null keys included: value_a and value_b."""
+    names = (f"{value}_a", f"{value}_b")
+    sides = [x.select(*keys, *[(F.col(value) if i == k else F.lit(None)).cast(dict(x.dtypes)[value]).alias(n) for k, n in enumerate(names)]) for i, x in enumerate((a, b))]
+    return sides[0].unionByName(sides[1]).groupBy(*keys).agg(*[F.max(n).alias(n) for n in names])
+
+
 def page_hashes(pages: DataFrame, html: Column | None = None, lost: Column | None = None) -> DataFrame:
     """Hashes of pages as records of archives of ARCHIVE_RECORDS consecutive page ids.
 
     Offsets are those of the sound archive, in order of page id; ``html`` is what this
-    replica holds and ``lost`` marks records that it lacks. Payloads are hashed where
-    they lie: the window over an archive sorts sizes and digests only.
+    replica holds and ``lost`` marks records that it lacks. Rows of one id follow one
+    another by the digest of the sound record, then in any order, since they are equal;
+    rows without an id lie in archives of their own, below 0, by that digest. Payloads are
+    hashed where they lie. Offsets are summed in two steps, over groups of an id and the
+    first signs of the digest and within them, so that an id may have any number of rows.
     """
-    held = warc_record(F.col("url"), F.col("html") if html is None else html)
+    sound = warc_record(F.col("url"), F.col("html"))
+    held = sound if html is None else warc_record(F.col("url"), html)
+    nameless = -1 - F.conv(F.substring(F.sha2(sound, 256), 1, 5), 16, 10).cast("long")
     sized = pages.select(
-        F.floor(F.col("page_id") / ARCHIVE_RECORDS).alias("archive"),
+        F.coalesce(F.floor(F.col("page_id") / ARCHIVE_RECORDS), nameless).alias("archive"),
         "page_id",
-        F.octet_length(warc_record(F.col("url"), F.col("html"))).cast("long").alias("size"),
+        F.octet_length(sound).cast("long").alias("size"),
+        F.sha2(sound, 256).alias("key"),
         F.octet_length(held).cast("long").alias("length"),
         F.sha2(held, 256).alias("digest"),
-        (F.lit(False) if lost is None else lost).alias("lost"),
-    )
-    w = Window.partitionBy("archive").orderBy("page_id").rowsBetween(Window.unboundedPreceding, -1)
-    placed = sized.withColumn("offset", F.coalesce(F.sum("size").over(w), F.lit(0)))
-    return placed.where(~F.col("lost")).select("archive", "offset", "length", "digest")
+        (F.lit(False) if lost is None else F.coalesce(lost, F.lit(False))).alias("lost"),
+    ).withColumn("part", F.substring("key", 1, 3))
+    group = ["archive", "page_id", "part"]
+    before = lambda w: F.coalesce(F.sum("size").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = sized.groupBy(*group).agg(F.sum("size").alias("size")).withColumn("base", before(Window.partitionBy("archive").orderBy("page_id", "part")))
+    starts = starts.select(*[F.col(c).alias(f"of_{c}") for c in group], "base")
+    placed = sized.withColumn("within", before(Window.partitionBy(*group).orderBy("key")))
+    placed = placed.join(starts, (F.col("archive") == F.col("of_archive")) & F.col("page_id").eqNullSafe(F.col("of_page_id")) & (F.col("part") == F.col("of_part")))
+    return placed.where(~F.col("lost")).select("archive", (F.col("base") + F.col("within")).alias("offset"), "length", "digest")
 
 
 def op4_merkle_fixity(spark, sf_dir: str) -> DataFrame:
