@@ -1,18 +1,22 @@
 """Exact top-k by inner product with the threshold algorithm over sorted per-dimension lists.
 
-Candidates are dealt by a hash of their id to blocks of about ``block`` rows and
-queries to blocks of about ``query_block``; a task gets one block of each. For a
-block it sorts every dimension once. A query reads the lists from the end its
-sign favours, step by step; rows met for the first time are scored in full, and
-reading stops when the bound, the score of a row with every component at the
-lists' present depth, is below the k-th score. An equal bound reads on, since a
-tie may have a smaller id. The best k of each block are merged by query.
-
-Blocks have a bounded number of rows, whatever ids or values repeat. Every query
-meets every block once; nothing is sampled. Vectors that are null or empty, or
+Candidates are dealt by a hash of the row to groups of about ``group`` rows and
+queries to blocks of about ``query_block``; a task gets one of each. It takes the
+group in blocks of ``block`` rows and sorts every dimension of a block once. A
+query reads the lists from the end its sign favours; rows met for the first time
+are scored in full, and reading stops at the depth where the bound, the score of
+a row with every component at the lists' present depth, is below the k-th score. An
+equal bound reads on, since a tie may have a smaller id. The k-th score is carried
+from block to block, so that later blocks stop earlier; queries that the bound
+stops late or not at all in a block are scored against it together. The best k of
+each group are merged by query.
+
+Groups have a bounded number of rows, whatever ids or values repeat. Every query
+meets every group once; nothing is sampled. Vectors that are null or empty, or
 hold a null or a non-finite component, and rows with a null id take no part;
-vectors of different lengths are not compared. Of rows that repeat a query's id,
-none is its candidate.
+vectors of different lengths are not compared. Repeated rows count once. An id with
+several vectors is one query and one candidate: each pair of ids has its best
+score. Rows of a query's own id are none of its candidates.
 """
 
 from __future__ import annotations
@@ -24,48 +28,88 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 BLOCK = 1024
-QUERY_BLOCK = 4096
+GROUP = 32_768
+QUERY_BLOCK = 16_384
 #: Rows read from each list in the first step; each further step doubles the depth.
 FIRST_DEPTH = 8
+#: Queries scored together against a block.
+CHUNK = 256
 EXACT = 2.0**53
 
 
+class Best:
+    """The k best candidates of each query so far, by falling score, then id; empty places hold the lowest score."""
+
+    def __init__(self, query_ids: np.ndarray, k: int, dtype):
+        self.query_ids, self.k = query_ids, k
+        self.lowest = -np.inf if dtype == np.float64 else np.iinfo(dtype).min
+        self.scores = np.full((len(query_ids), k), self.lowest, dtype=dtype)
+        self.ids = np.full((len(query_ids), k), np.iinfo(np.int64).max)
+
+    def add(self, queries: np.ndarray, ids: np.ndarray, scores: np.ndarray) -> None:
+        """Takes scores (queries x ids) of ids that none of the queries holds yet."""
+        scores = np.where(ids == self.query_ids[queries][:, None], self.lowest, scores)
+        scores = np.concatenate([self.scores[queries], scores], axis=1)
+        ids = np.concatenate([self.ids[queries], np.broadcast_to(ids, (len(queries), len(ids)))], axis=1)
+        least = np.partition(scores, -self.k, axis=1)[:, -self.k]
+        row, at = np.nonzero((scores >= least[:, None]) & (scores > self.lowest))
+        score, ident = scores[row, at], ids[row, at]
+        order = np.lexsort((ident, -score, row))
+        row, score, ident = row[order], score[order], ident[order]
+        rank = np.arange(len(row)) - np.searchsorted(row, row)
+        top = rank < self.k
+        self.scores[queries[row[top]], rank[top]] = score[top]
+        self.ids[queries[row[top]], rank[top]] = ident[top]
+
+
 class SortedLists:
-    """A block's vectors with one list per dimension, ascending by component."""
+    """A block's vectors with one list per dimension, ascending by component; rows ascend by id."""
 
     def __init__(self, ids: np.ndarray, vectors: np.ndarray):
-        self.ids, self.vectors = ids, vectors
+        self.vectors = vectors
+        self.ids, self.starts = np.unique(ids, return_index=True)
+        self.of = np.searchsorted(self.ids, ids)
         self.order = np.argsort(vectors, axis=0, kind="stable").T.copy()  # dimension x rank -> row
         self.values = np.take_along_axis(vectors, self.order.T, axis=0).T.copy()
         self.falling, self.falling_values = self.order[:, ::-1], self.values[:, ::-1]
 
-    def top(self, query_id: int, query: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """Rows and scores of the k best, ties to the smaller id."""
-        n = len(self.ids)
-        up, down = np.flatnonzero(query < 0), np.flatnonzero(query > 0)
-        seen = self.ids == query_id
-        rows, scores = np.zeros(0, np.int64), np.zeros(0, self.vectors.dtype)
-        done, depth = 0, min(FIRST_DEPTH, n)
-        while True:
-            met = np.zeros(n, dtype=bool)
-            met[self.falling[down, done:depth].ravel()] = True
-            met[self.order[up, done:depth].ravel()] = True
-            if depth == n:
-                met[:] = True  # also rows that no dimension of the query favours
-            fresh = np.flatnonzero(met & ~seen)
-            seen |= met
-            rows, scores = np.concatenate([rows, fresh]), np.concatenate([scores, self.vectors[fresh] @ query])
-            if len(rows) > k:
-                best = np.lexsort((self.ids[rows], -scores))[:k]
-                rows, scores = rows[best], scores[best]
-            if depth == n or seen.all():
-                break
-            bound = self.falling_values[down, depth - 1] @ query[down] + self.values[up, depth - 1] @ query[up]
-            if len(rows) == k and bound < scores.min():
-                break
-            done, depth = depth, min(n, 2 * depth)
-        best = np.lexsort((self.ids[rows], -scores))
-        return rows[best], scores[best]
+    def _read(self, q: int, query: np.ndarray, depth: int, best: Best) -> int:
+        """Scores the rows that the query's lists hold down to ``depth``."""
+        met = np.zeros(len(self.vectors), dtype=bool)
+        met[self.falling[query > 0, :depth].ravel()] = True
+        met[self.order[query < 0, :depth].ravel()] = True
+        rows = np.flatnonzero(met)
+        if len(rows):
+            of = self.of[rows]
+            first = np.flatnonzero(np.append(True, of[1:] != of[:-1]))
+            best.add(np.array([q]), self.ids[of[first]], np.maximum.reduceat(self.vectors[rows] @ query, first)[None, :])
+        return len(rows)
+
+    def improve(self, queries: np.ndarray, best: Best) -> np.ndarray:
+        """Takes the block's candidates into ``best``; returns how many rows each query scored."""
+        n = len(self.vectors)
+        depths = np.unique(np.minimum(FIRST_DEPTH << np.arange(max(n, 1).bit_length()), n))
+        bounds = np.maximum(queries, 0) @ self.falling_values[:, depths - 1] + np.minimum(queries, 0) @ self.values[:, depths - 1]
+        read = np.zeros(len(queries), np.int64)
+        if n > FIRST_DEPTH:
+            # the first block: a k-th score to begin with, from the lists' first rows
+            trial = Best(best.query_ids, best.k, best.scores.dtype)
+            for q in np.flatnonzero(best.scores[:, -1] == best.lowest).tolist():
+                read[q] += self._read(q, queries[q], FIRST_DEPTH, trial)
+            kth = np.maximum(best.scores[:, -1], trial.scores[:, -1])
+        else:
+            kth = best.scores[:, -1]
+        stops = bounds < kth[:, None]
+        done = np.where(stops.any(axis=1), depths[stops.argmax(axis=1)], n)
+        for q in np.flatnonzero(done <= n // 4).tolist():
+            read[q] += self._read(q, queries[q], int(done[q]), best)
+        rest = np.flatnonzero(done > n // 4)
+        read[rest] += n
+        for at in range(0, len(rest), CHUNK):
+            part = rest[at : at + CHUNK]
+            scores = queries[part] @ self.vectors.T
+            best.add(part, self.ids, scores if len(self.ids) == n else np.maximum.reduceat(scores, self.starts, axis=1))
+        return read
 
 
 def _matrix(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
@@ -75,7 +119,7 @@ def _matrix(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
     return ids, flat.reshape(len(ids), -1)
 
 
-def search_blocks(k: int):
+def search_groups(k: int, block: int):
     schema = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.int64())])
 
     def search(candidates: pa.Table, queries: pa.Table) -> pa.Table:
@@ -87,11 +131,16 @@ def search_blocks(k: int):
         large = float(np.abs(vectors).max()) * float(np.abs(wanted).max()) * vectors.shape[1]
         if large < EXACT:
             vectors, wanted = vectors.astype(np.float64), wanted.astype(np.float64)
-        lists = SortedLists(ids, vectors)
-        found = [(q, *lists.top(q, v, k)) for q, v in zip(query_ids.tolist(), wanted, strict=True)]
-        size = [len(r) for _, r, _ in found]
-        rows = np.concatenate([r for _, r, _ in found])
-        return pa.table([np.repeat([q for q, _, _ in found], size), ids[rows], np.concatenate([s for _, _, s in found]).astype(np.int64)], schema=schema)
+        order = np.argsort(ids, kind="stable")
+        ids, vectors = ids[order], vectors[order]
+        best, at = Best(query_ids, k, vectors.dtype), 0
+        while at < len(ids):
+            # all vectors of an id lie in one block
+            stop = int(np.searchsorted(ids, ids[min(at + block, len(ids)) - 1], side="right"))
+            SortedLists(ids[at:stop], vectors[at:stop]).improve(wanted, best)
+            at = stop
+        row, rank = np.nonzero(best.scores > best.lowest)
+        return pa.table([query_ids[row], best.ids[row, rank], best.scores[row, rank].astype(np.int64)], schema=schema)
 
     return search
 
@@ -102,20 +151,24 @@ def quantized(vector: Column, scale: int = 256) -> Column:
     return F.when((F.size(vector) > 0) & whole, F.transform(vector, lambda x: F.floor(F.lit(float(scale)) * x.cast("double"))))
 
 
-def threshold_topk(candidates: DataFrame, queries: DataFrame, k: int = 5, block: int = BLOCK, query_block: int = QUERY_BLOCK) -> DataFrame:
+def threshold_topk(candidates: DataFrame, queries: DataFrame, k: int = 5, block: int = BLOCK, group: int = GROUP, query_block: int = QUERY_BLOCK) -> DataFrame:
     """query_id, rank (from 1), vec_id, score for each query; both sides have id (long) and vector (array<long>), null vectors take no part."""
-    candidates, queries = (df.where(F.col("id").isNotNull() & F.col("vector").isNotNull()) for df in (candidates, queries))
-    blocks, query_blocks = (max(1, -(-df.count() // size)) for df, size in ((candidates, block), (queries, query_block)))
+    candidates, queries = (df.select("id", "vector").where(F.col("id").isNotNull() & F.col("vector").isNotNull()) for df in (candidates, queries))
+    many, asked = (max(1, df.count()) for df in (candidates, queries))
+    query_blocks = -(-asked // query_block)
+    # small tables are dealt to all cores, in groups of a block or more
+    groups = max(-(-many // group), min(-(-many // block), 2 * candidates.sparkSession.sparkContext.defaultParallelism))
 
     def dealt(df: DataFrame, own: str, n: int, other: str, m: int) -> DataFrame:
-        at = F.pmod(F.xxhash64("id", F.lit(own)), F.lit(n)).cast("int")
-        return df.select("id", "vector", F.size("vector").alias("dims"), at.alias(own), F.explode(F.sequence(F.lit(0), F.lit(m - 1))).alias(other))
+        at = F.pmod(F.xxhash64("id", "vector", F.lit(own)), F.lit(n)).cast("int")
+        return df.dropDuplicates().select("id", "vector", F.size("vector").alias("dims"), at.alias(own), F.explode(F.sequence(F.lit(0), F.lit(m - 1))).alias(other))
 
-    left = dealt(candidates, "block", blocks, "query_block", query_blocks).groupBy("block", "query_block", "dims")
-    right = dealt(queries, "query_block", query_blocks, "block", blocks).select("id", "vector", "dims", "block", "query_block").groupBy("block", "query_block", "dims")
-    found = left.cogroup(right).applyInArrow(search_blocks(k), "query_id long, vec_id long, score long")
+    left = dealt(candidates, "group", groups, "query_block", query_blocks).groupBy("group", "query_block", "dims")
+    right = dealt(queries, "query_block", query_blocks, "group", groups).select("id", "vector", "dims", "group", "query_block").groupBy("group", "query_block", "dims")
+    found = left.cogroup(right).applyInArrow(search_groups(k, block), "query_id long, vec_id long, score long")
+    pairs = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-    return found.select("query_id", rank.alias("rank"), "vec_id", "score").where(F.col("rank") <= k)
+    return pairs.select("query_id", rank.alias("rank"), "vec_id", "score").where(F.col("rank") <= k)
 
 
 def op7_topk_search(spark, sf_dir: str) -> DataFrame:
@@ -130,6 +183,7 @@ WITH v AS (
 ), pairs AS (
   SELECT a.vec_id AS query_id, b.vec_id, CAST(list_sum(list_transform(list_zip(a.q, b.q), lambda p: p[1] * p[2])) AS BIGINT) AS score
   FROM v a JOIN v b ON a.vec_id <> b.vec_id AND len(a.q) = len(b.q) WHERE a.vec_id % 50 = 0
-), ranked AS (SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM pairs)
+), best AS (SELECT query_id, vec_id, max(score) AS score FROM pairs GROUP BY query_id, vec_id
+), ranked AS (SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM best)
 SELECT * FROM ranked WHERE rank <= 5
 """

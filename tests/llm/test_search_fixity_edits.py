@@ -8,16 +8,22 @@ from tests.llm.fixtures import documents, with_clashes
 from tessera.llm.edit_counts import count_after_edits, edited_counts
 from tessera.llm.fixity import audit_hashes, audit_replicas, page_hashes
 from tessera.llm.pretokens import default_tokenizer_path, load_tokenizer
-from tessera.llm.topk import SortedLists, quantized, threshold_topk
+from tessera.llm.topk import Best, SortedLists, quantized, threshold_topk
 
 
 def brute_topk(rows, k=5):
-    out = []
+    """Each pair of ids once, with the best score of any of their vectors."""
+    best: dict = {}
     for q, v in rows:
         if q is None or q % 50:
             continue
-        scored = sorted((-sum(int(a) * int(b) for a, b in zip(v, w, strict=True)), i) for i, w in rows if i != q and i is not None and len(w) == len(v))
-        out += [(q, r + 1, i, -s) for r, (s, i) in enumerate(scored[:k])]
+        held = best.setdefault(q, {})
+        for i, w in rows:
+            if i != q and i is not None and len(w) == len(v):
+                held[i] = max(held.get(i, -(10**30)), sum(int(a) * int(b) for a, b in zip(v, w, strict=True)))
+    out = []
+    for q, held in best.items():
+        out += [(q, r + 1, i, s) for r, (i, s) in enumerate(sorted(held.items(), key=lambda x: (-x[1], x[0]))[:k])]
     return sorted(out)
 
 
@@ -30,20 +36,35 @@ def test_topk_equals_brute_force(spark):
     df = with_clashes(spark.createDataFrame(rows + bad, "vec_id long, embedding array<float>"), "rank", "score", "block")
     base = df.select(F.col("vec_id").alias("id"), quantized(F.col("embedding")).alias("vector"))
     whole = [(r.id, r.vector) for r in base.collect() if r.vector is not None and r.id is not None]
-    got = threshold_topk(base, base.where("id % 50 = 0"), block=64, query_block=3)
+    got = threshold_topk(base, base.where("id % 50 = 0"), block=16, group=64, query_block=3)
     assert sorted(tuple(r) for r in got.collect()) == brute_topk(whole)
     assert threshold_topk(base.limit(0), base.limit(0)).count() == 0
 
 
+def test_topk_with_repeated_rows_and_ids(spark):
+    rng = np.random.default_rng(2)
+    rows = [(i % 70, v.tolist()) for i, v in enumerate(rng.normal(0, 0.3, (200, 6)))]
+    rows += rows[:60] + [(50, rows[0][1]), (50, rows[0][1])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    base = df.select(F.col("vec_id").alias("id"), quantized(F.col("embedding")).alias("vector"))
+    whole = [(r.id, r.vector) for r in base.collect()]
+    got = threshold_topk(base, base.where("id % 50 = 0"), block=16, group=64, query_block=2)
+    assert sorted(tuple(r) for r in got.collect()) == brute_topk(whole)
+
+
 def test_threshold_stops_early_and_right():
     rng = np.random.default_rng(5)
     x = np.zeros((4000, 6))
     x[:, 0] = rng.permutation(4000)
     lists = SortedLists(np.arange(4000), x)
-    rows, scores = lists.top(-1, np.array([1.0, 0, 0, 0, 0, 0]), 3)
-    assert scores.tolist() == [3999, 3998, 3997]
-    rows, scores = lists.top(-1, np.zeros(6), 3)
-    assert rows.tolist() == [0, 1, 2]
+    best = Best(np.array([-1, -1]), 3, np.float64)
+    read = lists.improve(np.array([[1.0, 0, 0, 0, 0, 0], [0.0] * 6]), best)
+    assert best.scores.tolist() == [[3999, 3998, 3997], [0, 0, 0]]
+    assert best.ids[1].tolist() == [0, 1, 2]
+    assert read[0] < 50 and read[1] >= 4000
+    # a second block that cannot beat the carried scores is hardly read
+    again = SortedLists(np.arange(5000, 9000), x - 4000).improve(np.array([[1.0, 0, 0, 0, 0, 0], [0.0] * 6]), best)
+    assert again[0] < 50 and best.scores[0].tolist() == [3999, 3998, 3997]
 
 
 def records(spark, rows):
@@ -71,6 +92,30 @@ def test_pages_with_nulls(spark):
     assert audit_hashes(hashed, page_hashes(pages, F.upper("html"))).count() == 1
 
 
+def test_pages_of_one_id_and_without_one(spark):
+    rng = random.Random(2)
+    rows = [(5, f"u{i}", "x" * rng.randint(0, 50)) for i in range(8)]
+    rows += [(None, "n", "a"), (None, "n", "b"), (5, "u0", "same"), (5, "u0", "same"), (6, "v", "y" * 300_000), (7, None, None)]
+    make = lambda r: with_clashes(spark.createDataFrame(r, "page_id long, url string, html string"), "size", "key", "digest", "offset", "archive", "part")
+    one, other = page_hashes(make(rows)), page_hashes(make(rows[::-1]).repartition(3))
+    assert audit_hashes(one, other).count() == 0
+    changed = audit_hashes(one, page_hashes(make(rows), F.concat(F.lit("#"), F.coalesce("html", F.lit("")))))
+    assert changed.count() == len(rows)
+    lost = audit_hashes(one, page_hashes(make(rows), None, F.col("page_id").isNull()))
+    assert [r.finding for r in lost.collect()] == ["missing", "missing"]
+
+
+def test_rows_of_one_offset_are_a_multiset(spark):
+    a = [(0, 0, b"p"), (0, 0, b"q"), (0, 0, b"q"), (None, None, b"r"), (1, 40_000, b"s")]
+    b = [(0, 0, b"q"), (0, 0, b"p"), (0, 0, b"q"), (None, None, b"r"), (1, 40_000, b"s")]
+    assert audit_replicas(records(spark, a), records(spark, b)).count() == 0
+    b[2], b[3] = (0, 0, b"z"), (None, None, b"R")
+    got = audit_replicas(records(spark, a), records(spark, b)).collect()
+    assert sorted(((r.archive, r.offset, r.finding) for r in got), key=str) == [(0, 0, "changed"), (None, None, "changed")]
+    got = audit_replicas(records(spark, a), records(spark, a[:2] + a[3:])).collect()
+    assert [(r.archive, r.offset, r.finding) for r in got] == [(0, 0, "missing")]
+
+
 def applied(text, edits):
     for e in edits or []:
         if e is None:
