@@ -189,9 +189,17 @@ def piece_cache(path: str) -> PieceCache:
     return _CACHES[path]
 
 
+_PLANE = U64(0xD6E8FEB86659FD93)
 _CODES32 = np.random.default_rng(11).integers(1, 2**63, 1 << 16, dtype=U64) * U64(2) + U64(1)
 
 
+def _symbols(points: np.ndarray) -> np.ndarray:
+    """A random number for each code point: of its lower 16 bits, and beyond them a multiple of the plane."""
+    symbols = _CODES32[(points & 0xFFFF).astype(np.int64)]
+    plane = points >> 16
+    return symbols + plane.astype(U64) * _PLANE if plane.any() else symbols
+
+
 class Pieces:
     """The pieces of a slice of texts: their byte ranges, hashes and rows."""
 
@@ -203,7 +211,7 @@ class Pieces:
         text_starts = np.searchsorted(at[:-1], offsets[:-1]) if len(at) > 1 else np.zeros(0, np.int64)
         starts = piece_starts(safe, text_starts)
         self.end_point = np.append(starts[1:], len(points)) if len(starts) else starts
-        rolling = RollingHash(_CODES32[(points & 0xFFFF).astype(np.int64)])
+        rolling = RollingHash(_symbols(points))
         self.hash = mixed(rolling.ranges(starts, self.end_point) + (self.end_point - starts).astype(U64)) if len(starts) else np.zeros(0, U64)
         self.begin, self.end = at[starts], at[self.end_point] if len(starts) else at[:0]
         #: Row r has the pieces bounds[r] to bounds[r + 1].

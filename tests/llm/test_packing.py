@@ -69,3 +69,10 @@ def test_pieces_make_up_every_document(spark):
 
 def test_empty_table(spark):
     assert pack_documents(documents(spark, [])).count() == 0
+
+
+def test_code_points_of_other_planes_keep_their_own_ids():
+    texts = ["x \U00020061 \U000100e9", "x a é", " a", "\U00010061", "a"]
+    ids, at = encode_rows(*text_buffers(pa.array(texts, pa.string())), default_tokenizer_path())
+    for k, t in enumerate(texts):
+        assert ids[at[k] : at[k + 1]].tolist() == ids_of(t)
