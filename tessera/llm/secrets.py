@@ -4,13 +4,15 @@ Base spans come from three patterns. Entropy adds spans: candidate strings are
 maximal runs of key characters; a window slides over each, its character counts
 and the sum of c * log2(c) are updated by the character that enters and the one
 that leaves, and windows whose Shannon entropy reaches their class's threshold
-(hex digits, or mixed letters and digits) form spans. An allow-list of patterns
+(hex digits; digits and letters of one case; digits and letters of both, with or
+without separators) form spans. An allow-list of patterns
 for identifiers that are no secrets suppresses candidates. Base spans are never
 suppressed.
 
 Everything is computed within a row, so nothing is shuffled and skew of any
 column has no effect. Positions are code points, ends exclusive. Null and empty
-texts have no spans. Other columns are not read, so they may have any name.
+texts have no spans. Rows that repeat an id, or have none, are scanned each on its
+own and keep their id. Other columns are not read, so they may have any name.
 """
 
 from __future__ import annotations
@@ -31,9 +33,15 @@ ASSIGN_VALUE_LENGTH = 6
 WINDOW = 24
 CANDIDATE = r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{24,}"
 #: Bits a character from which a window counts, by class; a window of 24 has at most log2(24) = 4.58.
+#: A threshold is near the 1 % quantile of 24 random draws from the class's alphabet; runs with separators, as paths
+#: and slugs have, need more.
 HEX_BITS = 3.2
-MIXED_BITS = 4.1
+ONE_CASE_BITS = 3.6
+MIXED_BITS = 3.85
+SEPARATED_BITS = 4.1
 HEX_ONLY = r"^(?:[0-9a-f]+|[0-9A-F]+)$"
+ONE_CASE = r"^(?=.*[0-9].*[0-9])(?=.*[A-Za-z])(?:[a-z0-9]+|[A-Z0-9]+)$"
+SEPARATED = r"[/_-]"
 MIXED = r"^(?=.*[0-9])(?=.*[a-z])(?=.*[A-Z])"
 #: Candidates that look random but are no secrets.
 ALLOW_LIST = (
@@ -124,10 +132,10 @@ def _entropy_spans(candidates: Column) -> Column:
         allowed = F.lit(False)
         for p in ALLOW_LIST:
             allowed = allowed | c["text"].rlike(p)
-        return (c["text"].rlike(HEX_ONLY) | c["text"].rlike(MIXED)) & ~allowed
+        return (c["text"].rlike(HEX_ONLY) | c["text"].rlike(ONE_CASE) | c["text"].rlike(MIXED)) & ~allowed
 
     def within(c: Column) -> Column:
-        bits = F.when(c["text"].rlike(HEX_ONLY), HEX_BITS).otherwise(MIXED_BITS)
+        bits = F.when(c["text"].rlike(HEX_ONLY), HEX_BITS).when(c["text"].rlike(ONE_CASE), ONE_CASE_BITS).when(c["text"].rlike(SEPARATED), SEPARATED_BITS).otherwise(MIXED_BITS)
         return F.transform(entropy_windows(c["text"], bits), lambda s: F.struct((c["start"] + s["start"]).alias("start"), F.lit(3).alias("kind"), (c["start"] + s["end"]).alias("end")))
 
     return F.flatten(F.transform(F.filter(candidates, suspicious), within))

@@ -96,6 +96,23 @@ def test_added_spans_and_allow_list(spark):
     assert got[8]  # upper-case hex
 
 
+def test_keys_of_one_case(spark):
+    rng = random.Random(3)
+    draw = lambda a: "".join(rng.choice(a) for _ in range(32))
+    keys = [draw("abcdefghijklmnopqrstuvwxyz0123456789") for _ in range(40)] + [draw("ABCDEFGHIJKLMNOPQRSTUVWXYZ234567") for _ in range(40)]
+    clean = ["see chapter12aboutaaaaaaaaaaaaaaaaaaaa34", "notes/2021/03/a-long-title-of-words", "internationalisation2internationalisation2"]
+    found = {r.doc_id: len(r.added_spans) for r in find_secrets(documents(spark, [f"x {k} y" for k in keys] + clean)).collect()}
+    assert sum(found[i] > 0 for i in range(80)) >= 76
+    assert [found[80 + i] for i in range(3)] == [0, 0, 0]
+
+
+def test_repeated_and_null_ids(spark):
+    docs = spark.createDataFrame([(1, TEXTS[0]), (1, TEXTS[3]), (None, TEXTS[4]), (None, None), (1, TEXTS[0])], "doc_id long, text string")
+    got = [(r.doc_id, [(s.start, s.kind, s.end) for s in r.base_spans]) for r in find_secrets(docs).collect()]
+    assert sorted(got, key=str) == sorted([(1, base_spans(TEXTS[0])), (1, base_spans(TEXTS[3])), (None, base_spans(TEXTS[4])), (None, []), (1, base_spans(TEXTS[0]))], key=str)
+    assert find_secrets(docs.limit(0)).count() == 0
+
+
 def test_redaction(spark):
     docs = documents(spark, [*TEXTS, None, "clean text"])
     out = redact_secrets(docs)
