@@ -9,13 +9,15 @@ The training texts and crops of them show both, by length: short texts reach les
 
 Document frequencies come from every training text, in one distributed pass
 that returns one number per feature. Centroids are fitted on about ``fit_docs``
-whole texts per language and ``FIT_TEXTS`` in all at most, drawn by hashed ids; the
-bounds do not depend on the input's size. Scoring is one pass over all documents
-where they lie; the model that tasks get is of fixed size: languages x clusters x
-features.
+whole texts per language, fewer where ``FIT_TEXTS`` in all would be passed but at
+least about ``LEAST_TEXTS`` (all of a language that has no more), drawn by hashed ids;
+the bounds do not depend on the input's size. Every language is learned, however many
+there are. Scoring is one pass over all documents where they lie; the model that
+tasks get takes languages x clusters x features, 48 KB a language.
 
 ``und`` stands for null texts and texts without a letter. Null languages and
 null ids do not train. Training data without any language leaves every text ``und``.
+Rows that repeat an id are drawn together for training and predicted each on its own.
 """
 
 from __future__ import annotations
@@ -34,10 +36,9 @@ FEATURES = 4096
 CLUSTERS = 3
 #: Training texts per language for the centroids.
 FIT_DOCS = 400
-#: Training texts of all languages together; beyond it, each language gets an equal share.
+#: Training texts of all languages together; beyond it, each language gets an equal share, but not below LEAST_TEXTS.
 FIT_TEXTS = 40_000
-#: Languages learned, the most frequent first.
-MAX_LANGUAGES = 1000
+LEAST_TEXTS = 16
 #: The cosine that all but this share of a language's own texts exceed, and the one that this share of other languages' stay below.
 OWN_LOW, OTHER_HIGH = 0.01, 0.95
 #: Characters of the crops of training texts.
@@ -47,6 +48,8 @@ LENGTHS = np.array([8, 16, 32, 64, 128, 256])
 #: Own texts that a length needs for a floor of its own.
 LEAST = 10
 UNKNOWN = "und"
+#: Values of a hashed id's draw.
+DRAWS = 1 << 30
 #: Rows of counts held at once.
 BLOCK = 128
 
@@ -220,22 +223,22 @@ def _fit_floors(model: LanguageModel, by_lang: dict[str, list[np.ndarray]]) -> n
     return np.nan_to_num(out, nan=0.0).astype(np.float32)
 
 
-def fit_languages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", fit_docs: int = FIT_DOCS, max_languages: int = MAX_LANGUAGES, clusters: int = CLUSTERS) -> LanguageModel:
+def fit_languages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", fit_docs: int = FIT_DOCS, clusters: int = CLUSTERS) -> LanguageModel:
     """Learns from the training rows of ``docs`` that have a language."""
     small_batches(docs.sparkSession)
     train = docs.select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text")).where(training_rows(F.col("id")) & F.col("lang").isNotNull())
     df = {r["feature"]: r["n"] for r in train.select("text").mapInArrow(_document_frequencies, "feature int, n long").groupBy("feature").agg(F.sum("n").alias("n")).collect()}
     total = df.pop(FEATURES, 0)
     idf = np.log((1 + total) / (1 + np.array([df.get(i, 0) for i in range(FEATURES)]))).astype(np.float32)
-    texts = train.where(F.length("text") > 0)
-    sizes = {r["lang"]: r["n"] for r in texts.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(max_languages).collect()}
+    draw = F.pmod(F.xxhash64(F.col("id").cast("string")), F.lit(DRAWS))
+    texts = train.where(F.length("text") > 0).withColumn("draw", draw)
+    sizes = texts.groupBy("lang").agg(F.count("*").alias("n"), F.min("draw").alias("least")).collect()
     if not sizes:
         return LanguageModel([], idf)
-    # each text's hashed id draws for it, so that about fit_docs of each language are taken without a shuffle
-    each = min(fit_docs, FIT_TEXTS / len(sizes))
-    share = F.create_map(*[F.lit(x) for lang, n in sizes.items() for x in (lang, each / n)])
-    draw = F.pmod(F.xxhash64(F.col("id").cast("string")), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    sample = texts.where(draw < F.element_at(share, F.col("lang"))).select("lang", "text").mapInArrow(_sample_vectors, "lang string, crop boolean, counts binary")
+    # each text's hashed id draws for it, so that about fit_docs of each language, and one at least, are taken
+    each = max(min(fit_docs, FIT_TEXTS / len(sizes)), min(fit_docs, LEAST_TEXTS))
+    limits = docs.sparkSession.createDataFrame([(r["lang"], max(r["least"], int(min(each / r["n"], 1) * DRAWS))) for r in sizes], "lang string, most long")
+    sample = texts.join(limits, "lang").where("draw <= most").select("lang", "text").mapInArrow(_sample_vectors, "lang string, crop boolean, counts binary")
     by_lang: dict[str, list[np.ndarray]] = {}
     crops: dict[str, list[np.ndarray]] = {}
     for r in sample.collect():

@@ -72,6 +72,67 @@ def test_rejects_unlearned_languages_and_gibberish(spark, corpus):
         assert {r.doc_id for r in keep_identified(docs, model).collect()} == set(range(len(texts))) - rejected
 
 
+def test_every_language_is_learned(spark, monkeypatch):
+    """More languages than texts that the sample may hold in all."""
+    from tessera.llm import language_id
+
+    monkeypatch.setattr(language_id, "FIT_TEXTS", 10)
+    monkeypatch.setattr(language_id, "LEAST_TEXTS", 1)
+    rng = random.Random(5)
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    rows = []
+    for k in range(40):
+        parts = ["".join(rng.choice(letters) for _ in range(4)) for _ in range(8)]
+        rows += [(100 * k + i, " ".join("".join(rng.choice(parts) for _ in range(2)) for _ in range(40)), f"l{k:02}", "s", 1) for i in range(12)]
+    docs = spark.createDataFrame(rows, documents(spark, []).schema)
+    model = fit_languages(docs)
+    assert model.languages == [f"l{k:02}" for k in range(40)]
+    got = {r.doc_id: r.lang_pred for r in predict_languages(docs, model).collect()}
+    assert np.mean([got[r[0]] == r[2] for r in rows]) > 0.95
+
+
+def plain_trigrams(text):
+    """Counts of hashed byte trigrams of lower-cased words with a blank at both ends."""
+    from collections import Counter
+
+    words = bytes(c + 32 if 65 <= c <= 90 else c if 97 <= c <= 122 or c >= 128 else 32 for c in text.encode()).split()
+    out = Counter()
+    line = b" " + b" ".join(words) + b" " if words else b""
+    for i in range(len(line) - 2):
+        a, b, c = line[i : i + 3]
+        if b != 32:
+            out[(((a << 16 | b << 8 | c) * 0x9E3779B1) & 0xFFFFFFFF) >> 20] += 1
+    return out
+
+
+def test_scores_equal_plain_recomputation(spark, corpus):
+    """TF-IDF vectors, the nearest centroid and its cosine, recomputed without numpy for every text."""
+    import math
+
+    model = fit_languages(corpus)
+    rows = corpus.where("doc_id is not null").collect()
+    train = [r for r in rows if r.lang and zlib.crc32(str(r.doc_id).encode()) % 3 != 1]
+    frequency = [0] * 4096
+    for r in train:
+        for f in plain_trigrams(r.text or ""):
+            frequency[f] += 1
+    idf = [math.log((1 + len(train)) / (1 + n)) for n in frequency]
+    assert np.allclose(model.idf, idf, atol=1e-5)
+    got = {r.doc_id: r for r in predict_languages(corpus, model).collect()}
+    centroids = model.centroids.tolist()
+    for r in rows[:60] + rows[-6:]:
+        v = {f: math.log1p(n) * idf[f] for f, n in plain_trigrams(r.text or "").items()}
+        norm = math.sqrt(sum(x * x for x in v.values()))
+        if not norm or not any(c.isalpha() for c in r.text):
+            assert got[r.doc_id].lang_pred == ("und" if not any(c.isalpha() for c in r.text or "") else got[r.doc_id].lang_pred)
+            continue
+        cos = [sum(x * c[f] for f, x in v.items()) / norm for c in centroids]
+        best = max(cos)
+        assert abs(got[r.doc_id].score - min(max(best, 0), 1)) < 1e-4
+        near = {model.languages[model.owner[k]] for k, x in enumerate(cos) if x > best - 1e-5}
+        assert got[r.doc_id].lang_pred in near
+
+
 def test_no_training_data(spark, corpus):
     model = fit_languages(corpus.limit(0))
     assert {r.lang_pred for r in predict_languages(corpus, model).collect()} == {"und"}
