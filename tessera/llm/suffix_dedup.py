@@ -8,23 +8,27 @@ so suffix arrays need not span the corpus:
 
 1. Minimizers of all segments are counted; one of a single segment repeats nothing,
    unless it recurs inside it.
-2. Segments of the others are grouped by minimizer and hash of their bytes. All
-   windows of segments with equal bytes repeat; no text moves for them.
-3. Where one minimizer has differing segments, or recurs in one, the text of the first of each kind
-   goes to a bucket of bounded size. There the windows are put in suffix order, and
-   the previous and next smaller (and greater) positions in that order give each
-   its longest match with an earlier (later) one.
-4. Minimizers with more than ``HOT`` differing segments would overfill a bucket;
-   their windows are counted by a 128-bit hash instead, after partial aggregation.
+2. Segments of the others are grouped by minimizer and hash of their bytes into
+   kinds. The text of each kind's first copy, and of its last if there are several,
+   goes to a bucket of bounded size with all kinds of its minimizer. There the
+   windows are put in suffix order, and the previous and next smaller (and greater)
+   positions in that order show whether the longest match with an earlier (later)
+   one reaches ``min_length``. A kind's further copies take over what is found on
+   the bytes of these two; their text does not move.
+3. Minimizers with more than ``HOT`` kinds would overfill a bucket. The first copies
+   of their kinds are cut into single windows, which are grouped by a 128-bit hash,
+   and the first and last copy of each go through suffix order in the same way.
 
 Sets of keys reach the tasks as bitmaps of a fixed size, which only spare rows a
-shuffle; beyond ``BITMAP_KEYS`` keys, joins do without them.
-
-``keep="none"`` removes every occurrence, ``keep="first"`` all but the first, by id
-and start. Texts are UTF-8 bytes, matches never cross documents, null texts are
-empty, and texts shorter than ``min_length`` stay. What is removed is judged on the
-input. Spans belong to an id: rows that repeat an id get the spans of all of them,
-cut to their own length.
+shuffle; beyond ``BITMAP_KEYS`` keys, joins do it.
+
+``keep="none"`` removes every occurrence, ``keep="first"`` all but the first, by id,
+then in the order of rows of one id; null ids come last. Texts are UTF-8 bytes,
+matches never cross documents, null texts are empty, and texts shorter than
+``min_length`` stay. What is removed is judged on the input. Every row is a document,
+whatever its id: rows are told apart by two hashes of id and text, since rows equal in
+both have equal results, or with ``keep="first"`` by a number kept with the texts in
+the shared folder.
 """
 
 from __future__ import annotations
@@ -102,15 +106,29 @@ def _sliding_least(h: np.ndarray, span: int) -> np.ndarray:
     return np.minimum(back[: n - span + 1], forth[span - 1 : n])
 
 
-def _place_slot(ids: np.ndarray, start: np.ndarray) -> np.ndarray:
+def _place_slot(doc: np.ndarray, at: np.ndarray) -> np.ndarray:
     """Bitmap slot of a segment's place."""
-    return (mixed(ids.astype(U64) * U64(0x9E3779B97F4A7C15) + start.astype(U64)) >> U64(64 - BITMAP_BITS)).astype(np.int64)
+    return (mixed(doc.view(U64) * U64(0x9E3779B97F4A7C15) + at.view(U64)) >> U64(64 - BITMAP_BITS)).astype(np.int64)
+
+
+def _packed(start: np.ndarray, windows: np.ndarray, inner: np.ndarray) -> np.ndarray:
+    """First window, number of windows and the inner mark in one number, ordered by the first."""
+    return (start << 16) | (windows << 1) | inner
+
+
+#: The parts of such a number in SQL.
+START, WINDOWS, INNER = "shiftright({0}, 16)", "shiftright({0}, 1) & 32767", "{0} & 1"
 
 
 def _in_bitmap(bitmap: np.ndarray, slot: np.ndarray) -> np.ndarray:
     return (bitmap[slot >> 6] >> (slot & 63).astype(U64)) & U64(1) == 1
 
 
+def _place_slots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        yield pa.RecordBatch.from_arrays([pa.array(_place_slot(batch.column(0).to_numpy(), batch.column(1).to_numpy()))], ["slot"])
+
+
 def _bitmap(slots: DataFrame):
     """Broadcast bitmap of fixed size from a column ``slot``."""
     words = slots.select(F.shiftright("slot", 6).alias("word"), F.expr("shiftleft(1L, cast(slot & 63 as int))").alias("bit")).groupBy("word").agg(F.bit_or("bit").alias("bits")).toArrow()
@@ -119,10 +137,6 @@ def _bitmap(slots: DataFrame):
     return slots.sparkSession.sparkContext.broadcast(held)
 
 
-def _local(starts: np.ndarray, row: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    return starts - offsets[row]
-
-
 def _count_minimizers(length: int):
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, data, offsets in slices(batches, "text", SLICE):
@@ -133,6 +147,13 @@ def _count_minimizers(length: int):
     return count
 
 
+def _placed(s: Segments, rows: pa.RecordBatch, offsets: np.ndarray, keep: np.ndarray) -> list[np.ndarray]:
+    """minimizer, hash, doc, tag and at of the segments in ``keep``."""
+    row = s.row[keep]
+    at = _packed(s.start[keep] - offsets[row], s.windows[keep], s.inner[keep])
+    return [s.minimizer[keep].view(np.int64), s.hash[keep].view(np.int64), *(rows.column(i).to_numpy()[row] for i in (0, 1)), at]
+
+
 def _list_segments(length: int, bitmap):
     def segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, data, offsets in slices(batches, "text", SLICE):
@@ -140,31 +161,25 @@ def _list_segments(length: int, bitmap):
             keep = np.arange(len(s.start))
             if bitmap is not None and len(keep):
                 keep = np.flatnonzero(_in_bitmap(bitmap.value, (s.minimizer >> U64(64 - BITMAP_BITS)).astype(np.int64)))
-            row = s.row[keep]
-            ids = rows.column(0).to_numpy()[row]
-            start = _local(s.start[keep], row, offsets)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(s.minimizer[keep].view(np.int64)), pa.array(s.hash[keep].view(np.int64)), pa.array(ids), pa.array(start), pa.array(s.windows[keep].astype(np.int32)), pa.array(_place_slot(ids, start).astype(np.int32)), pa.array(s.inner[keep])],
-                ["minimizer", "hash", "doc_id", "start", "windows", "slot", "inner"],
-            )
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in _placed(s, rows, offsets, keep)], FIELDS)
 
     return segments
 
 
-SEGMENT = "minimizer long, hash long, doc_id long, start long, windows int, slot int, inner boolean"
-TEXTS = "minimizer long, doc_id long, start long, windows int, body binary"
+FIELDS = ["minimizer", "hash", "doc", "tag", "at"]
+SEGMENT = "minimizer long, hash long, doc long, tag long, at long"
+TEXTS = f"{SEGMENT}, body binary"
 
 
 def _cut_by_bitmap(length: int, bitmap):
     def texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, data, offsets in slices(batches, "text", SLICE):
             s = Segments(data, offsets, length)
-            ids = rows.column(0).to_numpy()[s.row] if len(s.row) else s.row
-            start = _local(s.start, s.row, offsets)
-            keep = np.flatnonzero(_in_bitmap(bitmap.value, _place_slot(ids, start))) if len(start) else start
+            columns = _placed(s, rows, offsets, np.arange(len(s.start)))
+            keep = np.flatnonzero(_in_bitmap(bitmap.value, _place_slot(columns[2], columns[4]))) if len(s.start) else s.start
             raw = data.tobytes()
             body = [raw[a:b] for a, b in zip(s.start[keep].tolist(), (s.start + s.windows + length - 1)[keep].tolist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array(s.minimizer[keep].view(np.int64)), pa.array(ids[keep], pa.int64()), pa.array(start[keep], pa.int64()), pa.array(s.windows[keep].astype(np.int32)), pa.array(body, pa.binary())], ["minimizer", "doc_id", "start", "windows", "body"])
+            yield pa.RecordBatch.from_arrays([*(pa.array(c[keep], pa.int64()) for c in columns), pa.array(body, pa.binary())], [*FIELDS, "body"])
 
     return texts
 
@@ -173,50 +188,66 @@ def _cut_by_list(length: int):
     def texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
-            for ident, text, places in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+            for doc, tag, text, places in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
                 raw = (text or "").encode()
-                out += [(p["minimizer"], ident, p["start"], p["windows"], raw[p["start"] : p["start"] + p["windows"] + length - 1]) for p in places]
-            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], t) for i, t in enumerate((pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary()))], ["minimizer", "doc_id", "start", "windows", "body"])
+                for p in places:
+                    start, windows = p["at"] >> 16, (p["at"] >> 1) & 32767
+                    out.append((p["minimizer"], p["hash"], doc, tag, p["at"], raw[start : start + windows + length - 1]))
+            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], pa.binary() if i == 5 else pa.int64()) for i in range(6)], [*FIELDS, "body"])
 
     return texts
 
 
 def _segment_texts(texts: DataFrame, places: DataFrame, n: int, length: int) -> DataFrame:
-    """The bytes of the segments at ``places``: picked by a bitmap in a scan, or joined where that would overflow."""
+    """The bytes of the segments at ``places``: picked by a bitmap in a scan, which may let others through, or joined where that would overflow."""
     if n <= BITMAP_KEYS:
-        return texts.mapInArrow(_cut_by_bitmap(length, _bitmap(places)), TEXTS)
-    lists = places.groupBy("doc_id").agg(F.collect_list(F.struct("minimizer", "start", "windows")).alias("places"))
-    return texts.join(lists, "doc_id").select("doc_id", "text", "places").mapInArrow(_cut_by_list(length), TEXTS)
+        return texts.mapInArrow(_cut_by_bitmap(length, _bitmap(places.select("doc", "at").mapInArrow(_place_slots, "slot long"))), TEXTS)
+    lists = places.groupBy("doc", "tag").agg(F.collect_list(F.struct("minimizer", "hash", "at")).alias("places"))
+    return texts.join(lists, ["doc", "tag"]).select("doc", "tag", "text", "places").mapInArrow(_cut_by_list(length), TEXTS)
 
 
-def suffix_ranks(text: np.ndarray, length: int) -> dict[int, np.ndarray]:
-    """Order numbers of all positions by their next 8, 16, ... bytes, up to the largest power of two within ``length``."""
+def eight_bytes(text: np.ndarray) -> np.ndarray:
+    """Each position's next 8 bytes as a number, zeros beyond the end."""
     n = len(text)
-    padded = np.concatenate([text, np.zeros(length + 8, dtype=np.uint8)])
-    key = padded.astype(U64)
-    for k in (1, 2, 4):
-        key = (key[:-k] << U64(8 * k)) | key[k:]
-    key, size, ranks = key[:n], 8, {}
-    while True:
-        order = np.argsort(key)
-        held = key[order]
-        step = np.zeros(n, dtype=np.int64)
-        step[1:] = held[1:] != held[:-1]
-        rank = np.zeros(n + length, dtype=np.uint32)
-        rank[order] = np.cumsum(step) + 1
-        ranks[size] = rank
-        if 2 * size > length:
-            return ranks
-        key = (rank[:n].astype(U64) << U64(32)) | rank[size : n + size]
-        size *= 2
-
-
-def common_prefix(ranks: dict[int, np.ndarray], a: np.ndarray, b: np.ndarray, length: int) -> np.ndarray:
-    """Equal bytes from positions a and b on, in steps of 8, at most ``length``."""
-    same = np.zeros(len(a), dtype=np.int64)
-    for size in sorted(ranks, reverse=True):
-        same += size * (ranks[size][a + same] == ranks[size][b + same])
-    return np.minimum(same, length)
+    padded = np.zeros(n + 16, dtype=np.uint8)
+    padded[:n] = text
+    out = np.empty(-(-n // 8) * 8, dtype=U64)
+    for k in range(8):
+        out[k::8] = padded[k : k + len(out)].view(">u8")[: len(out) // 8]
+    return out[:n]
+
+
+def _order_numbers(key: np.ndarray) -> np.ndarray:
+    """1 for the least key, 2 for the next greater, and so on."""
+    order = np.argsort(key)
+    held = key[order]
+    step = np.zeros(len(key), dtype=np.int64)
+    step[1:] = held[1:] != held[:-1]
+    rank = np.empty(len(key), dtype=U64)
+    rank[order] = np.cumsum(step) + 1
+    return rank
+
+
+def suffix_ranks(text: np.ndarray, starts: np.ndarray, length: int) -> np.ndarray:
+    """The order numbers of ``starts`` by their next ``length`` bytes.
+
+    Numbers for longer pieces are made of as many shorter ones as a word holds, the last two
+    overlapping if need be, so the sorts triple the length where others double it.
+    """
+    n = len(text)
+    bits = max(n, 1).bit_length()
+    per = 64 // bits
+    rank, size, at = _order_numbers(eight_bytes(text)), 8, np.arange(n)
+    while size < length:
+        last = per * size >= length
+        whole = length if last else per * size
+        at = starts if last else at
+        padded = np.concatenate([rank, np.zeros(whole, dtype=U64)])
+        key = np.zeros(len(at), dtype=U64)
+        for k in range(-(-whole // size)):
+            key = (key << U64(bits)) | padded[at + min(k * size, whole - size)]
+        rank, size = _order_numbers(key), whole
+    return rank
 
 
 def previous_smaller(values: np.ndarray) -> np.ndarray:
@@ -231,99 +262,194 @@ def previous_smaller(values: np.ndarray) -> np.ndarray:
     return at
 
 
-def longest_factors(order: np.ndarray, ranks: dict[int, np.ndarray], length: int, later: bool = False) -> np.ndarray:
-    """For each suffix, in suffix order, its longest match with an earlier (or later) position, at most ``length``."""
-    n, values = len(order), -order if later else order
+def has_long_factor(position: np.ndarray, rank: np.ndarray, later: bool = False) -> np.ndarray:
+    """For suffixes in suffix order, whether the longest match with an earlier (or later) position has the ranked length.
+
+    The longest previous factor of a suffix is shared with the previous or the next smaller
+    position in suffix order; it has the ranked length where that one's rank is the same.
+    """
+    n, values = len(position), -position if later else position
     before = previous_smaller(values)
     after = n - 1 - previous_smaller(values[::-1])[::-1]
-    longest = np.zeros(n, dtype=np.int64)
+    hit = np.zeros(n, dtype=bool)
     for to in (before, after):
         some = np.flatnonzero((to >= 0) & (to < n))
-        longest[some] = np.maximum(longest[some], common_prefix(ranks, order[some], order[to[some]], length))
-    return longest
+        hit[some] |= rank[some] == rank[to[some]]
+    return hit
+
+
+def _repeat_flags(bodies: list[bytes], windows: np.ndarray, length: int, keep: str) -> np.ndarray:
+    """For all windows of differing segments, in order, whether an earlier one (or any, if none is kept) is equal."""
+    size = np.fromiter(map(len, bodies), np.int64, len(bodies))
+    text = np.frombuffer(b"".join(bodies), dtype=np.uint8)
+    nth = np.repeat(np.arange(len(windows)), windows)
+    starts = (np.cumsum(size) - size)[nth] + np.arange(len(nth)) - np.repeat(np.cumsum(windows) - windows, windows)
+    flags = np.zeros(len(starts), dtype=bool)
+    if not len(starts):
+        return flags
+    # windows whose hash is the only one of its kind need no place in the order
+    h = RollingHash(CODES[text]).ranges(starts, starts + length)
+    held = np.sort(h)
+    often = np.unique(held[1:][held[1:] == held[:-1]])
+    if not len(often):
+        return flags
+    some = np.flatnonzero(often[np.minimum(np.searchsorted(often, h), len(often) - 1)] == h)
+    # of the text, only what these windows cover
+    edge = np.zeros(len(text) + 1, dtype=np.int64)
+    np.add.at(edge, starts[some], 1)
+    np.add.at(edge, starts[some] + length, -1)
+    covered = np.cumsum(edge)[:-1] > 0
+    place = (np.cumsum(covered) - 1)[starts[some]]
+    rank = suffix_ranks(text[covered], place, length)
+    order = np.argsort(rank, kind="stable")
+    hit = has_long_factor(place[order], rank[order])
+    if keep == "none":
+        hit |= has_long_factor(place[order], rank[order], later=True)
+    flags[some[order[hit]]] = True
+    return flags
 
 
 def _repeated_windows(length: int, keep: str):
-    schema = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("end", pa.int64())])
+    names = ["minimizer", "hash", "doc", "tag", "start", "end", "whole"]
+    schema = pa.schema([(c, pa.bool_() if c == "whole" else pa.int64()) for c in names])
 
     def repeated(table: pa.Table) -> pa.Table:
-        table = table.sort_by([("doc_id", "ascending"), ("start", "ascending")])
+        """Spans of repeated windows in a bucket, and the kinds of which a second copy is one such span."""
+        table = table.sort_by([("doc", "ascending"), ("tag", "ascending"), ("at", "ascending")])
+        minimizer, kind, doc, tag, at = (table.column(c).to_numpy() for c in FIELDS)
         bodies = table.column("body").to_pylist()
-        windows = table.column("windows").to_numpy()
-        size = np.fromiter(map(len, bodies), np.int64, len(bodies))
-        text = np.frombuffer(b"".join(bodies), dtype=np.uint8)
-        base = np.cumsum(size) - size
+        start, windows = at >> 16, (at >> 1) & 32767
         nth = np.repeat(np.arange(len(windows)), windows)
-        local = np.arange(len(nth)) - np.repeat(np.cumsum(windows) - windows, windows)
-        starts = base[nth] + local
-        ranks = suffix_ranks(text, length)
-        top = max(ranks)
-        order = starts[np.lexsort((ranks[top][starts + length - top], ranks[top][starts]))]
-        hit = longest_factors(order, ranks, length) >= length
+        first_of = np.cumsum(windows) - windows
+        local = np.arange(len(nth)) - np.repeat(first_of, windows)
+        # a copy of all bytes of a segment repeats with it; suffix order is for those that differ
+        held: dict[bytes, int] = {}
+        origin = np.fromiter((held.setdefault(body, i) for i, body in enumerate(bodies)), np.int64, len(bodies))
+        copy = origin != np.arange(len(bodies))
+        flags = copy[nth]
         if keep == "none":  # a later match counts too
-            hit |= longest_factors(order, ranks, length, later=True) >= length
-        flagged = np.zeros(len(text), dtype=bool)
-        flagged[order[hit]] = True
-        flags = flagged[starts]
+            flags |= np.isin(np.arange(len(bodies)), origin[copy])[nth]
+        own = np.flatnonzero(~copy)
+        flags[np.isin(nth, own)] |= _repeat_flags([bodies[i] for i in own.tolist()], windows[own], length, keep)
         first, last = flags.copy(), flags.copy()
         first[1:] &= ~flags[:-1] | (local[1:] == 0)
         last[:-1] &= ~flags[1:] | (local[1:] == 0)
         a, b = np.flatnonzero(first), np.flatnonzero(last)
-        ids, at = table.column("doc_id").to_numpy(), table.column("start").to_numpy()
-        return pa.table([ids[nth[a]], at[nth[a]] + local[a], at[nth[a]] + local[b] + length], schema=schema)
+        k = nth[a]
+        # a kind's copies stand one after another, in their order
+        of_kind = np.lexsort((np.arange(len(kind)), kind, minimizer))
+        again = of_kind[1:][(kind[of_kind[1:]] == kind[of_kind[:-1]]) & (minimizer[of_kind[1:]] == minimizer[of_kind[:-1]])]
+        full = again[np.logical_and.reduceat(flags, first_of)[again]] if len(again) else again
+        n, m = len(k), len(full)
+        columns = [np.append(x[k], x[full]) for x in (minimizer, kind, doc, tag)]
+        columns += [np.append(start[k] + local[a], start[full]), np.append(start[k] + local[b] + length, start[full] + windows[full] + length - 1), np.arange(n + m) >= n]
+        return pa.table(columns, schema=schema)
 
     return repeated
 
 
 def _hash_windows(length: int):
+    """Cuts segments into single windows, whose minimizer and hash are two hashes of all their bytes."""
+
     def hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, start, windows = (batch.column(i).to_numpy() for i in (1, 2, 3))
-            for i, body in enumerate(batch.column(4).to_pylist()):
+            doc, tag, at = (batch.column(i).to_numpy() for i in (2, 3, 4))
+            for i, body in enumerate(batch.column(5).to_pylist()):
                 symbols = CODES[np.frombuffer(body, dtype=np.uint8)]
-                at = np.arange(int(windows[i]))
-                keys = [mixed(RollingHash(symbols, *b).ranges(at, at + length)) for b in ((), (OTHER_BASE,))]
-                yield pa.RecordBatch.from_arrays([*(pa.array(k.view(np.int64)) for k in keys), pa.array(np.full(len(at), ids[i])), pa.array(start[i] + at)], ["a", "b", "doc_id", "start"])
+                nth = np.arange(int(at[i] >> 1) & 32767)
+                keys = [mixed(RollingHash(symbols, *b).ranges(nth, nth + length)) for b in ((), (OTHER_BASE,))]
+                ones = np.ones(len(nth), np.int64)
+                columns = [*(k.view(np.int64) for k in keys), np.full(len(nth), doc[i]), np.full(len(nth), tag[i]), _packed((at[i] >> 16) + nth, ones, 0 * ones), np.full(len(nth), at[i])]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], [*FIELDS, "cut_from"])
 
     return hashes
 
 
-def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_length: int = MIN_LENGTH, keep: str = "none") -> DataFrame:
-    """doc_id, start, end of repeated byte ranges; ranges of a document may overlap."""
-    if min_length % 8 or min_length < 2 * GRAM:
-        raise ValueError("min_length must be a multiple of 8 and at least 48")
-    small_batches(docs.sparkSession)
-    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    counted = texts.select("text").mapInArrow(_count_minimizers(min_length), "minimizer long, n long")
-    shared = cut(counted.groupBy("minimizer").agg(F.sum("n").alias("n")).where("n > 1").select("minimizer"))
-    bitmap = _bitmap(shared.select(F.shiftrightunsigned("minimizer", 64 - BITMAP_BITS).alias("slot"))) if shared.count() <= BITMAP_KEYS else None
-    segments = cut(texts.mapInArrow(_list_segments(min_length, bitmap), SEGMENT))
-    kinds = segments.groupBy("minimizer", "hash").agg(F.count("*").alias("copies"), F.min(F.struct("doc_id", "start", "windows", "slot", "inner")).alias("first"))
-    kinds = cut(kinds.select("minimizer", "hash", "copies", "first.*"))
-    differing = kinds.groupBy("minimizer").agg(F.count("*").alias("kinds"), F.max("inner").alias("any_inner")).where("kinds > 1 or any_inner")
-    contested = cut(kinds.join(differing, "minimizer").select("minimizer", "doc_id", "start", "windows", "slot", (F.col("kinds") > HOT).alias("hot")))
-
-    copied = kinds.where("copies > 1").select("minimizer", "hash", F.col("doc_id").alias("first_id"), F.col("start").alias("first_start"))
-    whole = segments.join(copied, ["minimizer", "hash"])
+def _cut_windows(length: int):
+    """Texts of single windows out of the texts of segments, for windows listed by segment."""
+
+    def texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for at, body, places in zip(*(batch.column(c).to_pylist() for c in ("at", "body", "places")), strict=True):
+                for p in places:
+                    from_ = (p["at"] >> 16) - (at >> 16)
+                    out.append((p["minimizer"], p["hash"], p["doc"], p["tag"], p["at"], body[from_ : from_ + length]))
+            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], pa.binary() if i == 5 else pa.int64()) for i in range(6)], [*FIELDS, "body"])
+
+    return texts
+
+
+def _kinds(segments: DataFrame) -> DataFrame:
+    """minimizer, hash, copies and the places of the first and last copy."""
+    place = F.struct(*segments.columns[2:])
+    return segments.groupBy("minimizer", "hash").agg(F.count("*").alias("copies"), F.min(place).alias("first"), F.max(place).alias("last"))
+
+
+def _representatives(kinds: DataFrame) -> DataFrame:
+    """The first copy of each kind and, of several, the last."""
+    places = F.array_distinct(F.array("first", "last"))
+    return kinds.select("minimizer", "hash", F.explode(places).alias("p")).select("minimizer", "hash", "p.*")
+
+
+def _found_in_buckets(body: DataFrame, key: str, total: int, length: int, keep: str) -> DataFrame:
+    """Runs suffix order in buckets of about BUCKET_BYTES, all rows of one ``key`` in one bucket."""
+    bucket = F.pmod(F.xxhash64(key), F.lit(max(1, -(-total // BUCKET_BYTES))))
+    spans = body.withColumn("bucket", bucket).groupBy("bucket").applyInArrow(_repeated_windows(length, keep), "minimizer long, hash long, doc long, tag long, start long, end long, whole boolean")
+    return cut(spans)
+
+
+def _with_further_copies(found: DataFrame, segments: DataFrame, kinds: DataFrame, length: int) -> DataFrame:
+    """Spans found in buckets and, of kinds with more copies than two, the copies that were not sent there."""
+    whole = found.where("whole").select("minimizer", "hash").distinct().join(kinds.where("copies > 2").select("minimizer", "hash", F.col("first").alias("f")), ["minimizer", "hash"])
+    rest = segments.join(whole, ["minimizer", "hash"]).where(F.struct("doc", "tag", "at") != F.struct("f.doc", "f.tag", "f.at"))
+    return found.where("not whole").select("doc", "tag", "start", "end").unionByName(rest.select("doc", "tag", F.expr(START.format("at")).alias("start"), (F.expr(START.format("at")) + F.expr(WINDOWS.format("at")) + (length - 1)).alias("end")))
+
+
+def _rows(docs: DataFrame, id_col: str, text_col: str, keep: str) -> DataFrame:
+    """doc_id and text with a key of two numbers; for ``keep="first"`` the key has the order of ids, then of rows."""
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     if keep == "first":
-        whole = whole.where((F.col("doc_id") != F.col("first_id")) | (F.col("start") != F.col("first_start")))
-    spans = whole.select("doc_id", "start", (F.col("start") + F.col("windows") + (min_length - 1)).alias("end"))
-
-    sizes = {r["hot"]: (r["n"], r["bytes"]) for r in contested.groupBy("hot").agg(F.count("*").alias("n"), F.sum(F.col("windows") + min_length).alias("bytes")).collect()}
-    if False in sizes:
-        n, total = sizes[False]
-        buckets = max(1, -(-total // BUCKET_BYTES))
-        body = _segment_texts(texts, contested.where(~F.col("hot")), n, min_length)
-        bucket = F.pmod(F.xxhash64("minimizer"), F.lit(buckets))
-        spans = spans.unionByName(body.withColumn("bucket", bucket).groupBy("bucket").applyInArrow(_repeated_windows(min_length, keep), "doc_id long, start long, end long"))
-    if True in sizes:
-        body = _segment_texts(texts, contested.where("hot"), sizes[True][0], min_length)
-        windows = cut(body.mapInArrow(_hash_windows(min_length), "a long, b long, doc_id long, start long"))
-        often = windows.groupBy("a", "b").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "start")).alias("first")).where("n > 1")
-        hit = windows.join(often, ["a", "b"])
-        if keep == "first":
-            hit = hit.where(F.struct("doc_id", "start") != F.col("first"))
-        spans = spans.unionByName(hit.select("doc_id", "start", (F.col("start") + min_length).alias("end")))
+        return cut(rows.select(F.coalesce("doc_id", F.lit(2**63 - 1)).alias("doc"), F.monotonically_increasing_id().alias("tag"), "doc_id", "text"))
+    return rows.select(F.xxhash64("doc_id", "text").alias("doc"), F.xxhash64("text", "doc_id").alias("tag"), "doc_id", "text")
+
+
+def repeated_spans(rows: DataFrame, min_length: int = MIN_LENGTH, keep: str = "none") -> DataFrame:
+    """doc, tag, start, end of repeated byte ranges of rows with doc, tag and text; ranges of a document may overlap."""
+    if min_length % 8 or not 2 * GRAM <= min_length < 1 << 15:
+        raise ValueError("min_length must be a multiple of 8 from 48 to 32760")
+    small_batches(rows.sparkSession)
+    texts = rows.select("doc", "tag", "text")
+    counted = rows.select("text").mapInArrow(_count_minimizers(min_length), "minimizer long, n long")
+    shared = cut(counted.groupBy("minimizer").agg(F.sum("n").alias("n")).where("n > 1").select("minimizer"))
+    few = shared.count() <= BITMAP_KEYS
+    bitmap = _bitmap(shared.select(F.shiftrightunsigned("minimizer", 64 - BITMAP_BITS).alias("slot"))) if few else None
+    listed = texts.mapInArrow(_list_segments(min_length, bitmap), SEGMENT)
+    segments = cut(listed if few else listed.join(shared, "minimizer", "left_semi"))
+    kinds = _kinds(segments)
+    sizes = kinds.groupBy("minimizer").agg(F.count("*").alias("kinds"), F.max(F.expr(INNER.format("first.at"))).alias("any_inner"), F.max("copies").alias("most"))
+    sizes = sizes.where("kinds > 1 or any_inner = 1 or most > 1").select("minimizer", (F.col("kinds") > HOT).alias("hot"))
+    kinds = cut(kinds.join(sizes, "minimizer"))
+
+    plain = _representatives(kinds.where("not hot"))
+    totals = {r["hot"]: r for r in kinds.groupBy("hot").agg(F.sum(F.least("copies", F.lit(2))).alias("n"), F.sum(F.least("copies", F.lit(2)) * (F.expr(WINDOWS.format("first.at")) + min_length)).alias("bytes")).collect()}
+    found = []
+    if False in totals:
+        body = _segment_texts(texts, plain, totals[False]["n"], min_length)
+        found.append((_found_in_buckets(body, "minimizer", totals[False]["bytes"], min_length, keep), segments, kinds))
+    if True in totals:
+        body = cut(_segment_texts(texts, _representatives(kinds.where("hot")), totals[True]["n"], min_length))
+        # copies of one kind meet by its hash, windows of different kinds by theirs
+        found.append((_found_in_buckets(body, "hash", totals[True]["bytes"], min_length, keep), segments, kinds))
+        firsts = kinds.where("hot").select("minimizer", "hash", "first.*")
+        windows = cut(body.join(firsts, FIELDS, "left_semi").mapInArrow(_hash_windows(min_length), f"{SEGMENT}, cut_from long"))
+        again = cut(_kinds(windows).where("copies > 1"))
+        lists = _representatives(again).groupBy(F.col("doc").alias("d"), F.col("tag").alias("t"), "cut_from").agg(F.collect_list(F.struct(*FIELDS)).alias("places"))
+        pieces = body.join(lists, (F.col("doc") == F.col("d")) & (F.col("tag") == F.col("t")) & (F.col("at") == F.col("cut_from"))).select("at", "body", "places").mapInArrow(_cut_windows(min_length), TEXTS)
+        found.append((_found_in_buckets(pieces, "hash", 2 * again.count() * min_length, min_length, keep), windows.select(*FIELDS), again))
+    spans = rows.sparkSession.createDataFrame([], "doc long, tag long, start long, end long")
+    for part, copies, of in found:
+        spans = spans.unionByName(_with_further_copies(part, copies, of, min_length))
     return spans
 
 
@@ -359,10 +485,9 @@ def _remove(with_text: bool):
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_length: int = MIN_LENGTH, keep: str = "none", with_text: bool = False) -> DataFrame:
     """One row per document: doc_id, n_bytes, n_removed, n_spans, kept_sha256 (and kept_bytes)."""
-    spans = repeated_spans(docs, id_col, text_col, min_length, keep)
-    lists = spans.groupBy("doc_id").agg(F.collect_list(F.struct("start", "end")).alias("spans")).withColumnRenamed("doc_id", "span_id")
-    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    joined = texts.join(lists, texts["doc_id"] == lists["span_id"], "left").select("doc_id", "text", "spans")
+    rows = _rows(docs, id_col, text_col, keep)
+    lists = repeated_spans(rows, min_length, keep).groupBy("doc", "tag").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
+    joined = rows.join(lists, ["doc", "tag"], "left").select("doc_id", "text", "spans")
     return joined.mapInArrow(_remove(with_text), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept_bytes binary" * with_text)
 
 
