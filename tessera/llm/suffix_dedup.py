@@ -8,16 +8,18 @@ so suffix arrays need not span the corpus:
 
 1. Minimizers of all segments are counted; one of a single segment repeats nothing,
    unless it recurs inside it.
-2. Segments of the others are grouped by minimizer and hash of their bytes into
-   kinds. The text of each kind's first copy, and of its last if there are several,
-   goes to a bucket of bounded size with all kinds of its minimizer. There the
-   windows are put in suffix order, and the previous and next smaller (and greater)
-   positions in that order show whether the longest match with an earlier (later)
-   one reaches ``min_length``. A kind's further copies take over what is found on
-   the bytes of these two; their text does not move.
-3. Minimizers with more than ``HOT`` kinds would overfill a bucket. The first copies
-   of their kinds are cut into single windows, which are grouped by a 128-bit hash,
-   and the first and last copy of each go through suffix order in the same way.
+2. Segments of the others are grouped by minimizer and a 128-bit BLAKE2 digest of
+   their bytes into kinds. All windows of a kind with several copies repeat; no text
+   moves for them. (To send two copies of each through suffix order as well would
+   take the shuffle from three times the input to five.)
+3. Where one minimizer has several kinds, or recurs in one, the text of each kind's
+   first copy goes to a bucket of bounded size. There the windows are put in suffix
+   order, and the previous and next smaller (and greater) positions in that order show
+   whether the longest match with an earlier (later) one reaches ``min_length``.
+4. Minimizers with more than ``HOT`` kinds would overfill a bucket. The first copies
+   of their kinds are cut into single windows, which are grouped by two hashes; the
+   first and last copy of each window that recurs go through suffix order in buckets
+   of their own, and further copies take over what is found on the bytes of these two.
 
 Sets of keys reach the tasks as bitmaps of a fixed size, which only spare rows a
 shuffle; beyond ``BITMAP_KEYS`` keys, joins do it.
@@ -65,7 +67,7 @@ class Segments:
         empty = np.zeros(0, dtype=np.int64)
         self.start = self.windows = self.row = empty
         self.inner = np.zeros(0, dtype=bool)
-        self.minimizer = self.hash = np.zeros(0, dtype=U64)
+        self.minimizer = np.zeros(0, dtype=U64)
         if windows < 1:
             return
         grams = mixed(self.rolling.grams(GRAM))
@@ -91,7 +93,6 @@ class Segments:
         leads = np.concatenate([[0], np.cumsum(grams[:windows] == least)])
         self.inner = leads[self.start + self.windows - 1] > leads[self.start]
         self.minimizer = least[self.start]
-        self.hash = mixed(self.rolling.ranges(self.start, self.end) + self.windows.astype(U64) * U64(0x9FB21C651E98DF25))
         self.row = np.searchsorted(offsets, self.start, side="right") - 1
 
 
@@ -148,10 +149,14 @@ def _count_minimizers(length: int):
 
 
 def _placed(s: Segments, rows: pa.RecordBatch, offsets: np.ndarray, keep: np.ndarray) -> list[np.ndarray]:
-    """minimizer, hash, doc, tag and at of the segments in ``keep``."""
+    """doc, tag and at of the segments in ``keep``."""
     row = s.row[keep]
-    at = _packed(s.start[keep] - offsets[row], s.windows[keep], s.inner[keep])
-    return [s.minimizer[keep].view(np.int64), s.hash[keep].view(np.int64), *(rows.column(i).to_numpy()[row] for i in (0, 1)), at]
+    return [*(rows.column(i).to_numpy()[row] for i in (0, 1)), _packed(s.start[keep] - offsets[row], s.windows[keep], s.inner[keep])]
+
+
+def _bodies(s: Segments, data: np.ndarray, keep: np.ndarray) -> list[bytes]:
+    raw = data.tobytes()
+    return [raw[a:b] for a, b in zip(s.start[keep].tolist(), s.end[keep].tolist(), strict=True)] if len(keep) else []
 
 
 def _list_segments(length: int, bitmap):
@@ -161,14 +166,19 @@ def _list_segments(length: int, bitmap):
             keep = np.arange(len(s.start))
             if bitmap is not None and len(keep):
                 keep = np.flatnonzero(_in_bitmap(bitmap.value, (s.minimizer >> U64(64 - BITMAP_BITS)).astype(np.int64)))
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in _placed(s, rows, offsets, keep)], FIELDS)
+            digests = b"".join(hashlib.blake2b(body, digest_size=16).digest() for body in _bodies(s, data, keep))
+            halves = np.frombuffer(digests, dtype="<i8").reshape(-1, 2)
+            columns = [s.minimizer[keep].view(np.int64), halves[:, 0], halves[:, 1], *_placed(s, rows, offsets, keep)]
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], [*KIND, *PLACE])
 
     return segments
 
 
-FIELDS = ["minimizer", "hash", "doc", "tag", "at"]
-SEGMENT = "minimizer long, hash long, doc long, tag long, at long"
-TEXTS = f"{SEGMENT}, body binary"
+KIND = ["minimizer", "hash", "check"]
+PLACE = ["doc", "tag", "at"]
+SEGMENT = "minimizer long, hash long, check long, doc long, tag long, at long"
+TEXTS = "minimizer long, hash long, doc long, tag long, at long, body binary"
+BODY = ["minimizer", "hash", *PLACE, "body"]
 
 
 def _cut_by_bitmap(length: int, bitmap):
@@ -176,10 +186,9 @@ def _cut_by_bitmap(length: int, bitmap):
         for rows, data, offsets in slices(batches, "text", SLICE):
             s = Segments(data, offsets, length)
             columns = _placed(s, rows, offsets, np.arange(len(s.start)))
-            keep = np.flatnonzero(_in_bitmap(bitmap.value, _place_slot(columns[2], columns[4]))) if len(s.start) else s.start
-            raw = data.tobytes()
-            body = [raw[a:b] for a, b in zip(s.start[keep].tolist(), (s.start + s.windows + length - 1)[keep].tolist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([*(pa.array(c[keep], pa.int64()) for c in columns), pa.array(body, pa.binary())], [*FIELDS, "body"])
+            keep = np.flatnonzero(_in_bitmap(bitmap.value, _place_slot(columns[0], columns[2]))) if len(s.start) else s.start
+            columns = [s.minimizer.view(np.int64), np.zeros(len(s.start), np.int64), *columns]
+            yield pa.RecordBatch.from_arrays([*(pa.array(c[keep], pa.int64()) for c in columns), pa.array(_bodies(s, data, keep), pa.binary())], BODY)
 
     return texts
 
@@ -192,8 +201,8 @@ def _cut_by_list(length: int):
                 raw = (text or "").encode()
                 for p in places:
                     start, windows = p["at"] >> 16, (p["at"] >> 1) & 32767
-                    out.append((p["minimizer"], p["hash"], doc, tag, p["at"], raw[start : start + windows + length - 1]))
-            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], pa.binary() if i == 5 else pa.int64()) for i in range(6)], [*FIELDS, "body"])
+                    out.append((p["minimizer"], 0, doc, tag, p["at"], raw[start : start + windows + length - 1]))
+            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], pa.binary() if i == 5 else pa.int64()) for i in range(6)], BODY)
 
     return texts
 
@@ -202,7 +211,7 @@ def _segment_texts(texts: DataFrame, places: DataFrame, n: int, length: int) ->
     """The bytes of the segments at ``places``: picked by a bitmap in a scan, which may let others through, or joined where that would overflow."""
     if n <= BITMAP_KEYS:
         return texts.mapInArrow(_cut_by_bitmap(length, _bitmap(places.select("doc", "at").mapInArrow(_place_slots, "slot long"))), TEXTS)
-    lists = places.groupBy("doc", "tag").agg(F.collect_list(F.struct("minimizer", "hash", "at")).alias("places"))
+    lists = places.groupBy("doc", "tag").agg(F.collect_list(F.struct("minimizer", "at")).alias("places"))
     return texts.join(lists, ["doc", "tag"]).select("doc", "tag", "text", "places").mapInArrow(_cut_by_list(length), TEXTS)
 
 
@@ -314,9 +323,9 @@ def _repeated_windows(length: int, keep: str):
     schema = pa.schema([(c, pa.bool_() if c == "whole" else pa.int64()) for c in names])
 
     def repeated(table: pa.Table) -> pa.Table:
-        """Spans of repeated windows in a bucket, and the kinds of which a second copy is one such span."""
+        """Spans of repeated windows in a bucket, and the (minimizer, hash) of which a second copy is one such span."""
         table = table.sort_by([("doc", "ascending"), ("tag", "ascending"), ("at", "ascending")])
-        minimizer, kind, doc, tag, at = (table.column(c).to_numpy() for c in FIELDS)
+        minimizer, kind, doc, tag, at = (table.column(c).to_numpy() for c in BODY[:5])
         bodies = table.column("body").to_pylist()
         start, windows = at >> 16, (at >> 1) & 32767
         nth = np.repeat(np.arange(len(windows)), windows)
@@ -349,7 +358,7 @@ def _repeated_windows(length: int, keep: str):
 
 
 def _hash_windows(length: int):
-    """Cuts segments into single windows, whose minimizer and hash are two hashes of all their bytes."""
+    """Cuts segments into single windows, with two hashes of all their bytes; ``at`` holds a window's start and its distance from the segment's."""
 
     def hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -358,9 +367,8 @@ def _hash_windows(length: int):
                 symbols = CODES[np.frombuffer(body, dtype=np.uint8)]
                 nth = np.arange(int(at[i] >> 1) & 32767)
                 keys = [mixed(RollingHash(symbols, *b).ranges(nth, nth + length)) for b in ((), (OTHER_BASE,))]
-                ones = np.ones(len(nth), np.int64)
-                columns = [*(k.view(np.int64) for k in keys), np.full(len(nth), doc[i]), np.full(len(nth), tag[i]), _packed((at[i] >> 16) + nth, ones, 0 * ones), np.full(len(nth), at[i])]
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], [*FIELDS, "cut_from"])
+                columns = [*(k.view(np.int64) for k in keys), np.full(len(nth), doc[i]), np.full(len(nth), tag[i]), _packed((at[i] >> 16) + nth, nth, 0 * nth)]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], BODY[:5])
 
     return hashes
 
@@ -371,39 +379,37 @@ def _cut_windows(length: int):
     def texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
-            for at, body, places in zip(*(batch.column(c).to_pylist() for c in ("at", "body", "places")), strict=True):
+            for doc, tag, body, places in zip(*(batch.column(c).to_pylist() for c in ("doc", "tag", "body", "places")), strict=True):
                 for p in places:
-                    from_ = (p["at"] >> 16) - (at >> 16)
-                    out.append((p["minimizer"], p["hash"], p["doc"], p["tag"], p["at"], body[from_ : from_ + length]))
-            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], pa.binary() if i == 5 else pa.int64()) for i in range(6)], [*FIELDS, "body"])
+                    from_, nth = p["at"] >> 16, (p["at"] >> 1) & 32767
+                    out.append((p["minimizer"], p["hash"], doc, tag, (from_ << 16) | 2, body[nth : nth + length]))
+            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], pa.binary() if i == 5 else pa.int64()) for i in range(6)], BODY)
 
     return texts
 
 
-def _kinds(segments: DataFrame) -> DataFrame:
-    """minimizer, hash, copies and the places of the first and last copy."""
-    place = F.struct(*segments.columns[2:])
-    return segments.groupBy("minimizer", "hash").agg(F.count("*").alias("copies"), F.min(place).alias("first"), F.max(place).alias("last"))
-
-
-def _representatives(kinds: DataFrame) -> DataFrame:
-    """The first copy of each kind and, of several, the last."""
-    places = F.array_distinct(F.array("first", "last"))
-    return kinds.select("minimizer", "hash", F.explode(places).alias("p")).select("minimizer", "hash", "p.*")
-
+def _found_in_buckets(body: DataFrame, total: int, length: int, keep: str) -> DataFrame:
+    """Runs suffix order in buckets of about BUCKET_BYTES, all rows of a minimizer in one bucket."""
+    bucket = F.pmod(F.xxhash64("minimizer"), F.lit(max(1, -(-total // BUCKET_BYTES))))
+    return body.withColumn("bucket", bucket).groupBy("bucket").applyInArrow(_repeated_windows(length, keep), "minimizer long, hash long, doc long, tag long, start long, end long, whole boolean")
 
-def _found_in_buckets(body: DataFrame, key: str, total: int, length: int, keep: str) -> DataFrame:
-    """Runs suffix order in buckets of about BUCKET_BYTES, all rows of one ``key`` in one bucket."""
-    bucket = F.pmod(F.xxhash64(key), F.lit(max(1, -(-total // BUCKET_BYTES))))
-    spans = body.withColumn("bucket", bucket).groupBy("bucket").applyInArrow(_repeated_windows(length, keep), "minimizer long, hash long, doc long, tag long, start long, end long, whole boolean")
-    return cut(spans)
 
-
-def _with_further_copies(found: DataFrame, segments: DataFrame, kinds: DataFrame, length: int) -> DataFrame:
-    """Spans found in buckets and, of kinds with more copies than two, the copies that were not sent there."""
-    whole = found.where("whole").select("minimizer", "hash").distinct().join(kinds.where("copies > 2").select("minimizer", "hash", F.col("first").alias("f")), ["minimizer", "hash"])
-    rest = segments.join(whole, ["minimizer", "hash"]).where(F.struct("doc", "tag", "at") != F.struct("f.doc", "f.tag", "f.at"))
-    return found.where("not whole").select("doc", "tag", "start", "end").unionByName(rest.select("doc", "tag", F.expr(START.format("at")).alias("start"), (F.expr(START.format("at")) + F.expr(WINDOWS.format("at")) + (length - 1)).alias("end")))
+def _hot_spans(body: DataFrame, length: int, keep: str) -> DataFrame:
+    """Spans of repeated windows in the texts of segments, each window dealt by its own bytes."""
+    windows = cut(body.mapInArrow(_hash_windows(length), "minimizer long, hash long, doc long, tag long, at long"))
+    place = F.struct(*PLACE)
+    often = windows.groupBy("minimizer", "hash").agg(F.count("*").alias("copies"), F.min(place).alias("first"), F.max(place).alias("last")).where("copies > 1")
+    often = cut(often)
+    two = often.select("minimizer", "hash", F.explode(F.array("first", "last")).alias("p")).select("minimizer", "hash", "p.*")
+    # a window's segment begins ``nth`` bytes before it
+    lists = two.withColumn("from_at", F.expr(f"{START.format('at')} - ({WINDOWS.format('at')})")).groupBy(F.col("doc").alias("d"), F.col("tag").alias("t"), "from_at").agg(F.collect_list(F.struct("minimizer", "hash", "at")).alias("places"))
+    pieces = body.join(lists, (F.col("doc") == F.col("d")) & (F.col("tag") == F.col("t")) & (F.expr(START.format("at")) == F.col("from_at")))
+    found = cut(_found_in_buckets(pieces.select("doc", "tag", "body", "places").mapInArrow(_cut_windows(length), TEXTS), 2 * often.count() * length, length, keep))
+    whole = found.where("whole").select("minimizer", "hash").join(often.where("copies > 2").select("minimizer", "hash", "first"), ["minimizer", "hash"])
+    rest = windows.join(whole, ["minimizer", "hash"]).where(place != F.col("first"))
+    spans = found.where("not whole").select("doc", "tag", "start", "end")
+    start = F.expr(START.format("at"))
+    return spans.unionByName(rest.select("doc", "tag", start.alias("start"), (start + length).alias("end")))
 
 
 def _rows(docs: DataFrame, id_col: str, text_col: str, keep: str) -> DataFrame:
@@ -426,30 +432,23 @@ def repeated_spans(rows: DataFrame, min_length: int = MIN_LENGTH, keep: str = "n
     bitmap = _bitmap(shared.select(F.shiftrightunsigned("minimizer", 64 - BITMAP_BITS).alias("slot"))) if few else None
     listed = texts.mapInArrow(_list_segments(min_length, bitmap), SEGMENT)
     segments = cut(listed if few else listed.join(shared, "minimizer", "left_semi"))
-    kinds = _kinds(segments)
-    sizes = kinds.groupBy("minimizer").agg(F.count("*").alias("kinds"), F.max(F.expr(INNER.format("first.at"))).alias("any_inner"), F.max("copies").alias("most"))
-    sizes = sizes.where("kinds > 1 or any_inner = 1 or most > 1").select("minimizer", (F.col("kinds") > HOT).alias("hot"))
-    kinds = cut(kinds.join(sizes, "minimizer"))
-
-    plain = _representatives(kinds.where("not hot"))
-    totals = {r["hot"]: r for r in kinds.groupBy("hot").agg(F.sum(F.least("copies", F.lit(2))).alias("n"), F.sum(F.least("copies", F.lit(2)) * (F.expr(WINDOWS.format("first.at")) + min_length)).alias("bytes")).collect()}
-    found = []
-    if False in totals:
-        body = _segment_texts(texts, plain, totals[False]["n"], min_length)
-        found.append((_found_in_buckets(body, "minimizer", totals[False]["bytes"], min_length, keep), segments, kinds))
-    if True in totals:
-        body = cut(_segment_texts(texts, _representatives(kinds.where("hot")), totals[True]["n"], min_length))
-        # copies of one kind meet by its hash, windows of different kinds by theirs
-        found.append((_found_in_buckets(body, "hash", totals[True]["bytes"], min_length, keep), segments, kinds))
-        firsts = kinds.where("hot").select("minimizer", "hash", "first.*")
-        windows = cut(body.join(firsts, FIELDS, "left_semi").mapInArrow(_hash_windows(min_length), f"{SEGMENT}, cut_from long"))
-        again = cut(_kinds(windows).where("copies > 1"))
-        lists = _representatives(again).groupBy(F.col("doc").alias("d"), F.col("tag").alias("t"), "cut_from").agg(F.collect_list(F.struct(*FIELDS)).alias("places"))
-        pieces = body.join(lists, (F.col("doc") == F.col("d")) & (F.col("tag") == F.col("t")) & (F.col("at") == F.col("cut_from"))).select("at", "body", "places").mapInArrow(_cut_windows(min_length), TEXTS)
-        found.append((_found_in_buckets(pieces, "hash", 2 * again.count() * min_length, min_length, keep), windows.select(*FIELDS), again))
-    spans = rows.sparkSession.createDataFrame([], "doc long, tag long, start long, end long")
-    for part, copies, of in found:
-        spans = spans.unionByName(_with_further_copies(part, copies, of, min_length))
+    place = F.struct(*PLACE)
+    kinds = cut(segments.groupBy(*KIND).agg(F.count("*").alias("copies"), F.min(place).alias("first")).select(*KIND, "copies", "first.*"))
+    differing = kinds.groupBy("minimizer").agg(F.count("*").alias("kinds"), F.max(F.expr(INNER.format("at"))).alias("any_inner")).where("kinds > 1 or any_inner = 1")
+    contested = cut(kinds.join(differing, "minimizer").select("minimizer", *PLACE, (F.col("kinds") > HOT).alias("hot")))
+
+    copied = kinds.where("copies > 1").select(*KIND, place.alias("first"))
+    whole = segments.join(copied, KIND)
+    if keep == "first":
+        whole = whole.where(place != F.col("first"))
+    start, windows = F.expr(START.format("at")), F.expr(WINDOWS.format("at"))
+    spans = whole.select("doc", "tag", start.alias("start"), (start + windows + (min_length - 1)).alias("end"))
+    for hot, n, total in contested.groupBy("hot").agg(F.count("*"), F.sum(windows + min_length)).collect():
+        body = _segment_texts(texts, contested.where(F.col("hot") == hot), n, min_length)
+        if hot:  # texts that a bitmap lets through in error repeat nothing that is not repeated
+            spans = spans.unionByName(_hot_spans(cut(body), min_length, keep))
+        else:
+            spans = spans.unionByName(_found_in_buckets(body, total, min_length, keep).where("not whole").select("doc", "tag", "start", "end"))
     return spans
 
 
