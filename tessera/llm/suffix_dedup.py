@@ -357,17 +357,38 @@ def _repeated_windows(length: int, keep: str):
     return repeated
 
 
-def _hash_windows(length: int):
-    """Cuts segments into single windows, with two hashes of all their bytes; ``at`` holds a window's start and its distance from the segment's."""
+def _window_hashes(batch: pa.RecordBatch, length: int) -> Iterator[tuple[int, list[np.ndarray]]]:
+    """Row and two hashes of all bytes of each of its windows."""
+    at = batch.column(4).to_numpy()
+    for i, body in enumerate(batch.column(5).to_pylist()):
+        symbols = CODES[np.frombuffer(body, dtype=np.uint8)]
+        nth = np.arange(int(at[i] >> 1) & 32767)
+        yield i, [mixed(RollingHash(symbols, *b).ranges(nth, nth + length)) for b in ((), (OTHER_BASE,))]
+
+
+def _window_slot(h: np.ndarray) -> np.ndarray:
+    return (h >> U64(64 - BITMAP_BITS)).astype(np.int64)
+
+
+def _count_window_slots(length: int):
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            slots = [_window_slot(keys[0]) for _, keys in _window_hashes(batch, length)]
+            slot, n = np.unique(np.concatenate(slots) if slots else np.zeros(0, np.int64), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(slot), pa.array(n.astype(np.int64))], ["slot", "n"])
+
+    return count
+
+
+def _hash_windows(length: int, bitmap):
+    """Cuts segments into single windows; ``at`` holds a window's start and its distance from the segment's."""
 
     def hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             doc, tag, at = (batch.column(i).to_numpy() for i in (2, 3, 4))
-            for i, body in enumerate(batch.column(5).to_pylist()):
-                symbols = CODES[np.frombuffer(body, dtype=np.uint8)]
-                nth = np.arange(int(at[i] >> 1) & 32767)
-                keys = [mixed(RollingHash(symbols, *b).ranges(nth, nth + length)) for b in ((), (OTHER_BASE,))]
-                columns = [*(k.view(np.int64) for k in keys), np.full(len(nth), doc[i]), np.full(len(nth), tag[i]), _packed((at[i] >> 16) + nth, nth, 0 * nth)]
+            for i, keys in _window_hashes(batch, length):
+                nth = np.flatnonzero(_in_bitmap(bitmap.value, _window_slot(keys[0])))
+                columns = [*(k[nth].view(np.int64) for k in keys), np.full(len(nth), doc[i]), np.full(len(nth), tag[i]), _packed((at[i] >> 16) + nth, nth, 0 * nth)]
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], BODY[:5])
 
     return hashes
@@ -396,7 +417,9 @@ def _found_in_buckets(body: DataFrame, total: int, length: int, keep: str) -> Da
 
 def _hot_spans(body: DataFrame, length: int, keep: str) -> DataFrame:
     """Spans of repeated windows in the texts of segments, each window dealt by its own bytes."""
-    windows = cut(body.mapInArrow(_hash_windows(length), "minimizer long, hash long, doc long, tag long, at long"))
+    # windows that are alone in their slot of a bitmap recur nowhere
+    slots = body.mapInArrow(_count_window_slots(length), "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).where("n > 1")
+    windows = cut(body.mapInArrow(_hash_windows(length, _bitmap(slots)), "minimizer long, hash long, doc long, tag long, at long"))
     place = F.struct(*PLACE)
     often = windows.groupBy("minimizer", "hash").agg(F.count("*").alias("copies"), F.min(place).alias("first"), F.max(place).alias("last")).where("copies > 1")
     often = cut(often)
