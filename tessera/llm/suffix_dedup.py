@@ -8,8 +8,8 @@ so suffix arrays need not span the corpus:
 
 1. Minimizers of all segments are counted; one of a single segment repeats nothing,
    unless it recurs inside it.
-2. Segments of the others are grouped by minimizer and a 128-bit BLAKE2 digest of
-   their bytes into kinds. All windows of a kind with several copies repeat; no text
+2. Segments of the others are grouped by minimizer and a 64-bit BLAKE2 digest of
+   their bytes into kinds (two of one minimizer that differ agree with a chance of 2**-64). All windows of a kind with several copies repeat; no text
    moves for them. (To send two copies of each through suffix order as well would
    take the shuffle from three times the input to five.)
 3. Where one minimizer has several kinds, or recurs in one, the text of each kind's
@@ -48,9 +48,10 @@ from tessera.llm.textbytes import CODES, U64, RollingHash, mixed, slices, small_
 
 MIN_LENGTH = 200
 GRAM = 24
-#: Bytes of text in a bucket, and differing segments of one minimizer beyond which it gets none.
+#: Bytes of text in a bucket, and kinds of one minimizer beyond which it gets none: 8,192 kinds are 5 MB at most,
+#: for which suffix order takes about 300 MB.
 BUCKET_BYTES = 1 << 20
-HOT = 4096
+HOT = 8192
 BITMAP_BITS = 26
 BITMAP_KEYS = (1 << BITMAP_BITS) // 8
 SLICE = 1 << 20
@@ -166,19 +167,18 @@ def _list_segments(length: int, bitmap):
             keep = np.arange(len(s.start))
             if bitmap is not None and len(keep):
                 keep = np.flatnonzero(_in_bitmap(bitmap.value, (s.minimizer >> U64(64 - BITMAP_BITS)).astype(np.int64)))
-            digests = b"".join(hashlib.blake2b(body, digest_size=16).digest() for body in _bodies(s, data, keep))
-            halves = np.frombuffer(digests, dtype="<i8").reshape(-1, 2)
-            columns = [s.minimizer[keep].view(np.int64), halves[:, 0], halves[:, 1], *_placed(s, rows, offsets, keep)]
+            digests = b"".join(hashlib.blake2b(body, digest_size=8).digest() for body in _bodies(s, data, keep))
+            columns = [s.minimizer[keep].view(np.int64), np.frombuffer(digests, dtype="<i8"), *_placed(s, rows, offsets, keep)]
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], [*KIND, *PLACE])
 
     return segments
 
 
-KIND = ["minimizer", "hash", "check"]
+KIND = ["minimizer", "hash"]
 PLACE = ["doc", "tag", "at"]
-SEGMENT = "minimizer long, hash long, check long, doc long, tag long, at long"
+SEGMENT = "minimizer long, hash long, doc long, tag long, at long"
 TEXTS = "minimizer long, hash long, doc long, tag long, at long, body binary"
-BODY = ["minimizer", "hash", *PLACE, "body"]
+BODY = [*KIND, *PLACE, "body"]
 
 
 def _cut_by_bitmap(length: int, bitmap):
