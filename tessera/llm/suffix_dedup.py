@@ -47,7 +47,8 @@ from tessera.llm.checkpoints import cut
 from tessera.llm.textbytes import CODES, U64, RollingHash, mixed, slices, small_batches
 
 MIN_LENGTH = 200
-GRAM = 24
+#: Bytes whose least hash deals windows out: long enough that texts rarely share them without repeating more.
+GRAM = 48
 #: Bytes of text in a bucket, and kinds of one minimizer beyond which it gets none: 8,192 kinds are 5 MB at most,
 #: for which suffix order takes about 300 MB.
 BUCKET_BYTES = 1 << 20
@@ -446,7 +447,7 @@ def _rows(docs: DataFrame, id_col: str, text_col: str, keep: str) -> DataFrame:
 def repeated_spans(rows: DataFrame, min_length: int = MIN_LENGTH, keep: str = "none") -> DataFrame:
     """doc, tag, start, end of repeated byte ranges of rows with doc, tag and text; ranges of a document may overlap."""
     if min_length % 8 or not 2 * GRAM <= min_length < 1 << 15:
-        raise ValueError("min_length must be a multiple of 8 from 48 to 32760")
+        raise ValueError("min_length must be a multiple of 8 from 96 to 32760")
     small_batches(rows.sparkSession)
     texts = rows.select("doc", "tag", "text")
     counted = rows.select("text").mapInArrow(_count_minimizers(min_length), "minimizer long, n long")
