@@ -47,8 +47,7 @@ from tessera.llm.checkpoints import cut
 from tessera.llm.textbytes import CODES, U64, RollingHash, mixed, slices, small_batches
 
 MIN_LENGTH = 200
-#: Bytes whose least hash deals windows out: long enough that texts rarely share them without repeating more.
-GRAM = 48
+GRAM = 24
 #: Bytes of text in a bucket, and kinds of one minimizer beyond which it gets none: 8,192 kinds are 5 MB at most,
 #: for which suffix order takes about 300 MB.
 BUCKET_BYTES = 1 << 20
@@ -140,6 +139,18 @@ def _bitmap(slots: DataFrame):
     return slots.sparkSession.sparkContext.broadcast(held)
 
 
+def _kept_by_bitmap(rows: DataFrame, keys: DataFrame, on: list[str]) -> DataFrame:
+    """Rows whose ``on`` may be among ``keys``, without a shuffle of the rows; a bitmap lets some others through."""
+    slot = F.shiftrightunsigned(F.xxhash64(*on), 64 - BITMAP_BITS).alias("slot")
+    bitmap, names = _bitmap(keys.select(slot)), rows.columns
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(_in_bitmap(bitmap.value, batch.column(0).to_numpy()))).select(names)
+
+    return rows.select(slot, *names).mapInArrow(keep, rows.schema)
+
+
 def _count_minimizers(length: int):
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, data, offsets in slices(batches, "text", SLICE):
@@ -202,7 +213,8 @@ def _cut_by_list(length: int):
                 raw = (text or "").encode()
                 for p in places:
                     start, windows = p["at"] >> 16, (p["at"] >> 1) & 32767
-                    out.append((p["minimizer"], 0, doc, tag, p["at"], raw[start : start + windows + length - 1]))
+                    if start + windows + length - 1 <= len(raw):  # else another row of the number is meant
+                        out.append((p["minimizer"], 0, doc, tag, p["at"], raw[start : start + windows + length - 1]))
             yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], pa.binary() if i == 5 else pa.int64()) for i in range(6)], BODY)
 
     return texts
@@ -212,8 +224,8 @@ def _segment_texts(texts: DataFrame, places: DataFrame, n: int, length: int) ->
     """The bytes of the segments at ``places``: picked by a bitmap in a scan, which may let others through, or joined where that would overflow."""
     if n <= BITMAP_KEYS:
         return texts.mapInArrow(_cut_by_bitmap(length, _bitmap(places.select("doc", "at").mapInArrow(_place_slots, "slot long"))), TEXTS)
-    lists = places.groupBy("doc", "tag").agg(F.collect_list(F.struct("minimizer", "at")).alias("places"))
-    return texts.join(lists, ["doc", "tag"]).select("doc", "tag", "text", "places").mapInArrow(_cut_by_list(length), TEXTS)
+    lists = places.groupBy("doc").agg(F.collect_list(F.struct("minimizer", "at")).alias("places"))
+    return texts.join(lists, "doc").select("doc", "tag", "text", "places").mapInArrow(_cut_by_list(length), TEXTS)
 
 
 def eight_bytes(text: np.ndarray) -> np.ndarray:
@@ -447,7 +459,7 @@ def _rows(docs: DataFrame, id_col: str, text_col: str, keep: str) -> DataFrame:
 def repeated_spans(rows: DataFrame, min_length: int = MIN_LENGTH, keep: str = "none") -> DataFrame:
     """doc, tag, start, end of repeated byte ranges of rows with doc, tag and text; ranges of a document may overlap."""
     if min_length % 8 or not 2 * GRAM <= min_length < 1 << 15:
-        raise ValueError("min_length must be a multiple of 8 from 96 to 32760")
+        raise ValueError("min_length must be a multiple of 8 from 48 to 32760")
     small_batches(rows.sparkSession)
     texts = rows.select("doc", "tag", "text")
     counted = rows.select("text").mapInArrow(_count_minimizers(min_length), "minimizer long, n long")
@@ -456,15 +468,23 @@ def repeated_spans(rows: DataFrame, min_length: int = MIN_LENGTH, keep: str = "n
     bitmap = _bitmap(shared.select(F.shiftrightunsigned("minimizer", 64 - BITMAP_BITS).alias("slot"))) if few else None
     listed = texts.mapInArrow(_list_segments(min_length, bitmap), SEGMENT)
     segments = cut(listed if few else listed.join(shared, "minimizer", "left_semi"))
-    place = F.struct(*PLACE)
-    kinds = cut(segments.groupBy(*KIND).agg(F.count("*").alias("copies"), F.min(place).alias("first")).select(*KIND, "copies", "first.*"))
-    differing = kinds.groupBy("minimizer").agg(F.count("*").alias("kinds"), F.max(F.expr(INNER.format("at"))).alias("any_inner")).where("kinds > 1 or any_inner = 1")
-    contested = cut(kinds.join(differing, "minimizer").select("minimizer", *PLACE, (F.col("kinds") > HOT).alias("hot")))
-
-    copied = kinds.where("copies > 1").select(*KIND, place.alias("first"))
-    whole = segments.join(copied, KIND)
+    # rows of one doc number that differ in tag only matter to the order of copies
+    place = PLACE if keep == "first" else ["doc", "at"]
+    first = F.struct(*place)
+    kinds = cut(segments.groupBy(*KIND).agg(F.count("*").alias("copies"), F.min(first).alias("first")).select(*KIND, "copies", "first.*"))
+    differing = cut(kinds.groupBy("minimizer").agg(F.count("*").alias("kinds"), F.max(F.expr(INNER.format("at"))).alias("any_inner")).where("kinds > 1 or any_inner = 1"))
+    contested = kinds.select("minimizer", *place)
+    if differing.count() <= BITMAP_KEYS:  # what else the bitmap lets through repeats nothing
+        contested = _kept_by_bitmap(contested, differing, ["minimizer"])
+    else:
+        contested = contested.join(differing, "minimizer", "left_semi")
+    hot = differing.where(F.col("kinds") > HOT).select("minimizer", F.lit(True).alias("hot"))
+    contested = cut(contested.join(hot, "minimizer", "left").withColumn("hot", F.coalesce("hot", F.lit(False))))
+
+    copied = cut(kinds.where("copies > 1").select(*KIND, first.alias("first")))
+    whole = (_kept_by_bitmap(segments, copied, KIND) if copied.count() <= BITMAP_KEYS else segments).join(copied, KIND)
     if keep == "first":
-        whole = whole.where(place != F.col("first"))
+        whole = whole.where(first != F.col("first"))
     start, windows = F.expr(START.format("at")), F.expr(WINDOWS.format("at"))
     spans = whole.select("doc", "tag", start.alias("start"), (start + windows + (min_length - 1)).alias("end"))
     for hot, n, total in contested.groupBy("hot").agg(F.count("*"), F.sum(windows + min_length)).collect():
