@@ -9,6 +9,11 @@ from pyspark.sql import functions as F
 NORM_FLOOR = 1e-12
 
 
+def bound(value: Column, body) -> Column:
+    """``body`` of a value computed once; what a lambda takes from outside is else computed at every step."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def as_doubles(v: Column) -> Column:
     return v.cast("array<double>")
 

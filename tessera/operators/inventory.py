@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window
 
 
 def n_if(condition: Column) -> Column:
@@ -72,6 +73,37 @@ def numeric_summary(x: Column) -> list[Column]:
     return [F.count(x).alias("n"), F.min(x).alias("min"), F.avg(x).alias("mean"), F.percentile(x, F.lit(0.5)).alias("median"), F.percentile(x, F.lit(0.95)).alias("p95"), F.max(x).alias("max")]
 
 
+def quantiles(rows: DataFrame, by: str, x: str, at: dict[str, float], slices: int = 64) -> DataFrame:
+    """by and exact quantiles with linear interpolation, by name; null values do not count.
+
+    Equal values are counted first. Approximate quantiles part a group's distinct values into slices, and
+    ranks within a slice start from the counts of the slices below, so no task holds a whole group.
+    """
+    cells = rows.where(F.col(x).isNotNull()).groupBy(F.col(by).alias("g"), F.col(x).alias("x")).agg(F.count("*").alias("n"))
+    bounds = cells.groupBy(F.col("g").alias("bg")).agg(F.percentile_approx("x", [i / slices for i in range(1, slices)], 1000).alias("bounds"))
+    cells = cells.join(bounds, F.col("g").eqNullSafe(F.col("bg"))).select("g", "x", "n", F.size(F.filter("bounds", lambda b: b < F.col("x"))).alias("slice"))
+    below = Window.partitionBy("tg").orderBy("of").rowsBetween(Window.unboundedPreceding, -1)
+    totals = cells.groupBy(F.col("g").alias("tg"), F.col("slice").alias("of")).agg(F.sum("n").alias("m"))
+    totals = totals.select("tg", "of", F.coalesce(F.sum("m").over(below), F.lit(0)).alias("before"), F.sum("m").over(Window.partitionBy("tg")).alias("all"))
+    upto = F.sum("n").over(Window.partitionBy("g", "slice").orderBy("x").rowsBetween(Window.unboundedPreceding, 0))
+    ranked = cells.withColumn("upto", upto).join(totals, F.col("g").eqNullSafe(F.col("tg")) & (F.col("slice") == F.col("of")))
+    end = F.col("before") + F.col("upto")
+
+    def of_rank(rank: Column) -> Column:
+        return F.max(F.when((rank >= end - F.col("n")) & (rank < end), F.col("x")))
+
+    spot = {name: F.lit(q) * (F.col("all") - 1) for name, q in at.items()}
+    found = ranked.groupBy("g").agg(F.max("all").alias("all"), *[c for n, s in spot.items() for c in (of_rank(F.floor(s)).alias(f"low_{n}"), of_rank(F.ceil(s)).alias(f"high_{n}"))])
+    return found.select(F.col("g").alias(by), *[(F.col(f"low_{n}") + (F.col(f"high_{n}") - F.col(f"low_{n}")) * (s - F.floor(s))).alias(n) for n, s in spot.items()])
+
+
+def group_summary(rows: DataFrame, by: str, x: str) -> DataFrame:
+    """``numeric_summary`` per group, for groups of any size."""
+    plain = rows.groupBy(by).agg(F.count(x).alias("n"), F.min(x).alias("min"), F.avg(x).alias("mean"), F.max(x).alias("max"))
+    q = quantiles(rows, by, x, {"median": 0.5, "p95": 0.95}).withColumnRenamed(by, "__by")
+    return plain.join(q, F.col(by).eqNullSafe(F.col("__by")), "left").select(by, "n", "min", "mean", "median", "p95", "max")
+
+
 def frequency_of_frequencies(rows: DataFrame, key: str) -> DataFrame:
     return rows.groupBy(key).agg(F.count("*").alias("frequency")).groupBy("frequency").agg(F.count("*").alias("n_keys"))
 
@@ -117,8 +149,10 @@ def repetition_values(rows: DataFrame, *keys: str) -> DataFrame:
 
 def path_depths(paths: DataFrame, path: str, examples: int = 3) -> DataFrame:
     """Rows by number of path components, with the first paths in order."""
-    deep = paths.select(F.size(F.split(path, "/")).alias("depth"), F.col(path).alias("p"))
-    return deep.groupBy("depth").agg(F.count("*").alias("n"), F.array_join(F.slice(F.array_sort(F.collect_set("p")), 1, examples), ",").alias("examples"))
+    each = paths.groupBy(F.size(F.split(path, "/")).alias("depth"), F.col(path).alias("p")).agg(F.count("*").alias("n"))
+    first = each.withColumn("r", F.row_number().over(Window.partitionBy("depth").orderBy("p"))).where(F.col("r") <= examples)
+    shown = first.groupBy("depth").agg(F.array_join(F.array_sort(F.collect_list("p")), ",").alias("examples"))
+    return each.groupBy("depth").agg(F.sum("n").alias("n")).join(shown, "depth")
 
 
 def reconcile(left: DataFrame, right: DataFrame, key: str) -> DataFrame:

@@ -1,7 +1,8 @@
 """Prototypes, cosine top-k, evidence, fusion and decision policies.
 
-Prototypes are as many as there are classes. They are gathered to one row, whose size is
-checked, and every query scores them within its row: no pair is shuffled or even made a row.
+Prototypes are as many as there are classes. They are gathered to one row, and every query
+scores them within its row: no pair is shuffled or even made a row. For more classes than a
+row may hold, ``scored_in_blocks`` gathers them in blocks and merges the best of each.
 """
 
 from __future__ import annotations
@@ -12,8 +13,8 @@ from pyspark.sql import functions as F
 from tessera.functions.scoring import linear, softmax
 from tessera.functions.vectors import as_doubles, at_quantile, cosine, dot, l2_normalized
 
-#: Prototypes that a task may hold at once.
-MAX_PROTOTYPES = 100_000
+#: Prototypes of a block.
+BLOCK_PROTOTYPES = 100_000
 
 
 def class_means(rows: DataFrame, keys: list[str], vector: str) -> DataFrame:
@@ -28,17 +29,28 @@ def prototypes(rows: DataFrame, keys: list[str], vector: str) -> DataFrame:
     return class_means(rows, keys, vector).select(*keys, l2_normalized(F.col("mean")).alias("prototype"))
 
 
-def gathered(protos: DataFrame, label: str, limit: int = MAX_PROTOTYPES) -> DataFrame:
-    """One row: array of (label, prototype) by label; fails beyond the limit instead of growing."""
-    one = protos.agg(F.array_sort(F.collect_list(F.struct(F.col(label).alias("label"), "prototype"))).alias("protos"))
-    small = F.when(F.size("protos") <= limit, True).otherwise(F.raise_error(F.lit("more prototypes than a task may hold")).cast("boolean"))
-    return one.where(small)
+def gathered(protos: DataFrame, label: str) -> DataFrame:
+    """One row: array of (label, prototype) by label."""
+    return protos.agg(F.array_sort(F.collect_list(F.struct(F.col(label).alias("label"), "prototype"))).alias("protos"))
+
+
+def scored_in_blocks(queries: DataFrame, protos: DataFrame, key: str, label: str, vector: str, k: int, block: int = BLOCK_PROTOTYPES) -> DataFrame:
+    """key and the ``k`` best classes of each query, as ``scored`` ranks them, for any number of classes.
+
+    A task holds one block of classes; a query is sent once to each block.
+    """
+    blocks = max(1, -(-protos.count() // block))
+    part = F.pmod(F.xxhash64(label), F.lit(blocks)).cast("int").alias("block")
+    held = protos.groupBy(part).agg(F.collect_list(F.struct(F.col(label).alias("label"), "prototype")).alias("protos"))
+    each = queries.select(key, l2_normalized(F.col(vector)).alias("unit"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block")).join(held, "block")
+    minus = F.transform("protos", lambda p: F.struct((-dot(F.col("unit"), p["prototype"])).alias("minus"), p["label"].alias("label")))
+    best = each.select(key, F.slice(F.array_sort(minus), 1, k).alias("best")).groupBy(key).agg(F.slice(F.array_sort(F.flatten(F.collect_list("best"))), 1, k).alias("best"))
+    return best.select(key, F.transform("best", lambda s: F.struct((-s["minus"]).alias("score"), s["label"].alias("label"))).alias("ranked"))
 
 
 def scored(queries: DataFrame, protos: DataFrame, label: str, vector: str, out: str = "ranked") -> DataFrame:
     """Adds all classes by falling cosine as array<struct<score, label>>; ties go to the smaller label."""
-    table = F.broadcast(gathered(protos, label))
-    unit = queries.withColumn("__unit", l2_normalized(F.col(vector))).join(table, how="cross")
+    unit = queries.withColumn("__unit", l2_normalized(F.col(vector))).join(gathered(protos, label), how="cross")
     minus = F.transform("protos", lambda p: F.struct((-dot(F.col("__unit"), p["prototype"])).alias("minus"), p["label"].alias("label")))
     ranked = F.transform(F.array_sort(minus), lambda s: F.struct((-s["minus"]).alias("score"), s["label"].alias("label")))
     return unit.withColumn(out, ranked).drop("__unit", "protos")

@@ -37,11 +37,18 @@ def registered_vocabulary(rows: DataFrame, keys: list[str], label: str, size: in
 def calibration_split(rows: DataFrame, label: str, item: str, salt: str, separator: str = "\0") -> DataFrame:
     """Per label in salted-hash order, the first half (rounded down) calibrates, the rest scores.
 
-    Only labels and hashes are ranked; other columns come along unshuffled where the caller joins.
+    The hash's first three signs part a label into ranges; a row's rank is what lies in the ranges before
+    its own, from counts, and its rank within its range. So a label of any size is ranked by many tasks.
     """
-    h = salted_hash(salt, F.col(label), F.col(item), separator=separator)
-    n = F.count("*").over(Window.partitionBy(label))
-    return rows.withColumn("part", F.when(_rank([label], h, F.col(item)) <= F.floor(n / 2), "cal").otherwise("score"))
+    keyed = rows.withColumn("__h", salted_hash(salt, F.col(label), F.col(item), separator=separator))
+    keyed = keyed.withColumn("__range", F.coalesce(F.substring("__h", 1, 3), F.lit("")))
+    counts = keyed.groupBy(F.col(label).alias("__label"), F.col("__range").alias("__of")).agg(F.count("*").alias("__n"))
+    ranges = Window.partitionBy("__label").orderBy("__of")
+    before = F.coalesce(F.sum("__n").over(ranges.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    counts = counts.select("__label", "__of", before.alias("__before"), F.sum("__n").over(Window.partitionBy("__label")).alias("__all"))
+    placed = keyed.join(counts, F.col(label).eqNullSafe(F.col("__label")) & (F.col("__range") == F.col("__of")))
+    rank = F.col("__before") + _rank([label, "__range"], F.col("__h"), F.col(item))
+    return placed.withColumn("part", F.when(rank <= F.floor(F.col("__all") / 2), "cal").otherwise("score")).select(*rows.columns, "part")
 
 
 def nested_shots(rows: DataFrame, keys: list[str], item: str, shots: list[int], seed: str) -> DataFrame:
@@ -50,6 +57,13 @@ def nested_shots(rows: DataFrame, keys: list[str], item: str, shots: list[int],
     return ranked.select("*", F.explode(F.filter(F.array(*[F.lit(s) for s in sorted(shots)]), lambda s: F.col("rank") <= s)).alias("shot"))
 
 
+def subset_check(nested: DataFrame, item: list[str], shots: list[int]) -> DataFrame:
+    """One row: items, and those that fewer shots hold but some greater number of shots lacks."""
+    wanted = F.filter(F.array(*[F.lit(s) for s in sorted(shots)]), lambda s: s >= F.col("least"))
+    held = nested.groupBy(*item).agg(F.min("shot").alias("least"), F.count_distinct("shot").alias("n"))
+    return held.agg(F.count("*").alias("items"), F.count_if(F.col("n") != F.size(wanted)).alias("n_broken"))
+
+
 def support_query_split(rows: DataFrame, keys: list[str], item: str, shot: int, seed: str) -> DataFrame:
     """Every row as 'support' (first ``shot`` of its group) or 'query'."""
     h = stable_hash(F.lit(seed), *[F.col(k) for k in keys], F.col(item))

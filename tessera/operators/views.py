@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window
 
 from tessera.functions.text import blank_to_null, normalized_phrase
 
@@ -93,8 +94,8 @@ def class_map(rows: DataFrame, label: str = "task_label", split: str = "train")
 
 
 def numbered(labels: DataFrame) -> DataFrame:
-    everything = labels.agg(F.array_sort(F.collect_set("label")).alias("all"))
-    return everything.select(F.posexplode("all").alias("class_id", "label")).select("label", "class_id")
+    """Distinct labels numbered from 0 in order; the one task that sorts them may spill."""
+    return labels.where(F.col("label").isNotNull()).select("label", (F.row_number().over(Window.orderBy("label")) - 1).alias("class_id"))
 
 
 def contiguous(ids: Column) -> list[Column]:

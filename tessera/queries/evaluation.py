@@ -93,6 +93,15 @@ def parity_report(spark, sf_dir):
     return rows.agg(F.count("*").alias("pairs"), F.count_if(F.col("v") == F.col("w")).alias("exact"), F.count_if(gap <= 0.01).alias("close"), F.max(gap).alias("max_gap"))
 
 
+@query("SELECT count(*) AS pairs, count(*) FILTER (v = w) AS exact, count(*) FILTER (abs(v - w) <= 0.01) AS close, round(max(abs(v - w)), 6) AS max_gap FROM (SELECT round(o_totalprice, 2) AS v, round(o_totalprice, 1) AS w FROM orders)")
+def parity_of_orders(spark, sf_dir):
+    """Two versions of a value, matched by their unique key."""
+    rows = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("k"), "o_totalprice")
+    a, b = (rows.select("k", F.round("o_totalprice", d).alias("v")) for d in (2, 1))
+    out = selection.parity(a, b, "k", "v", 0.01)
+    return out.withColumn("max_gap", F.round("max_gap", 6))
+
+
 @query("""SELECT inventory, count(*) AS n_values, min(value) AS first, max(value) AS last FROM (SELECT DISTINCT p_brand AS value, i AS inventory FROM part, unnest(['all', 'small', 'large', 'costly']) AS t(i) WHERE i = 'all' OR (i = 'small' AND p_size < 3) OR (i = 'large' AND p_size > 48) OR (i = 'costly' AND p_retailprice > 1900)) GROUP BY inventory""")
 def label_inventories(spark, sf_dir):
     named = {"all": F.lit(True), "small": F.col("p_size") < 3, "large": F.col("p_size") > 48, "costly": F.col("p_retailprice") > 1900}
@@ -154,15 +163,16 @@ def formatted_report(spark, sf_dir):
     return out.select("n_name", markdown_row(F.col("n_name"), F.col("n")).alias("row"), percent(F.round(F.col("k") / F.col("n"), 4)).alias("negative"))
 
 
-@query(r"SELECT doc_id, regexp_extract(line, '^\s*(\S+)\s+(.*?)\s*$', 1) AS key, regexp_extract(line, '^\s*(\S+)\s+(.*?)\s*$', 2) AS rest FROM (SELECT doc_id, split_part(text, chr(10), 1) AS line FROM documents)")
+@query(rf"WITH {LINES_SQL}, wrapped AS (SELECT doc_id, line_no, regexp_replace(line, '^(\S+)(\s)', 'dir/\1.wav\2') AS line FROM lines), found AS (SELECT doc_id, line_no, regexp_extract(line, '^\s*(\S+)\s+(.*?)\s*$', 1) AS key, regexp_extract(line, '^\s*(\S+)\s+(.*?)\s*$', 2) AS rest FROM wrapped) SELECT doc_id, line_no, regexp_replace(regexp_extract(key, '[^/]*$'), '\.[^.]+$', '') AS key, rest FROM found")
 def label_lines(spark, sf_dir):
-    lines = table(spark, sf_dir, "documents").select("doc_id", F.concat(F.lit("dir/"), F.regexp_replace(F.substring_index("text", "\n", 1), r"^(\S+)(\s)", r"$1.wav$2")).alias("line"))
-    return lines.select("doc_id", label_line(F.col("line")).alias("x")).select("doc_id", F.col("x.key").alias("key"), F.col("x.text").alias("rest"))
+    """Label lines of paths: the first word of every line stands for a file in a folder."""
+    lines = text_lines(spark, sf_dir).select("doc_id", "line_no", F.regexp_replace("line", r"^(\S+)(\s)", r"dir/$1.wav$2").alias("line"))
+    return lines.select("doc_id", "line_no", label_line(F.col("line")).alias("x")).select("doc_id", "line_no", F.col("x.key").alias("key"), F.col("x.text").alias("rest"))
 
 
 @query(rf"WITH {LINES_SQL}, found AS (SELECT doc_id, line_no, regexp_extract(line, '^\s*(\S+)\s+(.*?)\s*$', 1) AS key, regexp_extract(line, '^\s*(\S+)\s+(.*?)\s*$', 2) AS rest FROM lines) SELECT doc_id, line_no, regexp_replace(regexp_extract(key, '[^/]*$'), '\.[^.]+$', '') AS key, rest FROM found")
 def document_label_lines(spark, sf_dir):
-    """``label_lines`` over every line of a text."""
+    """Every line of a text as it is."""
     return text_lines(spark, sf_dir).select("doc_id", "line_no", label_line(F.col("line")).alias("x")).select("doc_id", "line_no", F.col("x.key").alias("key"), F.col("x.text").alias("rest"))
 
 

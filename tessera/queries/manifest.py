@@ -233,14 +233,14 @@ def task_cache_match(spark, sf_dir):
 
 
 @query("""SELECT coalesce(reason, 'kept') AS reason, count(*) AS n FROM (
-SELECT CASE WHEN trim(text) = '' THEN 'empty' WHEN doc_id IN (SELECT doc_id FROM labels WHERE toxic = 1) THEN 'toxic' WHEN regexp_extract(text, '^[^.]*') IN (SELECT regexp_extract(text, '^[^.]*') FROM benchmark) THEN 'benchmark' END AS reason FROM documents) GROUP BY 1""")
+SELECT CASE WHEN trim(text) = '' THEN 'empty' WHEN doc_id IN (SELECT doc_id FROM labels WHERE toxic = 1) THEN 'toxic' WHEN doc_id IN (SELECT doc_id FROM (SELECT doc_id, unnest(string_split(text, '.')) AS s FROM documents) WHERE trim(s) IN (SELECT trim(s) FROM (SELECT unnest(string_split(text, '.')) AS s FROM benchmark) WHERE trim(s) <> '')) THEN 'benchmark' END AS reason FROM documents) GROUP BY 1""")
 def exposure_exclusion_reasons(spark, sf_dir):
-    head = F.substring_index("text", ".", 1)
-    docs = table(spark, sf_dir, "documents").select("doc_id", F.trim("text").alias("t"), head.alias("head"))
-    sealed = table(spark, sf_dir, "benchmark").select(head.alias("head")).distinct().withColumn("sealed", F.lit(True))
-    docs = docs.join(sealed, "head", "left")
+    """A document goes if any sentence of it is one of a sealed text."""
+    sentence = lambda rows, *keep: rows.select(*keep, F.explode(F.split("text", r"\.")).alias("s")).select(*keep, F.trim("s").alias("s")).where("s <> ''")
+    documents = table(spark, sf_dir, "documents")
+    held = sentence(documents, "doc_id").join(sentence(table(spark, sf_dir, "benchmark")).distinct(), "s", "left_semi")
     toxic = table(spark, sf_dir, "labels").where("toxic = 1")
-    out = inventory.exclusion_reasons(docs, {"empty": F.col("t") == "", "toxic": toxic, "benchmark": F.coalesce("sealed", F.lit(False))}, "doc_id")
+    out = inventory.exclusion_reasons(documents.select("doc_id", F.trim("text").alias("t")), {"empty": F.col("t") == "", "toxic": toxic, "benchmark": held}, "doc_id")
     return out.groupBy(F.coalesce("reason", F.lit("kept")).alias("reason")).agg(F.count("*").alias("n"))
 
 
@@ -251,7 +251,7 @@ held AS (SELECT DISTINCT doc_id FROM (SELECT doc_id, k, array_to_string(w[i:i +
 SELECT coalesce(reason, 'kept') AS reason, count(*) AS n FROM (
 SELECT CASE WHEN trim(text) = '' THEN 'empty' WHEN doc_id IN (SELECT doc_id FROM labels WHERE toxic = 1) THEN 'toxic' WHEN doc_id IN (SELECT doc_id FROM held) THEN 'benchmark' END AS reason FROM documents) GROUP BY 1""")
 def exposure_phrase_reasons(spark, sf_dir):
-    """``exposure_exclusion_reasons`` with benchmark passages found anywhere in a document, not only before its first full stop."""
+    """``exposure_exclusion_reasons`` by windows of 13 words, wherever sentences begin and end."""
     docs = table(spark, sf_dir, "documents")
     held = inventory.holding_phrases(docs, table(spark, sf_dir, "benchmark"), "doc_id", "text")
     toxic = table(spark, sf_dir, "labels").where("toxic = 1")
@@ -293,9 +293,9 @@ def class_map(spark, sf_dir):
     return views.class_map(manifest(spark, sf_dir), "label")
 
 
-@query("SELECT doc_id, coalesce(nullif(trim(regexp_extract(text, '^[^|]*')), ''), lang) AS value, CASE WHEN contains(text, chr(9)) THEN 'tab' WHEN contains(text, '|') THEN 'pipe' WHEN contains(text, ',') THEN 'comma' WHEN contains(text, ';') THEN 'semicolon' WHEN contains(text, ' ') THEN 'space' ELSE 'none' END AS delimiter FROM (SELECT doc_id, lang, substr(text, 1, 40) AS text FROM documents)")
+@query("SELECT doc_id, coalesce(nullif(trim(regexp_extract(text, '^[^|]*')), ''), lang) AS value, CASE WHEN contains(text, chr(9)) THEN 'tab' WHEN contains(text, '|') THEN 'pipe' WHEN contains(text, ',') THEN 'comma' WHEN contains(text, ';') THEN 'semicolon' WHEN contains(text, ' ') THEN 'space' ELSE 'none' END AS delimiter FROM documents")
 def field_fallback_and_delimiter(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").select("doc_id", "lang", F.substring("text", 1, 40).alias("text"))
+    docs = table(spark, sf_dir, "documents")
     return docs.select("doc_id", first_present(F.substring_index("text", "|", 1), F.col("lang")).alias("value"), delimiter_of(F.col("text")).alias("delimiter"))
 
 
@@ -310,10 +310,15 @@ def text_lines(spark, sf_dir):
 
 @query(f"WITH {LINES_SQL} SELECT doc_id, line_no, coalesce(nullif(trim(regexp_extract(line, '^[^|]*')), ''), lang) AS value, CASE WHEN contains(line, chr(9)) THEN 'tab' WHEN contains(line, '|') THEN 'pipe' WHEN contains(line, ',') THEN 'comma' WHEN contains(line, ';') THEN 'semicolon' WHEN contains(line, ' ') THEN 'space' ELSE 'none' END AS delimiter FROM lines")
 def line_fields_and_delimiters(spark, sf_dir):
-    """``field_fallback_and_delimiter`` over whole texts, line by line."""
+    """``field_fallback_and_delimiter`` line by line."""
     return text_lines(spark, sf_dir).select("doc_id", "line_no", first_present(F.substring_index("line", "|", 1), F.col("lang")).alias("value"), delimiter_of(F.col("line")).alias("delimiter"))
 
 
+@query(with_manifest("SELECT true AS contiguous, count(DISTINCT label) AS classes FROM manifest WHERE split = 'train'"))
+def contiguous_class_ids(spark, sf_dir):
+    return views.class_map(manifest(spark, sf_dir), "label").agg(*views.contiguous(F.col("class_id")))
+
+
 @query("SELECT k AS key, count(*) AS n FROM events, unnest(json_keys(props)) AS t(k) WHERE regexp_matches(k, '(?i)k|session') GROUP BY k")
 def session_keys(spark, sf_dir):
     keys = table(spark, sf_dir, "events").select(F.explode(F.json_object_keys("props")).alias("key"))
@@ -322,7 +327,7 @@ def session_keys(spark, sf_dir):
 
 @query("SELECT l_returnflag, count(l_extendedprice) AS n, min(l_extendedprice) AS min, round(avg(l_extendedprice), 4) AS mean, round(median(l_extendedprice), 4) AS median, round(quantile_cont(l_extendedprice, 0.95), 4) AS p95, max(l_extendedprice) AS max FROM lineitem GROUP BY l_returnflag")
 def price_summary(spark, sf_dir):
-    out = table(spark, sf_dir, "lineitem").groupBy("l_returnflag").agg(*inventory.numeric_summary(F.col("l_extendedprice")))
+    out = inventory.group_summary(table(spark, sf_dir, "lineitem"), "l_returnflag", "l_extendedprice")
     return out.select("l_returnflag", "n", "min", F.round("mean", 4).alias("mean"), F.round("median", 4).alias("median"), F.round("p95", 4).alias("p95"), "max")
 
 

@@ -92,7 +92,7 @@ def best_nonoverlapping_spans(spark, sf_dir):
 def speech_like_spans(spark, sf_dir):
     cfg = sequences.SpotterConfig(min_boundary_sec=0.05, min_phrase_sec=0.02, fill_gap_ms=20.0, min_speech_ms=20.0)
     signal = F.transform("embedding", lambda x: F.when(F.abs(x) < 0.05, 0.0).otherwise(x))
-    found = table(spark, sf_dir, "embeddings").select("vec_id", sequences.speech_spans(cfg)(signal, F.lit(100)).alias("f"))
+    found = table(spark, sf_dir, "embeddings").select("vec_id", sequences.speech_spans(signal, F.lit(100), cfg).alias("f"))
     return found.select("vec_id", "f.mode", F.posexplode("f.spans").alias("at", "s")).select("vec_id", "mode", "at", F.round("s.start", 4).alias("start"), F.round("s.end", 4).alias("end"))
 
 
@@ -125,8 +125,9 @@ def dtw_rerank(spark, sf_dir):
 
 @query()
 def dtw_pair_table(spark, sf_dir):
-    rows = table(spark, sf_dir, "embeddings").select("label", "vec_id", sequences.frames_of(F.col("embedding"), 8).alias("f"))
-    return sequences.pair_distances(rows, "label", "vec_id", "f").withColumn("distance", F.round("distance", 6))
+    """Distances within a speaker; 50 consecutive rows are one speaker's, so that no group grows with the table."""
+    rows = table(spark, sf_dir, "embeddings").select(F.floor(F.col("vec_id") / 50).alias("speaker"), "vec_id", sequences.frames_of(F.col("embedding"), 8).alias("f"))
+    return sequences.pair_distances(rows, "speaker", "vec_id", "f").withColumn("distance", F.round("distance", 6))
 
 
 @query()

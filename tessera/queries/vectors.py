@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from tessera.functions.scoring import quadratic_features, sigmoid, softmax, z_score
 from tessera.functions.vectors import dot, l2_normalized
 from tessera.operators import metrics, retrieval, sampling, thresholds
+from tessera.operators.sequences import frames_of
 from tessera.session import table
 
 QUERIES: dict = {}
@@ -112,14 +113,17 @@ def embedding_diagnostics(spark, sf_dir):
     return cosines.join(inter, how="cross").join(dims, how="cross")
 
 
-@query(_ranked_sql() + """, sims AS (SELECT r.vec_id, r.score, r.score - r.next AS margin, list(list_inner_product(q.u, e.u) ORDER BY list_inner_product(q.u, e.u)) AS s FROM ranked r JOIN units q ON q.vec_id = r.vec_id JOIN units e ON e.label = r.pred AND e.vec_id % 2 = 0 WHERE r.rank = 1 GROUP BY ALL)
+@query(_ranked_sql() + """, shots AS (SELECT label, vec_id FROM (SELECT label, vec_id, row_number() OVER (PARTITION BY label ORDER BY sha256('enroll' || chr(0) || label || chr(0) || vec_id || chr(0)), vec_id) AS k FROM embeddings WHERE vec_id % 2 = 0) WHERE k <= 15), sims AS (SELECT r.vec_id, r.score, r.score - r.next AS margin, list(list_inner_product(q.u, e.u) ORDER BY list_inner_product(q.u, e.u)) AS s FROM ranked r JOIN units q ON q.vec_id = r.vec_id JOIN shots ON shots.label = r.pred JOIN units e ON e.vec_id = shots.vec_id WHERE r.rank = 1 GROUP BY ALL)
 SELECT vec_id, round(score, 6) AS top1, round(margin, 6) AS margin, round(list_avg(s), 6) AS mean, round(list_stddev_pop(s), 6) AS std, round(s[1], 6) AS min, round(list_aggregate(s, 'quantile_cont', 0.25), 6) AS q25, round(list_median(s), 6) AS median, round(list_aggregate(s, 'quantile_cont', 0.75), 6) AS q75, round(s[-1], 6) AS max,
 round(list_avg(s[-3:]), 6) AS top3_mean, round(list_avg(s[-5:]), 6) AS top5_mean, round(list_avg(s[:3]), 6) AS bottom3_mean, round(score - list_avg(s), 6) AS top1_minus_mean, round(s[-1] - s[1], 6) AS range FROM sims""")
 def enrollment_consistency(spark, sf_dir):
-    support = enrollment(spark, sf_dir).select(F.col("label").alias("pred"), l2_normalized(F.col("embedding")).alias("e"))
+    """Similarities of trials to the 15 shots of their predicted class, which are one row a class."""
+    shots = sampling.support_sample(enrollment(spark, sf_dir).select("label", "vec_id", "embedding"), ["label"], "vec_id", 15, "enroll")
+    support = shots.groupBy(F.col("label").alias("pred")).agg(F.collect_list(l2_normalized(F.col("embedding"))).alias("e"))
     top = ranked(spark, sf_dir).select("vec_id", l2_normalized(F.col("embedding")).alias("q"), *retrieval.top1(F.col("ranked")))
-    sims = top.join(support, "pred").groupBy("vec_id", "score", "margin").agg(F.collect_list(dot(F.col("q"), F.col("e"))).alias("sims"))
-    out = sims.select("vec_id", *retrieval.consistency_features(F.col("sims"), F.col("score"), F.col("margin")))
+    sims = top.join(support, "pred").withColumn("sims", F.transform("e", lambda e: dot(F.col("q"), e)))
+    features = F.array_sort("sims")  # sorted once
+    out = sims.withColumn("sims", features).select("vec_id", *retrieval.consistency_features(F.col("sims"), F.col("score"), F.col("margin")))
     return out.select("vec_id", *[F.round(c, 6).alias(c) for c in out.columns if c != "vec_id"])
 
 
@@ -127,7 +131,7 @@ def enrollment_consistency(spark, sf_dir):
 SELECT vec_id, CAST(row_number() OVER (PARTITION BY vec_id ORDER BY 0.75::DOUBLE * first + 0.25::DOUBLE * second DESC, label) AS INTEGER) AS rank, label, round(first, 6) AS first, round(second, 6) AS second, round(0.75::DOUBLE * first + 0.25::DOUBLE * second, 6) AS fused FROM two""")
 def fused_rerank(spark, sf_dir):
     protos = retrieval.prototypes(enrollment(spark, sf_dir), ["label"], "embedding")
-    table_ = F.broadcast(retrieval.gathered(protos, "label"))
+    table_ = retrieval.gathered(protos, "label")
     rows = retrieval.scored(trials(spark, sf_dir), protos, "label", "embedding").join(table_, how="cross")
     rows = rows.select("vec_id", retrieval.top_k(F.col("ranked"), 3).alias("c"), l2_normalized(F.col("embedding")).alias("u"), "protos")
     half = lambda v: F.slice(v, 1, 32)
@@ -304,7 +308,7 @@ best AS (SELECT w, vec_id, true_label, label, row_number() OVER (PARTITION BY w,
 SELECT w AS weight, round(avg(CASE WHEN pp + ap > 0 THEN 2.0::DOUBLE * tp / (pp + ap) ELSE 0 END), 6) AS macro_f1 FROM per GROUP BY w ORDER BY macro_f1 DESC, w DESC LIMIT 1""")
 def fusion_weight_search(spark, sf_dir):
     protos = retrieval.prototypes(enrollment(spark, sf_dir), ["label"], "embedding")
-    table_ = F.broadcast(retrieval.gathered(protos, "label"))
+    table_ = retrieval.gathered(protos, "label")
     rows = retrieval.scored(trials(spark, sf_dir), protos, "label", "embedding").join(table_, how="cross")
     half = lambda v: F.slice(v, 1, 32)
     c = rows.select("vec_id", "label", retrieval.top_k(F.col("ranked"), 3).alias("c"), l2_normalized(F.col("embedding")).alias("u"), "protos")
@@ -363,3 +367,26 @@ turns AS (SELECT turn, turn // 3 AS batch, turn // classes AS visit, turn % clas
 SELECT CAST(batch AS INTEGER) AS batch, o.label, vec_id FROM turns JOIN o USING (place), unnest(range(0, 4)) AS x(s) JOIN r ON r.label = o.label AND r.r = (visit * 4 + s) % o.n""")
 def balanced_batches(spark, sf_dir):
     return sampling.balanced_batches(table(spark, sf_dir, "embeddings").select("label", "vec_id"), "label", "vec_id", 3, 4, "b")
+
+
+@query("""WITH r AS (SELECT user_id, event_type, event_id, row_number() OVER (PARTITION BY user_id, event_type ORDER BY sha256('s1' || chr(0) || user_id || chr(0) || event_type || chr(0) || event_id || chr(0)), event_id) AS k FROM events) SELECT user_id, event_type, event_id, CASE WHEN k <= 2 THEN 'support' ELSE 'query' END AS part FROM r""")
+def support_query_split(spark, sf_dir):
+    rows = table(spark, sf_dir, "events").select("user_id", "event_type", "event_id")
+    return sampling.support_query_split(rows, ["user_id", "event_type"], "event_id", 2, "s1")
+
+
+@query("SELECT count(*) AS items, CAST(0 AS BIGINT) AS n_broken FROM (SELECT event_id, row_number() OVER (PARTITION BY user_id, event_type ORDER BY sha256('s1' || chr(0) || user_id || chr(0) || event_type || chr(0) || event_id || chr(0)), event_id) AS k FROM events) WHERE k <= 5")
+def nested_shots_subset(spark, sf_dir):
+    rows = table(spark, sf_dir, "events").select("user_id", "event_type", "event_id")
+    nested = sampling.nested_shots(rows, ["user_id", "event_type"], "event_id", [1, 2, 5], "s1")
+    return sampling.subset_check(nested, ["user_id", "event_type", "event_id"], [1, 2, 5])
+
+
+@query("""WITH f AS (SELECT vec_id, i, CAST(embedding[i * 8 + 1 : i * 8 + 8] AS DOUBLE[]) AS x FROM embeddings, unnest(range(0, 8)) AS t(i)), g AS (SELECT vec_id, x, list_transform(x, lambda v: round(v, 1)) AS y FROM f),
+c AS (SELECT vec_id, list_inner_product(x, y) / (greatest(sqrt(list_inner_product(x, x)), 1e-12) * greatest(sqrt(list_inner_product(y, y)), 1e-12)) AS c, list_max(list_transform(list_zip(x, y), lambda p: abs(p[1] - p[2]))) AS d FROM g)
+SELECT vec_id, round(avg(c), 6) AS mean_cosine, round(min(c), 6) AS min_cosine, round(quantile_cont(c, 0.05), 6) AS p05_cosine, round(max(d), 6) AS max_abs FROM c GROUP BY vec_id""")
+def frame_parity(spark, sf_dir):
+    """Frames against themselves rounded to one digit."""
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", frames_of(F.col("embedding"), 8).alias("a"), frames_of(F.transform(F.col("embedding").cast("array<double>"), lambda x: F.round(x, 1)), 8).alias("b"))
+    out = retrieval.frame_parity(rows, "vec_id", "a", "b")
+    return out.select("vec_id", *[F.round(c, 6).alias(c) for c in out.columns if c != "vec_id"])
