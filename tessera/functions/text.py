@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import unicodedata
 
 import pandas as pd
@@ -37,6 +38,33 @@ def first_present(*fields: Column) -> Column:
     return F.coalesce(*[blank_to_null(f) for f in fields])
 
 
+def first_present_or_meta(row_fields: list[str], meta: str, keys: tuple[str, ...]) -> Column:
+    """The first field of the row that is present, else the first present key of its nested map."""
+    return first_present(*[F.col(f) for f in row_fields], *[F.try_element_at(F.col(meta), F.lit(k)) for k in keys])
+
+
+@F.pandas_udf(T.ArrayType(T.StringType()))
+def flattened_keys(texts: pd.Series) -> pd.Series:
+    """Dotted paths of all keys of a JSON object, nested ones and those of objects in lists included, sorted; none for other text."""
+
+    def paths(text: str | None) -> list[str]:
+        try:
+            left = [("", json.loads(text))]
+        except (TypeError, ValueError, RecursionError):
+            return []
+        found = set()
+        while left:
+            prefix, value = left.pop()
+            if isinstance(value, dict):
+                found |= {f"{prefix}{k}" for k in value}
+                left += [(f"{prefix}{k}.", v) for k, v in value.items()]
+            elif isinstance(value, list):
+                left += [(prefix, v) for v in value]
+        return sorted(found)
+
+    return texts.map(paths)
+
+
 def dataset_of(dataset: Column, utt_id: Column) -> Column:
     """The dataset field, or what stands before the colon of a qualified id."""
     qualified = F.when(utt_id.contains(":"), F.substring_index(utt_id, ":", 1))

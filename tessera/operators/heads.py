@@ -22,6 +22,25 @@ def fit_head(rows: DataFrame, features: str, label: str, l2: float = 1e-2, weigh
     return (model.setWeightCol(weight) if weight else model).fit(data)
 
 
+def with_positive_weight(rows: DataFrame, label: str, out: str = "weight") -> DataFrame:
+    """Weight of a positive row (label 1): negatives by positives, at least 1 positive; other rows weigh 1."""
+    counts = rows.agg(F.count_if(F.col(label) == 1).alias("__p"), F.count_if(F.col(label) != 1).alias("__q"))
+    w = F.when(F.col(label) == 1, F.col("__q") / F.greatest(F.col("__p"), F.lit(1))).otherwise(1.0)
+    return rows.join(F.broadcast(counts), how="cross").withColumn(out, w).drop("__p", "__q")
+
+
+def fit_ranker(candidates: DataFrame, features: str, relevant: str, l2: float = 1e-2) -> LogisticRegressionModel:
+    """A logistic ranker of candidates (one row each), where the rare right candidates weigh as much as all others."""
+    return fit_head(with_positive_weight(candidates, relevant), features, relevant, l2)
+
+
+def best_candidates(model: LogisticRegressionModel, candidates: DataFrame, query: str, label: str, features: str) -> DataFrame:
+    """Per query the candidate of the greatest probability, ties to the smaller label."""
+    p = head_probabilities(model, candidates, features).withColumn("p", F.element_at("probabilities", 2))
+    best = F.min_by(F.struct(label, "p"), F.struct((-F.col("p")).alias("m"), F.col(label)))
+    return p.groupBy(query).agg(best.alias("b")).select(query, "b.*")
+
+
 def head_probabilities(model: LogisticRegressionModel, rows: DataFrame, features: str, out: str = "probabilities") -> DataFrame:
     data = rows.withColumn("__x", array_to_vector(F.col(features).cast("array<double>")))
     drop = ["__x", model.getRawPredictionCol(), model.getProbabilityCol(), model.getPredictionCol()]

@@ -174,6 +174,18 @@ def must_match(left: DataFrame, right: DataFrame, keys: list[str], equal: list[s
     return checked.drop("__found", *[f"__{c}" for c in equal])
 
 
+def covered(wanted: DataFrame, rows: DataFrame, key: str, unique: bool = False) -> DataFrame:
+    """Rows of the wanted keys; running it fails where a wanted key has no row or, with ``unique``, more than one."""
+    ids = wanted.where(F.col(key).isNotNull()).select(key).distinct()
+    held = ids.join(rows.withColumn("__found", F.lit(True)), key, "left")
+    bad, why = F.col("__found").isNull(), F.lit("no row for ")
+    if unique:
+        held = held.withColumn("__n", F.count("*").over(Window.partitionBy(key)))
+        bad, why = bad | (F.col("__n") > 1), F.when(F.col("__found").isNull(), "no row for ").otherwise("several rows for ")
+    ok = F.when(~bad, True).otherwise(F.raise_error(F.concat(why, F.col(key).cast("string"))).cast("boolean"))
+    return held.where(ok).select(*rows.columns)
+
+
 def match_report(left: DataFrame, right: DataFrame, keys: list[str], equal: list[str]) -> DataFrame:
     """One row: left rows, matched, missing, and matched rows whose columns differ."""
     marked = right.select(*keys, *[F.col(c).alias(f"__{c}") for c in equal], F.lit(True).alias("__found"))
@@ -274,6 +286,17 @@ def nested_counts(rows: DataFrame, key: str, inner: str) -> DataFrame:
     return counts.groupBy(key).agg(F.sum("n").alias("n"), F.array_join(F.transform(F.array_sort(F.collect_list(pair)), lambda p: F.concat_ws("=", p["k"], p["n"].cast("string"))), ",").alias("by_inner"))
 
 
+def shot_readiness(rows: DataFrame, speaker: str, label: str, shots: list[int], classes: int) -> DataFrame:
+    """Per shot: speakers with two labels that leave a query, speakers for whom all ``classes`` labels do, pairs of the
+    former and their share of all pairs of speaker and class. Shots that no pair reaches have zeros."""
+    pairs = rows.where(F.col(speaker).isNotNull() & F.col(label).isNotNull()).groupBy(F.col(speaker).alias("s"), F.col(label).alias("l")).agg(F.count("*").alias("n"))
+    each = pairs.select("s", "n", F.explode(F.array(*[F.lit(k) for k in shots])).alias("shot"))
+    by_speaker = each.groupBy("shot", "s").agg(n_if(F.col("n") >= F.col("shot") + 1).alias("labels"))
+    two = F.col("labels") >= 2
+    out = by_speaker.groupBy("shot").agg(n_if(two).alias("episode_speakers"), n_if(F.col("labels") == classes).alias("full_speakers"), F.sum(F.when(two, F.col("labels")).otherwise(0)).alias("eligible_pairs"), (F.count("*") * classes).alias("all_pairs"))
+    return out.select("*", F.coalesce(F.try_divide("eligible_pairs", "all_pairs"), F.lit(0.0)).alias("eligible_fraction"))
+
+
 def shot_feasibility(rows: DataFrame, speaker: str, label: str, shots: list[int]) -> DataFrame:
     """Per shot: pairs with a query left over, speakers with two such labels, queries left, medians."""
     pairs = rows.groupBy(speaker, label).agg(F.count("*").alias("n"))

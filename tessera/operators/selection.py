@@ -84,8 +84,22 @@ def bounded_examples(rows: DataFrame, group: str, value: str, n: int) -> DataFra
     return top.groupBy(group).agg(F.array_join(F.transform(F.array_sort(F.collect_list(value)), lambda x: x.cast("string")), ",").alias("examples"))
 
 
+def pareto_cells(cells: DataFrame, keys: list[str], gain: str, guard: str, least_guard: float, least_gain: float) -> DataFrame:
+    """The cells themselves: 'best_gain' (subject to the guard), 'best_guard' (subject to the gain) and 'nearest' (least miss of both limits).
+
+    Ties go to the other value, then to the smaller keys. A limit that no cell meets has no row.
+    """
+    g, r = F.col(gain), F.col(guard)
+    miss = F.greatest(F.lit(0.0), F.lit(least_gain) - g) + F.greatest(F.lit(0.0), F.lit(least_guard) - r)
+    cell = F.struct(*keys, gain, guard, miss.alias("miss"))
+    kinds = {"best_gain": (r >= least_guard, [-g, -r]), "best_guard": (g >= least_gain, [-r, -g]), "nearest": (F.lit(True), [miss, -g, -r])}
+    first = [F.min_by(F.when(ok, cell), F.when(ok, F.struct(*[k.alias(f"o{i}") for i, k in enumerate(order)], *keys))).alias(n) for n, (ok, order) in kinds.items()]
+    rows = cells.agg(*first).select(F.inline(F.array(*[F.struct(F.lit(n).alias("kind"), F.col(n).alias("cell")) for n in kinds])))
+    return rows.where(F.col("cell").isNotNull()).select("kind", "cell.*")
+
+
 def pareto_limits(cells: DataFrame, gain: str, guard: str, least_guard: float, least_gain: float) -> DataFrame:
-    """Best gain subject to the guard, best guard subject to the gain, and the cell nearest to both."""
+    """Best gain subject to the guard, best guard subject to the gain, and the least miss of both; ``pareto_cells`` returns the cells."""
     g, r = F.col(gain), F.col(guard)
     miss = F.greatest(F.lit(0.0), F.lit(least_gain) - g) + F.greatest(F.lit(0.0), F.lit(least_guard) - r)
     return cells.agg(F.max(F.when(r >= least_guard, g)).alias("best_gain"), F.max(F.when(g >= least_gain, r)).alias("best_guard"), F.min(miss).alias("least_miss"))

@@ -64,6 +64,40 @@ def at_known_rejects(rows: DataFrame, score: str, known: Column, limit: float =
     return best_threshold(t, kr <= limit + EPS, [ur, -kr, F.col("t")], {"known_reject": kr, "unknown_reject": ur}, by)
 
 
+def held_out_thresholds(rows: DataFrame, group: str, score: str, known: Column, right: Column, limit: float = 0.1, digits: int = 3) -> DataFrame:
+    """For each group a threshold calibrated on all other groups (as ``at_false_accepts``), and the group's own rates at it.
+
+    Counts of the others are the whole table's less the group's own, cumulated over rounded scores. So a group has as
+    many rows as there are rounded scores, which ``digits`` bounds, whatever the number of rows or other groups.
+    """
+    kinds = {"correct": known & right, "wrong": known & ~right, "unknown": ~known}
+    per = rows.where(F.col(group).isNotNull() & F.col(score).isNotNull()).groupBy(group, F.round(F.col(score), digits).alias("t")).agg(*[F.count_if(c).alias(n) for n, c in kinds.items()])
+    whole = per.groupBy("t").agg(*[F.sum(n).alias(n) for n in kinds])
+    line = whole.agg(F.collect_list(F.struct("t", *kinds)).alias("line"))  # one row of rounded scores
+    entry = lambda t, *counts: F.struct(t.alias("t"), *[c.alias(n) for c, n in zip(counts, kinds, strict=True)])
+    zero = [F.lit(0).cast("long")] * len(kinds)
+    ends = F.array(*[entry(F.lit(float(x)), *zero) for x in ("-inf", "inf")])
+    groups = per.select(group).distinct().join(line, how="cross").select(group, F.inline(F.concat("line", ends)))
+    own = per.select(group, "t", *[F.col(n).alias(f"own_{n}") for n in kinds])
+    grid = groups.join(own, [group, "t"], "left").na.fill(0, [f"own_{n}" for n in kinds])
+    falling = Window.partitionBy(group).orderBy(F.desc("t")).rowsBetween(Window.unboundedPreceding, 0)
+    every = Window.partitionBy(group)
+    sums = {}
+    for n in kinds:
+        rest = F.col(n) - F.col(f"own_{n}")
+        sums |= {f"c_{n}": F.sum(rest).over(falling), f"all_{n}": F.sum(rest).over(every), f"h_{n}": F.sum(f"own_{n}").over(falling), f"held_{n}": F.sum(f"own_{n}").over(every)}
+    table = grid.select(group, "t", *[c.alias(n) for n, c in sums.items()])
+
+    def rates(now: str, total: str) -> list[Column]:
+        n = F.col(f"{total}_correct") + F.col(f"{total}_wrong")
+        return [ratio(F.col(f"{now}_correct"), n), ratio(F.col(f"{now}_wrong"), n), ratio(F.col(f"{now}_unknown"), F.col(f"{total}_unknown"))]
+
+    ca, wi, far = rates("c", "all")
+    names = ("correct_accept", "wrong_intent", "false_accept")
+    out = dict(zip(names, (ca, wi, far), strict=True)) | {f"held_{n}": c for n, c in zip(names, rates("h", "held"), strict=True)}
+    return best_threshold(table, far <= limit + EPS, [ca, -wi, -far, F.col("t")], out, [group])
+
+
 def quantile_grid(rows: DataFrame, column: str, steps: int, digits: int = 6, margin: float = 1e-6) -> list[float]:
     """Distinct quantiles of a column and a value beyond either end: a list of bounded length."""
     q = rows.agg(F.percentile(F.round(column, digits), F.array(*[F.lit(i / steps) for i in range(steps + 1)]))).first()[0]

@@ -103,6 +103,23 @@ def contiguous(ids: Column) -> list[Column]:
     return [((F.min(ids) == 0) & (F.max(ids) == F.count_distinct(ids) - 1)).alias("contiguous"), F.count_distinct(ids).alias("classes")]
 
 
+# The type of each outcome that counts as a failure. Confirming an unknown query is none.
+FAILURES = {
+    "known_wrong_accept": "KNOWN_WRONG_ACCEPT",
+    "known_confirm": "KNOWN_CONFIRM",
+    "known_reject": "KNOWN_REJECT",
+    "unknown_accept": "UNKNOWN_FALSE_ACCEPT",
+}
+
+
+def failure_rows(rows: DataFrame, known: Column, status: Column, predicted: Column, true: Column, top: Column | None = None) -> DataFrame:
+    """Failed decisions with their type, and whether the first candidate was right for all that (known queries only)."""
+    group = outcome_group(known, status, predicted, true)
+    table = F.create_map(*[F.lit(x) for pair in FAILURES.items() for x in pair])
+    ranked_right = known & F.coalesce((predicted if top is None else top) == true, F.lit(False))
+    return rows.withColumns({"failure": F.try_element_at(table, group), "ranking_correct": ranked_right}).where(F.col("failure").isNotNull())
+
+
 def outcome_group(known: Column, status: Column, predicted: Column, true: Column) -> Column:
     """Outcome of a decision: correct or wrong accept, confirm or reject of a known query, or false accept and reject of an unknown one."""
     return (

@@ -55,6 +55,13 @@ def read_task_rows(spark: SparkSession, path: str, label_order: tuple[str, ...]
     return rows.select("utt_id", dataset_of(F.col("dataset"), F.col("utt_id")).alias("dataset"), first_present(*[F.col(c) for c in label_order]).alias("label"), "split", blank_to_null(F.col("speaker_id")).alias("speaker_id"), blank_to_null(F.col("sample_hash")).alias("sample_hash"))
 
 
+def read_unique_task_rows(spark: SparkSession, path: str, **options) -> DataFrame:
+    """``read_task_rows``; fails now if a (dataset, utt_id) occurs twice."""
+    rows = read_task_rows(spark, path, **options)
+    assert_empty(duplicate_keys(rows, "dataset", "utt_id"), "duplicate task rows")
+    return rows
+
+
 INDEX = T.StructType([T.StructField(n, T.StringType()) for n in ("dataset", "utt_id", "split", "sample_hash", "shard")] + [T.StructField(n, T.LongType()) for n in ("row_in_shard", "start_frame", "end_frame", "frame_count", "hidden_dim")])
 
 
@@ -65,6 +72,17 @@ def read_cache_index(spark: SparkSession, path: str) -> DataFrame:
     return rows
 
 
+TEMPORAL = T.StructType([T.StructField("utt_id", T.StringType()), T.StructField("cache_relpath", T.StringType()), T.StructField("frames", T.LongType())])
+
+
+def read_temporal_index(spark: SparkSession, folder: str) -> DataFrame:
+    """The index of a temporal cache, with the path of each entry's file; fails now if an utt_id occurs twice."""
+    base = f"{folder.rstrip('/')}/temporal"
+    rows = read_jsonl(spark, f"{base}/index.jsonl", TEMPORAL)
+    assert_empty(duplicate_keys(rows, "utt_id"), "duplicate index keys")
+    return rows.withColumn("path", F.concat(F.lit(f"{base}/"), "cache_relpath"))
+
+
 def utterance_frames(frames: DataFrame, index: DataFrame) -> DataFrame:
     """Frame rows (shard, frame_idx, vec) of each indexed utterance: an equi-join on shard, then the range."""
     i = index.select("utt_id", "shard", "start_frame", "end_frame")
@@ -85,9 +103,18 @@ def append_metrics(rows: DataFrame, path: str) -> None:
     rows.write.mode("append").json(path)
 
 
+def _parsed(text: str) -> dict:
+    try:
+        return json.loads(text)
+    except json.JSONDecodeError:
+        import yaml
+
+        return yaml.safe_load(text)
+
+
 def expand_sweep(spark: SparkSession, config: str | dict) -> DataFrame:
-    """Unique (backbone, hidden_layer) candidates of a sweep configuration (JSON text or a mapping)."""
-    payload = json.loads(config) if isinstance(config, str) else config
+    """Unique (backbone, hidden_layer) candidates of a sweep configuration: a mapping, JSON text, or YAML text where PyYAML is installed."""
+    payload = _parsed(config) if isinstance(config, str) else config
     rows = [(b["name"], int(layer)) for b in payload["backbones"] for layer in b["hidden_layers"]]
     if len(set(rows)) != len(rows):
         raise ValueError("duplicate candidates")
@@ -122,13 +149,28 @@ def write_views(manifest: DataFrame, views: dict[str, Callable[[DataFrame], Data
         held.unpersist()
 
 
-def save_memory(memory: DataFrame, path: str) -> None:
-    """User memories (user_id, intent_id, canonical_text, example_no, global, temporal), one folder per user."""
-    memory.write.partitionBy("user_id").mode("errorifexists").parquet(path)
+#: Folders of saved memories; a user's rows lie in one of them.
+MEMORY_BUCKETS = 256
+
+
+def _memory_bucket(user_id: Column, buckets: int) -> Column:
+    return F.pmod(F.xxhash64(user_id.cast("string")), F.lit(buckets)).cast("int")
+
+
+def save_memory(memory: DataFrame, path: str, buckets: int = MEMORY_BUCKETS) -> None:
+    """User memories (user_id, intent_id, canonical_text, example_no, global, temporal), in folders by a hash of the user.
+
+    The number of folders is fixed, so millions of users do not make as many; within a file rows are sorted by user.
+    """
+    rows = memory.withColumn("user_bucket", _memory_bucket(F.col("user_id"), buckets))
+    rows.repartition("user_bucket").sortWithinPartitions("user_bucket", "user_id").write.partitionBy("user_bucket").mode("errorifexists").parquet(path)
 
 
-def load_memory(spark: SparkSession, path: str, dims: int) -> DataFrame:
-    """Saved memories, checked again as when they were enrolled."""
+def load_memory(spark: SparkSession, path: str, dims: int, user: str | None = None, buckets: int = MEMORY_BUCKETS) -> DataFrame:
+    """Saved memories, checked again as when they were enrolled; with ``user``, only that user's folder is read."""
     from tessera.plans.recognition import checked_enrollment
 
-    return checked_enrollment(spark.read.parquet(path).withColumn("user_id", F.col("user_id").cast("string")), dims)
+    rows = spark.read.parquet(path).withColumn("user_id", F.col("user_id").cast("string"))
+    if user is not None:
+        rows = rows.where((F.col("user_bucket") == _memory_bucket(F.lit(user), buckets)) & (F.col("user_id") == user))
+    return checked_enrollment(rows.drop("user_bucket"), dims)

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.functions.text import file_stem, label_line
+from tessera.functions.text import blank_to_null, file_stem, label_line
 from tessera.operators.inventory import assert_disjoint, assert_empty, duplicate_keys
 
 
@@ -100,14 +102,65 @@ def audio_paths(rows: DataFrame, catalog: DataFrame) -> DataFrame:
     return found.select(*rows.columns, F.coalesce("audio_relpath", from_id, "__path").alias("audio"), F.col("__path").isNotNull().alias("in_catalog"))
 
 
+def audio_sources(rows: DataFrame, files: DataFrame) -> DataFrame:
+    """Rows with ``audio`` (an existing file, or null), ``resolution`` and ``problem``.
+
+    ``rows`` have utt_id, audio_relpath and split; ``files`` is a listing. An explicit path comes first, then a
+    qualified id's path, then the stem of a plain id. What is found must lie in a folder named after the row's split.
+    ``problem`` is null, 'no_audio_field' (no path and no id), 'unresolved', 'ambiguous_stem' or 'split_mismatch'.
+    """
+    explicit = blank_to_null(F.col("audio_relpath"))
+    qualified = F.when(F.col("utt_id").contains(":"), F.regexp_replace("utt_id", "^[^:]*:", ""))
+    relative = F.replace(F.coalesce(explicit, qualified), F.lit("\\"), F.lit("/"))
+    kind = F.when(explicit.isNotNull(), "explicit_path").when(qualified.isNotNull(), "qualified_id").when(blank_to_null(F.col("utt_id")).isNotNull(), "catalog")
+    keyed = rows.withColumn("resolution", kind).withColumn("__rel", relative).withColumn("__stem", F.when(relative.isNull(), file_stem(F.col("utt_id"))))
+    by_path = files.select(F.col("relpath").alias("__rel"), F.col("path").alias("__at_path"), F.col("parts").alias("__path_parts"))
+    by_stem = files.groupBy(F.col("stem").alias("__stem")).agg(F.count("*").alias("__n"), F.min_by(F.struct("path", "parts"), F.col("path")).alias("__one"))
+    found = keyed.join(by_path, "__rel", "left").join(by_stem, "__stem", "left")
+    path, parts = F.coalesce("__at_path", "__one.path"), F.coalesce("__path_parts", "__one.parts")
+    in_split = F.exists(parts, lambda p: F.lower(p) == F.lower("split"))
+    problem = (
+        F.when(F.col("resolution").isNull(), "no_audio_field")
+        .when(path.isNull(), "unresolved")
+        .when(F.col("__at_path").isNull() & (F.col("__n") > 1), "ambiguous_stem")
+        .when(~F.coalesce(in_split, F.lit(False)), "split_mismatch")
+    )
+    return found.withColumn("problem", problem).select(*rows.columns, "resolution", F.when(F.col("problem").isNull(), path).alias("audio"), "problem")
+
+
+def checked_audio(rows: DataFrame, files: DataFrame) -> DataFrame:
+    """``audio_sources`` of which running any row fails that has a problem."""
+    found = audio_sources(rows, files)
+    message = F.concat_ws(" ", F.lit("audio of"), "utt_id", "problem")
+    return found.where(F.when(F.col("problem").isNull(), True).otherwise(F.raise_error(message).cast("boolean"))).drop("problem")
+
+
+def unresolved_audio(rows: DataFrame, files: DataFrame) -> DataFrame:
+    """The side output of ``audio_sources``: rows without usable audio, and why."""
+    return audio_sources(rows, files).where(F.col("problem").isNotNull()).drop("audio")
+
+
+def _qualified(spark: SparkSession, path: str) -> str:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    uri = p.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(p).toUri().toString()
+    return re.sub("^file:/+", "file:/", uri)
+
+
 def plausible_manifest(spark: SparkSession, paths: list[str], required: tuple[str, ...], min_rows: int = 1) -> str:
-    """The one manifest file that has the required fields and the most rows; a tie is refused rather than guessed."""
-    scored = []
-    for p in paths:
-        df = spark.read.json(p)
-        if set(required) <= set(df.columns):
-            scored.append((df.count(), p))
-    scored = sorted((s for s in scored if s[0] >= min_rows), reverse=True)
+    """The one manifest file or folder that has the required fields and the most rows; a tie is refused rather than guessed.
+
+    All candidates are read in one job; a file has a field if any of its lines has that key.
+    """
+    at = F.regexp_replace(F.col("_metadata.file_path"), "^file:/+", "file:/")
+    candidate = F.lit(None).cast("int")
+    for i, p in enumerate(paths):
+        uri = _qualified(spark, p).rstrip("/")
+        candidate = F.when((at == uri) | at.startswith(f"{uri}/"), i).otherwise(candidate)
+    lines = spark.read.text(paths).select(candidate.alias("i"), "value").where(F.trim("value") != "")
+    keys = F.json_object_keys("value")
+    has = [F.bool_or(F.coalesce(F.array_contains(keys, k), F.lit(False))).alias(f"has_{n}") for n, k in enumerate(required)]
+    counts = lines.groupBy("i").agg(F.count("*").alias("n"), *has).collect()  # one row a candidate
+    scored = sorted(((r["n"], paths[r["i"]]) for r in counts if r["n"] >= min_rows and all(r[2:])), reverse=True)
     if not scored:
         raise FileNotFoundError("no plausible manifest")
     if len(scored) > 1 and scored[0][0] == scored[1][0]:
