@@ -67,6 +67,7 @@ pairs AS (SELECT vec_id, units.label, protos.label AS pred, list_inner_product(u
 ranked AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY score DESC, pred) AS rank, lead(score) OVER (PARTITION BY vec_id ORDER BY score DESC, pred) AS next FROM pairs)"""
 
 
+RANKED_SQL = _ranked_sql()
 SCORES_SQL = _ranked_sql(True) + f""",
 scores AS (SELECT vec_id, label, CASE WHEN substr(sha256('cal:' || vec_id), 1, 1) < '8' THEN 'cal' ELSE 'score' END AS part, pred, round(score, 6) AS score, round(score - next, 6) AS margin, label < {REGISTERED} AS known, label < {REGISTERED} AND label = pred AS "right" FROM ranked WHERE rank = 1)"""
 
