@@ -6,7 +6,8 @@ touches. Splitting starts again at the last pre-token that the edit, or the few
 characters a split may look ahead, cannot have changed, and stops at the first
 new pre-token that begins where an old one began after the edit: from there on
 the split depends only on unchanged text. Only pre-tokens in between are encoded
-and the sums above them updated.
+and the sums above them updated. The touched blocks share what they then hold; if
+that is more than ``MOST`` each, they are cut into new blocks.
 
 Documents carry their own edits, applied in order, so nothing is shuffled.
 Positions are code points; a position or length beyond the text is cut to it.
@@ -28,6 +29,8 @@ from tessera.llm.textbytes import slices, small_batches
 
 #: Pre-tokens of a block at first.
 BLOCK = 32
+#: Pre-tokens that a block may hold after edits.
+MOST = 256
 #: Characters beyond a pre-token's end that its split may depend on, and one to spare.
 LOOKAHEAD = 3
 
@@ -50,6 +53,10 @@ class TokenTree:
         self.blocks: list = list(zip(first.tolist(), np.append(first[1:], len(counts)).tolist(), strict=True)) if len(counts) else [([], [])]
         chars = np.diff(np.append(starts[first], len(text))).tolist() if len(counts) else [0]
         tokens = np.add.reduceat(counts, first).tolist() if len(counts) else [0]
+        self._sum_up(chars, tokens)
+
+    def _sum_up(self, chars: list[int], tokens: list[int]) -> None:
+        """The tree over the sums of all blocks."""
         self.size = 1 << (len(self.blocks) - 1).bit_length()
         pad = [0] * (self.size - len(self.blocks))
         self.chars, self.tokens = [0] * self.size + chars + pad, [0] * self.size + tokens + pad
@@ -85,6 +92,20 @@ class TokenTree:
             self.chars[i] = self.chars[2 * i] + self.chars[2 * i + 1]
             self.tokens[i] = self.tokens[2 * i] + self.tokens[2 * i + 1]
 
+    def _deal(self, low: int, high: int, pieces: list[str], counts: list[int]) -> None:
+        """Gives blocks ``low`` to ``high`` even shares of what they hold, or puts more blocks in their place."""
+        share = max(BLOCK, -(-len(pieces) // (high - low + 1)))
+        if share <= MOST:
+            for k, b in enumerate(range(low, high + 1)):
+                self._replace(b, pieces[k * share : (k + 1) * share], counts[k * share : (k + 1) * share])
+            return
+        new = [(pieces[k : k + BLOCK], counts[k : k + BLOCK]) for k in range(0, len(pieces), BLOCK)]
+        leaves = [side[self.size : self.size + len(self.blocks)] for side in (self.chars, self.tokens)]
+        self.blocks[low : high + 1] = new
+        leaves[0][low : high + 1] = [sum(map(len, p)) for p, _ in new]
+        leaves[1][low : high + 1] = [sum(c) for _, c in new]
+        self._sum_up(*leaves)
+
     def edit(self, start: int, removed: int, added: str) -> None:
         """Replaces ``removed`` characters from ``start`` by ``added``."""
         start = min(max(start, 0), self.chars[1])
@@ -147,9 +168,7 @@ class TokenTree:
             done = stop
         self.encoded += len(new)
         pieces[keep:after], counts[keep:after] = new, self.encode(new)
-        self._replace(low, pieces, counts)
-        for b in range(low + 1, high + 1):
-            self._replace(b, [], [])
+        self._deal(low, high, pieces, counts)
 
     def text_now(self) -> str:
         return "".join(p for b in range(len(self.blocks)) for p in self.block(b)[0])

@@ -5,7 +5,7 @@ import pyarrow as pa
 from pyspark.sql import functions as F
 
 from tests.llm.fixtures import documents, with_clashes
-from tessera.llm.edit_counts import count_after_edits, edited_counts
+from tessera.llm.edit_counts import MOST, TokenTree, count_after_edits, edited_counts
 from tessera.llm.fixity import audit_hashes, audit_replicas, page_hashes
 from tessera.llm.pretokens import default_tokenizer_path, load_tokenizer
 from tessera.llm.topk import Best, SortedLists, quantized, threshold_topk
@@ -151,3 +151,20 @@ def test_edits_of_a_long_text_encode_little(spark):
     r = count_after_edits(docs, edits).first()
     assert r.n_edits == 1 and 0 < r.pieces_encoded < 20
     assert count_after_edits(documents(spark, []), edits).count() == 0
+
+
+def test_blocks_stay_small_after_a_large_insertion():
+    rng = random.Random(8)
+    encode = lambda pieces: [len(p) for p in pieces]
+    tree, text = TokenTree("", np.zeros(0, np.int64), np.zeros(0, np.int64), encode), ""
+    edits = [(0, 0, "word and more " * 5_000), (30_000, 2, "x y " * 3_000)]
+    edits += [(rng.randint(0, 60_000), rng.choice([0, 3, 9_000]), "z " * rng.randint(0, 300)) for _ in range(60)]
+    for start, removed, added in edits:
+        tree.edit(start, removed, added)
+        start = min(start, len(text))
+        text = text[:start] + added + text[start + removed :]
+        assert max(len(tree.block(b)[0]) for b in range(len(tree.blocks))) <= MOST
+    assert tree.text_now() == text and tree.total == tree.chars[1] == len(text)
+    for at in range(0, len(text), 997):
+        b, before = tree.find(at)
+        assert before <= at < before + tree.chars[tree.size + b]
