@@ -5,10 +5,13 @@ them and every shorter document is placed, longest first, into the open window
 with the least sufficient room, found in a segment tree over remaining room.
 
 Tokenizing happens where the rows lie. Only piece records (a few numbers each)
-are shuffled, to shards of a bounded number of documents by a hash of the id,
-so no source, length or copy group can gather in one task; each shard packs its
-own windows and numbers them from ``shard << 32``. A shard leaves only its last
-windows part full.
+are shuffled, to shards of about as many documents each by a hash of the piece
+(id, start and the checksum of its tokens), so no source, length, copy group or
+long document, nor rows without an id, can gather in one task; each shard packs
+its own windows and numbers them from ``shard << 32``. A shard leaves only its
+last windows part full. The hash follows from the piece alone, so a task that is
+run again after an executor was lost deals its pieces as before; only rows equal
+in id and text share a shard.
 
 Null texts are empty and still get their end id. Repeated rows are packed each
 on its own. Equal lengths are placed by id, then by start, so results do not
@@ -124,7 +127,7 @@ def pack_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     shards = max(1, -(-docs.count() // shard_docs))
     fields = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long" + ", ids array<int>" * with_ids
     pieces = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(lambda it: cut_pieces(it, "doc_id", "text", window, path, with_ids), fields)
-    shard = F.pmod(F.xxhash64("doc_id"), F.lit(shards)).cast("int")
+    shard = F.pmod(F.xxhash64("doc_id", "start", "ids_crc32"), F.lit(shards)).cast("int")
     return pieces.withColumn("shard", shard).groupBy("shard").applyInPandas(pack_shard(window), fields + ", sequence_id long, offset long")
 
 

@@ -76,3 +76,15 @@ def test_code_points_of_other_planes_keep_their_own_ids():
     ids, at = encode_rows(*text_buffers(pa.array(texts, pa.string())), default_tokenizer_path())
     for k, t in enumerate(texts):
         assert ids[at[k] : at[k + 1]].tolist() == ids_of(t)
+
+
+def test_a_long_document_and_rows_without_an_id_have_many_shards(spark):
+    from pyspark.sql import functions as F
+
+    texts = ["na " * 300_000, *(f"text {i}" for i in range(200))]
+    docs = documents(spark, texts).withColumn("doc_id", F.when(F.col("doc_id") == 0, 0))
+    rows = pack_documents(docs, shard_docs=10).collect()
+    shards = lambda some: {r.sequence_id >> 32 for r in some}
+    assert len(shards(r for r in rows if r.doc_id == 0)) > 5
+    assert len(shards(r for r in rows if r.doc_id is None)) > 15
+    assert sum(r.length for r in rows) == sum(len(ids_of(t)) for t in texts)
