@@ -10,7 +10,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm.checkpoints import shared_folder
+from tessera.llm.checkpoints import remove, shared_folder
 from tessera.llm.decontamination import remove_contaminated
 from tessera.llm.language_id import fit_languages, keep_identified
 from tessera.llm.neardup import drop_near_duplicates
@@ -56,10 +56,17 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Applies the stages to documents; what lies between them is kept in the shared folder."""
+    """Applies the stages to documents; the table between two stages is kept in the shared folder until the next is written.
+
+    The last of them stays, for the rows returned are read from it.
+    """
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     folder = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
+    before = None
     for name, stage in STAGES[:-1]:
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
         docs = spark.read.parquet(f"{folder}/{name}")
+        if before:
+            remove(spark, f"{folder}/{before}")
+        before = name
     return STAGES[-1][1](spark, docs, sf_dir)
