@@ -5,6 +5,7 @@ from __future__ import annotations
 from tessera.llm.decontamination import OP1_SQL, op1_benchmark_decontamination
 from tessera.llm.edit_counts import op10_edit_token_counts
 from tessera.llm.fixity import OP4_SQL, op4_merkle_fixity
+from tessera.llm.fm_dedup import OP12_SQL, op12_fm_index_dedup
 from tessera.llm.language_id import op6_language_id
 from tessera.llm.lloyd import OP13_SQL, op13_lloyd_clusters
 from tessera.llm.neardup import OP2_SQL, op2_minhash_neardup
@@ -25,6 +26,7 @@ QUERIES = {
     "op8_suffix_dedup": op8_suffix_dedup,
     "op9_quality_classifier": op9_quality_classifier,
     "op10_edit_token_counts": op10_edit_token_counts,
+    "op12_fm_index_dedup": op12_fm_index_dedup,
     "op13_lloyd_clusters": op13_lloyd_clusters,
 }
 
@@ -33,5 +35,6 @@ ORACLE_SQL: dict[str, str] = {
     "op2_minhash_neardup": OP2_SQL,
     "op4_merkle_fixity": OP4_SQL,
     "op7_topk_search": OP7_SQL,
+    "op12_fm_index_dedup": OP12_SQL,
     "op13_lloyd_clusters": OP13_SQL,
 }
