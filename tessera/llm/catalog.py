@@ -12,6 +12,7 @@ from tessera.llm.neardup import OP2_SQL, op2_minhash_neardup
 from tessera.llm.packing import op3_sequence_packing
 from tessera.llm.quality import op9_quality_classifier
 from tessera.llm.secrets import op5_secret_scan
+from tessera.llm.spelling import OP11_SQL, op11_spelling_variants
 from tessera.llm.suffix_dedup import op8_suffix_dedup
 from tessera.llm.topk import OP7_SQL, op7_topk_search
 
@@ -26,6 +27,7 @@ QUERIES = {
     "op8_suffix_dedup": op8_suffix_dedup,
     "op9_quality_classifier": op9_quality_classifier,
     "op10_edit_token_counts": op10_edit_token_counts,
+    "op11_spelling_variants": op11_spelling_variants,
     "op12_fm_index_dedup": op12_fm_index_dedup,
     "op13_lloyd_clusters": op13_lloyd_clusters,
 }
@@ -35,6 +37,7 @@ ORACLE_SQL: dict[str, str] = {
     "op2_minhash_neardup": OP2_SQL,
     "op4_merkle_fixity": OP4_SQL,
     "op7_topk_search": OP7_SQL,
+    "op11_spelling_variants": OP11_SQL,
     "op12_fm_index_dedup": OP12_SQL,
     "op13_lloyd_clusters": OP13_SQL,
 }
