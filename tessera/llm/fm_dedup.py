@@ -7,19 +7,20 @@ needs to be searched in one shard only:
 
 1. Minimizers are counted; segments whose minimizer occurs once in all documents
    repeat nothing and go no further.
-2. Segments of equal words are one kind, with its least document id.
-3. A shard's kinds are indexed: suffixes in order, the Burrows-Wheeler transform in a
-   wavelet matrix of packed bits, and the least document of any range of suffixes. Every
-   window of the kinds is streamed through backward search, a word at a time, as long
-   as the range holds a document before its own: its matching statistic. Windows that reach
-   ``window`` words are flagged.
-4. Every segment looks up its kind, by all of its words: in the kind's first document the
-   flagged windows go; in later ones, which that document precedes, all of them.
-
-A minimizer of more than ``HOT`` kinds would overfill a shard. Its kinds are cut into
-single windows, which go to shards by their own words. The counts of step 1 reach the tasks
-as a bitmap of fixed size, which only spares rows a shuffle: beyond about ``2**BITMAP_BITS``
-segments it lets more of them through, and results are the same.
+2. A shard's segments are told apart by all of their words; equal ones are a kind, with its
+   least document id. The kinds are indexed: suffixes in order, the Burrows-Wheeler
+   transform in a wavelet matrix of packed bits, and the least document of any range of
+   suffixes. Every window of a kind is streamed through backward search, a word at a time,
+   as long as the range holds a document before the kind's first one: its matching statistic.
+3. Windows that reach ``window`` words are flagged in the kind's first document. In later
+   ones all windows of the kind are, since the first one holds them.
+
+Minimizers of more than ``HOT`` segments would overfill a task. Their segments are
+aggregated to kinds first and look up their kind's flags in a join on all words. If more than
+``HOT`` kinds are left of one minimizer, these are cut into windows, and each is given its least
+document by its own words. The counts of step 1 and the rows that lose something reach the
+tasks as bitmaps of fixed size, which only spare rows a shuffle: beyond about
+``2**BITMAP_BITS`` segments more of them pass, and results are the same.
 
 A document is a row. Words are runs of bytes other than blanks and ASCII white space,
 unchanged; null texts have none. What is removed is judged on the input. Rows of one id
@@ -35,7 +36,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.checkpoints import cut
@@ -51,6 +52,7 @@ IS_WORD = byte_class((0x20, 0x20), (0x09, 0x0D), negate=True)
 SHARD_SEGMENTS = 8192
 HOT = 8192
 BITMAP_BITS = 28
+ROW_BITS = 26
 #: The id that stands for null.
 LAST = 2**63 - 1
 
@@ -129,19 +131,21 @@ def _recurring(texts: DataFrame, window: int) -> tuple[np.ndarray, np.ndarray |
 
 
 KIND = ["minimizer", "body"]
-SEGMENT = "minimizer long, body string, id long, doc long, tag long, at int, windows int"
+PLACE = ["id", "hash", "at"]
 
 
-def _list_segments(window: int, bitmap):
+def _list_segments(window: int, bitmap, but=None):
+    """Segments whose minimizers are in one bitmap and not in another."""
+
     def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, data, offsets in slices(batches, "text"):
             s = Segments(data, offsets, window)
             keep = _held(bitmap.value, s)
+            if but is not None:
+                keep = np.setdiff1d(keep, _held(but.value, s), assume_unique=True)
             row = s.row[keep]
-            columns = [pa.array(s.minimizer[keep].view(np.int64)), s.bodies(keep)]
-            columns += [pa.array(rows.column(i).to_numpy()[row]) for i in range(3)]
-            columns += [pa.array((s.first[keep] - s.bounds[row]).astype(np.int32)), pa.array(s.windows[keep].astype(np.int32))]
-            yield pa.RecordBatch.from_arrays(columns, ["minimizer", "body", "id", "doc", "tag", "at", "windows"])
+            columns = [pa.array(s.minimizer[keep].view(np.int64)), s.bodies(keep), *(pa.array(rows.column(i).to_numpy()[row]) for i in (0, 1)), pa.array((s.first[keep] - s.bounds[row]).astype(np.int32))]
+            yield pa.RecordBatch.from_arrays(columns, [*KIND, *PLACE])
 
     return listed
 
@@ -239,24 +243,44 @@ def matching_statistics(index: FmIndex, symbols: np.ndarray, last: np.ndarray, o
     return length
 
 
-def _search_shard(window: int):
-    """Flags, of each kind of a shard, the windows that a document before its first one holds."""
+def kind_flags(bodies: pa.Array, first: np.ndarray, window: int) -> np.ndarray:
+    """Of differing word sequences and their least ids, a bit for each window that one with a smaller id holds."""
+    words = pc.split_pattern(bodies, " ")
+    many = pc.list_value_length(words).to_numpy()
+    coded = words.flatten().dictionary_encode()
+    symbols = coded.indices.to_numpy().astype(np.int64) + 1
+    owner = np.unique(first, return_inverse=True)[1]
+    end = np.cumsum(many)
+    kind = np.repeat(np.arange(len(many)), many)
+    index = FmIndex(symbols, len(coded.dictionary), end[kind], owner[kind])
+    nth = np.arange(len(kind)) - (end - many)[kind] - (window - 1)
+    last = np.flatnonzero(nth >= 0)
+    whole = last[matching_statistics(index, symbols, last, owner[kind[last]], window) >= window]
+    flags = np.zeros(len(many), np.int64)
+    np.add.at(flags, kind[whole], np.int64(1) << nth[whole])
+    return flags
+
+
+def _search_segments(window: int):
+    """Streams all segments of a shard through the index of its kinds."""
+
+    def search(table: pa.Table) -> pa.Table:
+        coded = table.column("body").combine_chunks().dictionary_encode()
+        kind, ident = coded.indices.to_numpy(), table.column("id").to_numpy()
+        first = np.full(len(coded.dictionary), LAST)
+        np.minimum.at(first, kind, ident)
+        windows = pc.count_substring(coded.dictionary, " ").to_numpy().astype(np.int64) + 2 - window
+        flags = np.where(ident > first[kind], ((np.int64(1) << windows) - 1)[kind], kind_flags(coded.dictionary, first, window)[kind])
+        some = np.flatnonzero(flags)
+        return table.select(PLACE).take(pa.array(some)).append_column("flags", pa.array(flags[some]))
+
+    return search
+
 
+def _search_kinds(window: int):
     def search(table: pa.Table) -> pa.Table:
-        words = pc.split_pattern(table.column("body").combine_chunks(), " ")
-        many = pc.list_value_length(words).to_numpy()
-        coded = words.flatten().dictionary_encode()
-        symbols = coded.indices.to_numpy().astype(np.int64) + 1
-        _, owner = np.unique(table.column("id").to_numpy(), return_inverse=True)
-        end = np.cumsum(many)
-        kind = np.repeat(np.arange(len(many)), many)
-        index = FmIndex(symbols, len(coded.dictionary), end[kind], owner[kind])
-        nth = np.arange(len(kind)) - (end - many)[kind] - (window - 1)
-        last = np.flatnonzero(nth >= 0)
-        whole = last[matching_statistics(index, symbols, last, owner[kind[last]], window) >= window]
-        flags = np.zeros(len(many), np.int64)
-        np.add.at(flags, kind[whole], np.int64(1) << nth[whole])
-        return table.drop_columns(["shard"]).append_column("flags", pa.array(flags))
+        flags = kind_flags(table.column("body").combine_chunks(), table.column("first").to_numpy(), window)
+        return table.drop_columns(["shard"]).append_column("found", pa.array(flags))
 
     return search
 
@@ -265,40 +289,63 @@ def _flagged_by_window(kinds: DataFrame, window: int) -> DataFrame:
     """Flags of kinds whose windows are dealt one by one, each by its own words."""
     words = F.split("body", " ")
     single = F.transform(F.sequence(F.lit(0), F.size(words) - window), lambda i: F.array_join(F.slice(words, i + 1, window), " "))
-    single = kinds.select(*KIND, "id", "later", F.posexplode(single).alias("nth", "window"))
-    least = single.groupBy("window").agg(F.min("id").alias("least"))
-    flag = F.when(F.col("least") < F.col("id"), F.expr("shiftleft(1L, nth)")).otherwise(F.lit(0))
-    return single.join(least, "window").groupBy(*KIND, "id", "later").agg(F.sum(flag).alias("flags"))
+    single = kinds.select(*KIND, "first", "later", F.posexplode(single).alias("nth", "window"))
+    least = single.groupBy("window").agg(F.min("first").alias("least"))
+    flag = F.when(F.col("least") < F.col("first"), F.expr("shiftleft(1L, nth)")).otherwise(F.lit(0))
+    return single.join(least, "window").groupBy(*KIND, "first", "later").agg(F.sum(flag).alias("found"))
 
 
-def _kinds(segments: DataFrame) -> DataFrame:
-    return segments.groupBy(*KIND).agg(F.min("id").alias("id"), F.max("id").alias("later"))
+def _flagged_often(segments: DataFrame, shard: Column, window: int) -> DataFrame:
+    """Flagged segments of minimizers that occur too often for a task: their kinds are counted first, and looked up after."""
+    kinds = segments.groupBy(*KIND).agg(F.min("id").alias("first"), F.max("id").alias("later"))
+    hot = cut(kinds.groupBy("minimizer").count().where(F.col("count") > HOT).select("minimizer"))
+    few = kinds.join(hot, "minimizer", "left_anti").withColumn("shard", shard)
+    found = few.groupBy("shard").applyInArrow(_search_kinds(window), "minimizer long, body string, first long, later long, found long")
+    found = found.unionByName(_flagged_by_window(kinds.join(hot, "minimizer", "left_semi"), window)).where("found <> 0 or later > first")
+    every = F.expr(f"shiftleft(1L, size(split(body, ' ')) - {window - 1}) - 1")
+    flags = F.when(F.col("id") > F.col("first"), every).otherwise(F.col("found"))
+    return segments.join(found.drop("later"), KIND).select(*PLACE, flags.alias("flags")).where("flags <> 0")
 
 
 def flagged_segments(rows: DataFrame, window: int = WINDOW) -> DataFrame:
-    """doc, tag, at, flags of segments with windows that an earlier document holds: bit i stands for the window from word at + i.
+    """id, hash, at, flags of segments with windows that an earlier document holds: bit i stands for the window from word at + i.
 
-    ``rows`` has id, doc, tag and text; doc and tag tell rows apart.
+    ``rows`` has id, hash (of the text) and text.
     """
     if not GRAM < window <= 48:
         raise ValueError(f"window must be {GRAM + 1} to 48 words")
     small_batches(rows.sparkSession)
     twice, often, many = _recurring(rows.select("text"), window)
-    context, texts = rows.sparkSession.sparkContext, rows.select("id", "doc", "tag", "text")
-    segments = texts.mapInArrow(_list_segments(window, context.broadcast(twice)), SEGMENT)
-    kinds, by_window = _kinds(segments), None
-    if often is not None:
-        frequent = _kinds(texts.mapInArrow(_list_segments(window, context.broadcast(often)), SEGMENT))
-        hot = cut(frequent.groupBy("minimizer").count().where(F.col("count") > HOT).select("minimizer"))
-        by_window = _flagged_by_window(kinds.join(hot, "minimizer", "left_semi"), window)
-        kinds = kinds.join(hot, "minimizer", "left_anti")
+    context, texts = rows.sparkSession.sparkContext, rows.select("id", "hash", "text")
+    twice, often = context.broadcast(twice), context.broadcast(often) if often is not None else None
+    schema = "minimizer long, body string, id long, hash long, at int"
     shard = F.pmod(F.xxhash64("minimizer"), F.lit(max(1, -(-many // SHARD_SEGMENTS))))
-    found = kinds.withColumn("shard", shard).groupBy("shard").applyInArrow(_search_shard(window), "minimizer long, body string, id long, later long, flags long")
-    if by_window is not None:
-        found = found.unionByName(by_window)
-    found = found.where("flags <> 0 or later > id").select(*KIND, F.col("id").alias("first"), F.col("flags").alias("found"))
-    flags = F.when(F.col("id") > F.col("first"), F.expr("shiftleft(1L, windows) - 1")).otherwise(F.col("found"))
-    return segments.join(found, KIND).select("doc", "tag", "at", flags.alias("flags")).where("flags <> 0")
+    segments = texts.mapInArrow(_list_segments(window, twice, often), schema).select(shard.alias("shard"), "body", *PLACE)
+    found = segments.groupBy("shard").applyInArrow(_search_segments(window), "id long, hash long, at int, flags long")
+    if often is not None:
+        found = found.unionByName(_flagged_often(texts.mapInArrow(_list_segments(window, often), schema), shard, window))
+    return found
+
+
+def _slot(id_: np.ndarray, hash_: np.ndarray) -> np.ndarray:
+    return (mixed(id_.view(U64) * U64(0x9E3779B97F4A7C15) + hash_.view(U64)) >> U64(64 - ROW_BITS)).astype(np.int64)
+
+
+def _slots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        yield pa.RecordBatch.from_arrays([pa.array(_slot(batch.column(0).to_numpy(), batch.column(1).to_numpy()))], ["slot"])
+
+
+def _touched(bitmap, wanted: bool):
+    """Rows that may have (or surely have not) flagged segments."""
+
+    def touched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            slot = _slot(batch.column("id").to_numpy(), batch.column("hash").to_numpy())
+            held = (bitmap.value[slot >> 6] >> (slot & 63).astype(U64)) & U64(1) == 1
+            yield batch.filter(pa.array(held == wanted))
+
+    return touched
 
 
 def _remove(window: int, with_text: bool):
@@ -331,10 +378,18 @@ OUT = ["n_words", "n_removed", "kept_sha256", "kept_text"]
 def remove_earlier_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, with_text: bool = False) -> DataFrame:
     """One row per document: doc_id, n_words, n_removed, kept_sha256 (and kept_text)."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    rows = rows.select("doc_id", F.coalesce("doc_id", F.lit(LAST)).alias("id"), F.xxhash64("doc_id", "text").alias("doc"), F.xxhash64("text", "doc_id").alias("tag"), "text")
-    lists = flagged_segments(rows, window).groupBy("doc", "tag").agg(F.collect_set(F.struct("at", "flags")).alias("places"))
-    joined = rows.join(lists, ["doc", "tag"], "left").select("doc_id", "text", "places")
-    return joined.mapInArrow(_remove(window, with_text), "doc_id long, n_words long, n_removed long, kept_sha256 string" + ", kept_text string" * with_text)
+    rows = rows.select("doc_id", "text", F.coalesce("doc_id", F.lit(LAST)).alias("id"), F.xxhash64("text").alias("hash"))
+    places = F.collect_set(F.struct("at", "flags")).alias("places")
+    lists = cut(flagged_segments(rows, window).groupBy("id", "hash").agg(places))
+    bits = lists.select("id", "hash").mapInArrow(_slots, "slot long").groupBy(F.shiftright("slot", 6).alias("word")).agg(F.expr("bit_or(shiftleft(1L, cast(slot & 63 as int)))").alias("bits")).toArrow()
+    held = np.zeros((1 << ROW_BITS) // 64, dtype=U64)
+    held[bits.column("word").to_numpy()] = bits.column("bits").to_numpy().view(U64)
+    bitmap = docs.sparkSession.sparkContext.broadcast(held)
+    # only texts that lose something meet their places; the others are written as they are read
+    joined = rows.mapInArrow(_touched(bitmap, True), rows.schema).join(lists, ["id", "hash"], "left").select("doc_id", "text", "places")
+    whole = rows.mapInArrow(_touched(bitmap, False), rows.schema).select("doc_id", "text", F.lit(None).cast(joined.schema["places"].dataType).alias("places"))
+    schema = "doc_id long, n_words long, n_removed long, kept_sha256 string" + ", kept_text string" * with_text
+    return joined.unionByName(whole).mapInArrow(_remove(window, with_text), schema)
 
 
 def op12_fm_index_dedup(spark, sf_dir: str) -> DataFrame:
