@@ -1,15 +1,14 @@
 """Binary formats as tables: audio headers and samples, array archives, container members, texts of unknown encoding.
 
-Files are read by Spark's binaryFile source, so they may lie in any store that Spark reads,
-and decoded batch by batch in tasks; what cannot be decoded becomes an error column.
+Whole files are read by Spark's binaryFile source and decoded batch by batch in tasks; headers,
+members of archives and rows of arrays are read by seeking (``archives``). What cannot be
+decoded becomes an error column.
 """
 
 from __future__ import annotations
 
 import io
-import tarfile
 import wave
-import zipfile
 from collections.abc import Iterator
 
 import numpy as np
@@ -18,11 +17,18 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tessera.sources import archives
+
 
 def files(spark: SparkSession, root: str, pattern: str) -> DataFrame:
     return spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", pattern).load(root).select("path", "content")
 
 
+def paths(spark: SparkSession, root: str, pattern: str) -> DataFrame:
+    """Paths of the files alone: a scan that does not read their contents."""
+    return spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", pattern).load(root).select("path")
+
+
 def decode_wav(raw: bytes) -> tuple[np.ndarray, int, int]:
     """Mono float32 samples in [-1, 1] by the mean of channels, rate, channels."""
     with wave.open(io.BytesIO(raw)) as w:
@@ -42,21 +48,21 @@ HEADER = T.StructType([T.StructField("path", T.StringType()), T.StructField("sam
 
 
 def audio_headers(spark: SparkSession, root: str, pattern: str = "*.wav") -> DataFrame:
-    """Header facts of every file, or the error that reading it gave."""
+    """Header facts of every file, or the error that reading it gave; of a file, only what precedes its samples is read."""
 
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in batches:
             rows = []
-            for path, raw in zip(part["path"], part["content"], strict=True):
+            for path in part["path"]:
                 try:
-                    with wave.open(io.BytesIO(raw)) as w:
+                    with archives.open_file(path) as f, wave.open(f) as w:
                         rows.append((path, w.getframerate(), w.getnchannels(), w.getnframes(), w.getnframes() / w.getframerate(), None))
-                except (wave.Error, EOFError, ZeroDivisionError) as e:
+                except (wave.Error, EOFError, ZeroDivisionError, OSError) as e:
                     rows.append((path, None, None, None, None, f"{type(e).__name__}: {e}"))
             out = pd.DataFrame(rows, columns=HEADER.names)
             yield out.astype({"sample_rate_hz": "Int32", "num_channels": "Int32", "num_frames": "Int64"})
 
-    return files(spark, root, pattern).mapInPandas(scan, HEADER)
+    return paths(spark, root, pattern).mapInPandas(scan, HEADER)
 
 
 SAMPLES = T.StructType([T.StructField("path", T.StringType()), T.StructField("signal", T.ArrayType(T.FloatType())), T.StructField("sample_rate_hz", T.IntegerType())])
@@ -81,22 +87,9 @@ def header_mismatches(headers: DataFrame, manifest: DataFrame, on: str) -> DataF
     return joined.select(on, wrong.alias("wrong")).where(F.size("wrong") > 0)
 
 
-ARRAYS = T.StructType([T.StructField("path", T.StringType()), T.StructField("array", T.StringType()), T.StructField("row", T.LongType()), T.StructField("text", T.StringType()), T.StructField("values", T.ArrayType(T.DoubleType()))])
-
-
-def array_archives(spark: SparkSession, root: str, pattern: str = "*.npz") -> DataFrame:
-    """Every row of every array of array archives: numbers as values, text as text. Pickled arrays are refused."""
-
-    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for part in batches:
-            for path, raw in zip(part["path"], part["content"], strict=True):
-                with np.load(io.BytesIO(raw), allow_pickle=False) as z:
-                    for name in z.files:
-                        a = np.atleast_1d(z[name])
-                        text = a.dtype.kind in "US"
-                        yield pd.DataFrame({"path": path, "array": name, "row": np.arange(len(a)), "text": [str(x) if text else None for x in a], "values": [None if text else np.asarray(x, dtype=np.float64).ravel() for x in a]})
-
-    return files(spark, root, pattern).mapInPandas(read, ARRAYS)
+def array_archives(spark: SparkSession, root: str) -> DataFrame:
+    """Every row of every array of the array archives under ``root``: numbers as values, text as text, faults as errors."""
+    return archives.array_rows(archives.array_index(spark, root))
 
 
 def array_coverage(arrays: DataFrame, ids: DataFrame, id_col: str) -> DataFrame:
@@ -106,25 +99,19 @@ def array_coverage(arrays: DataFrame, ids: DataFrame, id_col: str) -> DataFrame:
     return texts.groupBy("path", "array").agg(F.count("*").alias("n"), F.count_distinct(F.when(F.col("__w"), F.col("text"))).alias("covered"))
 
 
-MEMBERS = T.StructType([T.StructField("path", T.StringType()), T.StructField("member", T.StringType()), T.StructField("size", T.LongType())])
+def archive_members(spark: SparkSession, root: str) -> DataFrame:
+    """path, member, size and error of the members of the zip and tar archives under ``root``; contents are not read."""
+    return archives.archive_index(spark, root).select("path", "member", "size", "error")
 
 
-def archive_members(spark: SparkSession, root: str, pattern: str = "*.{zip,tar,tar.gz,tgz}") -> DataFrame:
-    """Members of zip and tar archives."""
+#: Suffixes of audio files, in lower case.
+AUDIO = (".wav", ".flac", ".ogg", ".aiff", ".aif")
 
-    def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for part in batches:
-            rows = []
-            for path, raw in zip(part["path"], part["content"], strict=True):
-                if path.endswith(".zip"):
-                    with zipfile.ZipFile(io.BytesIO(raw)) as z:
-                        rows += [(path, m.filename, m.file_size) for m in z.infolist() if not m.is_dir()]
-                else:
-                    with tarfile.open(fileobj=io.BytesIO(raw)) as t:
-                        rows += [(path, m.name, m.size) for m in t if m.isfile()]
-            yield pd.DataFrame(rows, columns=MEMBERS.names)
-
-    return files(spark, root, pattern).mapInPandas(scan, MEMBERS)
+
+def archive_summary(members: DataFrame) -> DataFrame:
+    """Per archive its members, how many of them are audio, and the error that ended its reading, if any."""
+    audio = F.lower(F.concat(F.lit("."), F.substring_index("member", ".", -1))).isin(*AUDIO)
+    return members.groupBy("path").agg(F.count("member").alias("members"), F.count(F.when(audio & F.col("member").contains("."), 1)).alias("audio_members"), F.max("error").alias("error"))
 
 
 def top_prefixes(members: DataFrame, n: int = 20) -> DataFrame:
