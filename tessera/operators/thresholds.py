@@ -7,11 +7,11 @@ partially aggregated count.
 
 from __future__ import annotations
 
-import heapq
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -123,115 +123,140 @@ def grid_table(rows: DataFrame, score: str, margin: str, scores: list[float], ma
     return full.where("i > 0 and j > 0").select(pick(scores, "i").alias("s"), pick(margins, "j").alias("m"), *counted)
 
 
-def exact_2d(rows: DataFrame, slices: int = 8, min_unknown_reject: float = 0.85, digits: int = 6) -> DataFrame:
+#: Cells of a range of scores, if there are no more margins than that.
+RANGE_CELLS = 1 << 18
+
+
+def exact_2d(rows: DataFrame, min_unknown_reject: float = 0.85, digits: int = 6, range_cells: int = RANGE_CELLS) -> DataFrame:
     """All pairs of observed thresholds: the one with most correct accepts whose unknown rejects reach the limit.
 
-    ``rows``: known, right (booleans), score, margin. Rows are counted by rounded score and margin and
-    dealt to ranges of scores. A range starts from the counts per margin of all higher ranges and takes
-    its own from the highest score down: a task holds one number per rounded margin, whatever the rows.
+    ``rows``: known, right (booleans), score, margin. Rows are counted by rounded score and margin, and these cells are
+    dealt to as many ranges of scores as their number asks for. A range starts from the counts per margin of all higher
+    ranges; it has no fewer cells than there are margins, so what is carried is no more than the cells themselves.
+
+    For a score, the least margin that rejects enough unknown rows is a quantile of the margins from there up, and the best
+    margin is the least one of a right row from it on, for which no right row is lost. Both come from a descent through
+    the bits of margin ranks, of all scores of a range at once: logarithmic work per cell.
 
-    As the score threshold falls, the least margin that rejects enough unknown rows only rises. The best
-    margin of a score is the least margin of a right row from there on, for which no right row is lost.
+    Ties: fewer wrong accepts, fewer unknown accepts, greater score, greater margin (infinity without right rows). Rows
+    without a score are accepted nowhere, rows without a margin by no margin; both count in the rates. No rows with a
+    score, or a limit that nothing reaches, give no row.
     """
     kinds = {"right": F.col("known") & F.col("right"), "wrong": F.col("known") & ~F.col("right"), "unknown": ~F.col("known")}
-    totals = rows.agg(F.count_if(F.col("known")), F.count_if(~F.col("known")), F.percentile_approx(F.round("score", digits), [i / slices for i in range(1, slices)], 1000)).first()
-    n_known, n_unknown, bounds = max(totals[0], 1), max(totals[1], 1), sorted(set(totals[2] or []))
     score, margin = F.round("score", digits).alias("s"), F.coalesce(F.round("margin", digits), F.lit(float("nan"))).alias("m")
     cells = rows.where(F.col("score").isNotNull()).groupBy(score, margin).agg(*[F.count_if(c).alias(n) for n, c in kinds.items()])
+    known, unknown = rows.agg(F.count_if(F.col("known")), F.count_if(~F.col("known"))).first()
+    n_known, n_unknown = max(known, 1), max(unknown, 1)
+    most = most_accepted(n_unknown, min_unknown_reject)
+    many, margins = cells.agg(F.count("*"), F.approx_count_distinct("m")).first()
+    ranges = max(1, -(-many // max(range_cells, margins)))
+    bounds = sorted(set(cells.agg(F.percentile_approx("s", [i / ranges for i in range(1, ranges)], 100 * ranges)).first()[0] or [])) if ranges > 1 else []
     # range 0 has the highest scores
-    place = F.lit(0)
-    for x in bounds:
-        place = place + (F.col("s") < x).cast("int")
+    place = F.lit(len(bounds)) - F.size(F.filter(F.array(*[F.lit(x) for x in bounds]), lambda x: x <= F.col("s"))) if bounds else F.lit(0)
     cells = cells.withColumn("range", place)
     per = cells.where(~F.isnan("m")).groupBy("m", "range").agg(*[F.sum(n).alias(n) for n in kinds])
-    held = per.groupBy("m").agg(F.collect_list(F.struct("range", *kinds)).alias("held")).select("m", "held", F.explode(F.sequence(F.lit(0), F.lit(len(bounds)))).alias("range"))
+    held = per.groupBy("m").agg(F.collect_list(F.struct("range", *kinds)).alias("held"), F.min("range").alias("first"))
+    held = held.where(F.col("first") < len(bounds)).select("m", "held", F.explode(F.sequence(F.col("first") + 1, F.lit(len(bounds)))).alias("range"))
     above = lambda n: F.aggregate("held", F.lit(0).cast("long"), lambda t, x: t + F.when(x["range"] < F.col("range"), x[n]).otherwise(0)).alias(n)
-    carried = held.select("range", F.lit(True).alias("carried"), F.lit(None).cast("double").alias("s"), "m", *[above(n) for n in kinds])
-    dealt = carried.unionByName(cells.withColumn("carried", F.lit(False))).repartition(len(bounds) + 1, "range")
-
-    def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        sweep, at = None, None
-        for part in batches:
-            for (number, carried), rows in part.groupby(["range", "carried"], sort=False):
-                if number != at:
-                    if sweep:
-                        yield from sweep.found()
-                    sweep, at = _Sweep(n_known, n_unknown, min_unknown_reject), number
-                (sweep.carry if carried else sweep.add)(rows)
-        if sweep:
-            yield from sweep.found()
-
-    fields = "correct_accept double, wrong_intent double, unknown_reject double, score_threshold double, margin_threshold double"
-    found = dealt.sortWithinPartitions("range", F.desc("carried"), F.when(F.col("carried"), F.col("m")), F.desc("s")).mapInPandas(search, fields)
-    key = F.struct("correct_accept", (-F.col("wrong_intent")).alias("w"), "unknown_reject", "score_threshold", "margin_threshold")
-    return found.agg(F.max_by(F.struct(*[F.col(f.split()[0]) for f in fields.split(", ")]), key).alias("b")).select("b.*")
-
-
-class _Sweep:
-    """One range of scores: counts by the rank of a margin, and sums from the least margin on that rejects enough."""
-
-    def __init__(self, n_known: int, n_unknown: int, min_unknown_reject: float):
-        self.n_known, self.n_unknown, self.limit = n_known, n_unknown, min_unknown_reject - EPS
-        self.parts: list[pd.DataFrame] | None = []
-        self.best: tuple | None = None
-        self.score: float | None = None
-
-    def carry(self, rows: pd.DataFrame) -> None:
-        """Every margin of the pool, ascending, with the counts of the higher ranges."""
-        self.parts.append(rows)
-
-    def start(self) -> None:
-        held = pd.concat(self.parts) if self.parts else pd.DataFrame({"m": [], "right": [], "wrong": [], "unknown": []})
-        self.parts = None
-        self.ms = held["m"].to_numpy(np.float64)
-        self.right, self.wrong, self.unknown = (held[n].to_numpy(np.int64).copy() for n in ("right", "wrong", "unknown"))
-        self.rights = np.flatnonzero(self.right).tolist()  # a heap, as it ascends
-        self.least = 0
-        self.r, self.w, self.u = int(self.right.sum()), int(self.wrong.sum()), int(self.unknown.sum())
-        self.raise_margin()
-
-    def raise_margin(self) -> None:
-        while self.least < len(self.ms) and 1 - self.u / self.n_unknown < self.limit:
-            i = self.least
-            self.r, self.w, self.u, self.least = self.r - int(self.right[i]), self.w - int(self.wrong[i]), self.u - int(self.unknown[i]), i + 1
-
-    def add(self, rows: pd.DataFrame) -> None:
-        """Cells from the highest score down."""
-        if self.parts is not None:
-            self.start()
-        ranks = np.searchsorted(self.ms, rows["m"].to_numpy())
-        for s, i, gap, r, w, u in zip(rows["s"].tolist(), ranks.tolist(), rows["m"].isna().tolist(), rows["right"].tolist(), rows["wrong"].tolist(), rows["unknown"].tolist(), strict=True):
-            if s != self.score:
-                self.judge()
-                self.score = s
-            if gap:
-                continue  # no margin threshold accepts it
-            if r and not self.right[i]:
-                heapq.heappush(self.rights, i)
-            self.right[i] += r
-            self.wrong[i] += w
-            self.unknown[i] += u
-            if i >= self.least:
-                self.r, self.w, self.u = self.r + r, self.w + w, self.u + u
-                self.raise_margin()
-
-    def judge(self) -> None:
-        """Keeps the score whose cells are all in, where it is the best so far."""
-        if self.score is None or 1 - self.u / self.n_unknown < self.limit or (self.best and self.r / self.n_known < self.best[0]):
-            return
-        while self.rights and self.rights[0] < self.least:
-            heapq.heappop(self.rights)
-        at = self.rights[0] if self.rights else len(self.ms)
-        w = self.w - int(self.wrong[self.least : at].sum())
-        u = self.u - int(self.unknown[self.least : at].sum())
-        found = (self.r / self.n_known, -w / self.n_known, -u / self.n_unknown, self.score, float(self.ms[at]) if at < len(self.ms) else np.inf)
-        self.best = max(self.best, found) if self.best else found
-
-    def found(self) -> Iterator[pd.DataFrame]:
-        self.judge()
-        if self.best:
-            b = self.best
-            yield pd.DataFrame([{"correct_accept": b[0], "wrong_intent": -b[1], "unknown_reject": 1 + b[2], "score_threshold": b[3], "margin_threshold": b[4]}])
+    carried = held.select(F.lit(None).cast("double").alias("s"), "m", *[above(n) for n in kinds], "range")
+    dealt = carried.unionByName(cells) if bounds else cells
+
+    def search(table: pa.Table) -> pa.Table:
+        names = ["right", "wrong", "unknown", "s", "m"]
+        best = best_of_range(*(table.column(n).to_numpy() for n in (*names[3:], *names[:3])), most)
+        return pa.table({n: pa.array([best[i]] if best else [], pa.int64() if i < 3 else pa.float64()) for i, n in enumerate(names)})
+
+    found = dealt.groupBy("range").applyInArrow(search, "right long, wrong long, unknown long, s double, m double")
+    key = F.struct("right", (-F.col("wrong")).alias("w"), (-F.col("unknown")).alias("u"), "s", "m")
+    best = found.agg(F.max_by(F.struct("right", "wrong", "unknown", "s", "m"), key).alias("b")).where("b is not null").select("b.*")
+    share = lambda n, of: F.col(n) / F.lit(float(of))
+    return best.select(share("right", n_known).alias("correct_accept"), share("wrong", n_known).alias("wrong_intent"), (1 - share("unknown", n_unknown)).alias("unknown_reject"), F.col("s").alias("score_threshold"), F.col("m").alias("margin_threshold"))
+
+
+def most_accepted(n_unknown: int, min_unknown_reject: float) -> int:
+    """The greatest number of accepted unknown rows that keeps the rejects at the limit; -1 if none does."""
+    n = min(n_unknown, int((1 - min_unknown_reject) * n_unknown) + 1)
+    while n >= 0 and 1 - n / n_unknown < min_unknown_reject - EPS:
+        n -= 1
+    return n
+
+
+def _levels(rank: np.ndarray, bits: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """From the highest bit of the ranks down: its weight, which elements have it, and the order of the elements (by the bits before)."""
+    order = np.arange(len(rank))
+    for bit in range(bits - 1, -1, -1):
+        ones = (rank[order] >> bit) & 1 == 1
+        yield 1 << bit, ones, order
+        order = np.concatenate([order[~ones], order[ones]])
+
+
+class _Prefixes:
+    """The elements before ``end`` (one number per query), halved by the bits of their ranks."""
+
+    def __init__(self, rank: np.ndarray, end: np.ndarray, many: int):
+        self.rank, self.end, self.bits = rank, end, max(1, int(many).bit_length())
+
+    def _walk(self, weights: tuple[np.ndarray, ...], upper):
+        """Goes to the upper half where ``upper(bit, weights of that half)`` says so, else to the lower one; returns the weights of the last."""
+        low, high = np.zeros(len(self.end), np.int64), self.end.copy()
+        for bit, ones, order in _levels(self.rank, self.bits):
+            before = np.concatenate([[0], np.cumsum(ones)])
+            zeros = len(ones) - before[-1]
+            sums = [np.concatenate([[0], np.cumsum(np.where(ones, w[order], 0))]) for w in weights]
+            go = upper(bit, [s[high] - s[low] for s in sums])
+            low, high = (np.where(go, zeros + before[x], x - before[x]) for x in (low, high))
+        last = np.concatenate([order[~ones], order[ones]])
+        sums = [np.concatenate([[0], np.cumsum(w[last])]) for w in weights]
+        return [s[high] - s[low] for s in sums]
+
+    def last_above(self, weight: np.ndarray, quota: np.ndarray) -> np.ndarray:
+        """The greatest rank from which on the weights exceed the quota; -1 without."""
+        rank, left = np.zeros(len(self.end), np.int64), quota.astype(np.int64)
+
+        def upper(bit, sums):
+            nonlocal rank, left
+            go = sums[0] > left
+            rank, left = rank + np.where(go, bit, 0), left - np.where(go, 0, sums[0])
+            return go
+
+        (rest,) = self._walk((weight,), upper)
+        return np.where(rest > left, rank, -1)
+
+    def sums_from(self, rank: np.ndarray, *weights: np.ndarray) -> list[np.ndarray]:
+        """The weights from ``rank`` on, which is less than the number of ranks."""
+        total = [np.zeros(len(self.end), np.int64) for _ in weights]
+
+        def upper(bit, sums):
+            go = rank & bit != 0
+            for t, s in zip(total, sums, strict=True):
+                t += np.where(go, 0, s)
+            return go
+
+        return [t + s for t, s in zip(total, self._walk(weights, upper), strict=True)]
+
+
+def best_of_range(s: np.ndarray, m: np.ndarray, right: np.ndarray, wrong: np.ndarray, unknown: np.ndarray, most: int) -> tuple | None:
+    """right, wrong, unknown, score and margin of the best pair of thresholds among a range's scores; rows without a score are carried from above."""
+    own = ~np.isnan(s)
+    if most < 0 or not own.any():
+        return None
+    order = np.lexsort((-s, own))
+    s, m, right, wrong, unknown = (x[order] for x in (s, m, right, wrong, unknown))
+    none = np.isnan(m)
+    right, wrong, unknown = (np.where(none, 0, x) for x in (right, wrong, unknown))
+    margins = np.unique(m[~none])
+    rank = np.where(none, 0, np.searchsorted(margins, np.where(none, 0, m)))
+    last = np.flatnonzero(np.append(s[1:] != s[:-1], True) & ~np.isnan(s))
+    prefixes = _Prefixes(rank, last + 1, len(margins))
+    least = prefixes.last_above(unknown, np.full(len(last), most)) + 1
+    (r,) = prefixes.sums_from(np.minimum(least, max(len(margins) - 1, 0)), right)
+    r = np.where(least < len(margins), r, 0)
+    at = np.clip(prefixes.last_above(right, r - 1), 0, max(len(margins) - 1, 0))
+    w, u = prefixes.sums_from(at, wrong, unknown)
+    w, u = np.where(r > 0, w, 0), np.where(r > 0, u, 0)
+    threshold = np.where(r > 0, margins[at] if len(margins) else np.inf, np.inf)
+    best = np.lexsort((threshold, s[last], -u, -w, r))[-1]
+    return int(r[best]), int(w[best]), int(u[best]), float(s[last[best]]), float(threshold[best])
 
 
 def gated_threshold(rows: DataFrame, score: str, true: str, pred: str, classes: list, limits: dict[str, float], by: list[str] = ()) -> DataFrame:

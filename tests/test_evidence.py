@@ -2,6 +2,8 @@ import math
 
 import numpy as np
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from tessera.functions.audio import envelope, peak_db, rms_db, spectrum
@@ -67,9 +69,36 @@ def test_exact_2d_equals_enumeration_without_gathering_rows(spark, monkeypatch):
                     key = (sum(r[1] for r in acc) / known, -sum(r[0] and not r[1] for r in acc) / known, -far, s, m)
                     best = max(best or key, key)
         df = spark.createDataFrame(rows, "known boolean, right boolean, score double, margin double").repartition(5)
-        for slices in (1, 3, 8):
-            got = thresholds.exact_2d(df, slices, limit).first()
-            assert tuple(got) == pytest.approx((best[0], -best[1], 1 + best[2], best[3], best[4])), (seed, slices)
+        for cells in (1, 40, 10_000):
+            got = thresholds.exact_2d(df, limit, range_cells=cells).first()
+            assert tuple(got) == pytest.approx((best[0], -best[1], 1 + best[2], best[3], best[4])), (seed, cells)
+
+
+def plain_best(cells, most):
+    best = None
+    for s in {c[0] for c in cells if c[0] is not None}:
+        for m in {*(c[1] for c in cells if not math.isnan(c[1])), math.inf}:
+            at = [c for c in cells if (c[0] is None or c[0] >= s) and c[1] >= m]
+            r, w, u = (sum(c[i] for c in at) for i in (2, 3, 4))
+            if u <= most:
+                best = max(best or (r, -w, -u, s, m), (r, -w, -u, s, m))
+    return best and (best[0], -best[1], -best[2], best[3], best[4])
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.tuples(st.sampled_from([None, 0.1, 0.2, 0.3, 0.4]), st.sampled_from([math.nan, -1.0, 0.0, 0.5, 2.0]), *[st.integers(0, 2)] * 3), max_size=25), st.integers(-1, 12))
+def test_best_of_a_range_with_carried_counts_and_ties(cells, most):
+    cells = [c for c in cells if c[0] is not None or not math.isnan(c[1])]
+    columns = [np.array([math.nan if c[i] is None else c[i] for c in cells], dtype=np.float64 if i < 2 else np.int64) for i in range(5)]
+    assert thresholds.best_of_range(*columns, most) == (plain_best(cells, most) if most >= 0 else None)
+
+
+def test_exact_2d_without_candidates(spark):
+    kind = "known boolean, right boolean, score double, margin double"
+    for rows, limit in (([], 0.5), ([(True, True, None, 0.5)], 0.5), ([(True, True, 0.5, 0.5)], 1.5)):
+        assert thresholds.exact_2d(spark.createDataFrame(rows, kind), limit).collect() == []
+    only = thresholds.exact_2d(spark.createDataFrame([(True, True, 0.5, None), (False, False, 0.25, None)], kind)).first()
+    assert tuple(only) == (0.0, 0.0, 1.0, 0.5, math.inf)
 
 
 def test_signal_functions(spark):
