@@ -40,16 +40,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.checkpoints import cut
-from tessera.llm.decontamination import suffix_order
 from tessera.llm.suffix_dedup import _sliding_least
-from tessera.llm.textbytes import CODES, U64, RollingHash, Words, byte_class, mixed, slices, small_batches
+from tessera.llm.textbytes import CODES, U64, RollingHash, byte_class, mixed, slices, small_batches
 
 WINDOW = 13
 GRAM = 4
 WORD_BASE = 0xC2B2AE3D27D4EB4F
 IS_WORD = byte_class((0x20, 0x20), (0x09, 0x0D), negate=True)
 #: Segments of a shard, of about 110 bytes each, and kinds of a minimizer beyond which its windows are dealt one by one.
-SHARD_SEGMENTS = 8192
+SHARD_SEGMENTS = 4096
 HOT = 8192
 BITMAP_BITS = 28
 ROW_BITS = 26
@@ -57,26 +56,45 @@ ROW_BITS = 26
 LAST = 2**63 - 1
 
 
+class PlainWords:
+    """Words of all rows of a slice, and the text with one blank after each of them: word w is plain[start[w]:end[w]], row r has the words bounds[r] to bounds[r + 1]."""
+
+    def __init__(self, data: np.ndarray, offsets: np.ndarray):
+        inside = IS_WORD[data]
+        edge = offsets[1:-1]
+        edge = edge[(edge > 0) & (edge < len(data))]
+        first = inside.copy()
+        first[1:] &= ~inside[:-1]
+        first[edge] = inside[edge]
+        last = inside.copy()
+        last[:-1] &= ~inside[1:]
+        last[edge - 1] = inside[edge - 1]
+        begin, stop = np.flatnonzero(first), np.flatnonzero(last) + 1
+        self.bounds = np.searchsorted(begin, offsets)
+        self.hash = mixed(RollingHash(CODES[data]).ranges(begin, stop) + (stop - begin).astype(U64))
+        inside[stop[stop < len(data)]] = True
+        place = np.cumsum(inside) - 1
+        self.plain = data[inside]
+        self.plain[~IS_WORD[self.plain]] = 0x20
+        self.start, self.end = place[begin], place[stop - 1] + 1
+
+    def rows(self) -> np.ndarray:
+        """The row of each word."""
+        return np.repeat(np.arange(len(self.bounds) - 1), np.diff(self.bounds))
+
+
 class Segments:
     """Segments of a slice of documents: row, minimizer, first word, number of windows, and their words joined by blanks."""
 
     def __init__(self, data: np.ndarray, offsets: np.ndarray, window: int):
-        words = Words(data, offsets, IS_WORD)
+        self.words = words = PlainWords(data, offsets)
         self.window, self.bounds = window, words.bounds
-        hashes = mixed(RollingHash(CODES[data]).ranges(words.start, words.end) + (words.end - words.start).astype(U64))
-        # the text with one blank after each word
-        kept = IS_WORD[data]
-        kept[words.end[words.end < len(data)]] = True
-        place = np.cumsum(kept) - 1
-        self.plain = data[kept]
-        self.plain[~IS_WORD[self.plain]] = 0x20
-        self.word_start, self.word_end = place[words.start], place[words.end - 1] + 1
-        places, span = max(0, len(hashes) - window + 1), window - GRAM + 1
+        places, span = max(0, len(words.hash) - window + 1), window - GRAM + 1
         self.first = self.row = self.windows = np.zeros(0, np.int64)
         self.minimizer = np.zeros(0, U64)
         if not places:
             return
-        least = _sliding_least(mixed(RollingHash(hashes, WORD_BASE).grams(GRAM)), span)
+        least = _sliding_least(mixed(RollingHash(words.hash, WORD_BASE).grams(GRAM)), span)
         row = words.rows()[:places]
         inside = np.arange(places) + window <= words.bounds[1:][row]
         new = np.ones(places, dtype=bool)
@@ -95,10 +113,10 @@ class Segments:
         return (mixed(self.minimizer) >> U64(64 - bits)).astype(np.int64)
 
     def bodies(self, keep: np.ndarray) -> pa.Array:
-        start = self.word_start[self.first[keep]]
-        size = self.word_end[self.first[keep] + self.windows[keep] + self.window - 2] - start
+        start = self.words.start[self.first[keep]]
+        size = self.words.end[self.first[keep] + self.windows[keep] + self.window - 2] - start
         ends = np.cumsum(size)
-        text = self.plain[np.repeat(start - (ends - size), size) + np.arange(size.sum())]
+        text = self.words.plain[np.repeat(start - (ends - size), size) + np.arange(size.sum())]
         offsets = np.append(0, ends).astype(np.int32)
         return pa.StringArray.from_buffers(len(keep), pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(text)))
 
@@ -199,15 +217,39 @@ class RangeLeast:
         return np.minimum(self.flat[at + low], self.flat[at + high - (1 << level)])
 
 
+def suffix_order(symbols: np.ndarray, end: np.ndarray, depth: int) -> np.ndarray:
+    """All places in the order of their next ``depth`` symbols at least, none beyond their ``end``.
+
+    As many order numbers as a word holds are sorted at once, so that a few sorts do.
+    """
+    n = len(symbols)
+    bits = max(n, int(symbols.max(initial=0))).bit_length()
+    per, size, at, rank = 64 // bits, 1, np.arange(n), symbols.astype(U64)
+    while True:
+        key = np.zeros(n, dtype=U64)
+        for k in range(min(per, -(-depth // size))):
+            place = at + k * size
+            key = (key << U64(bits)) | np.where(place < end, rank[np.minimum(place, n - 1)], U64(0))
+        size *= per
+        order = np.argsort(key)
+        if size >= depth:
+            return order
+        held = key[order]
+        step = np.ones(n, dtype=U64)
+        step[1:] = held[1:] != held[:-1]
+        rank = np.empty(n, dtype=U64)
+        rank[order] = np.cumsum(step)
+
+
 class FmIndex:
-    """Suffixes of several word sequences, to be searched from a pattern's last word to its first.
+    """Suffixes of several word sequences, to be searched for up to ``depth`` words from the last to the first.
 
     ``symbols`` are numbers from 1 to ``many``; ``end`` is, for each place, the end of its
     sequence, and ``owner`` a number whose least is wanted of any range of suffixes.
     """
 
-    def __init__(self, symbols: np.ndarray, many: int, end: np.ndarray, owner: np.ndarray):
-        order = suffix_order(symbols, end)
+    def __init__(self, symbols: np.ndarray, many: int, end: np.ndarray, owner: np.ndarray, depth: int):
+        order = suffix_order(symbols, end, depth)
         opens = np.ones(len(symbols), dtype=bool)
         opens[1:] = end[1:] != end[:-1]
         before = np.where(opens, 0, np.roll(symbols, 1))
@@ -252,7 +294,7 @@ def kind_flags(bodies: pa.Array, first: np.ndarray, window: int) -> np.ndarray:
     owner = np.unique(first, return_inverse=True)[1]
     end = np.cumsum(many)
     kind = np.repeat(np.arange(len(many)), many)
-    index = FmIndex(symbols, len(coded.dictionary), end[kind], owner[kind])
+    index = FmIndex(symbols, len(coded.dictionary), end[kind], owner[kind], window)
     nth = np.arange(len(kind)) - (end - many)[kind] - (window - 1)
     last = np.flatnonzero(nth >= 0)
     whole = last[matching_statistics(index, symbols, last, owner[kind[last]], window) >= window]
@@ -297,7 +339,7 @@ def _flagged_by_window(kinds: DataFrame, window: int) -> DataFrame:
 
 def _flagged_often(segments: DataFrame, shard: Column, window: int) -> DataFrame:
     """Flagged segments of minimizers that occur too often for a task: their kinds are counted first, and looked up after."""
-    kinds = segments.groupBy(*KIND).agg(F.min("id").alias("first"), F.max("id").alias("later"))
+    kinds = cut(segments.groupBy(*KIND).agg(F.min("id").alias("first"), F.max("id").alias("later")))
     hot = cut(kinds.groupBy("minimizer").count().where(F.col("count") > HOT).select("minimizer"))
     few = kinds.join(hot, "minimizer", "left_anti").withColumn("shard", shard)
     found = few.groupBy("shard").applyInArrow(_search_kinds(window), "minimizer long, body string, first long, later long, found long")
@@ -354,18 +396,21 @@ def _remove(window: int, with_text: bool):
             places = batch.column(2).to_pylist()
             numbered = batch.select([0, 1]).append_column("row", pa.array(np.arange(batch.num_rows)))
             for rows, data, offsets in slices([numbered], "text"):
-                words, out = Words(data, offsets, IS_WORD), []
-                raw = data.tobytes()
+                words, out = PlainWords(data, offsets), []
+                plain = words.plain.tobytes()
                 for k, r in enumerate(rows.column(2).to_pylist()):
                     a, b = words.bounds[k : k + 2].tolist()
-                    covered = np.zeros(b - a, dtype=bool)
+                    covered = np.ones(b - a + 2, dtype=bool)
+                    covered[1:-1] = False
                     for p in places[r] or ():
                         for i in range(p["flags"].bit_length()):
                             if p["flags"] >> i & 1:
-                                covered[p["at"] + i : p["at"] + i + window] = True
-                    keep = a + np.flatnonzero(~covered)
-                    kept = b" ".join([raw[x:y] for x, y in zip(words.start[keep].tolist(), words.end[keep].tolist(), strict=True)])
-                    out.append((b - a, b - a - len(keep), hashlib.sha256(kept).hexdigest(), kept.decode() if with_text else None))
+                                covered[p["at"] + i + 1 : p["at"] + i + 1 + window] = True
+                    # runs of kept words, which the blanks between them join already
+                    edges = a + np.flatnonzero(covered[1:] != covered[:-1])
+                    first, last = words.start[edges[::2]].tolist(), words.end[edges[1::2] - 1].tolist()
+                    kept = b" ".join([plain[x:y] for x, y in zip(first, last, strict=True)])
+                    out.append((b - a, int(covered.sum()) - 2, hashlib.sha256(kept).hexdigest(), kept.decode() if with_text else None))
                 kinds = (pa.int64(), pa.int64(), pa.string(), pa.string())[: 3 + with_text]
                 yield pa.RecordBatch.from_arrays([rows.column(0), *(pa.array([x[i] for x in out], t) for i, t in enumerate(kinds))], ["doc_id", *OUT[: 3 + with_text]])
 

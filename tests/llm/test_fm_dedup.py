@@ -61,7 +61,7 @@ def test_matching_statistics_are_the_longest_matches_with_earlier_owners(sequenc
     end = np.cumsum(size)
     kind = np.repeat(np.arange(len(size)), size)
     owner = np.array([k // 2 for k in range(len(size))])
-    index = FmIndex(symbols, 4, end[kind], owner[kind])
+    index = FmIndex(symbols, 4, end[kind], owner[kind], window)
     places = np.flatnonzero(np.arange(len(symbols)) - (end - size)[kind] >= window - 1)
     found = matching_statistics(index, symbols, places, owner[kind[places]], window)
     for p, n in zip(places.tolist(), found.tolist(), strict=True):
