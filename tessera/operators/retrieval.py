@@ -1,8 +1,8 @@
-"""Prototypes, cosine top-k, evidence, fusion and decision policies.
+"""Prototypes, scores of every class, evidence, fusion and decision policies.
 
-Prototypes are as many as there are classes. They are gathered to one row, and every query
-scores them within its row: no pair is shuffled or even made a row. For more classes than a
-row may hold, ``scored_in_blocks`` gathers them in blocks and merges the best of each.
+The best classes of a query come from ``nearest.top_classes``, for any number of classes. ``scored``
+gives the scores of all of them, as many per query as there are classes, and is for reports
+that list every class.
 """
 
 from __future__ import annotations
@@ -13,10 +13,6 @@ from pyspark.sql import functions as F
 from tessera.functions.scoring import linear, softmax
 from tessera.functions.vectors import as_doubles, at_quantile, cosine, dot, l2_normalized
 
-#: Prototypes of a block.
-BLOCK_PROTOTYPES = 100_000
-
-
 def class_means(rows: DataFrame, keys: list[str], vector: str) -> DataFrame:
     """Mean vector per group; components are averaged with partial sums before the shuffle."""
     parts = rows.select(*keys, F.posexplode(as_doubles(F.col(vector))).alias("pos", "x"))
@@ -34,18 +30,22 @@ def gathered(protos: DataFrame, label: str) -> DataFrame:
     return protos.agg(F.array_sort(F.collect_list(F.struct(F.col(label).alias("label"), "prototype"))).alias("protos"))
 
 
-def scored_in_blocks(queries: DataFrame, protos: DataFrame, key: str, label: str, vector: str, k: int, block: int = BLOCK_PROTOTYPES) -> DataFrame:
-    """key and the ``k`` best classes of each query, as ``scored`` ranks them, for any number of classes.
+def second_scores(rows: DataFrame, protos: DataFrame, key: str, label: str, candidates: str, score) -> DataFrame:
+    """key and ``second``: a score of each candidate (in their order) from its prototype, looked up by label.
 
-    A task holds one block of classes; a query is sent once to each block.
+    ``score`` gives it from the columns of ``rows`` and ``prototype``.
     """
-    blocks = max(1, -(-protos.count() // block))
-    part = F.pmod(F.xxhash64(label), F.lit(blocks)).cast("int").alias("block")
-    held = protos.groupBy(part).agg(F.collect_list(F.struct(F.col(label).alias("label"), "prototype")).alias("protos"))
-    each = queries.select(key, l2_normalized(F.col(vector)).alias("unit"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block")).join(held, "block")
-    minus = F.transform("protos", lambda p: F.struct((-dot(F.col("unit"), p["prototype"])).alias("minus"), p["label"].alias("label")))
-    best = each.select(key, F.slice(F.array_sort(minus), 1, k).alias("best")).groupBy(key).agg(F.slice(F.array_sort(F.flatten(F.collect_list("best"))), 1, k).alias("best"))
-    return best.select(key, F.transform("best", lambda s: F.struct((-s["minus"]).alias("score"), s["label"].alias("label"))).alias("ranked"))
+    each = rows.select("*", F.posexplode(candidates).alias("__at", "__c"))
+    held = each.join(protos.select(F.col(label).alias("__label"), "prototype"), F.col("__c.label") == F.col("__label"))
+    found = held.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("__at", score.alias("s")))).alias("second"))
+    return found.select(key, F.transform("second", lambda x: x["s"]).alias("second"))
+
+
+def mean_pair_cosine(protos: DataFrame) -> DataFrame:
+    """Mean cosine of all pairs of unit prototypes, from their sum: no pair is made."""
+    parts = protos.select(F.posexplode("prototype").alias("i", "x")).groupBy("i").agg(F.sum("x").alias("s"), F.sum(F.col("x") * F.col("x")).alias("q"), F.count("*").alias("n"))
+    n = F.max("n")
+    return parts.agg(((F.sum(F.col("s") * F.col("s")) - F.sum("q")) / (n * (n - 1))).alias("prototype_cosine"))
 
 
 def scored(queries: DataFrame, protos: DataFrame, label: str, vector: str, out: str = "ranked") -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.operators import metrics, retrieval, thresholds
+from tessera.operators import metrics, nearest, retrieval, thresholds
 
 
 def qualify(support: DataFrame, cal: DataFrame, score: DataFrame, classes: list, limit: float = 0.1, limits: dict[str, float] = metrics.GATE) -> DataFrame:
@@ -13,7 +13,8 @@ def qualify(support: DataFrame, cal: DataFrame, score: DataFrame, classes: list,
     protos = retrieval.prototypes(support, ["label"], "vec")
 
     def rows(df: DataFrame) -> DataFrame:
-        top = retrieval.scored(df, protos, "label", "vec").select("id", "label", *retrieval.top1(F.col("ranked")))
+        best = nearest.top_classes(df, protos, "id", "label", "vec", 2).select("id", *retrieval.top1(F.col("ranked")))
+        top = df.select("id", "label").join(best, "id")
         return top.withColumn("known", F.col("label").isNotNull()).withColumn("right", F.coalesce(F.col("label") == F.col("pred"), F.lit(False)))
 
     t = thresholds.at_false_accepts(rows(cal), "score", F.col("known"), F.col("right"), limit).select("threshold").first()[0]

@@ -118,7 +118,8 @@ def covered_customers(spark, sf_dir):
 
 @query(vectors._ranked_sql() + " SELECT a.vec_id, a.pred AS label, round(a.score - max(b.score), 6) AS margin FROM ranked a JOIN ranked b ON b.vec_id = a.vec_id AND b.pred <> a.pred GROUP BY a.vec_id, a.pred, a.score")
 def margins_to_others(spark, sf_dir):
-    rows = vectors.ranked(spark, sf_dir).select("vec_id", F.inline(retrieval.margins_to_others(F.col("ranked"))))
+    protos = retrieval.prototypes(vectors.enrollment(spark, sf_dir), ["label"], "embedding")
+    rows = retrieval.scored(vectors.trials(spark, sf_dir), protos, "label", "embedding").select("vec_id", F.inline(retrieval.margins_to_others(F.col("ranked"))))
     return rows.withColumn("margin", F.round("margin", 6))
 
 

@@ -9,7 +9,7 @@ from tessera.functions.scoring import distance_to_similarity, fused, log_ratio
 from tessera.functions.times import epoch_seconds
 from tessera.functions.vectors import chunk_means, cosine, l2_normalized, standardized
 from tessera.operators import retrieval, sequences
-from tessera.queries.vectors import RANKED_SQL, enrollment, trials
+from tessera.queries.vectors import RANKED_SQL, enrollment, ranked, trials
 from tessera.session import table
 
 QUERIES: dict = {}
@@ -177,8 +177,7 @@ def representative_templates(spark, sf_dir):
 @query(RERANK_SQL)
 def dtw_rerank(spark, sf_dir):
     """Top 3 by cosine first, alignment only for those and their two templates."""
-    protos = retrieval.prototypes(enrollment(spark, sf_dir), ["label"], "embedding")
-    top = retrieval.scored(trials(spark, sf_dir), protos, "label", "embedding").select("vec_id", sequences.frames_of(F.col("embedding"), 8).alias("fq"), F.explode(retrieval.top_k(F.col("ranked"), 3)).alias("c"))
+    top = ranked(spark, sf_dir).select("vec_id", sequences.frames_of(F.col("embedding"), 8).alias("fq"), F.explode("ranked").alias("c"))
     temp = _templates(spark, sf_dir).select("label", F.col("vec_id").alias("template"), sequences.frames_of(F.col("embedding"), 8).alias("ft"))
     pairs = top.select("vec_id", "fq", F.col("c.label").alias("label"), F.col("c.score").alias("global_score")).join(temp, "label")
     near = pairs.withColumn("d", sequences.dtw_distance("fq", "ft")).groupBy("vec_id", "label", "global_score").agg(F.min("d").alias("distance"))

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions.scoring import quadratic_features, sigmoid, softmax, z_score
 from tessera.functions.vectors import dot, l2_normalized
-from tessera.operators import metrics, retrieval, sampling, thresholds
+from tessera.operators import metrics, nearest, retrieval, sampling, thresholds
 from tessera.operators.sequences import frames_of
 from tessera.session import table
 
@@ -34,11 +34,13 @@ def trials(spark, sf_dir):
     return table(spark, sf_dir, "embeddings").where("vec_id % 2 = 1")
 
 
-def ranked(spark, sf_dir, registered_only: bool = False):
+def ranked(spark, sf_dir, registered_only: bool = False, k: int = 3):
+    """Trials with their ``k`` best classes."""
     support = enrollment(spark, sf_dir)
     if registered_only:
         support = support.where(F.col("label") < REGISTERED)
-    return retrieval.scored(trials(spark, sf_dir), retrieval.prototypes(support, ["label"], "embedding"), "label", "embedding")
+    top = nearest.top_classes(trials(spark, sf_dir), retrieval.prototypes(support, ["label"], "embedding"), "vec_id", "label", "embedding", k)
+    return trials(spark, sf_dir).join(top.select("vec_id", "ranked"), "vec_id")
 
 
 def score_table(spark, sf_dir):
@@ -103,13 +105,13 @@ def topk_margin(spark, sf_dir):
 dims AS (SELECT avg(s) AS spread FROM (SELECT i, stddev_pop(u[i]) AS s FROM units, unnest(range(1, 65)) AS t(i) WHERE vec_id % 2 = 1 GROUP BY i))
 SELECT round(own, 6) AS own_cosine, round(best_wrong, 6) AS best_wrong_cosine, round(inter, 6) AS prototype_cosine, round(spread, 6) AS dimension_std, spread < 1e-3 AS collapsed FROM own, wrong, inter, dims""")
 def embedding_diagnostics(spark, sf_dir):
-    rows = ranked(spark, sf_dir)
-    own = F.element_at(F.filter("ranked", lambda c: c["label"] == F.col("label")), 1)["score"]
+    protos = retrieval.prototypes(enrollment(spark, sf_dir), ["label"], "embedding")
+    # the best wrong class is one of the two best
     wrong = F.array_max(F.transform(F.filter("ranked", lambda c: c["label"] != F.col("label")), lambda c: c["score"]))
+    own = dot(l2_normalized(F.col("embedding")), F.col("prototype"))
+    rows = ranked(spark, sf_dir, k=2).join(protos, "label", "left")
     cosines = rows.agg(F.round(F.avg(own), 6).alias("own_cosine"), F.round(F.avg(wrong), 6).alias("best_wrong_cosine"))
-    protos = retrieval.gathered(retrieval.prototypes(enrollment(spark, sf_dir), ["label"], "embedding"), "label")
-    pairs = protos.select(F.explode("protos").alias("a"), "protos").select("a", F.explode("protos").alias("b")).where("a.label < b.label")
-    inter = pairs.agg(F.round(F.avg(dot(F.col("a.prototype"), F.col("b.prototype"))), 6).alias("prototype_cosine"))
+    inter = retrieval.mean_pair_cosine(protos).select(F.round("prototype_cosine", 6).alias("prototype_cosine"))
     dims = trials(spark, sf_dir).select(F.posexplode(l2_normalized(F.col("embedding"))).alias("i", "x")).groupBy("i").agg(F.stddev_pop("x").alias("s")).agg(F.round(F.avg("s"), 6).alias("dimension_std"), (F.avg("s") < 1e-3).alias("collapsed"))
     return cosines.join(inter, how="cross").join(dims, how="cross")
 
@@ -128,16 +130,19 @@ def enrollment_consistency(spark, sf_dir):
     return out.select("vec_id", *[F.round(c, 6).alias(c) for c in out.columns if c != "vec_id"])
 
 
+def _with_second(spark, sf_dir):
+    """Trials with their three best classes and the scores of these from the first half of the components."""
+    rows = ranked(spark, sf_dir)
+    protos = retrieval.prototypes(enrollment(spark, sf_dir), ["label"], "embedding")
+    half = dot(F.slice(l2_normalized(F.col("embedding")), 1, 32), F.slice("prototype", 1, 32))
+    return rows.join(retrieval.second_scores(rows, protos, "vec_id", "label", "ranked", half), "vec_id")
+
+
 @query(_ranked_sql() + """, two AS (SELECT r.vec_id, r.pred AS label, r.score AS first, list_inner_product(q.u[1:32], p.v[1:32]) AS second FROM ranked r JOIN units q USING (vec_id) JOIN protos p ON p.label = r.pred WHERE rank <= 3)
 SELECT vec_id, CAST(row_number() OVER (PARTITION BY vec_id ORDER BY 0.75::DOUBLE * first + 0.25::DOUBLE * second DESC, label) AS INTEGER) AS rank, label, round(first, 6) AS first, round(second, 6) AS second, round(0.75::DOUBLE * first + 0.25::DOUBLE * second, 6) AS fused FROM two""")
 def fused_rerank(spark, sf_dir):
-    protos = retrieval.prototypes(enrollment(spark, sf_dir), ["label"], "embedding")
-    table_ = retrieval.gathered(protos, "label")
-    rows = retrieval.scored(trials(spark, sf_dir), protos, "label", "embedding").join(table_, how="cross")
-    rows = rows.select("vec_id", retrieval.top_k(F.col("ranked"), 3).alias("c"), l2_normalized(F.col("embedding")).alias("u"), "protos")
-    half = lambda v: F.slice(v, 1, 32)
-    second = F.transform("c", lambda c: dot(half(F.col("u")), half(F.element_at(F.filter("protos", lambda p: p["label"] == c["label"]), 1)["prototype"])))
-    out = rows.select("vec_id", F.posexplode(retrieval.rerank(F.col("c"), 0.75, second)).alias("at", "r"))
+    rows = _with_second(spark, sf_dir)
+    out = rows.select("vec_id", F.posexplode(retrieval.rerank(F.col("ranked"), 0.75, F.col("second"))).alias("at", "r"))
     return out.select("vec_id", (F.col("at") + 1).alias("rank"), F.col("r.label").alias("label"), *[F.round(f"r.{n}", 6).alias(n) for n in ("first", "second", "fused")])
 
 
@@ -308,13 +313,7 @@ best AS (SELECT w, vec_id, true_label, label, row_number() OVER (PARTITION BY w,
 @query(_ranked_sql() + _TWO + """, per AS (SELECT w, c, count(*) FILTER (true_label = c AND label = c) AS tp, count(*) FILTER (label = c) AS pp, count(*) FILTER (true_label = c) AS ap FROM best, unnest(range(0, 10)) AS t(c) WHERE k = 1 GROUP BY ALL)
 SELECT w AS weight, round(avg(CASE WHEN pp + ap > 0 THEN 2.0::DOUBLE * tp / (pp + ap) ELSE 0 END), 6) AS macro_f1 FROM per GROUP BY w ORDER BY macro_f1 DESC, w DESC LIMIT 1""")
 def fusion_weight_search(spark, sf_dir):
-    protos = retrieval.prototypes(enrollment(spark, sf_dir), ["label"], "embedding")
-    table_ = retrieval.gathered(protos, "label")
-    rows = retrieval.scored(trials(spark, sf_dir), protos, "label", "embedding").join(table_, how="cross")
-    half = lambda v: F.slice(v, 1, 32)
-    c = rows.select("vec_id", "label", retrieval.top_k(F.col("ranked"), 3).alias("c"), l2_normalized(F.col("embedding")).alias("u"), "protos")
-    second = F.transform("c", lambda x: dot(half(F.col("u")), half(F.element_at(F.filter("protos", lambda p: p["label"] == x["label"]), 1)["prototype"])))
-    c = c.select("label", "c", second.alias("s"))
+    c = _with_second(spark, sf_dir).select("label", F.col("ranked").alias("c"), F.col("second").alias("s"))
     picks = F.array(*[F.struct(F.lit(w).alias("weight"), F.element_at(retrieval.rerank(F.col("c"), w, F.col("s")), 1)["label"].alias("pred")) for w in (0.5, 0.75, 1.0)])
     each = c.select("label", F.inline(picks))
     f1 = metrics.macro_f1(each, "label", "pred", CLASSES, ["weight"]).withColumn("macro_f1", F.round("macro_f1", 6))
@@ -391,3 +390,14 @@ def frame_parity(spark, sf_dir):
     rows = table(spark, sf_dir, "embeddings").select("vec_id", frames_of(F.col("embedding"), 8).alias("a"), frames_of(F.transform(F.col("embedding").cast("array<double>"), lambda x: F.round(x, 1)), 8).alias("b"))
     out = retrieval.frame_parity(rows, "vec_id", "a", "b")
     return out.select("vec_id", *[F.round(c, 6).alias(c) for c in out.columns if c != "vec_id"])
+
+
+@query(f"""WITH {UNIT_SQL.strip()}, pairs AS (SELECT q.vec_id, e.vec_id AS enrolled, list_inner_product(q.u, e.u) AS score FROM units q, units e WHERE q.vec_id % 2 = 1 AND e.vec_id % 2 = 0),
+top AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY score DESC, enrolled) AS rank FROM pairs)
+SELECT vec_id, CAST(rank AS INTEGER) AS rank, enrolled, round(score, 6) AS score FROM top WHERE rank <= 3""")
+def nearest_enrolled(spark, sf_dir):
+    """The three nearest enrolled vectors of each trial: as many classes as the enrollment has rows."""
+    classes = enrollment(spark, sf_dir).select(F.col("vec_id").alias("enrolled"), F.col("embedding").cast("array<double>").alias("prototype"))
+    top = nearest.top_classes(trials(spark, sf_dir), classes, "vec_id", "enrolled", "embedding", 3, block=64)
+    out = top.select("vec_id", F.posexplode("ranked").alias("at", "c"))
+    return out.select("vec_id", (F.col("at") + 1).alias("rank"), F.col("c.label").alias("enrolled"), F.round("c.score", 6).alias("score"))

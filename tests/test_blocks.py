@@ -1,17 +1,45 @@
 import numpy as np
 from pyspark.sql import functions as F
 
-from tessera.operators import inventory, retrieval, sampling
+from tessera.operators import inventory, nearest, retrieval, sampling
 
 
-def test_blocks_of_classes_give_the_same_ranking(spark):
+def clustered(rng, n, centers=12, dims=6, spread=0.05):
+    around = rng.normal(size=(centers, dims))
+    return around[rng.integers(0, centers, n)] + spread * rng.normal(size=(n, dims))
+
+
+def test_best_classes_equal_a_full_ranking_and_skip_far_groups(spark):
     rng = np.random.default_rng(3)
-    protos = spark.createDataFrame([(k, rng.normal(size=6).tolist()) for k in range(30)], "label int, prototype array<double>")
-    queries = spark.createDataFrame([(k, rng.normal(size=6).tolist()) for k in range(12)], "id int, v array<double>")
-    whole = {r.id: [(c.label, round(c.score, 9)) for c in r.ranked[:5]] for r in retrieval.scored(queries, protos, "label", "v").collect()}
-    for block in (4, 100):
-        parts = retrieval.scored_in_blocks(queries, protos, "id", "label", "v", 5, block)
-        assert {r.id: [(c.label, round(c.score, 9)) for c in r.ranked] for r in parts.collect()} == whole
+    vectors = clustered(rng, 300)
+    vectors /= np.linalg.norm(vectors, axis=1, keepdims=True)
+    protos = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(vectors)], "label int, prototype array<double>")
+    queries = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(np.concatenate([vectors[:20], rng.normal(size=(10, 6))]))], "id int, v array<double>")
+    whole = {r.id: [(c.label, round(c.score, 9)) for c in r.ranked[:5]] for r in retrieval.scored(queries, protos, "label", "v").select("id", "ranked").collect()}
+    for block, query_block in ((10, 7), (25, 1000), (1000, 1000)):
+        found = nearest.top_classes(queries, protos, "id", "label", "v", 5, block, query_block).collect()
+        assert {r.id: [(c.label, round(c.score, 9)) for c in r.ranked] for r in found} == whole
+        share = sum(r.classes_scored for r in found) / (30 * 300)
+        assert share == 1 if block == 1000 else share < 0.6
+
+
+def test_best_classes_with_ties_few_classes_and_vectors_of_other_lengths(spark):
+    protos = spark.createDataFrame([("b", [1.0, 0.0]), ("a", [2.0, 0.0]), ("c", [0.0, 1.0]), ("d", None)], "name string, prototype array<double>")
+    queries = spark.createDataFrame([(1, [3.0, 0.0]), (2, None), (3, [1.0, 0.0, 0.0]), (4, [0.0, None]), (1, [3.0, 0.0])], "id int, v array<float>")
+    for block in (1, 2, 50):
+        found = {r.id: [(c.label, c.score) for c in r.ranked] for r in nearest.top_classes(queries, protos, "id", "name", "v", 5, block).collect()}
+        assert found == {1: [("a", 1.0), ("b", 1.0), ("c", 0.0)], 4: [("a", 0.0), ("b", 0.0), ("c", 0.0)]}
+    none = nearest.top_classes(queries, protos.limit(0), "id", "name", "v", 2)
+    assert none.columns == ["id", "ranked", "classes_scored"] and none.collect() == []
+    assert nearest.top_classes(queries.limit(0), protos, "id", "name", "v", 2).collect() == []
+
+
+def test_mean_cosine_of_all_pairs(spark):
+    rng = np.random.default_rng(2)
+    units = [v / np.linalg.norm(v) for v in rng.normal(size=(9, 4))]
+    protos = spark.createDataFrame([(v.tolist(),) for v in units], "prototype array<double>")
+    want = np.mean([units[i] @ units[j] for i in range(9) for j in range(i)])
+    assert abs(retrieval.mean_pair_cosine(protos).first()[0] - want) < 1e-12
 
 
 def test_quantiles_equal_numpy(spark):
