@@ -8,21 +8,21 @@ so suffix arrays need not span the corpus:
 
 1. Minimizers of all segments are counted; one of a single segment repeats nothing,
    unless it recurs inside it.
-2. Segments of the others are grouped by minimizer and a 64-bit BLAKE2 digest of
-   their bytes into kinds (two of one minimizer that differ agree with a chance of 2**-64). All windows of a kind with several copies repeat; no text
-   moves for them. (To send two copies of each through suffix order as well would
-   take the shuffle from three times the input to five.)
-3. Where one minimizer has several kinds, or recurs in one, the text of each kind's
-   first copy goes to a bucket of bounded size. There the windows are put in suffix
-   order, and the previous and next smaller (and greater) positions in that order show
+2. Segments of the others go, with their bytes, to the bucket of their minimizer. There
+   copies are compared on all of their bytes, and the windows of those that differ are put
+   in suffix order, where the previous and next smaller (and greater) positions show
    whether the longest match with an earlier (later) one reaches ``min_length``.
-4. Minimizers with more than ``HOT`` kinds would overfill a bucket. The first copies
-   of their kinds are cut into single windows, which are grouped by two hashes; the
-   first and last copy of each window that recurs go through suffix order in buckets
-   of their own, and further copies take over what is found on the bytes of these two.
-
-Sets of keys reach the tasks as bitmaps of a fixed size, which only spare rows a
-shuffle; beyond ``BITMAP_KEYS`` keys, joins do it.
+3. Minimizers of more than ``HOT`` segments would overfill a bucket. Their segments are
+   grouped by all of their bytes into kinds first; further copies of a kind repeat in
+   full, and the first copies go to buckets as above.
+4. Minimizers of which more than ``HOT`` kinds are left are cut into single windows,
+   which are grouped by two hashes; the first and last copy of each window that recurs
+   go through suffix order in buckets of their own, and further copies take over what is
+   found on the bytes of these two.
+
+The counts of step 1 and the rows that lose something reach the tasks as bitmaps of a
+fixed size, which only spare rows a shuffle: beyond about ``2**BITMAP_BITS`` segments
+more of them pass, and results are the same.
 
 ``keep="none"`` removes every occurrence, ``keep="first"`` all but the first, by id,
 then in the order of rows of one id; null ids come last. Texts are UTF-8 bytes,
@@ -43,17 +43,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessera.llm.bitmaps import held, parted, recurring, slots_of
 from tessera.llm.checkpoints import cut
 from tessera.llm.textbytes import CODES, U64, RollingHash, mixed, slices, small_batches
 
 MIN_LENGTH = 200
 GRAM = 24
-#: Bytes of text in a bucket, and kinds of one minimizer beyond which it gets none: 8,192 kinds are 5 MB at most,
-#: for which suffix order takes about 300 MB.
-BUCKET_BYTES = 1 << 20
+#: Segments of a bucket, of about 290 bytes each, and segments of one minimizer beyond which it gets none: 8,192 segments
+#: are 3 MB at most, for which suffix order takes about 200 MB.
+BUCKET_SEGMENTS = 4096
 HOT = 8192
-BITMAP_BITS = 26
-BITMAP_KEYS = (1 << BITMAP_BITS) // 8
+BITMAP_BITS = 27
 SLICE = 1 << 20
 OTHER_BASE = 0xD6E8FEB86659FD93 | 5
 
@@ -93,7 +93,8 @@ class Segments:
         #: Whether windows within the segment may be equal: one but the last begins with the minimizer.
         leads = np.concatenate([[0], np.cumsum(grams[:windows] == least)])
         self.inner = leads[self.start + self.windows - 1] > leads[self.start]
-        self.minimizer = least[self.start]
+        # the least of many hashes is small: mixed again, all of its bits are as good as random
+        self.minimizer = mixed(least[self.start])
         self.row = np.searchsorted(offsets, self.start, side="right") - 1
 
 
@@ -108,126 +109,57 @@ def _sliding_least(h: np.ndarray, span: int) -> np.ndarray:
     return np.minimum(back[: n - span + 1], forth[span - 1 : n])
 
 
-def _place_slot(doc: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """Bitmap slot of a segment's place."""
-    return (mixed(doc.view(U64) * U64(0x9E3779B97F4A7C15) + at.view(U64)) >> U64(64 - BITMAP_BITS)).astype(np.int64)
-
-
-def _packed(start: np.ndarray, windows: np.ndarray, inner: np.ndarray) -> np.ndarray:
-    """First window, number of windows and the inner mark in one number, ordered by the first."""
-    return (start << 16) | (windows << 1) | inner
+def _packed(start: np.ndarray, windows: np.ndarray) -> np.ndarray:
+    """First window and number of windows in one number, ordered by the first."""
+    return (start << 16) | (windows << 1)
 
 
 #: The parts of such a number in SQL.
-START, WINDOWS, INNER = "shiftright({0}, 16)", "shiftright({0}, 1) & 32767", "{0} & 1"
-
-
-def _in_bitmap(bitmap: np.ndarray, slot: np.ndarray) -> np.ndarray:
-    return (bitmap[slot >> 6] >> (slot & 63).astype(U64)) & U64(1) == 1
-
-
-def _place_slots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        yield pa.RecordBatch.from_arrays([pa.array(_place_slot(batch.column(0).to_numpy(), batch.column(1).to_numpy()))], ["slot"])
-
-
-def _bitmap(slots: DataFrame):
-    """Broadcast bitmap of fixed size from a column ``slot``."""
-    words = slots.select(F.shiftright("slot", 6).alias("word"), F.expr("shiftleft(1L, cast(slot & 63 as int))").alias("bit")).groupBy("word").agg(F.bit_or("bit").alias("bits")).toArrow()
-    held = np.zeros((1 << BITMAP_BITS) // 64, dtype=U64)
-    held[words.column("word").to_numpy()] = words.column("bits").to_numpy().view(U64)
-    return slots.sparkSession.sparkContext.broadcast(held)
-
-
-def _kept_by_bitmap(rows: DataFrame, keys: DataFrame, on: list[str]) -> DataFrame:
-    """Rows whose ``on`` may be among ``keys``, without a shuffle of the rows; a bitmap lets some others through."""
-    slot = F.shiftrightunsigned(F.xxhash64(*on), 64 - BITMAP_BITS).alias("slot")
-    bitmap, names = _bitmap(keys.select(slot)), rows.columns
-
-    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            yield batch.filter(pa.array(_in_bitmap(bitmap.value, batch.column(0).to_numpy()))).select(names)
+START, WINDOWS = "shiftright({0}, 16)", "shiftright({0}, 1) & 32767"
 
-    return rows.select(slot, *names).mapInArrow(keep, rows.schema)
 
-
-def _count_minimizers(length: int):
+def _count_minimizers(length: int, bits: int):
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, data, offsets in slices(batches, "text", SLICE):
             s = Segments(data, offsets, length)
-            value, n = np.unique(np.concatenate([s.minimizer, s.minimizer[s.inner]]), return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(value.view(np.int64)), pa.array(n.astype(np.int64))], ["minimizer", "n"])
+            slot, n = np.unique(slots_of(np.concatenate([s.minimizer, s.minimizer[s.inner]]), bits), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(slot.astype(np.int32)), pa.array(n.astype(np.int32))], ["slot", "n"])
 
     return count
 
 
-def _placed(s: Segments, rows: pa.RecordBatch, offsets: np.ndarray, keep: np.ndarray) -> list[np.ndarray]:
-    """doc, tag and at of the segments in ``keep``."""
-    row = s.row[keep]
-    return [*(rows.column(i).to_numpy()[row] for i in (0, 1)), _packed(s.start[keep] - offsets[row], s.windows[keep], s.inner[keep])]
-
+def _bodies(s: Segments, data: np.ndarray, keep: np.ndarray) -> pa.Array:
+    size = (s.end - s.start)[keep] if len(keep) else np.zeros(0, np.int64)
+    ends = np.cumsum(size)
+    text = data[np.repeat(s.start[keep] - (ends - size), size) + np.arange(size.sum())]
+    return pa.BinaryArray.from_buffers(pa.binary(), len(keep), [None, pa.py_buffer(np.append(0, ends).astype(np.int32)), pa.py_buffer(np.ascontiguousarray(text))])
 
-def _bodies(s: Segments, data: np.ndarray, keep: np.ndarray) -> list[bytes]:
-    raw = data.tobytes()
-    return [raw[a:b] for a, b in zip(s.start[keep].tolist(), s.end[keep].tolist(), strict=True)] if len(keep) else []
 
+def _list_segments(length: int, bits: int, bitmap, but=None):
+    """Segments whose minimizers are in one bitmap and not in another."""
 
-def _list_segments(length: int, bitmap):
     def segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, data, offsets in slices(batches, "text", SLICE):
             s = Segments(data, offsets, length)
-            keep = np.arange(len(s.start))
-            if bitmap is not None and len(keep):
-                keep = np.flatnonzero(_in_bitmap(bitmap.value, (s.minimizer >> U64(64 - BITMAP_BITS)).astype(np.int64)))
-            digests = b"".join(hashlib.blake2b(body, digest_size=8).digest() for body in _bodies(s, data, keep))
-            columns = [s.minimizer[keep].view(np.int64), np.frombuffer(digests, dtype="<i8"), *_placed(s, rows, offsets, keep)]
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], [*KIND, *PLACE])
+            slot = slots_of(s.minimizer, bits)
+            keep = held(bitmap.value, slot)
+            if but is not None:
+                keep &= ~held(but.value, slot)
+            keep = np.flatnonzero(keep)
+            row = s.row[keep]
+            columns = [s.minimizer[keep].view(np.int64), *(rows.column(i).to_numpy()[row] for i in (0, 1)), _packed(s.start[keep] - offsets[row], s.windows[keep])]
+            yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in columns), _bodies(s, data, keep)], ["minimizer", *PLACE, "body"])
 
     return segments
 
 
 KIND = ["minimizer", "hash"]
 PLACE = ["doc", "tag", "at"]
-SEGMENT = "minimizer long, hash long, doc long, tag long, at long"
+SEGMENT = "minimizer long, doc long, tag long, at long, body binary"
 TEXTS = "minimizer long, hash long, doc long, tag long, at long, body binary"
 BODY = [*KIND, *PLACE, "body"]
 
 
-def _cut_by_bitmap(length: int, bitmap):
-    def texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows, data, offsets in slices(batches, "text", SLICE):
-            s = Segments(data, offsets, length)
-            columns = _placed(s, rows, offsets, np.arange(len(s.start)))
-            keep = np.flatnonzero(_in_bitmap(bitmap.value, _place_slot(columns[0], columns[2]))) if len(s.start) else s.start
-            columns = [s.minimizer.view(np.int64), np.zeros(len(s.start), np.int64), *columns]
-            yield pa.RecordBatch.from_arrays([*(pa.array(c[keep], pa.int64()) for c in columns), pa.array(_bodies(s, data, keep), pa.binary())], BODY)
-
-    return texts
-
-
-def _cut_by_list(length: int):
-    def texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out = []
-            for doc, tag, text, places in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
-                raw = (text or "").encode()
-                for p in places:
-                    start, windows = p["at"] >> 16, (p["at"] >> 1) & 32767
-                    if start + windows + length - 1 <= len(raw):  # else another row of the number is meant
-                        out.append((p["minimizer"], 0, doc, tag, p["at"], raw[start : start + windows + length - 1]))
-            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], pa.binary() if i == 5 else pa.int64()) for i in range(6)], BODY)
-
-    return texts
-
-
-def _segment_texts(texts: DataFrame, places: DataFrame, n: int, length: int) -> DataFrame:
-    """The bytes of the segments at ``places``: picked by a bitmap in a scan, which may let others through, or joined where that would overflow."""
-    if n <= BITMAP_KEYS:
-        return texts.mapInArrow(_cut_by_bitmap(length, _bitmap(places.select("doc", "at").mapInArrow(_place_slots, "slot long"))), TEXTS)
-    lists = places.groupBy("doc").agg(F.collect_list(F.struct("minimizer", "at")).alias("places"))
-    return texts.join(lists, "doc").select("doc", "tag", "text", "places").mapInArrow(_cut_by_list(length), TEXTS)
-
-
 def eight_bytes(text: np.ndarray) -> np.ndarray:
     """Each position's next 8 bytes as a number, zeros beyond the end."""
     n = len(text)
@@ -331,37 +263,64 @@ def _repeat_flags(bodies: list[bytes], windows: np.ndarray, length: int, keep: s
     return flags
 
 
+def _window_flags(bodies: list[bytes], windows: np.ndarray, length: int, keep: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Whether each window of segments, in their order, repeats; its segment, and its number there."""
+    nth = np.repeat(np.arange(len(windows)), windows)
+    local = np.arange(len(nth)) - np.repeat(np.cumsum(windows) - windows, windows)
+    # a copy of all bytes of a segment repeats with it; suffix order is for those that differ
+    first: dict[bytes, int] = {}
+    origin = np.fromiter((first.setdefault(body, i) for i, body in enumerate(bodies)), np.int64, len(bodies))
+    copy = origin != np.arange(len(bodies))
+    flags = copy[nth]
+    own = np.flatnonzero(~copy)
+    of_own = np.zeros(len(nth), dtype=bool)
+    of_own[~copy[nth]] = _repeat_flags([bodies[i] for i in own.tolist()], windows[own], length, keep)
+    flags |= of_own
+    if keep == "none":  # a later match counts too
+        copied = np.zeros(len(bodies), dtype=bool)
+        copied[origin[copy]] = True
+        flags |= copied[nth]
+    return flags, nth, local
+
+
+def _runs(flags: np.ndarray, local: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First and last of the runs of flagged windows that lie side by side."""
+    first, last = flags.copy(), flags.copy()
+    first[1:] &= ~flags[:-1] | (local[1:] == 0)
+    last[:-1] &= ~flags[1:] | (local[1:] == 0)
+    return np.flatnonzero(first), np.flatnonzero(last)
+
+
+def _bucket_spans(length: int, keep: str):
+    """Spans of repeated windows among the segments of a bucket."""
+
+    def spans(table: pa.Table) -> pa.Table:
+        table = table.select([*PLACE, "body"]).sort_by([(c, "ascending") for c in PLACE])
+        doc, tag, at = (table.column(c).to_numpy() for c in PLACE)
+        flags, nth, local = _window_flags(table.column("body").to_pylist(), (at >> 1) & 32767, length, keep)
+        a, b = _runs(flags, local)
+        k = nth[a]
+        return pa.table([doc[k], tag[k], (at[k] >> 16) + local[a], (at[k] >> 16) + local[b] + length], names=["doc", "tag", "start", "end"])
+
+    return spans
+
+
 def _repeated_windows(length: int, keep: str):
     names = ["minimizer", "hash", "doc", "tag", "start", "end", "whole"]
     schema = pa.schema([(c, pa.bool_() if c == "whole" else pa.int64()) for c in names])
 
     def repeated(table: pa.Table) -> pa.Table:
-        """Spans of repeated windows in a bucket, and the (minimizer, hash) of which a second copy is one such span."""
+        """Spans of repeated windows in a bucket of windows, and the (minimizer, hash) of which a second copy is one such span."""
         table = table.sort_by([("doc", "ascending"), ("tag", "ascending"), ("at", "ascending")])
         minimizer, kind, doc, tag, at = (table.column(c).to_numpy() for c in BODY[:5])
-        bodies = table.column("body").to_pylist()
         start, windows = at >> 16, (at >> 1) & 32767
-        nth = np.repeat(np.arange(len(windows)), windows)
-        first_of = np.cumsum(windows) - windows
-        local = np.arange(len(nth)) - np.repeat(first_of, windows)
-        # a copy of all bytes of a segment repeats with it; suffix order is for those that differ
-        held: dict[bytes, int] = {}
-        origin = np.fromiter((held.setdefault(body, i) for i, body in enumerate(bodies)), np.int64, len(bodies))
-        copy = origin != np.arange(len(bodies))
-        flags = copy[nth]
-        if keep == "none":  # a later match counts too
-            flags |= np.isin(np.arange(len(bodies)), origin[copy])[nth]
-        own = np.flatnonzero(~copy)
-        flags[np.isin(nth, own)] |= _repeat_flags([bodies[i] for i in own.tolist()], windows[own], length, keep)
-        first, last = flags.copy(), flags.copy()
-        first[1:] &= ~flags[:-1] | (local[1:] == 0)
-        last[:-1] &= ~flags[1:] | (local[1:] == 0)
-        a, b = np.flatnonzero(first), np.flatnonzero(last)
+        flags, nth, local = _window_flags(table.column("body").to_pylist(), windows, length, keep)
+        a, b = _runs(flags, local)
         k = nth[a]
         # a kind's copies stand one after another, in their order
         of_kind = np.lexsort((np.arange(len(kind)), kind, minimizer))
         again = of_kind[1:][(kind[of_kind[1:]] == kind[of_kind[:-1]]) & (minimizer[of_kind[1:]] == minimizer[of_kind[:-1]])]
-        full = again[np.logical_and.reduceat(flags, first_of)[again]] if len(again) else again
+        full = again[np.logical_and.reduceat(flags, np.cumsum(windows) - windows)[again]] if len(again) else again
         n, m = len(k), len(full)
         columns = [np.append(x[k], x[full]) for x in (minimizer, kind, doc, tag)]
         columns += [np.append(start[k] + local[a], start[full]), np.append(start[k] + local[b] + length, start[full] + windows[full] + length - 1), np.arange(n + m) >= n]
@@ -379,29 +338,25 @@ def _window_hashes(batch: pa.RecordBatch, length: int) -> Iterator[tuple[int, li
         yield i, [mixed(RollingHash(symbols, *b).ranges(nth, nth + length)) for b in ((), (OTHER_BASE,))]
 
 
-def _window_slot(h: np.ndarray) -> np.ndarray:
-    return (h >> U64(64 - BITMAP_BITS)).astype(np.int64)
-
-
-def _count_window_slots(length: int):
+def _count_window_slots(length: int, bits: int):
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            slots = [_window_slot(keys[0]) for _, keys in _window_hashes(batch, length)]
+            slots = [slots_of(keys[0], bits) for _, keys in _window_hashes(batch, length)]
             slot, n = np.unique(np.concatenate(slots) if slots else np.zeros(0, np.int64), return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(slot), pa.array(n.astype(np.int64))], ["slot", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array(slot.astype(np.int32)), pa.array(n.astype(np.int32))], ["slot", "n"])
 
     return count
 
 
-def _hash_windows(length: int, bitmap):
+def _hash_windows(length: int, bits: int, bitmap):
     """Cuts segments into single windows; ``at`` holds a window's start and its distance from the segment's."""
 
     def hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             doc, tag, at = (batch.column(i).to_numpy() for i in (2, 3, 4))
             for i, keys in _window_hashes(batch, length):
-                nth = np.flatnonzero(_in_bitmap(bitmap.value, _window_slot(keys[0])))
-                columns = [*(k[nth].view(np.int64) for k in keys), np.full(len(nth), doc[i]), np.full(len(nth), tag[i]), _packed((at[i] >> 16) + nth, nth, 0 * nth)]
+                nth = np.flatnonzero(held(bitmap.value, slots_of(keys[0], bits)))
+                columns = [*(k[nth].view(np.int64) for k in keys), np.full(len(nth), doc[i]), np.full(len(nth), tag[i]), _packed((at[i] >> 16) + nth, nth)]
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], BODY[:5])
 
     return hashes
@@ -422,32 +377,53 @@ def _cut_windows(length: int):
     return texts
 
 
-def _found_in_buckets(body: DataFrame, total: int, length: int, keep: str) -> DataFrame:
-    """Runs suffix order in buckets of about BUCKET_BYTES, all rows of a minimizer in one bucket."""
-    bucket = F.pmod(F.xxhash64("minimizer"), F.lit(max(1, -(-total // BUCKET_BYTES))))
-    return body.withColumn("bucket", bucket).groupBy("bucket").applyInArrow(_repeated_windows(length, keep), "minimizer long, hash long, doc long, tag long, start long, end long, whole boolean")
-
-
 def _hot_spans(body: DataFrame, length: int, keep: str) -> DataFrame:
     """Spans of repeated windows in the texts of segments, each window dealt by its own bytes."""
     # windows that are alone in their slot of a bitmap recur nowhere
-    slots = body.mapInArrow(_count_window_slots(length), "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).where("n > 1")
-    windows = cut(body.mapInArrow(_hash_windows(length, _bitmap(slots)), "minimizer long, hash long, doc long, tag long, at long"))
+    counted = body.mapInArrow(_count_window_slots(length, BITMAP_BITS), "slot int, n int")
+    bitmap = body.sparkSession.sparkContext.broadcast(recurring(counted, BITMAP_BITS, HOT)[0])
+    windows = cut(body.mapInArrow(_hash_windows(length, BITMAP_BITS, bitmap), "minimizer long, hash long, doc long, tag long, at long"))
     place = F.struct(*PLACE)
-    often = windows.groupBy("minimizer", "hash").agg(F.count("*").alias("copies"), F.min(place).alias("first"), F.max(place).alias("last")).where("copies > 1")
+    often = windows.groupBy(*KIND).agg(F.count("*").alias("copies"), F.min(place).alias("first"), F.max(place).alias("last")).where("copies > 1")
     often = cut(often)
-    two = often.select("minimizer", "hash", F.explode(F.array("first", "last")).alias("p")).select("minimizer", "hash", "p.*")
+    two = often.select(*KIND, F.explode(F.array("first", "last")).alias("p")).select(*KIND, "p.*")
     # a window's segment begins ``nth`` bytes before it
-    lists = two.withColumn("from_at", F.expr(f"{START.format('at')} - ({WINDOWS.format('at')})")).groupBy(F.col("doc").alias("d"), F.col("tag").alias("t"), "from_at").agg(F.collect_list(F.struct("minimizer", "hash", "at")).alias("places"))
+    lists = two.withColumn("from_at", F.expr(f"{START.format('at')} - ({WINDOWS.format('at')})")).groupBy(F.col("doc").alias("d"), F.col("tag").alias("t"), "from_at").agg(F.collect_list(F.struct(*KIND, "at")).alias("places"))
     pieces = body.join(lists, (F.col("doc") == F.col("d")) & (F.col("tag") == F.col("t")) & (F.expr(START.format("at")) == F.col("from_at")))
-    found = cut(_found_in_buckets(pieces.select("doc", "tag", "body", "places").mapInArrow(_cut_windows(length), TEXTS), 2 * often.count() * length, length, keep))
-    whole = found.where("whole").select("minimizer", "hash").join(often.where("copies > 2").select("minimizer", "hash", "first"), ["minimizer", "hash"])
-    rest = windows.join(whole, ["minimizer", "hash"]).where(place != F.col("first"))
-    spans = found.where("not whole").select("doc", "tag", "start", "end")
+    pieces = pieces.select("doc", "tag", "body", "places").mapInArrow(_cut_windows(length), TEXTS)
+    bucket = F.pmod(F.xxhash64("minimizer"), F.lit(max(1, -(-2 * often.count() // BUCKET_SEGMENTS))))
+    found = cut(pieces.withColumn("bucket", bucket).groupBy("bucket").applyInArrow(_repeated_windows(length, keep), "minimizer long, hash long, doc long, tag long, start long, end long, whole boolean"))
+    whole = found.where("whole").select(*KIND).join(often.where("copies > 2").select(*KIND, "first"), KIND)
+    rest = windows.join(whole, KIND).where(place != F.col("first"))
+    spans = found.where("not whole").select(*SPAN)
     start = F.expr(START.format("at"))
     return spans.unionByName(rest.select("doc", "tag", start.alias("start"), (start + length).alias("end")))
 
 
+def _often_spans(segments: DataFrame, length: int, keep: str) -> DataFrame:
+    """Spans of segments whose minimizers occur too often for a bucket: copies are grouped on their bytes first."""
+    place = F.struct(*PLACE)
+    kinds = cut(segments.groupBy("minimizer", "body").agg(F.count("*").alias("copies"), F.min(place).alias("first")))
+    hot = cut(kinds.groupBy("minimizer").count().where(F.col("count") > HOT).select("minimizer"))
+    firsts = kinds.select("minimizer", "first.*", "body")
+    few = firsts.join(hot, "minimizer", "left_anti")
+    bucket = F.pmod(F.xxhash64("minimizer"), F.lit(max(1, -(-kinds.count() // BUCKET_SEGMENTS))))
+    spans = few.withColumn("bucket", bucket).groupBy("bucket").applyInArrow(_bucket_spans(length, keep), SPANS)
+    if hot.limit(1).count():
+        body = firsts.join(hot, "minimizer", "left_semi").select("minimizer", F.lit(0).cast("long").alias("hash"), *PLACE, "body")
+        spans = spans.unionByName(_hot_spans(cut(body), length, keep))
+    copied = kinds.where("copies > 1").select("minimizer", "body", "first")
+    whole = segments.join(copied, ["minimizer", "body"])
+    if keep == "first":
+        whole = whole.where(place != F.col("first"))
+    start = F.expr(START.format("at"))
+    return spans.unionByName(whole.select("doc", "tag", start.alias("start"), (start + F.length("body")).alias("end")))
+
+
+SPAN = ["doc", "tag", "start", "end"]
+SPANS = "doc long, tag long, start long, end long"
+
+
 def _rows(docs: DataFrame, id_col: str, text_col: str, keep: str) -> DataFrame:
     """doc_id and text with a key of two numbers; for ``keep="first"`` the key has the order of ids, then of rows."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
@@ -461,38 +437,14 @@ def repeated_spans(rows: DataFrame, min_length: int = MIN_LENGTH, keep: str = "n
     if min_length % 8 or not 2 * GRAM <= min_length < 1 << 15:
         raise ValueError("min_length must be a multiple of 8 from 48 to 32760")
     small_batches(rows.sparkSession)
-    texts = rows.select("doc", "tag", "text")
-    counted = rows.select("text").mapInArrow(_count_minimizers(min_length), "minimizer long, n long")
-    shared = cut(counted.groupBy("minimizer").agg(F.sum("n").alias("n")).where("n > 1").select("minimizer"))
-    few = shared.count() <= BITMAP_KEYS
-    bitmap = _bitmap(shared.select(F.shiftrightunsigned("minimizer", 64 - BITMAP_BITS).alias("slot"))) if few else None
-    listed = texts.mapInArrow(_list_segments(min_length, bitmap), SEGMENT)
-    segments = cut(listed if few else listed.join(shared, "minimizer", "left_semi"))
-    # rows of one doc number that differ in tag only matter to the order of copies
-    place = PLACE if keep == "first" else ["doc", "at"]
-    first = F.struct(*place)
-    kinds = cut(segments.groupBy(*KIND).agg(F.count("*").alias("copies"), F.min(first).alias("first")).select(*KIND, "copies", "first.*"))
-    differing = cut(kinds.groupBy("minimizer").agg(F.count("*").alias("kinds"), F.max(F.expr(INNER.format("at"))).alias("any_inner")).where("kinds > 1 or any_inner = 1"))
-    contested = kinds.select("minimizer", *place)
-    if differing.count() <= BITMAP_KEYS:  # what else the bitmap lets through repeats nothing
-        contested = _kept_by_bitmap(contested, differing, ["minimizer"])
-    else:
-        contested = contested.join(differing, "minimizer", "left_semi")
-    hot = differing.where(F.col("kinds") > HOT).select("minimizer", F.lit(True).alias("hot"))
-    contested = cut(contested.join(hot, "minimizer", "left").withColumn("hot", F.coalesce("hot", F.lit(False))))
-
-    copied = cut(kinds.where("copies > 1").select(*KIND, first.alias("first")))
-    whole = (_kept_by_bitmap(segments, copied, KIND) if copied.count() <= BITMAP_KEYS else segments).join(copied, KIND)
-    if keep == "first":
-        whole = whole.where(first != F.col("first"))
-    start, windows = F.expr(START.format("at")), F.expr(WINDOWS.format("at"))
-    spans = whole.select("doc", "tag", start.alias("start"), (start + windows + (min_length - 1)).alias("end"))
-    for hot, n, total in contested.groupBy("hot").agg(F.count("*"), F.sum(windows + min_length)).collect():
-        body = _segment_texts(texts, contested.where(F.col("hot") == hot), n, min_length)
-        if hot:  # texts that a bitmap lets through in error repeat nothing that is not repeated
-            spans = spans.unionByName(_hot_spans(cut(body), min_length, keep))
-        else:
-            spans = spans.unionByName(_found_in_buckets(body, total, min_length, keep).where("not whole").select("doc", "tag", "start", "end"))
+    context, texts = rows.sparkSession.sparkContext, rows.select("doc", "tag", "text")
+    twice, often, many = recurring(rows.select("text").mapInArrow(_count_minimizers(min_length, BITMAP_BITS), "slot int, n int"), BITMAP_BITS, HOT)
+    twice, often = context.broadcast(twice), context.broadcast(often) if often is not None else None
+    segments = texts.mapInArrow(_list_segments(min_length, BITMAP_BITS, twice, often), SEGMENT)
+    bucket = F.pmod(F.xxhash64("minimizer"), F.lit(max(1, -(-many // BUCKET_SEGMENTS)))).alias("bucket")
+    spans = segments.select(bucket, *PLACE, "body").groupBy("bucket").applyInArrow(_bucket_spans(min_length, keep), SPANS)
+    if often is not None:
+        spans = spans.unionByName(_often_spans(texts.mapInArrow(_list_segments(min_length, BITMAP_BITS, often), SEGMENT), min_length, keep))
     return spans
 
 
@@ -529,9 +481,12 @@ def _remove(with_text: bool):
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_length: int = MIN_LENGTH, keep: str = "none", with_text: bool = False) -> DataFrame:
     """One row per document: doc_id, n_bytes, n_removed, n_spans, kept_sha256 (and kept_bytes)."""
     rows = _rows(docs, id_col, text_col, keep)
-    lists = repeated_spans(rows, min_length, keep).groupBy("doc", "tag").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
-    joined = rows.join(lists, ["doc", "tag"], "left").select("doc_id", "text", "spans")
-    return joined.mapInArrow(_remove(with_text), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept_bytes binary" * with_text)
+    lists = cut(repeated_spans(rows, min_length, keep).groupBy("doc", "tag").agg(F.collect_list(F.struct("start", "end")).alias("spans")))
+    # only texts that lose something meet their spans; the others are judged as they are read
+    touched, whole = parted(rows, lists, ["doc", "tag"])
+    joined = touched.join(lists, ["doc", "tag"], "left").select("doc_id", "text", "spans")
+    whole = whole.select("doc_id", "text", F.lit(None).cast(joined.schema["spans"].dataType).alias("spans"))
+    return joined.unionByName(whole).mapInArrow(_remove(with_text), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept_bytes binary" * with_text)
 
 
 def op8_suffix_dedup(spark, sf_dir: str) -> DataFrame:

@@ -41,9 +41,10 @@ def test_equals_brute_force(spark, keep):
 
 
 @pytest.mark.parametrize("keep", ["none", "first"])
-def test_hot_minimizers_and_joins_give_the_same(spark, monkeypatch, keep):
+def test_hot_minimizers_small_buckets_and_full_bitmaps_give_the_same(spark, monkeypatch, keep):
     monkeypatch.setattr(suffix_dedup, "HOT", 1)
-    monkeypatch.setattr(suffix_dedup, "BITMAP_KEYS", 0)
+    monkeypatch.setattr(suffix_dedup, "BITMAP_BITS", 8)
+    monkeypatch.setattr(suffix_dedup, "BUCKET_SEGMENTS", 3)
     texts = awkward_texts()
     assert rows(remove_repeats(documents(spark, texts), keep=keep)) == brute(texts, keep=keep)
 
