@@ -2,13 +2,14 @@ import random
 
 import numpy as np
 import pyarrow as pa
+import pytest
 from pyspark.sql import functions as F
 
 from tests.llm.fixtures import documents, with_clashes
 from tessera.llm.edit_counts import MOST, TokenTree, count_after_edits, edited_counts
 from tessera.llm.fixity import audit_hashes, audit_replicas, page_hashes
 from tessera.llm.pretokens import default_tokenizer_path, load_tokenizer
-from tessera.llm.topk import Best, SortedLists, quantized, threshold_topk
+from tessera.llm.topk import Best, SortedLists, quantized, search_blocks, threshold_topk
 
 
 def brute_topk(rows, k=5):
@@ -61,10 +62,35 @@ def test_threshold_stops_early_and_right():
     read = lists.improve(np.array([[1.0, 0, 0, 0, 0, 0], [0.0] * 6]), best)
     assert best.scores.tolist() == [[3999, 3998, 3997], [0, 0, 0]]
     assert best.ids[1].tolist() == [0, 1, 2]
-    assert read[0] < 50 and read[1] >= 4000
-    # a second block that cannot beat the carried scores is hardly read
+    assert read[0] < 50 and read[1] == 4000
+    # a second block that cannot beat the carried scores is not read
     again = SortedLists(np.arange(5000, 9000), x - 4000).improve(np.array([[1.0, 0, 0, 0, 0, 0], [0.0] * 6]), best)
-    assert again[0] < 50 and best.scores[0].tolist() == [3999, 3998, 3997]
+    assert again[0] == 0 and best.scores[0].tolist() == [3999, 3998, 3997]
+
+
+def test_no_more_rows_are_scored_than_in_a_full_scan_and_fewer_of_clustered_vectors():
+    rng = np.random.default_rng(8)
+    around = rng.normal(0, 60, (20, 16))
+    for name, spread in (("clustered", 4), ("alike in all directions", None)):
+        x = np.floor(rng.normal(0, 60, (4000, 16)) if spread is None else around[rng.integers(0, 20, 4000)] + rng.normal(0, spread, (4000, 16)))
+        ids = np.arange(4000) // 2 * (1 if spread is None else 2) + (0 if spread is None else np.arange(4000) % 2)
+        queries = x[:40]
+        best = Best(np.full(40, -1), 5, np.float64)
+        read = search_blocks(ids, x, queries, best, 256)
+        for q in range(40):
+            score = {}
+            for i, v in zip(ids.tolist(), (x @ queries[q]).tolist(), strict=True):
+                score[i] = max(score.get(i, v), v)
+            assert list(zip(best.ids[q].tolist(), best.scores[q].tolist(), strict=True)) == sorted(score.items(), key=lambda s: (-s[1], s[0]))[:5], name
+        assert read.max() <= 4000
+        assert spread is None or read.sum() < 0.3 * 40 * 4000
+
+
+def test_scores_that_do_not_fit_are_refused(spark):
+    df = spark.createDataFrame([(0, [3e30, 0.0]), (1, [1.0, 1.0])], "vec_id long, embedding array<float>")
+    base = df.select(F.col("vec_id").alias("id"), quantized(F.col("embedding")).alias("vector"))
+    with pytest.raises(Exception, match="fit a long|OVERFLOW"):
+        threshold_topk(base, base.where("id = 0")).collect()
 
 
 def records(spark, rows):
