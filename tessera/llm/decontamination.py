@@ -10,8 +10,8 @@ suffixes of one window lie side by side. Openings that the other side lacks are
 left out before sorting and searching (bitmaps without false negatives).
 
 The benchmark travels to the tasks. Its size is summed first; beyond
-``part_bytes`` it is cut by item into parts of about that size, which are searched
-for one after another, and the hits of each row are merged by a row number kept
+``part_bytes`` it is cut by row into parts of about that size (a row that is longer is
+a part by itself), which are searched for one after another, and the hits of each row are merged by a row number kept
 with the texts in the shared folder. Results do not depend on ``part_bytes``. No
 word of a document is skipped.
 
@@ -310,7 +310,8 @@ def _benchmark_parts(benchmark: DataFrame, part_bytes: int, item_col: str, text_
     if parts == 1:
         return [items]
     parts *= 2  # parts of a hash are uneven
-    return [items.where(F.pmod(F.xxhash64("item_id"), F.lit(parts)) == p) for p in range(parts)]
+    # rows of one id are dealt by their texts: items are united by id when all parts are done
+    return [items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(parts)) == p) for p in range(parts)]
 
 
 FOUND = "hits array<struct<start: int, end: int>>, items array<string>, longest long, longest_start long, longest_item string, longest_item_start long"

@@ -13,7 +13,7 @@ tables are kept in the shared folder, so descending reads them again instead of
 the records.
 
 A null payload or url counts as empty; null archives and offsets are values like
-others. Records found in one replica only are reported as missing or extra. Rows
+others, and rows without one have roots of their own. Records found in one replica only are reported as missing or extra. Rows
 of one offset are compared as a multiset, in any order: a digest that one replica
 holds more often is reported once, beside one that the other holds more often if
 there is such. Empty replicas have no roots and do not differ; if one is empty,
@@ -53,23 +53,23 @@ def _node(children: Column) -> Column:
 
 def _up(nodes: DataFrame, archive: Column, at: Column, position: Column) -> DataFrame:
     child = F.struct(position.alias("at"), F.col("digest"))
-    return nodes.groupBy(archive.alias("archive"), at.alias("at")).agg(_node(F.collect_list(child)).alias("digest"))
+    return nodes.groupBy("replica", archive.alias("archive"), at.alias("at")).agg(_node(F.collect_list(child)).alias("digest"))
 
 
 def _by_offset(hashes: DataFrame) -> DataFrame:
     """One digest for each archive and offset: the row's own, or one of all rows there, whatever their order."""
     total = lambda seed: F.sum(F.xxhash64("digest", "length", F.lit(seed)).cast("decimal(20,0)")).cast("string")
-    sums = hashes.groupBy("archive", "offset").agg(F.count("*").alias("n"), F.max("digest").alias("own"), total(1).alias("x"), total(2).alias("y"))
-    return sums.select("archive", "offset", F.when(F.col("n") == 1, F.col("own")).otherwise(F.sha2(F.concat_ws(":", F.col("n").cast("string"), "x", "y").cast("binary"), 256)).alias("digest"))
+    sums = hashes.groupBy("replica", "archive", "offset").agg(F.count("*").alias("n"), F.max("digest").alias("own"), total(1).alias("x"), total(2).alias("y"))
+    return sums.select("replica", "archive", "offset", F.when(F.col("n") == 1, F.col("own")).otherwise(F.sha2(F.concat_ws(":", F.col("n").cast("string"), "x", "y").cast("binary"), 256)).alias("digest"))
 
 
 def merkle_levels(hashes: DataFrame, height: int, archive_height: int) -> list[DataFrame]:
-    """Node tables (archive, at, digest) from the leaves up to the replica's root."""
-    levels = [_up(_by_offset(hashes), F.col("archive"), F.floor(F.col("offset") / LEAF_BYTES), F.col("offset"))]
+    """Node tables (replica, archive, at, digest) from the leaves up to each replica's root, kept in the shared folder."""
+    levels = [cut(_up(_by_offset(hashes), F.col("archive"), F.floor(F.col("offset") / LEAF_BYTES), F.col("offset")))]
     for _ in range(height):
-        levels.append(_up(levels[-1], F.col("archive"), F.floor(F.col("at") / FANOUT), F.col("at")))
+        levels.append(cut(_up(levels[-1], F.col("archive"), F.floor(F.col("at") / FANOUT), F.col("at"))))
     for _ in range(archive_height):
-        levels.append(_up(levels[-1], F.floor(F.col("archive") / FANOUT), F.col("at"), F.col("archive")))
+        levels.append(cut(_up(levels[-1], F.floor(F.col("archive") / FANOUT), F.col("at"), F.col("archive"))))
     return levels
 
 
@@ -91,26 +91,25 @@ def audit_hashes(a: DataFrame, b: DataFrame) -> DataFrame:
 
     ``a`` and ``b`` have archive (whole numbers from 0), offset, length and digest.
     """
-    ha, hb = cut(a), cut(b)
-    top = ha.unionByName(hb).agg(F.max("offset"), F.max("archive")).first()
+    columns = ["archive", "offset", "length", "digest"]
+    hashes = cut(a.select(F.lit(0).alias("replica"), *columns).unionByName(b.select(F.lit(1).alias("replica"), *columns)))
+    top = hashes.agg(F.max("offset"), F.max("archive")).first()
     height = _height((top[0] or 0) // LEAF_BYTES + 1)
-    archive_height = _height((top[1] or 0) + 1)
-    la, lb = ([cut(x) for x in merkle_levels(h, height, archive_height)] for h in (ha, hb))
+    levels = merkle_levels(hashes, height, _height((top[1] or 0) + 1))
     differing = None
-    for k in range(len(la) - 1, -1, -1):
-        nodes = _side_by_side(la[k], lb[k], ["archive", "at"], "digest")
+    for k in range(len(levels) - 1, -1, -1):
+        nodes = levels[k]
         if differing is not None:
             over = F.col("archive") if k <= height - 1 else F.floor(F.col("archive") / FANOUT)
             up = F.floor(F.col("at") / FANOUT) if k <= height - 1 else F.col("at")
             parents = differing.select(F.col("archive").alias("up_archive"), F.col("at").alias("up_at"))
-            left, right = (x[k].join(parents, over.eqNullSafe(F.col("up_archive")) & up.eqNullSafe(F.col("up_at")), "left_semi") for x in (la, lb))
-            nodes = _side_by_side(left, right, ["archive", "at"], "digest")
-        differing = nodes.where(~F.col("digest_a").eqNullSafe(F.col("digest_b"))).select("archive", "at")
+            nodes = nodes.join(parents, over.eqNullSafe(F.col("up_archive")) & up.eqNullSafe(F.col("up_at")), "left_semi")
+        differing = _side_by_side(nodes, ["archive", "at"], "digest").where(~F.col("digest_a").eqNullSafe(F.col("digest_b"))).select("archive", "at")
     bad = differing.select(F.col("archive").alias("bad_archive"), F.col("at").alias("bad_leaf"))
     leaf = F.floor(F.col("offset") / LEAF_BYTES)
     within = F.col("archive").eqNullSafe(F.col("bad_archive")) & leaf.eqNullSafe(F.col("bad_leaf"))
-    counted = [h.join(bad, within, "left_semi").groupBy("archive", "offset", "length", "digest").agg(F.count("*").alias("n")) for h in (ha, hb)]
-    surplus = _side_by_side(*counted, ["archive", "offset", "length", "digest"], "n").withColumn("more", F.coalesce("n_a", F.lit(0)) - F.coalesce("n_b", F.lit(0))).where("more <> 0")
+    sign = F.when(F.col("replica") == 0, 1).otherwise(-1)
+    surplus = hashes.join(bad, within, "left_semi").groupBy(*columns).agg(F.sum(sign).alias("more")).where("more <> 0")
     nth = F.row_number().over(Window.partitionBy("archive", "offset", F.col("more") > 0).orderBy("digest", "length"))
     of = lambda c, mine: F.max(F.when((F.col("more") > 0) == mine, F.col(c)))
     both = surplus.withColumn("nth", nth).groupBy("archive", "offset", "nth").agg(of("length", True).alias("length_a"), of("length", False).alias("length_b"), of("digest", True).alias("digest_a"), of("digest", False).alias("digest_b"), F.max("more").alias("high"), F.min("more").alias("low"))
@@ -118,42 +117,48 @@ def audit_hashes(a: DataFrame, b: DataFrame) -> DataFrame:
     return both.select("archive", "offset", "length_a", "length_b", "digest_a", "digest_b", finding.alias("finding"))
 
 
-def _side_by_side(a: DataFrame, b: DataFrame, keys: list[str], value: str) -> DataFrame:
-    """A full outer join of tables with unique keys, null keys included: value_a and value_b."""
-    names = (f"{value}_a", f"{value}_b")
-    sides = [x.select(*keys, *[(F.col(value) if i == k else F.lit(None)).cast(dict(x.dtypes)[value]).alias(n) for k, n in enumerate(names)]) for i, x in enumerate((a, b))]
-    return sides[0].unionByName(sides[1]).groupBy(*keys).agg(*[F.max(n).alias(n) for n in names])
+def _side_by_side(nodes: DataFrame, keys: list[str], value: str) -> DataFrame:
+    """Both replicas' values of a key, null keys included: value_a and value_b."""
+    return nodes.groupBy(*keys).agg(*[F.max(F.when(F.col("replica") == k, F.col(value))).alias(f"{value}_{n}") for k, n in enumerate("ab")])
 
 
 def page_hashes(pages: DataFrame, html: Column | None = None, lost: Column | None = None) -> DataFrame:
     """Hashes of pages as records of archives of ARCHIVE_RECORDS consecutive page ids.
 
     Offsets are those of the sound archive, in order of page id; ``html`` is what this
-    replica holds and ``lost`` marks records that it lacks. Rows of one id follow one
-    another by the digest of the sound record, then in any order, since they are equal;
-    rows without an id lie in archives of their own, below 0, by that digest. Payloads are
+    replica holds and ``lost`` marks records that it lacks.
+    """
+    return page_replicas(pages, [(html, lost)])[0]
+
+
+def page_replicas(pages: DataFrame, damage: list[tuple[Column | None, Column | None]]) -> list[DataFrame]:
+    """``page_hashes`` of several replicas of the same pages, whose places are found once and kept in the shared folder.
+
+    Rows of one id follow one another by the digest of the sound record, then in any order,
+    since they are equal: they are counted, and their places follow from the count.
+    Rows without an id lie in archives of their own, below 0, by that digest. Payloads are
     hashed where they lie. Offsets are summed in two steps, over groups of an id and the
     first signs of the digest and within them, so that an id may have any number of rows.
     """
     sound = warc_record(F.col("url"), F.col("html"))
-    held = sound if html is None else warc_record(F.col("url"), html)
     nameless = -1 - F.conv(F.substring(F.sha2(sound, 256), 1, 5), 16, 10).cast("long")
-    sized = pages.select(
-        F.coalesce(F.floor(F.col("page_id") / ARCHIVE_RECORDS), nameless).alias("archive"),
-        "page_id",
-        F.octet_length(sound).cast("long").alias("size"),
-        F.sha2(sound, 256).alias("key"),
-        F.octet_length(held).cast("long").alias("length"),
-        F.sha2(held, 256).alias("digest"),
-        (F.lit(False) if lost is None else F.coalesce(lost, F.lit(False))).alias("lost"),
-    ).withColumn("part", F.substring("key", 1, 3))
+    held, names = [], []
+    for k, (html, lost) in enumerate(damage):
+        record = sound if html is None else warc_record(F.col("url"), html)
+        held += [F.octet_length(record).cast("long").alias(f"length_{k}"), F.sha2(record, 256).alias(f"digest_{k}"), (F.lit(False) if lost is None else F.coalesce(lost, F.lit(False))).alias(f"lost_{k}")]
+        names += [f"length_{k}", f"digest_{k}", f"lost_{k}"]
+    archive = F.coalesce(F.floor(F.col("page_id") / ARCHIVE_RECORDS), nameless).alias("archive")
+    sized = pages.select(archive, "page_id", F.octet_length(sound).cast("long").alias("size"), F.sha2(sound, 256).alias("key"), *held).withColumn("part", F.substring("key", 1, 3))
     group = ["archive", "page_id", "part"]
-    before = lambda w: F.coalesce(F.sum("size").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    starts = sized.groupBy(*group).agg(F.sum("size").alias("size")).withColumn("base", before(Window.partitionBy("archive").orderBy("page_id", "part")))
+    alike = sized.groupBy(*group, "key", "size", *names).agg(F.count("*").alias("n")).withColumn("all", F.col("size") * F.col("n"))
+    before = lambda w: F.coalesce(F.sum("all").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    within = alike.withColumn("within", before(Window.partitionBy(*group).orderBy("key", *names)))
+    starts = sized.groupBy(*group).agg(F.sum("size").alias("all")).withColumn("base", before(Window.partitionBy("archive").orderBy("page_id", "part")))
     starts = starts.select(*[F.col(c).alias(f"of_{c}") for c in group], "base")
-    placed = sized.withColumn("within", before(Window.partitionBy(*group).orderBy("key")))
-    placed = placed.join(starts, (F.col("archive") == F.col("of_archive")) & F.col("page_id").eqNullSafe(F.col("of_page_id")) & (F.col("part") == F.col("of_part")))
-    return placed.where(~F.col("lost")).select("archive", (F.col("base") + F.col("within")).alias("offset"), "length", "digest")
+    placed = within.join(starts, (F.col("archive") == F.col("of_archive")) & F.col("page_id").eqNullSafe(F.col("of_page_id")) & (F.col("part") == F.col("of_part")))
+    each = F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)).alias("nth")
+    placed = cut(placed.select("archive", "base", "within", "size", *names, each).select("archive", (F.col("base") + F.col("within") + F.col("nth") * F.col("size")).alias("offset"), *names))
+    return [placed.where(~F.col(f"lost_{k}")).select("archive", "offset", F.col(f"length_{k}").alias("length"), F.col(f"digest_{k}").alias("digest")) for k in range(len(damage))]
 
 
 def op4_merkle_fixity(spark, sf_dir: str) -> DataFrame:
@@ -161,7 +166,7 @@ def op4_merkle_fixity(spark, sf_dir: str) -> DataFrame:
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
     draw = F.substring(F.sha2(F.col("page_id").cast("string").cast("binary"), 256), 1, 2)
     bad = F.when(draw == "07", F.concat(F.lit("#"), F.substring(F.coalesce("html", F.lit("")), 2, 1 << 30))).otherwise(F.col("html"))
-    return audit_hashes(page_hashes(pages), page_hashes(pages, bad, draw == "5e"))
+    return audit_hashes(*page_replicas(pages, [(None, None), (bad, draw == "5e")]))
 
 
 OP4_SQL = r"""

@@ -26,11 +26,12 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.pretokens import default_tokenizer_path, encode_rows
-from tessera.llm.textbytes import slices, small_batches
+from tessera.llm.textbytes import U64, mixed, slices, small_batches
 
 WINDOW = 2048
 #: Documents whose pieces one task packs.
@@ -84,6 +85,17 @@ def best_fit_decreasing(lengths: list[int], window: int) -> tuple[list[int], lis
     return where, offset
 
 
+def copy_numbers(ids: pa.Array, start: np.ndarray, crc: np.ndarray) -> np.ndarray:
+    """0 for the first piece of its id, start and content, 1 for the next, and so on."""
+    known = pc.fill_null(ids.cast(pa.int64()), -1).to_numpy()
+    key = mixed(known.view(U64) * U64(0x9E3779B97F4A7C15) + mixed((start.astype(U64) << U64(32)) ^ crc.astype(U64)))
+    order = np.argsort(key, kind="stable")
+    held = key[order]
+    out = np.empty(len(key), np.int64)
+    out[order] = np.arange(len(key)) - np.searchsorted(held, held)
+    return out
+
+
 def cut_pieces(batches: Iterator[pa.RecordBatch], id_col: str, text_col: str, window: int, path: str, with_ids: bool) -> Iterator[pa.RecordBatch]:
     """Tokenizes documents and cuts each into full windows and a remainder."""
     for rows, data, offsets in slices(batches, text_col):
@@ -98,7 +110,8 @@ def cut_pieces(batches: Iterator[pa.RecordBatch], id_col: str, text_col: str, wi
         raw = memoryview(np.ascontiguousarray(ids.astype("<u4"))).cast("B")
         crc = [zlib.crc32(raw[4 * a : 4 * b]) for a, b in zip(first.tolist(), (first + length).tolist(), strict=True)]
         columns = [rows.column(rows.schema.get_field_index(id_col)).take(pa.array(row)), pa.array(start), pa.array(length), pa.array(crc, pa.int64()), pa.array(total[row])]
-        names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens"]
+        columns.append(pa.array(copy_numbers(columns[0], start, np.array(crc, np.int64))))
+        names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "copy"]
         if with_ids:
             columns.append(pa.ListArray.from_arrays(pa.array(np.append(first, first[-1:] + length[-1:]) if len(first) else [0], pa.int32()), pa.array(ids.astype(np.int32))))
             names.append("ids")
@@ -125,10 +138,12 @@ def pack_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     small_batches(docs.sparkSession)
     path = tokenizer_path or default_tokenizer_path()
     shards = max(1, -(-docs.count() // shard_docs))
-    fields = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long" + ", ids array<int>" * with_ids
+    fields = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, copy long" + ", ids array<int>" * with_ids
     pieces = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(lambda it: cut_pieces(it, "doc_id", "text", window, path, with_ids), fields)
-    shard = F.pmod(F.xxhash64("doc_id", "start", "ids_crc32"), F.lit(shards)).cast("int")
-    return pieces.withColumn("shard", shard).groupBy("shard").applyInPandas(pack_shard(window), fields + ", sequence_id long, offset long")
+    # copies that were read together are dealt out too, so that no row repeats its way into one shard
+    shard = F.pmod(F.xxhash64("doc_id", "start", "ids_crc32", "copy"), F.lit(shards)).cast("int")
+    dealt = pieces.withColumn("shard", shard).drop("copy")
+    return dealt.groupBy("shard").applyInPandas(pack_shard(window), fields.replace(", copy long", "") + ", sequence_id long, offset long")
 
 
 def op3_sequence_packing(spark, sf_dir: str) -> DataFrame:

@@ -88,3 +88,19 @@ def test_a_long_document_and_rows_without_an_id_have_many_shards(spark):
     assert len(shards(r for r in rows if r.doc_id == 0)) > 5
     assert len(shards(r for r in rows if r.doc_id is None)) > 15
     assert sum(r.length for r in rows) == sum(len(ids_of(t)) for t in texts)
+
+
+def test_rows_alike_in_id_and_text_have_many_shards(spark):
+    docs = spark.createDataFrame([(7, "the same words again and again")] * 3000 + [(1, "other"), (None, None), (None, None)], "doc_id long, text string").repartition(3)
+    rows = pack_documents(docs, shard_docs=100).collect()
+    assert len(rows) == 3003
+    many = {}
+    for r in rows:
+        many[r.sequence_id >> 32] = many.get(r.sequence_id >> 32, 0) + 1
+    assert len(many) > 20 and max(many.values()) < 400
+    places = {}
+    for r in rows:
+        places.setdefault(r.sequence_id, []).append((r.offset, r.length))
+    for p in places.values():
+        p.sort()
+        assert [o for o, _ in p] == [sum(n for _, n in p[:i]) for i in range(len(p))] and sum(n for _, n in p) <= 2048

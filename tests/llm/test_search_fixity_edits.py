@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tests.llm.fixtures import documents, with_clashes
 from tessera.llm.edit_counts import MOST, TokenTree, count_after_edits, edited_counts
-from tessera.llm.fixity import audit_hashes, audit_replicas, page_hashes
+from tessera.llm.fixity import audit_hashes, audit_replicas, page_hashes, page_replicas
 from tessera.llm.pretokens import default_tokenizer_path, load_tokenizer
 from tessera.llm.topk import Best, SortedLists, quantized, search_blocks, threshold_topk
 
@@ -131,6 +131,17 @@ def test_pages_of_one_id_and_without_one(spark):
     assert [r.finding for r in lost.collect()] == ["missing", "missing"]
 
 
+def test_pages_alike_in_id_and_text_are_counted(spark):
+    rows = [(5, "u", "same")] * 5000 + [(5, "u", "more"), (6, "v", "y")]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(4)
+    one, other, short = page_replicas(pages, [(None, None), (None, None), (None, F.col("page_id") == 6)])
+    offsets = sorted(r.offset for r in one.collect())
+    sizes = sorted(r.length for r in one.collect())
+    assert len(offsets) == len(set(offsets)) == 5002 and max(offsets) < sum(sizes)
+    assert audit_hashes(one, other).count() == 0
+    assert [r.finding for r in audit_hashes(one, short).collect()] == ["missing"]
+
+
 def test_rows_of_one_offset_are_a_multiset(spark):
     a = [(0, 0, b"p"), (0, 0, b"q"), (0, 0, b"q"), (None, None, b"r"), (1, 40_000, b"s")]
     b = [(0, 0, b"q"), (0, 0, b"p"), (0, 0, b"q"), (None, None, b"r"), (1, 40_000, b"s")]
