@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import hashlib
+import heapq
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
@@ -70,18 +73,57 @@ def support_query_split(rows: DataFrame, keys: list[str], item: str, shot: int,
     return rows.withColumn("part", F.when(_rank(keys, h, F.col(item)) <= shot, "support").otherwise("query"))
 
 
-def balanced_batches(rows: DataFrame, label: str, item: str, ways: int, shots: int, seed: str) -> DataFrame:
-    """Class-balanced batches: each has ``ways`` classes with ``shots`` items; classes take turns.
+class _LeastExposed:
+    """Deals classes (label, name) to batches: each takes the classes that were taken least often, ties by a draw of class and exposure."""
+
+    def __init__(self):
+        self.classes = []
+
+    def eval(self, row, ways: int, batches: int, seed: str):
+        self.classes.append((row["label"], row["name"]))
+        self.asked = (ways, batches, seed)
+
+    def terminate(self):
+        if not self.classes:
+            return
+        ways, batches, seed = self.asked
+
+        def entry(exposure: int, at: int) -> tuple:
+            draw = hashlib.sha256("".join(f"{x}\0" for x in (seed, self.classes[at][1], exposure)).encode()).hexdigest()
+            return exposure, draw, self.classes[at][1], at
+
+        heap = [entry(0, at) for at in range(len(self.classes))]
+        heapq.heapify(heap)
+        for batch in range(batches):
+            taken = [heapq.heappop(heap) for _ in range(min(ways, len(heap)))]
+            for exposure, _, _, at in taken:
+                yield self.classes[at][0], batch, exposure
+                heapq.heappush(heap, entry(exposure + 1, at))
+
+
+def class_turns(classes: DataFrame, label: str, ways: int, batches: int, seed: str) -> DataFrame:
+    """label, batch, visit: ``ways`` classes in each of ``batches`` batches (all, if there are fewer), none ahead of another by more than one.
+
+    A user-defined table function over the table of classes keeps them in a priority queue by exposure and then by a draw
+    of seed, class and exposure, so that ties vary from round to round and rows or partitions make no difference.
+    Its work grows with the batches that are asked for, not with the rows of the classes.
+    """
+    kind = classes.schema[label].dataType.simpleString()
+    deal = F.udtf(_LeastExposed, returnType=f"label {kind}, batch int, visit int")
+    table = classes.select(F.col(label).alias("label"), F.col(label).cast("string").alias("name")).where("label is not null").distinct()
+    return deal(table.asTable().withSinglePartition(), F.lit(ways), F.lit(batches), F.lit(seed)).withColumnRenamed("label", label)
+
+
+def balanced_batches(rows: DataFrame, label: str, item: str, ways: int, shots: int, seed: str, batches: int | None = None) -> DataFrame:
+    """Class-balanced batches: each has ``ways`` least exposed classes with ``shots`` items.
 
-    Classes are ordered by hash and dealt round robin, so no class is ahead by more than one
-    batch; within a class, items are dealt in hash order and cycle when they run out.
+    Within a class, items are dealt in hash order and cycle when they run out. Without ``batches`` there are as many
+    as the rows fill. Rows without a label are in none.
     """
-    items = rows.withColumn("r", _rank([label], stable_hash(F.lit(seed), F.col(label), F.col(item)), F.col(item)) - 1)
-    sizes = items.groupBy(label).agg(F.count("*").alias("n"))
-    order = sizes.agg(F.array_sort(F.collect_list(F.struct(stable_hash(F.lit(seed), F.col(label)).alias("h"), F.col(label).alias("l"), "n"))).alias("o"), F.sum("n").alias("total"))
-    turns = order.select(F.posexplode("o").alias("at", "c"), F.size("o").alias("classes"), F.ceil(F.col("total") / (ways * shots)).cast("int").alias("batches"))
-    # the class at place p takes the turns p, p + classes, ... of ways * batches turns
-    dealt = turns.select(F.col("c.l").alias(label), F.col("c.n").alias("n"), F.explode(F.sequence(F.col("at"), F.col("batches") * ways - 1 + F.col("classes"), F.col("classes"))).alias("turn"), "batches", "classes")
-    dealt = dealt.where(F.col("turn") < F.col("batches") * ways).withColumn("batch", F.floor(F.col("turn") / ways).cast("int")).withColumn("visit", F.floor(F.col("turn") / F.col("classes")))
-    slots = dealt.select(label, "batch", F.explode(F.transform(F.sequence(F.lit(0), F.lit(shots - 1)), lambda s: F.pmod(F.col("visit") * shots + s, F.col("n")))).alias("r"))
+    known = rows.where(F.col(label).isNotNull())
+    items = known.withColumn("r", _rank([label], stable_hash(F.lit(seed), F.col(label), F.col(item)), F.col(item)) - 1)
+    sizes = known.groupBy(label).agg(F.count("*").alias("n"))
+    many = -(-known.count() // (ways * shots)) if batches is None else batches
+    turns = class_turns(sizes, label, ways, many, seed).join(sizes, label)
+    slots = turns.select(label, "batch", F.explode(F.transform(F.sequence(F.lit(0), F.lit(shots - 1)), lambda s: F.pmod(F.col("visit") * shots + s, F.col("n")))).alias("r"))
     return slots.join(items.select(label, item, "r"), [label, "r"]).select("batch", label, item)

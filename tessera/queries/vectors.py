@@ -361,10 +361,18 @@ def nested_shots(spark, sf_dir):
     return sampling.nested_shots(table(spark, sf_dir, "documents").select("lang", "doc_id"), ["lang"], "doc_id", [10, 15], "n")
 
 
-@query("""WITH r AS (SELECT label, vec_id, CAST(row_number() OVER (PARTITION BY label ORDER BY sha256('b' || chr(0) || label || chr(0) || vec_id || chr(0)), vec_id) - 1 AS BIGINT) AS r, count(*) OVER (PARTITION BY label) AS n FROM embeddings),
-o AS (SELECT label, any_value(n) AS n, row_number() OVER (ORDER BY sha256('b' || chr(0) || label || chr(0)), label) - 1 AS place FROM r GROUP BY label), t AS (SELECT ceil(sum(n) / 12.0)::BIGINT AS batches, count(*) AS classes FROM o),
-turns AS (SELECT turn, turn // 3 AS batch, turn // classes AS visit, turn % classes AS place FROM t, unnest(range(0, batches * 3)) AS x(turn))
-SELECT CAST(batch AS INTEGER) AS batch, o.label, vec_id FROM turns JOIN o USING (place), unnest(range(0, 4)) AS x(s) JOIN r ON r.label = o.label AND r.r = (visit * 4 + s) % o.n""")
+#: The queue of classes by recursion over batches: exposures by class, and the least exposed of them.
+BATCH_SQL = """WITH RECURSIVE r AS (SELECT label, vec_id, CAST(row_number() OVER (PARTITION BY label ORDER BY sha256('b' || chr(0) || label || chr(0) || vec_id || chr(0)), vec_id) - 1 AS BIGINT) AS r, count(*) OVER (PARTITION BY label) AS n FROM embeddings WHERE label IS NOT NULL),
+o AS (SELECT label, any_value(n) AS n FROM r GROUP BY label), t AS (SELECT ceil(sum(n) / 12.0)::BIGINT AS batches, list(label ORDER BY label) AS labels FROM o),
+deal AS (SELECT -1 AS batch, list_transform(labels, lambda x: 0) AS seen, []::INTEGER[] AS taken FROM t
+  UNION ALL SELECT batch + 1, list_transform(labels, lambda x, i: seen[i] + CASE WHEN list_contains(taken, i) THEN 1 ELSE 0 END),
+    list_transform(list_slice(list_sort(list_transform(labels, lambda x, i: {'e': seen[i] + CASE WHEN list_contains(taken, i) THEN 1 ELSE 0 END, 'd': sha256('b' || chr(0) || x || chr(0) || (seen[i] + CASE WHEN list_contains(taken, i) THEN 1 ELSE 0 END) || chr(0)), 'i': i})), 1, 3), lambda s: s['i'])
+  FROM deal, t WHERE batch + 1 < batches),
+turns AS (SELECT batch, labels[i] AS label, seen[i] AS visit FROM deal, t, unnest(taken) AS x(i))
+SELECT CAST(batch AS INTEGER) AS batch, o.label, vec_id FROM turns JOIN o USING (label), unnest(range(0, 4)) AS x(s) JOIN r ON r.label = o.label AND r.r = (visit * 4 + s) % o.n"""
+
+
+@query(BATCH_SQL)
 def balanced_batches(spark, sf_dir):
     return sampling.balanced_batches(table(spark, sf_dir, "embeddings").select("label", "vec_id"), "label", "vec_id", 3, 4, "b")
 

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import json
+import re
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -83,11 +85,52 @@ def read_temporal_index(spark: SparkSession, folder: str) -> DataFrame:
     return rows.withColumn("path", F.concat(F.lit(f"{base}/"), "cache_relpath"))
 
 
-def utterance_frames(frames: DataFrame, index: DataFrame) -> DataFrame:
-    """Frame rows (shard, frame_idx, vec) of each indexed utterance: an equi-join on shard, then the range."""
-    i = index.select("utt_id", "shard", "start_frame", "end_frame")
+#: Frames of a block: a shard's frames are joined, stored and read by blocks, so that no shard is one key.
+FRAME_BLOCK = 4096
+#: Folders and buckets in a folder of stored frames.
+FRAME_PARTS, FRAME_BUCKETS = 64, 16
+
+
+def _block_of(frame: Column, width: int) -> Column:
+    return F.floor(frame / width)
+
+
+def _index_blocks(index: DataFrame, width: int) -> DataFrame:
+    """One row for each block that an utterance's range touches; an empty range touches none."""
+    i = index.select("utt_id", "shard", "start_frame", "end_frame").where(F.col("end_frame") > F.col("start_frame"))
+    return i.select("*", F.explode(F.sequence(_block_of(F.col("start_frame"), width), _block_of(F.col("end_frame") - 1, width))).alias("block"))
+
+
+def _in_range(joined: DataFrame) -> DataFrame:
     inside = (F.col("frame_idx") >= F.col("start_frame")) & (F.col("frame_idx") < F.col("end_frame"))
-    return frames.join(i, "shard").where(inside).select("utt_id", (F.col("frame_idx") - F.col("start_frame")).alias("frame"), "vec")
+    return joined.where(inside).select("utt_id", (F.col("frame_idx") - F.col("start_frame")).alias("frame"), "vec")
+
+
+def utterance_frames(frames: DataFrame, index: DataFrame, width: int = FRAME_BLOCK) -> DataFrame:
+    """Frame rows (shard, frame_idx, vec) of each indexed utterance: an equi-join on blocks of a shard, then the range."""
+    return _in_range(frames.withColumn("block", _block_of(F.col("frame_idx"), width)).join(_index_blocks(index, width), ["shard", "block"]))
+
+
+def _part_of(parts: int) -> Column:
+    return F.pmod(F.xxhash64("shard", "block"), F.lit(parts)).cast("int")
+
+
+def store_frames(frames: DataFrame, table: str, width: int = FRAME_BLOCK, parts: int = FRAME_PARTS, buckets: int = FRAME_BUCKETS) -> None:
+    """Frames (shard, frame_idx, vec) as a table in folders by a hash of (shard, block), bucketed and sorted by them; refuses to overwrite."""
+    rows = frames.withColumn("block", _block_of(F.col("frame_idx"), width)).withColumn("part", _part_of(parts))
+    dealt = rows.repartition("part").sortWithinPartitions("part", "shard", "block", "frame_idx")
+    dealt.write.partitionBy("part").bucketBy(buckets, "shard", "block").sortBy("shard", "block", "frame_idx").format("parquet").mode("errorifexists").saveAsTable(table)
+
+
+def stored_frames(spark: SparkSession, table: str, index: DataFrame, width: int = FRAME_BLOCK, parts: int = FRAME_PARTS) -> DataFrame:
+    """As ``utterance_frames``, from a stored table: only folders that the index touches are read, and stored rows are not exchanged.
+
+    ``width`` and ``parts`` are those that the table was stored with.
+    """
+    blocks = _index_blocks(index, width)
+    touched = sorted(r[0] for r in blocks.select(_part_of(parts)).distinct().collect())  # at most ``parts``
+    frames = spark.table(table).where(F.col("part").isin(touched)) if touched else spark.table(table).where(F.lit(False))
+    return _in_range(frames.drop("part").join(blocks, ["shard", "block"]))
 
 
 METRICS = T.StructType([T.StructField("epoch", T.IntegerType()), T.StructField("train_loss", T.DoubleType()), T.StructField("train_examples", T.DoubleType()), T.StructField("dev", T.StructType([T.StructField("generic_dev_score", T.DoubleType()), T.StructField("generic_dev_score_name", T.StringType())])), T.StructField("checkpoint", T.StringType()), T.StructField("checkpoint_sha256", T.StringType())])
@@ -99,8 +142,45 @@ def read_metrics(spark: SparkSession, path: str) -> DataFrame:
     return read_jsonl(spark, path, METRICS)
 
 
-def append_metrics(rows: DataFrame, path: str) -> None:
-    rows.write.mode("append").json(path)
+def append_metrics(rows: DataFrame, path: str, batch: int | str | None = None) -> bool:
+    """Adds a batch of rows to a log of JSON lines; False if the log has the batch already.
+
+    A batch is written aside and then renamed to its folder, which is its commit: a batch that was sent twice, or begun by a
+    driver that was lost, is there once and whole. Without a name a batch is new.
+    """
+    spark = rows.sparkSession
+    name = uuid.uuid4().hex if batch is None else str(batch)
+    if not re.fullmatch(r"[A-Za-z0-9_-]+", name):
+        raise ValueError(f"a batch's name may hold letters, digits, _ and -: {name}")
+    place = spark._jvm.org.apache.hadoop.fs.Path
+    done, aside = place(f"{path}/batches/{name}"), f"{path}/_aside/{name}-{uuid.uuid4().hex}"
+    store = done.getFileSystem(spark._jsc.hadoopConfiguration())
+    if store.exists(done):
+        return False
+    rows.write.json(aside)
+    store.mkdirs(done.getParent())
+    if not store.rename(place(aside), done):
+        raise OSError(f"batch {name} could not be committed")
+    return True
+
+
+def metric_sink(path: str) -> Callable[[DataFrame, int], None]:
+    """For ``writeStream.foreachBatch``: a batch that a restarted query sends again is not added again."""
+
+    def add(rows: DataFrame, batch: int) -> None:
+        append_metrics(rows, path, batch)
+
+    return add
+
+
+def read_metric_log(spark: SparkSession, path: str, schema: T.StructType | str) -> DataFrame:
+    """All committed batches."""
+    return spark.read.schema(schema).json(f"{path}/batches/*")
+
+
+def stream_metric_log(spark: SparkSession, path: str, schema: T.StructType | str) -> DataFrame:
+    """Committed batches as a stream; what is written aside is never seen."""
+    return spark.readStream.schema(schema).json(f"{path}/batches/*")
 
 
 def _parsed(text: str) -> dict:

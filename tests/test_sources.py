@@ -81,7 +81,47 @@ def test_metrics_csv_sweep_report(spark, tmp_path):
     assert json.loads((next((tmp_path / "r").glob("part-*"))).read_text()) == {"x": 1, "y": "a"}
     manifests.append_metrics(df, str(tmp_path / "a"))
     manifests.append_metrics(df, str(tmp_path / "a"))
-    assert spark.read.json(str(tmp_path / "a")).count() == 2
+    assert manifests.read_metric_log(spark, str(tmp_path / "a"), "x int, y string").count() == 2
+
+
+def test_metric_log_holds_a_batch_once(spark, tmp_path):
+    log, rows = str(tmp_path / "log"), spark.createDataFrame([(1, 0.5), (2, 0.25)], "epoch int, loss double")
+    assert [manifests.append_metrics(rows, log, b) for b in (7, 7, "b-8")] == [True, False, True]
+    # what a lost driver wrote aside is no batch
+    rows.write.json(f"{log}/_aside/9-x")
+    assert sorted(r.epoch for r in manifests.read_metric_log(spark, log, rows.schema).collect()) == [1, 1, 2, 2]
+    with pytest.raises(ValueError, match="batch"):
+        manifests.append_metrics(rows, log, "../up")
+    source, seen = str(tmp_path / "in"), str(tmp_path / "seen")
+    rows.write.parquet(source)
+    for checkpoint in ("c1", "c2"):  # the second query begins anew and sends its batch 0 again
+        q = spark.readStream.schema(rows.schema).parquet(source).writeStream.foreachBatch(manifests.metric_sink(seen)).option("checkpointLocation", str(tmp_path / checkpoint)).trigger(availableNow=True).start()
+        q.awaitTermination(60)
+    assert manifests.read_metric_log(spark, seen, rows.schema).count() == 2
+    q = manifests.stream_metric_log(spark, log, rows.schema).writeStream.format("memory").queryName("metric_rows").trigger(availableNow=True).start()
+    q.awaitTermination(60)
+    assert spark.table("metric_rows").count() == 4
+
+
+def test_stored_frames_are_read_by_folder_and_not_exchanged(spark, tmp_path):
+    frames = spark.range(3000).select(F.concat(F.lit("s"), F.col("id") % 3).alias("shard"), F.floor(F.col("id") / 3).alias("frame_idx"), F.array(F.col("id").cast("double")).alias("vec"))
+    ranges = [("a", "s0", 5, 8), ("b", "s1", 63, 130), ("c", "s2", 40, 40), ("d", "s0", 990, 2000), ("e", "none", 0, 5)]
+    index = spark.createDataFrame([(u, s, a, z) for u, s, a, z in ranges], "utt_id string, shard string, start_frame long, end_frame long")
+    want = sorted((u, k - a, [float(3 * k + int(s[1:]))]) for u, s, a, z in ranges if s != "none" for k in range(a, min(z, 1000)))
+    got = lambda df: sorted((r.utt_id, r.frame, r.vec) for r in df.collect())
+    assert got(manifests.utterance_frames(frames, index, 64)) == want
+    manifests.store_frames(frames, "frame_store", 64, 8, 4)
+    try:
+        held = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        found = manifests.stored_frames(spark, "frame_store", index, 64, 8)
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        assert got(found) == want
+        assert plan.count("Exchange hashpartitioning") == 1 and "SelectedBucketsCount" in plan and "PartitionFilters: [part" in plan
+        assert got(manifests.stored_frames(spark, "frame_store", index.where("utt_id = 'c'"), 64, 8)) == []
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", held)
+        spark.sql("drop table frame_store")
 
 
 def test_keyword_tree(spark, tmp_path):
