@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
+from tessera.session import kept
+
 
 def n_if(condition: Column) -> Column:
     return F.count_if(condition)
@@ -16,44 +20,71 @@ def distinct_if(condition: Column, value: Column) -> Column:
 
 
 def label_stats(rows: DataFrame, label: str = "label") -> DataFrame:
-    """Per label: rows, speakers, rows by role and domain, speakers by role."""
+    """Per label: rows, speakers, rows by role and domain, speakers by role.
+
+    Rows are counted per label and speaker first. A label's speakers are then the rows of that table, which
+    adds up: no row is copied for any of the distinct counts.
+    """
     c = F.col
-    return rows.groupBy(label).agg(
-        F.count("*").alias("n"),
-        F.count_distinct("speaker_id").alias("speakers"),
-        n_if(c("role") == "train").alias("n_train"),
-        n_if(c("role") == "enrollment").alias("n_enrollment"),
-        n_if(c("role") == "eval").alias("n_eval"),
-        n_if(c("domain") == "control").alias("n_control"),
-        n_if(c("domain") == "dysarthria").alias("n_dysarthria"),
-        distinct_if(c("role") == "enrollment", c("speaker_id")).alias("enrollment_speakers"),
-        distinct_if(c("role") == "eval", c("speaker_id")).alias("eval_speakers"),
-    )
+    counted = {
+        "n": F.count("*"),
+        "n_train": n_if(c("role") == "train"),
+        "n_enrollment": n_if(c("role") == "enrollment"),
+        "n_eval": n_if(c("role") == "eval"),
+        "n_control": n_if(c("domain") == "control"),
+        "n_dysarthria": n_if(c("domain") == "dysarthria"),
+    }
+    per = rows.groupBy(label, "speaker_id").agg(*[v.alias(n) for n, v in counted.items()])
+    named = c("speaker_id").isNotNull()
+    out = per.groupBy(label).agg(*[F.sum(n).alias(n) for n in counted], n_if(named).alias("speakers"), n_if(named & (c("n_enrollment") > 0)).alias("enrollment_speakers"), n_if(named & (c("n_eval") > 0)).alias("eval_speakers"))
+    return out.select(label, "n", "speakers", *[n for n in counted if n != "n"], "enrollment_speakers", "eval_speakers")
 
 
 def phrase_inventory(rows: DataFrame, phrase: Column, raw: Column) -> DataFrame:
     """Per normalized phrase: support by domain and split, and raw variants by falling count.
 
-    Two levels: counts by (phrase, raw text) first, so that only distinct variants meet in a group.
+    Two levels: counts by (phrase, raw text) and by (phrase, speaker) first, so that only distinct variants
+    and speakers meet in a group.
     """
     c = F.col
     base = rows.select(phrase.alias("phrase"), raw.alias("raw"), "speaker_id", "domain", "split")
     counts = base.groupBy("phrase", "raw").agg(F.count("*").alias("n"))
     variants = counts.groupBy("phrase").agg(F.array_sort(F.collect_list(F.struct((-c("n")).alias("minus"), "raw"))).alias("v"))
     control, other = c("domain") == "control", c("domain") == "dysarthria"
-    support = base.groupBy("phrase").agg(
-        F.count("*").alias("n"),
-        F.count_distinct("speaker_id").alias("speakers"),
-        n_if(control).alias("n_control"),
-        n_if(other).alias("n_dysarthria"),
-        n_if(control & (c("split") == "train")).alias("control_train"),
-        n_if(other & (c("split") == "train")).alias("dysarthria_train"),
-        distinct_if(control, c("speaker_id")).alias("control_speakers"),
-        distinct_if(other, c("speaker_id")).alias("dysarthria_speakers"),
-    )
+    counted = {
+        "n": F.count("*"),
+        "n_control": n_if(control),
+        "n_dysarthria": n_if(other),
+        "control_train": n_if(control & (c("split") == "train")),
+        "dysarthria_train": n_if(other & (c("split") == "train")),
+    }
+    per = base.groupBy("phrase", "speaker_id").agg(*[v.alias(n) for n, v in counted.items()])
+    named = c("speaker_id").isNotNull()
+    support = per.groupBy("phrase").agg(*[F.sum(n).alias(n) for n in counted], n_if(named).alias("speakers"), n_if(named & (c("n_control") > 0)).alias("control_speakers"), n_if(named & (c("n_dysarthria") > 0)).alias("dysarthria_speakers"))
+    support = support.select("phrase", "n", "speakers", *[n for n in counted if n != "n"], "control_speakers", "dysarthria_speakers")
     return support.join(variants, "phrase").select("*", F.size("v").alias("n_variants"), F.transform("v", lambda x: F.concat_ws(":", x["raw"], (-x["minus"]).cast("string"))).alias("variants")).drop("v")
 
 
+def distinct_state(rows: DataFrame, keys: list[str], ident: str) -> DataFrame:
+    """keys, bucket, held: which whole-number ids occur per key, as exact bitmaps of 32,768 ids a bucket.
+
+    A state of a part of the rows (a day, a shard) can be kept and joined with others by ``merged_state``: distinct counts
+    of parts do not add up, their bitmaps do. It pays off where ids lie close together; a bucket has 4 KB.
+    """
+    known = rows.where(F.col(ident).isNotNull())
+    return known.groupBy(*keys, F.bitmap_bucket_number(F.col(ident)).alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(F.col(ident))).alias("held"))
+
+
+def merged_state(states: DataFrame, keys: list[str]) -> DataFrame:
+    """The state of coarser keys, or of several parts' states together."""
+    return states.groupBy(*keys, "bucket").agg(F.bitmap_or_agg("held").alias("held"))
+
+
+def distinct_of_state(states: DataFrame, keys: list[str]) -> DataFrame:
+    """keys and how many distinct ids they hold; ``states`` has one row for a key and bucket."""
+    return states.groupBy(*keys).agg(F.sum(F.bitmap_count("held")).alias("n_distinct"))
+
+
 def support_sweep(inventory: DataFrame, control: list[int], dysarthria: list[int]) -> DataFrame:
     """For each pair of least speaker counts, phrases that reach both and their rows. The grid is a literal array."""
     grid = F.array(*[F.struct(F.lit(a).alias("min_control"), F.lit(b).alias("min_dysarthria")) for a in control for b in dysarthria])
@@ -73,13 +104,23 @@ def numeric_summary(x: Column) -> list[Column]:
     return [F.count(x).alias("n"), F.min(x).alias("min"), F.avg(x).alias("mean"), F.percentile(x, F.lit(0.5)).alias("median"), F.percentile(x, F.lit(0.95)).alias("p95"), F.max(x).alias("max")]
 
 
+def value_counts(rows: DataFrame, by: str, x: str) -> DataFrame:
+    """g, x and n: how often each value occurs per group; kept, for what is computed from it."""
+    return kept(rows.groupBy(F.col(by).alias("g"), F.col(x).alias("x")).agg(F.count("*").alias("n")))
+
+
 def quantiles(rows: DataFrame, by: str, x: str, at: dict[str, float], slices: int = 64) -> DataFrame:
-    """by and exact quantiles with linear interpolation, by name; null values do not count.
+    """by and exact quantiles with linear interpolation, by name; null values do not count."""
+    return quantiles_of(value_counts(rows, by, x), at, slices).withColumnRenamed("g", by)
+
 
-    Equal values are counted first. Approximate quantiles part a group's distinct values into slices, and
-    ranks within a slice start from the counts of the slices below, so no task holds a whole group.
+def quantiles_of(counts: DataFrame, at: dict[str, float], slices: int = 64) -> DataFrame:
+    """g and exact quantiles of value counts (g, x, n).
+
+    Approximate quantiles part a group's distinct values into slices, and ranks within a slice start from the
+    counts of the slices below, so no task holds a whole group.
     """
-    cells = rows.where(F.col(x).isNotNull()).groupBy(F.col(by).alias("g"), F.col(x).alias("x")).agg(F.count("*").alias("n"))
+    cells = counts.where("x is not null")
     bounds = cells.groupBy(F.col("g").alias("bg")).agg(F.percentile_approx("x", [i / slices for i in range(1, slices)], 1000).alias("bounds"))
     cells = cells.join(bounds, F.col("g").eqNullSafe(F.col("bg"))).select("g", "x", "n", F.size(F.filter("bounds", lambda b: b < F.col("x"))).alias("slice"))
     below = Window.partitionBy("tg").orderBy("of").rowsBetween(Window.unboundedPreceding, -1)
@@ -94,14 +135,18 @@ def quantiles(rows: DataFrame, by: str, x: str, at: dict[str, float], slices: in
 
     spot = {name: F.lit(q) * (F.col("all") - 1) for name, q in at.items()}
     found = ranked.groupBy("g").agg(F.max("all").alias("all"), *[c for n, s in spot.items() for c in (of_rank(F.floor(s)).alias(f"low_{n}"), of_rank(F.ceil(s)).alias(f"high_{n}"))])
-    return found.select(F.col("g").alias(by), *[(F.col(f"low_{n}") + (F.col(f"high_{n}") - F.col(f"low_{n}")) * (s - F.floor(s))).alias(n) for n, s in spot.items()])
+    return found.select("g", *[(F.col(f"low_{n}") + (F.col(f"high_{n}") - F.col(f"low_{n}")) * (s - F.floor(s))).alias(n) for n, s in spot.items()])
 
 
 def group_summary(rows: DataFrame, by: str, x: str) -> DataFrame:
-    """``numeric_summary`` per group, for groups of any size."""
-    plain = rows.groupBy(by).agg(F.count(x).alias("n"), F.min(x).alias("min"), F.avg(x).alias("mean"), F.max(x).alias("max"))
-    q = quantiles(rows, by, x, {"median": 0.5, "p95": 0.95}).withColumnRenamed(by, "__by")
-    return plain.join(q, F.col(by).eqNullSafe(F.col("__by")), "left").select(by, "n", "min", "mean", "median", "p95", "max")
+    """``numeric_summary`` per group, for groups of any size, from one table of value counts: the rows are read once."""
+    counts = value_counts(rows, by, x)
+    some = F.col("x").isNotNull()
+    times = F.sum(F.col("x") * F.col("n")) / F.sum(F.when(some, F.col("n")))
+    plain = counts.groupBy("g").agg(F.coalesce(F.sum(F.when(some, F.col("n"))), F.lit(0).cast("long")).alias("n"), F.min("x").alias("min"), times.alias("mean"), F.max("x").alias("max"))
+    q = quantiles_of(counts, {"median": 0.5, "p95": 0.95}).withColumnRenamed("g", "__g")
+    joined = plain.join(q, F.col("g").eqNullSafe(F.col("__g")), "left")
+    return joined.select(F.col("g").alias(by), "n", "min", "mean", "median", "p95", "max")
 
 
 def frequency_of_frequencies(rows: DataFrame, key: str) -> DataFrame:
@@ -221,10 +266,38 @@ def phrase_words(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit(r"([\p{L}\p{N}]+)"), F.lit(1))
 
 
+#: Bits of the filter of window hashes, whose size does not grow with the sealed texts.
+FILTER_BITS = 24
+
+
+def _hash_filter(hashes: DataFrame):
+    """Broadcast bitmap of the first bits of column ``h``."""
+    slot = F.shiftrightunsigned("h", 64 - FILTER_BITS)
+    words = hashes.groupBy(F.shiftright(slot, 6).alias("word")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast(shiftrightunsigned(h, {64 - FILTER_BITS}) & 63 as int))")).alias("bits")).toArrow()
+    bitmap = np.zeros((1 << FILTER_BITS) // 64, dtype=np.uint64)
+    bitmap[words.column("word").to_numpy()] = words.column("bits").to_numpy().view(np.uint64)
+    return hashes.sparkSession.sparkContext.broadcast(bitmap)
+
+
+def _held_places(sent):
+    """For each row's array of hashes, the places of those that the filter holds."""
+
+    @F.pandas_udf("array<int>")
+    def places(hashes: pd.Series) -> pd.Series:
+        out = []
+        for h in hashes:
+            slot = np.asarray([] if h is None else h, dtype=np.int64).view(np.uint64) >> np.uint64(64 - FILTER_BITS)
+            out.append(np.flatnonzero((sent.value[(slot >> np.uint64(6)).astype(np.int64)] >> (slot & np.uint64(63))) & np.uint64(1)).astype(np.int32))
+        return pd.Series(out)
+
+    return places
+
+
 def holding_phrases(docs: DataFrame, sealed: DataFrame, key: str, text: str) -> DataFrame:
     """Distinct keys of documents that hold a window of ``PHRASE_WORDS`` words of a sealed text, or the whole of a shorter one.
 
-    Only hashes and positions of windows are joined; the words are compared afterwards.
+    Windows of a document are hashed within its row and tested against a filter of fixed size; only those that pass
+    become rows, with their words, which the join compares with the sealed ones.
     """
     windows = lambda k: F.transform(F.sequence(F.lit(1), F.size("w") - k + 1), lambda i: F.slice("w", i, k))
     hashes = lambda k: F.transform(F.sequence(F.lit(1), F.size("w") - k + 1), lambda i: F.xxhash64(F.slice("w", i, k)))
@@ -232,14 +305,16 @@ def holding_phrases(docs: DataFrame, sealed: DataFrame, key: str, text: str) ->
     items = sealed.select(phrase_words(F.col(text)).alias("w")).where(F.size("w") > 0)
     grams = items.select(width.alias("k"), F.explode(windows(width)).alias("gram")).distinct()
     grams = grams.withColumn("h", F.xxhash64("gram"))
-    widths = [r["k"] for r in grams.select("k").distinct().collect()]
+    widths = sorted(r["k"] for r in grams.select("k").distinct().collect())  # at most PHRASE_WORDS
     if not widths:
         return docs.select(key).limit(0)
+    places = _held_places(_hash_filter(grams.select("h")))
     words = docs.where(F.col(key).isNotNull()).select(key, phrase_words(F.col(text)).alias("w"))
-    held = F.array(*[F.struct(F.lit(k).alias("k"), F.when(F.size("w") >= k, hashes(F.lit(k))).alias("hs")) for k in sorted(widths)])
-    each = words.select(key, F.explode(held).alias("x")).select(key, F.col("x.k").alias("k"), F.posexplode("x.hs").alias("at", "h"))
-    hits = each.join(grams, ["k", "h"]).select(key, "k", "at", "gram")
-    return hits.join(words, key).where(F.slice("w", F.col("at") + 1, F.col("k")) == F.col("gram")).select(key).distinct()
+    hits = words.select(key, "w", *[places(F.when(F.size("w") >= k, hashes(F.lit(k)))).alias(f"at_{k}") for k in widths])
+    words_at = lambda k: F.transform(f"at_{k}", lambda i: F.slice("w", i + 1, k))
+    found = F.flatten(F.array(*[F.coalesce(words_at(k), F.array()) for k in widths]))
+    each = hits.select(key, F.explode(F.array_distinct(found)).alias("gram")).withColumn("h", F.xxhash64("gram"))
+    return each.join(grams.select("h", "gram"), ["h", "gram"], "left_semi").select(key).distinct()
 
 
 def dense_grid(rows: DataFrame, a: str, b: str) -> DataFrame:

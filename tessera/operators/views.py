@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import itertools
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
@@ -85,17 +87,30 @@ def duration_bucket(seconds: Column) -> Column:
 
 
 def class_map(rows: DataFrame, label: str = "task_label", split: str = "train") -> DataFrame:
-    """(label, class_id): sorted distinct labels of the training split, numbered from 0.
-
-    A vocabulary is numbered on one task, so only its distinct labels are sorted there.
-    """
+    """(label, class_id): sorted distinct labels of the training split, numbered from 0."""
     labels = rows.where(F.col("split") == split).select(F.col(label).alias("label")).distinct()
     return numbered(labels)
 
 
-def numbered(labels: DataFrame) -> DataFrame:
-    """Distinct labels numbered from 0 in order; the one task that sorts them may spill."""
-    return labels.where(F.col("label").isNotNull()).select("label", (F.row_number().over(Window.orderBy("label")) - 1).alias("class_id"))
+#: Labels of a range that one task sorts, and the most ranges.
+RANGE_LABELS, MOST_RANGES = 500_000, 1024
+
+
+def numbered(labels: DataFrame, range_labels: int = RANGE_LABELS) -> DataFrame:
+    """Distinct labels numbered from 0 in order, null ones left out.
+
+    Labels with the smallest hashes part them into ranges; a label's number is its place in its range after
+    the labels of the ranges below, which are counted first. The driver holds one bound and one count a range.
+    """
+    rows = labels.where(F.col("label").isNotNull())
+    ranges = min(MOST_RANGES, max(1, -(-rows.count() // range_labels)))
+    bounds = sorted(r["label"] for r in rows.orderBy(F.xxhash64("label"), "label").limit(ranges - 1).collect()) if ranges > 1 else []
+    place = F.size(F.filter(F.array(*[F.lit(b) for b in bounds]), lambda b: b <= F.col("label"))) if bounds else F.lit(0)
+    held = rows.select("label", place.alias("range"))
+    counts = {r["range"]: r["n"] for r in held.groupBy("range").agg(F.count("*").alias("n")).collect()} if bounds else {}
+    below = list(itertools.accumulate([counts.get(i, 0) for i in range(len(bounds))], initial=0))
+    nth = F.row_number().over(Window.partitionBy("range").orderBy("label")) - 1
+    return held.select("label", (nth + F.element_at(F.array(*[F.lit(b).cast("long") for b in below]), F.col("range") + 1)).cast("int" if sum(counts.values()) < 1 << 31 else "long").alias("class_id"))
 
 
 def contiguous(ids: Column) -> list[Column]:

@@ -1,7 +1,7 @@
 import numpy as np
 from pyspark.sql import functions as F
 
-from tessera.operators import inventory, nearest, retrieval, sampling
+from tessera.operators import inventory, nearest, retrieval, sampling, sequences, views
 
 
 def clustered(rng, n, centers=12, dims=6, spread=0.05):
@@ -61,3 +61,41 @@ def test_half_of_a_label_calibrates(spark):
     assert out.columns == ["label", "item", "part"] and out.count() == df.count()
     got = {r.label: r.n for r in out.groupBy("label").agg(F.count_if(F.col("part") == "cal").alias("n")).collect()}
     assert got["x"] == got["y"] == 20 and got["z"] == 0
+
+
+def test_numbers_in_ranges_equal_a_sorted_list(spark):
+    labels = sorted({f"w{(i * 7919) % 1000}" for i in range(400)} | {"", "é"})
+    df = spark.createDataFrame([(x,) for x in labels] + [(None,)], "label string").repartition(5)
+    for size in (1, 30, 10_000):
+        got = {r.label: r.class_id for r in views.numbered(df, size).collect()}
+        assert got == {x: i for i, x in enumerate(labels)}
+    assert views.numbered(df.limit(0)).collect() == []
+
+
+def test_states_of_parts_add_up(spark):
+    rows = [("a", 1, 5), ("a", 1, 5), ("a", 2, 5), ("a", 2, 40_000), ("b", 1, -3), ("b", 1, 0), ("b", 2, None), ("a", 1, 2**40)]
+    df = spark.createDataFrame(rows, "k string, day int, id long")
+    per_day = inventory.distinct_state(df, ["k", "day"], "id")
+    assert {(r.k, r.day): r.n_distinct for r in inventory.distinct_of_state(per_day, ["k", "day"]).collect()} == {("a", 1): 2, ("a", 2): 2, ("b", 1): 2}
+    assert {r.k: r.n_distinct for r in inventory.distinct_of_state(inventory.merged_state(per_day, ["k"]), ["k"]).collect()} == {"a": 3, "b": 2}
+
+
+def test_distinct_speakers_are_counted_without_copies_of_rows(spark):
+    rows = spark.createDataFrame([("x", "s1", "train", "control"), ("x", "s1", "eval", "dysarthria"), ("x", None, "eval", "control"), ("y", "s2", "enrollment", "control")], "label string, speaker_id string, role string, domain string")
+    out = inventory.label_stats(rows)
+    assert {r.label: (r.n, r.speakers, r.n_eval, r.enrollment_speakers, r.eval_speakers) for r in out.collect()} == {"x": (3, 1, 2, 0, 1), "y": (1, 1, 0, 1, 0)}
+    assert "Expand" not in out._jdf.queryExecution().executedPlan().toString()
+
+
+def test_pairs_of_blocks_are_all_pairs(spark):
+    rng = np.random.default_rng(9)
+    rows = [(g, i, rng.normal(size=(n, 2)).tolist()) for g, many in (("u", 23), ("v", 1), ("w", 6)) for i, n in enumerate(rng.integers(2, 5, many))]
+    df = spark.createDataFrame(rows + [("u", 90, None), ("w", None, [[1.0, 0.0]]), (None, 1, [[1.0, 0.0]]), ("w", 2, [[0.0, 1.0]])], "g string, i int, f array<array<double>>").repartition(3)
+    want = {(g, a, b): sequences.aligned_distances(np.array([x]), np.array([y]))[0] for g, a, x in rows for h, b, y in rows if g == h and a < b}
+    for block in (4, 1000):
+        found = sequences.pair_distances(df, "g", "i", "f", block).collect()
+        assert {(r.g, r.a) for r in found if r.b == 90} == {("u", i) for i in range(23)} and all(r.distance is None for r in found if r.b == 90)
+        own = [r for r in found if r.b != 90 and not (r.g == "w" and 2 in (r.a, r.b))]
+        assert len(own) == len({(r.g, r.a, r.b) for r in own})
+        assert {(r.g, r.a, r.b): round(r.distance, 9) for r in own} == {k: round(v, 9) for k, v in want.items() if not (k[0] == "w" and 2 in k[1:])}
+        assert sum(r.g == "w" and 2 in (r.a, r.b) for r in found) == 2 * 5
