@@ -178,10 +178,10 @@ def representative_templates(spark, sf_dir):
 def dtw_rerank(spark, sf_dir):
     """Top 3 by cosine first, alignment only for those and their two templates."""
     top = ranked(spark, sf_dir).select("vec_id", sequences.frames_of(F.col("embedding"), 8).alias("fq"), F.explode("ranked").alias("c"))
-    temp = _templates(spark, sf_dir).select("label", F.col("vec_id").alias("template"), sequences.frames_of(F.col("embedding"), 8).alias("ft"))
-    pairs = top.select("vec_id", "fq", F.col("c.label").alias("label"), F.col("c.score").alias("global_score")).join(temp, "label")
-    near = pairs.withColumn("d", sequences.dtw_distance("fq", "ft")).groupBy("vec_id", "label", "global_score").agg(F.min("d").alias("distance"))
-    both = near.withColumn("fused", fused(0.75, F.col("global_score"), distance_to_similarity(F.col("distance"))))
+    temp = _templates(spark, sf_dir).select("label", sequences.frames_of(F.col("embedding"), 8).alias("f"))
+    candidates = top.select("vec_id", F.col("c.label").alias("label"), F.col("c.score").alias("global_score"), F.col("fq").alias("f"))
+    near = sequences.best_templates(candidates, temp, "vec_id", "label", "f").select("vec_id", "label", "distance")
+    both = candidates.drop("f").join(near, ["vec_id", "label"]).withColumn("fused", fused(0.75, F.col("global_score"), distance_to_similarity(F.col("distance"))))
     rank = F.row_number().over(Window.partitionBy("vec_id").orderBy(F.desc("fused"), "label"))
     return both.select("vec_id", rank.alias("rank"), "label", F.round("global_score", 6).alias("global_score"), F.round("distance", 6).alias("distance"), F.round("fused", 6).alias("fused"))
 
