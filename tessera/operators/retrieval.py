@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions.scoring import linear, softmax
-from tessera.functions.vectors import as_doubles, at_quantile, cosine, dot, l2_normalized
+from tessera.functions.vectors import as_doubles, at_quantile, bound, cosine, dot, l2_normalized
 
 def class_means(rows: DataFrame, keys: list[str], vector: str) -> DataFrame:
     """Mean vector per group; components are averaged with partial sums before the shuffle."""
@@ -129,11 +129,14 @@ def subcenter_logits(vector: Column, centers: Column, scale: float = 1.0) -> Col
 
 def attention_pooled(frames: Column, scores: Column) -> Column:
     """Softmax-weighted sum of frames, given a score for each."""
-    top = F.array_max(scores)
-    e = F.transform(scores, lambda s: F.exp(s - top))
-    total = F.aggregate(e, F.lit(0.0), lambda s, x: s + x)
-    parts = F.zip_with(frames, e, lambda f, w: F.transform(as_doubles(f), lambda x: x * w / total))
-    return F.aggregate(F.slice(parts, 2, F.size(parts)), F.element_at(parts, 1), lambda s, v: F.zip_with(s, v, lambda x, y: x + y))
+
+    def pooled(shares: Column) -> Column:
+        parts = F.zip_with(frames, shares, lambda f, w: F.transform(as_doubles(f), lambda x: x * w))
+        return F.aggregate(F.slice(parts, 2, F.size(parts)), F.element_at(parts, 1), lambda s, v: F.zip_with(s, v, lambda x, y: x + y))
+
+    powers = lambda s: bound(F.array_max(s), lambda top: F.transform(s, lambda x: F.exp(x - top)))
+    shares = lambda e: bound(F.aggregate(e, F.lit(0.0), lambda s, x: s + x), lambda total: F.transform(e, lambda x: x / total))
+    return bound(scores, lambda s: bound(powers(s), lambda e: bound(shares(e), pooled)))
 
 
 def margins_to_others(ranked: Column) -> Column:
