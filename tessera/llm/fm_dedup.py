@@ -39,6 +39,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessera.llm.bitmaps import held, parted, recurring, slots_of
 from tessera.llm.checkpoints import cut
 from tessera.llm.suffix_dedup import _sliding_least
 from tessera.llm.textbytes import CODES, U64, RollingHash, byte_class, mixed, slices, small_batches
@@ -51,7 +52,6 @@ IS_WORD = byte_class((0x20, 0x20), (0x09, 0x0D), negate=True)
 SHARD_SEGMENTS = 4096
 HOT = 8192
 BITMAP_BITS = 28
-ROW_BITS = 26
 #: The id that stands for null.
 LAST = 2**63 - 1
 
@@ -106,11 +106,8 @@ class Segments:
         nth = np.arange(parts.sum()) - np.repeat(np.cumsum(parts) - parts, parts)
         self.first = np.repeat(start, parts) + nth * span
         self.windows = np.minimum(np.repeat(run, parts) - nth * span, span)
-        self.minimizer, self.row = least[self.first], row[self.first]
-
-    def slots(self, bits: int) -> np.ndarray:
-        """Places of the minimizers in a bitmap of ``2**bits``."""
-        return (mixed(self.minimizer) >> U64(64 - bits)).astype(np.int64)
+        # the least of many hashes is small: mixed again, all of its bits are as good as random
+        self.minimizer, self.row = mixed(least[self.first]), row[self.first]
 
     def bodies(self, keep: np.ndarray) -> pa.Array:
         start = self.words.start[self.first[keep]]
@@ -124,43 +121,27 @@ class Segments:
 def _count_slots(window: int, bits: int):
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, data, offsets in slices(batches, "text"):
-            slot, n = np.unique(Segments(data, offsets, window).slots(bits), return_counts=True)
+            slot, n = np.unique(slots_of(Segments(data, offsets, window).minimizer, bits), return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(slot.astype(np.int32)), pa.array(n.astype(np.int32))], ["slot", "n"])
 
     return count
 
 
-def _held(bitmap: np.ndarray, s: Segments) -> np.ndarray:
-    """The segments whose minimizers a bitmap holds."""
-    slot = s.slots((64 * len(bitmap)).bit_length() - 1)
-    return np.flatnonzero((bitmap[slot >> 6] >> (slot & 63).astype(U64)) & U64(1) == 1)
-
-
-def _recurring(texts: DataFrame, window: int) -> tuple[np.ndarray, np.ndarray | None, int]:
-    """Bitmaps, of fixed size, of the minimizers that occur more than once and more than HOT times (None without any), and how many segments these are."""
-    slots = texts.mapInArrow(_count_slots(window, BITMAP_BITS), "slot int, n int").groupBy("slot").agg(F.sum("n").alias("n")).where("n > 1")
-    bit = F.expr("shiftleft(1L, slot & 63)")
-    words = slots.groupBy(F.shiftright("slot", 6).alias("word")).agg(F.bit_or(bit).alias("twice"), F.bit_or(F.when(F.col("n") > HOT, bit).otherwise(F.lit(0))).alias("often"), F.sum("n").alias("n")).toArrow()
-    at, out = words.column("word").to_numpy(), []
-    for name in ("twice", "often"):
-        out.append(np.zeros((1 << BITMAP_BITS) // 64, dtype=U64))
-        out[-1][at] = words.column(name).to_numpy().view(U64)
-    return out[0], out[1] if out[1].any() else None, pc.sum(words.column("n")).as_py() or 0
-
-
 KIND = ["minimizer", "body"]
 PLACE = ["id", "hash", "at"]
 
 
-def _list_segments(window: int, bitmap, but=None):
+def _list_segments(window: int, bits: int, bitmap, but=None):
     """Segments whose minimizers are in one bitmap and not in another."""
 
     def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, data, offsets in slices(batches, "text"):
             s = Segments(data, offsets, window)
-            keep = _held(bitmap.value, s)
+            slot = slots_of(s.minimizer, bits)
+            wanted = held(bitmap.value, slot)
             if but is not None:
-                keep = np.setdiff1d(keep, _held(but.value, s), assume_unique=True)
+                wanted &= ~held(but.value, slot)
+            keep = np.flatnonzero(wanted)
             row = s.row[keep]
             columns = [pa.array(s.minimizer[keep].view(np.int64)), s.bodies(keep), *(pa.array(rows.column(i).to_numpy()[row]) for i in (0, 1)), pa.array((s.first[keep] - s.bounds[row]).astype(np.int32))]
             yield pa.RecordBatch.from_arrays(columns, [*KIND, *PLACE])
@@ -357,39 +338,18 @@ def flagged_segments(rows: DataFrame, window: int = WINDOW) -> DataFrame:
     if not GRAM < window <= 48:
         raise ValueError(f"window must be {GRAM + 1} to 48 words")
     small_batches(rows.sparkSession)
-    twice, often, many = _recurring(rows.select("text"), window)
+    twice, often, many = recurring(rows.select("text").mapInArrow(_count_slots(window, BITMAP_BITS), "slot int, n int"), BITMAP_BITS, HOT)
     context, texts = rows.sparkSession.sparkContext, rows.select("id", "hash", "text")
     twice, often = context.broadcast(twice), context.broadcast(often) if often is not None else None
     schema = "minimizer long, body string, id long, hash long, at int"
     shard = F.pmod(F.xxhash64("minimizer"), F.lit(max(1, -(-many // SHARD_SEGMENTS))))
-    segments = texts.mapInArrow(_list_segments(window, twice, often), schema).select(shard.alias("shard"), "body", *PLACE)
+    segments = texts.mapInArrow(_list_segments(window, BITMAP_BITS, twice, often), schema).select(shard.alias("shard"), "body", *PLACE)
     found = segments.groupBy("shard").applyInArrow(_search_segments(window), "id long, hash long, at int, flags long")
     if often is not None:
-        found = found.unionByName(_flagged_often(texts.mapInArrow(_list_segments(window, often), schema), shard, window))
+        found = found.unionByName(_flagged_often(texts.mapInArrow(_list_segments(window, BITMAP_BITS, often), schema), shard, window))
     return found
 
 
-def _slot(id_: np.ndarray, hash_: np.ndarray) -> np.ndarray:
-    return (mixed(id_.view(U64) * U64(0x9E3779B97F4A7C15) + hash_.view(U64)) >> U64(64 - ROW_BITS)).astype(np.int64)
-
-
-def _slots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        yield pa.RecordBatch.from_arrays([pa.array(_slot(batch.column(0).to_numpy(), batch.column(1).to_numpy()))], ["slot"])
-
-
-def _touched(bitmap, wanted: bool):
-    """Rows that may have (or surely have not) flagged segments."""
-
-    def touched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            slot = _slot(batch.column("id").to_numpy(), batch.column("hash").to_numpy())
-            held = (bitmap.value[slot >> 6] >> (slot & 63).astype(U64)) & U64(1) == 1
-            yield batch.filter(pa.array(held == wanted))
-
-    return touched
-
-
 def _remove(window: int, with_text: bool):
     def removed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -426,13 +386,10 @@ def remove_earlier_passages(docs: DataFrame, id_col: str = "doc_id", text_col: s
     rows = rows.select("doc_id", "text", F.coalesce("doc_id", F.lit(LAST)).alias("id"), F.xxhash64("text").alias("hash"))
     places = F.collect_set(F.struct("at", "flags")).alias("places")
     lists = cut(flagged_segments(rows, window).groupBy("id", "hash").agg(places))
-    bits = lists.select("id", "hash").mapInArrow(_slots, "slot long").groupBy(F.shiftright("slot", 6).alias("word")).agg(F.expr("bit_or(shiftleft(1L, cast(slot & 63 as int)))").alias("bits")).toArrow()
-    held = np.zeros((1 << ROW_BITS) // 64, dtype=U64)
-    held[bits.column("word").to_numpy()] = bits.column("bits").to_numpy().view(U64)
-    bitmap = docs.sparkSession.sparkContext.broadcast(held)
     # only texts that lose something meet their places; the others are written as they are read
-    joined = rows.mapInArrow(_touched(bitmap, True), rows.schema).join(lists, ["id", "hash"], "left").select("doc_id", "text", "places")
-    whole = rows.mapInArrow(_touched(bitmap, False), rows.schema).select("doc_id", "text", F.lit(None).cast(joined.schema["places"].dataType).alias("places"))
+    touched, untouched = parted(rows, lists, ["id", "hash"])
+    joined = touched.join(lists, ["id", "hash"], "left").select("doc_id", "text", "places")
+    whole = untouched.select("doc_id", "text", F.lit(None).cast(joined.schema["places"].dataType).alias("places"))
     schema = "doc_id long, n_words long, n_removed long, kept_sha256 string" + ", kept_text string" * with_text
     return joined.unionByName(whole).mapInArrow(_remove(window, with_text), schema)
 

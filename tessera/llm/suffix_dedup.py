@@ -49,10 +49,10 @@ from tessera.llm.textbytes import CODES, U64, RollingHash, mixed, slices, small_
 
 MIN_LENGTH = 200
 GRAM = 24
-#: Segments of a bucket, of about 290 bytes each, and segments of one minimizer beyond which it gets none: 8,192 segments
-#: are 3 MB at most, for which suffix order takes about 200 MB.
-BUCKET_SEGMENTS = 4096
-HOT = 8192
+#: Segments of a bucket, of about 290 bytes each, and segments of one minimizer beyond which it gets none: 4,096 segments
+#: are 1.5 MB at most, for which suffix order takes about 100 MB.
+BUCKET_SEGMENTS = 2048
+HOT = 4096
 BITMAP_BITS = 27
 SLICE = 1 << 20
 OTHER_BASE = 0xD6E8FEB86659FD93 | 5
