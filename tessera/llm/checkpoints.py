@@ -22,9 +22,19 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """``df`` computed once and kept in the shared folder."""
+#: Files of a narrow table for each core.
+FILES_PER_CORE = 4
+
+
+def cut(df: DataFrame, narrow: bool = False) -> DataFrame:
+    """``df`` computed once and kept in the shared folder.
+
+    ``narrow``: rows are a few numbers, so that a few files for each core are enough for any number of them; a table
+    that is kept again and again would else leave a small file for each shuffle partition each time.
+    """
     shared_folder(df.sparkSession)
+    if narrow:
+        df = df.coalesce(FILES_PER_CORE * df.sparkSession.sparkContext.defaultParallelism)
     return df.checkpoint(eager=True)
 
 

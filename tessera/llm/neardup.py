@@ -231,7 +231,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     rows = classes.select("id", F.explode("bands").alias("key"))
     sizes = rows.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
-    members = cut(rows.join(sizes, "key"))
+    members = cut(rows.join(sizes, "key"), narrow=True)
     central = members.groupBy("id").agg(F.sum("n").alias("weight"))
     weighted = members.join(central, "id")
     leaders = weighted.groupBy("key").agg(F.max(F.struct("weight", (-F.col("id")).alias("minus"))).alias("lead")).select("key", (-F.col("lead.minus")).alias("a"))
@@ -278,7 +278,7 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     """``docs`` with one document of each group, one with the least id; of rows equal in id and text too, one stays."""
     found = near_duplicates(docs, id_col, text_col)
     rows = found.where("n_shingles > 0").groupBy(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash"))
-    rows = cut(rows.agg(F.max("stays").alias("__stays"), F.count("*").alias("__n")).where("not __stays or __n > 1"))
+    rows = cut(rows.agg(F.max("stays").alias("__stays"), F.count("*").alias("__n")).where("not __stays or __n > 1"), narrow=True)
     key = docs[id_col].cast("long").eqNullSafe(F.col("__id")) & (F.xxhash64(docs[text_col]) == F.col("__hash"))
     out = docs.join(rows, key, "left_anti")
     again = rows.where("__stays")

@@ -4,17 +4,18 @@ A small network over shape features of whole texts is trained on trusted
 positives and unlabelled web text only: it minimises the non-negative unbiased
 risk  pi * E_P[l(g)] + max(0, E_U[l(-g)] - pi * E_P[l(-g)])  with the
 sigmoid loss, which is bounded, so that single texts cannot drive the risk. The
-class prior ``pi`` is the share of label 1 among the labelled training rows. The
-score is the sigmoid of the network's output: label 1 is likelier from 0.5 on.
+class prior ``pi`` is estimated from the same two samples (``estimate_prior``): no label
+but 1 is looked at. The score is the sigmoid of the network's output: label 1 is likelier from 0.5 on.
 
 Positives and unlabelled texts are drawn by hashed id, about ``fit_positives``
 and ``fit_unlabelled`` whole texts (documented bounds that do not depend on the
-input's size); the prior counts all labelled training rows. Scoring is one pass
+input's size). Scoring is one pass
 over all documents where they lie, with a model of fixed size.
 
 Null texts are empty; an empty text has zero features and is scored like any
 other. A document labelled more than once is a positive if all its labels are
-1. Without labels the score is 0.5.
+1. Rows that repeat an id are scored each on their own text, and are all drawn if the id is;
+rows without an id are scored and teach nothing. Without positives the score is 0.5.
 """
 
 from __future__ import annotations
@@ -113,36 +114,57 @@ class QualityModel:
         return 1 / (1 + np.exp(-np.clip(self.logits(x), -40, 40).astype(np.float64)))
 
 
-def fit_nnpu(positive: np.ndarray, unlabelled: np.ndarray, prior: float, epochs: int = 60, batches: int = 12, rate: float = 5e-3, decay: float = 1e-3, seed: int = 17) -> QualityModel:
-    """Minimises the non-negative risk by Adam; where the negative part falls below zero, its ascent replaces the step."""
+def hidden_and_logits(w: list[np.ndarray], x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    h = np.maximum(x @ w[0] + w[1], 0)
+    return h, h @ w[2] + w[3]
+
+
+def sigmoid(x: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-x))
+
+
+def risk_parts(w: list[np.ndarray], p: np.ndarray, u: np.ndarray, prior: float) -> tuple[float, float]:
+    """The positive part of the unbiased risk and the negative one, which is no less than 0 in expectation."""
+    sp, su = (sigmoid(hidden_and_logits(w, x)[1]) for x in (p, u))
+    return prior * (1 - sp).mean(), su.mean() - prior * sp.mean()
+
+
+def _backward(w: list[np.ndarray], x: np.ndarray, d: np.ndarray, h: np.ndarray) -> list[np.ndarray]:
+    back = np.outer(d, w[2]) * (h > 0)
+    return [x.T @ back, back.sum(axis=0), h.T @ d, np.array([d.sum()])]
+
+
+def descent(w: list[np.ndarray], p: np.ndarray, u: np.ndarray, prior: float, against: bool = False) -> list[np.ndarray]:
+    """Gradient of the non-negative risk; where the negative part is below 0, that of its negation, so that the step undoes it.
+
+    With ``against``, of the risk of telling positives from unlabelled texts, half and half.
+    """
+    (hp, gp), (hu, gu) = hidden_and_logits(w, p), hidden_and_logits(w, u)
+    sp, su = sigmoid(gp), sigmoid(gu)
+    steep_p, steep_u = sp * (1 - sp), su * (1 - su)
+    if against:
+        dp, du = -0.5 * steep_p / len(p), 0.5 * steep_u / len(u)
+    elif su.mean() - prior * sp.mean() >= 0:
+        dp, du = -2 * prior * steep_p / len(p), steep_u / len(u)
+    else:
+        dp, du = prior * steep_p / len(p), -steep_u / len(u)
+    return [x + y for x, y in zip(_backward(w, p, dp, hp), _backward(w, u, du, hu), strict=True)]
+
+
+def fit_nnpu(positive: np.ndarray, unlabelled: np.ndarray, prior: float, epochs: int = 60, batches: int = 12, rate: float = 5e-3, decay: float = 1e-3, seed: int = 17, against: bool = False) -> QualityModel:
+    """Minimises the non-negative risk by Adam on drawn batches; ``against`` as in ``descent``."""
     mean, scale = unlabelled.mean(axis=0), unlabelled.std(axis=0) + 1e-3
     norm = lambda x: np.clip((x - mean) / scale, -8, 8).astype(np.float64)
     p, u = norm(positive), norm(unlabelled)
     rng = np.random.default_rng(seed)
     w = [rng.normal(0, (2 / FEATURES) ** 0.5, (FEATURES, HIDDEN)), np.zeros(HIDDEN), rng.normal(0, HIDDEN**-0.5, HIDDEN), np.zeros(1)]
     m, v, t = [np.zeros_like(x) for x in w], [np.zeros_like(x) for x in w], 0
-
-    def gradients(x: np.ndarray, d: np.ndarray, h: np.ndarray) -> list[np.ndarray]:
-        back = np.outer(d, w[2]) * (h > 0)
-        return [x.T @ back, back.sum(axis=0), h.T @ d, np.array([d.sum()])]
-
     for _ in range(epochs):
         for a, b in zip(np.array_split(rng.permutation(len(p)), batches), np.array_split(rng.permutation(len(u)), batches), strict=True):
             if not len(a) or not len(b):
                 continue
-            xp, xu = p[a], u[b]
-            hp, hu = np.maximum(xp @ w[0] + w[1], 0), np.maximum(xu @ w[0] + w[1], 0)
-            gp, gu = hp @ w[2] + w[3], hu @ w[2] + w[3]
-            sp, su = 1 / (1 + np.exp(-gp)), 1 / (1 + np.exp(-gu))
-            negative = su.mean() - prior * sp.mean()
-            steep_p, steep_u = sp * (1 - sp), su * (1 - su)
-            if negative >= 0:
-                dp, du = -2 * prior * steep_p / len(a), steep_u / len(b)
-            else:
-                dp, du = prior * steep_p / len(a), -steep_u / len(b)
-            grads = [x + y for x, y in zip(gradients(xp, dp, hp), gradients(xu, du, hu), strict=True)]
             t += 1
-            for i, g in enumerate(grads):
+            for i, g in enumerate(descent(w, p[a], u[b], prior, against)):
                 g = g + decay * w[i]
                 m[i] = 0.9 * m[i] + 0.1 * g
                 v[i] = 0.999 * v[i] + 0.001 * g * g
@@ -150,6 +172,37 @@ def fit_nnpu(positive: np.ndarray, unlabelled: np.ndarray, prior: float, epochs:
     return QualityModel(mean, scale, [x.astype(np.float32) for x in w])
 
 
+def best_bin_prior(positive: np.ndarray, unlabelled: np.ndarray, slack: float = 0.01, risk: float = 0.1) -> float:
+    """The class prior from scores of positives and of unlabelled texts.
+
+    Above a threshold that mostly positives pass, the share of unlabelled texts is the prior times that of positives. The
+    threshold is the one whose ratio of shares has the least upper confidence bound.
+    """
+    p, u = np.sort(positive)[::-1], np.sort(unlabelled)[::-1]
+    of_p = np.arange(1, len(p) + 1) / len(p)
+    of_u = np.searchsorted(-u, -p, side="right") / len(u)
+    width = sum(np.sqrt(np.log(4 / risk) / (2 * len(x))) for x in (p, u))
+    at = np.argmin(of_u / of_p + (1 + slack) * width / of_p)
+    return float(np.clip(of_u[at] / of_p[at], 0.01, 0.99))
+
+
+#: Rounds of telling positives from unlabelled texts: few, before single texts are learned by heart.
+PRIOR_EPOCHS = 7
+
+
+def estimate_prior(positive: np.ndarray, unlabelled: np.ndarray, seed: int = 23) -> float:
+    """The share of positives among unlabelled texts: a network learns to tell one half of both apart and scores the other half, both ways."""
+    rng = np.random.default_rng(seed)
+    halves = [np.array_split(x[rng.permutation(len(x))], 2) for x in (positive, unlabelled)]
+    if not len(halves[0][1]) or not len(halves[1][1]):
+        return 0.5
+    found = []
+    for fold in (0, 1):
+        model = fit_nnpu(halves[0][fold], halves[1][fold], 0.5, epochs=PRIOR_EPOCHS, against=True)
+        found.append(best_bin_prior(*(model.logits(x[1 - fold]) for x in halves)))
+    return float(np.mean(found))
+
+
 def learns(id_col: str):
     return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % 3 != 1, F.lit(False))
 
@@ -168,7 +221,7 @@ def fit_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text
     """Learns from labels of training rows; None without any positive."""
     small_batches(docs.sparkSession)
     known = labels.select(F.col(id_col).alias("id"), F.col(label_col).alias("label")).where(learns("id") & F.col("label").isNotNull()).groupBy("id").agg(F.min("label").alias("label"))
-    n, ones = known.agg(F.count("*"), F.coalesce(F.sum((F.col("label") == 1).cast("long")), F.lit(0))).first()
+    ones = known.where("label = 1").count()
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where(learns("id"))
     total = texts.count() if ones else 0
     if not ones or not total:
@@ -179,7 +232,7 @@ def fit_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text
     rows = positive.unionByName(unlabelled).mapInArrow(_features, "positive boolean, features binary").collect()
     # sorted, so that the order of rows does not matter
     x = {k: np.frombuffer(b"".join(sorted(bytes(r["features"]) for r in rows if r["positive"] is k)), dtype=np.float32).reshape(-1, FEATURES) for k in (True, False)}
-    return fit_nnpu(x[True], x[False], ones / n) if len(x[True]) and len(x[False]) else None
+    return fit_nnpu(x[True], x[False], estimate_prior(x[True], x[False])) if len(x[True]) and len(x[False]) else None
 
 
 def score_quality(docs: DataFrame, model: QualityModel | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

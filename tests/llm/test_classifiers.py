@@ -1,4 +1,5 @@
 import random
+import re
 import zlib
 
 import numpy as np
@@ -6,7 +7,7 @@ import pytest
 
 from tests.llm.fixtures import documents, with_clashes
 from tessera.llm.language_id import fit_languages, keep_identified, predict_languages, spherical_kmeans
-from tessera.llm.quality import fit_nnpu, fit_quality, score_quality, shape_features
+from tessera.llm.quality import HIDDEN, best_bin_prior, descent, estimate_prior, fit_nnpu, fit_quality, risk_parts, score_quality, shape_features
 from tessera.llm.quality import FEATURES as SHAPE_FEATURES
 
 SYLLABLES = {"en": "the ing and er tion th ou wh st", "de": "sch ung ei ver au ü ö heit lich", "es": "ción os la que ez ñ ado mente í"}
@@ -156,6 +157,92 @@ def test_nnpu_separates():
     assert (model.score(good[3000:]) >= 0.5).mean() > 0.9 and (model.score(bad) < 0.5).mean() > 0.85
 
 
+def test_risk_and_descent_equal_plain_sums_and_small_steps():
+    rng = np.random.default_rng(4)
+    p, u = rng.normal(1, 1, (12, SHAPE_FEATURES)), rng.normal(0, 1, (17, SHAPE_FEATURES))
+    w = [rng.normal(0, 0.2, (SHAPE_FEATURES, HIDDEN)), rng.normal(0, 0.2, HIDDEN), rng.normal(0, 0.4, HIDDEN), np.array([0.1])]
+
+    def plain(w, prior):
+        def loss(x, sign):
+            out = 0.0
+            for row in x:
+                h = [max(sum(a * b for a, b in zip(row, w[0][:, k], strict=True)) + w[1][k], 0) for k in range(HIDDEN)]
+                g = sum(a * b for a, b in zip(h, w[2], strict=True)) + w[3][0]
+                out += 1 / (1 + np.exp(sign * g))
+            return out / len(x)
+
+        return prior * loss(p, 1), loss(u, -1) - prior * loss(p, -1)
+
+    for prior in (0.3, 0.9):
+        parts = risk_parts(w, p, u, prior)
+        assert np.allclose(parts, plain(w, prior))
+        # below 0, the step undoes the negative part
+        risk = (lambda v: sum(risk_parts(v, p, u, prior))) if parts[1] >= 0 else (lambda v: -risk_parts(v, p, u, prior)[1])
+        for i, g in enumerate(descent(w, p, u, prior)):
+            for at in [tuple(rng.integers(0, n) for n in g.shape) for _ in range(4)]:
+                moved = []
+                for e in (1e-5, -1e-5):
+                    v = [x.copy() for x in w]
+                    v[i][at] += e
+                    moved.append(risk(v))
+                assert abs(g[at] - (moved[0] - moved[1]) / 2e-5) < 1e-6, (prior, i)
+    assert {risk_parts(w, p, u, q)[1] >= 0 for q in (0.3, 0.9, 5.0)} == {True, False}
+
+
+def test_prior_from_scores_and_from_unlabelled_texts():
+    rng = np.random.default_rng(3)
+    good, bad = rng.normal(3, 1, 6000), rng.normal(-3, 1, 2000)
+    assert abs(best_bin_prior(good[:2000], np.concatenate([good[2000:], bad])) - 2 / 3) < 0.03
+    good, bad = rng.normal(0, 1, (6000, SHAPE_FEATURES)), rng.normal(0, 1, (1000, SHAPE_FEATURES))
+    bad[:, :8] += 3
+    assert abs(estimate_prior(good[:2000], np.concatenate([good[2000:], bad])) - 0.8) < 0.06
+    assert estimate_prior(good[:1], bad) == 0.5
+
+
+def test_shape_features_equal_plain_counts():
+    import pyarrow as pa
+
+    from tessera.llm.quality import BIGRAMS, CATEGORIES, CATEGORY
+    from tessera.llm.textbytes import text_buffers
+
+    texts = ["One two two.\nOne two two.\n\nx!", "a\tb  B b b (q) 12", "", "é é\né é", "ha ha HA ha!"]
+    found = shape_features(*text_buffers(pa.array(texts, pa.string())))
+    for t, x in zip(texts, found, strict=True):
+        raw = t.encode()
+        want = np.zeros(SHAPE_FEATURES)
+        n = max(len(raw), 1)
+        for b in raw:
+            want[CATEGORY[b]] += 1 / n
+        units = [[w.lower() for w in re.split(rb"[\t-\r ]+", raw) if w], [w.lower() for w in raw.split(b"\n") if w]]
+        for k, u in enumerate(units):
+            if u:
+                want[CATEGORIES + 2 * k], want[CATEGORIES + 2 * k + 1] = len(set(u)) / len(u), max(u.count(w) for w in u) / len(u)
+        words = [w for w in re.split(rb"[\t-\r ]+", raw) if w]
+        many = max(len(words), 1)
+        want[CATEGORIES + 4], want[CATEGORIES + 5] = np.log1p(len(words)) / 10, np.log1p(len(units[1])) / 10
+        want[CATEGORIES + 6] = sum(map(len, words)) / many / 10
+        want[CATEGORIES + 7] = sum(a.lower() == b.lower() for a, b in zip(words, words[1:], strict=False)) / many
+        want[CATEGORIES + 8] = sum(CATEGORY[w[-1]] >= 8 for w in words) / many
+        pairs = np.zeros(BIGRAMS)
+        low = raw.lower()
+        for a, b in zip(low, low[1:], strict=False):
+            pairs[(((a << 8 | b) * 0x9E3779B1) & 0xFFFFFFFF) >> (32 - BIGRAMS.bit_length() + 1)] += 1
+        want[-BIGRAMS:] = np.sqrt(pairs / n)
+        assert np.allclose(x, want, atol=1e-6), t
+
+
+def test_null_and_repeated_ids_of_documents(spark):
+    rng = random.Random(7)
+    rows = [(i // 2 if i % 5 else None, make(rng, "en", 40).capitalize() + ".", "en", "s", 1) for i in range(200)] + [(None, None, None, None, None), (3, None, "de", "s", 0)]
+    docs = spark.createDataFrame(rows, documents(spark, []).schema)
+    lab = spark.createDataFrame([(i, 1, 0) for i in range(60)] + [(4, 1, 0)], "doc_id long, quality int, toxic int")
+    scores = score_quality(docs, fit_quality(docs, lab)).collect()
+    assert len(scores) == 202 and sum(r.doc_id is None for r in scores) == 41 and all(0 <= r.score <= 1 for r in scores)
+    assert score_quality(docs.limit(0), fit_quality(docs, lab)).collect() == []
+    found = predict_languages(docs, fit_languages(docs)).collect()
+    assert len(found) == 202 and sum(r.lang_pred == "und" for r in found) == 2
+
+
 def test_quality_scores(spark):
     rng = random.Random(6)
     rows, labels = [], []
