@@ -123,6 +123,7 @@ FAILURES = {
     "known_wrong_accept": "KNOWN_WRONG_ACCEPT",
     "known_confirm": "KNOWN_CONFIRM",
     "known_reject": "KNOWN_REJECT",
+    "known_other": "KNOWN_OTHER",
     "unknown_accept": "UNKNOWN_FALSE_ACCEPT",
 }
 
@@ -136,12 +137,16 @@ def failure_rows(rows: DataFrame, known: Column, status: Column, predicted: Colu
 
 
 def outcome_group(known: Column, status: Column, predicted: Column, true: Column) -> Column:
-    """Outcome of a decision: correct or wrong accept, confirm or reject of a known query, or false accept and reject of an unknown one."""
+    """Outcome of a decision: correct or wrong accept, confirm or reject of a known query, or false accept and reject of an unknown one.
+
+    A known query is ``known_other`` if it was accepted without a prediction or a truth, or has no such status at all.
+    """
     return (
         F.when(known & (status == "ACCEPT") & (predicted == true), "known_correct_accept")
-        .when(known & (status == "ACCEPT"), "known_wrong_accept")
+        .when(known & (status == "ACCEPT") & (predicted != true), "known_wrong_accept")
         .when(known & (status == "CONFIRM"), "known_confirm")
-        .when(known, "known_reject")
+        .when(known & (status == "REJECT"), "known_reject")
+        .when(known, "known_other")
         .when(status == "ACCEPT", "unknown_accept")
         .when(status == "CONFIRM", "unknown_confirm")
         .otherwise("unknown_reject")

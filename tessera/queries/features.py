@@ -10,8 +10,10 @@ from tessera.functions.scoring import log_ratio
 from tessera.functions.text import dataset_of
 from tessera.functions.vectors import as_doubles, dot, l2_normalized
 from tessera.operators import inventory, retrieval, sampling, sequences, thresholds, views
+from tessera.plans import recognition
 from tessera.queries import manifest as m
 from tessera.queries import vectors
+from tessera.queries.sequences import ALIGN_SQL, FRAMES
 from tessera.session import table
 from tessera.sources import binary
 
@@ -212,3 +214,43 @@ def merged_distinct_customers(spark, sf_dir):
     rows = table(spark, sf_dir, "orders").withColumn("year", F.year("o_orderdate"))
     yearly = inventory.distinct_state(rows, ["o_orderpriority", "year"], "o_custkey")
     return inventory.distinct_of_state(inventory.merged_state(yearly, ["o_orderpriority"]), ["o_orderpriority"])
+
+
+_USER = "CAST(floor(vec_id / 2) % 2 AS BIGINT)"
+_LOGITS = [_logit_sql(i) for i in range(3)]
+
+#: Two examples of each intent per user; the query meets its own user's prototypes, then the examples of the three best.
+RECOGNITION_SQL = f"""WITH RECURSIVE u AS (SELECT vec_id, label, {_USER} AS user_id, embedding, list_transform(CAST(embedding AS DOUBLE[]), lambda x: x / greatest(sqrt(list_inner_product(CAST(embedding AS DOUBLE[]), CAST(embedding AS DOUBLE[]))), 1e-12)) AS q FROM embeddings),
+drawn AS (SELECT *, row_number() OVER (PARTITION BY user_id, label ORDER BY sha256('memory' || chr(0) || user_id || chr(0) || label || chr(0) || vec_id || chr(0)), vec_id) AS k, count(*) OVER (PARTITION BY user_id, label) AS n FROM u WHERE vec_id % 2 = 0),
+ex AS (SELECT * FROM drawn WHERE k <= 2 AND n >= 2),
+means AS (SELECT user_id, label, i, avg(CAST(embedding[i] AS DOUBLE)) AS m FROM ex, unnest(range(1, 65)) AS t(i) GROUP BY ALL),
+lists AS (SELECT user_id, label, list(m ORDER BY i) AS v FROM means GROUP BY user_id, label),
+pairs AS (SELECT u.vec_id, u.user_id, lists.label, list_inner_product(u.q, list_transform(v, lambda x: x / greatest(sqrt(list_inner_product(v, v)), 1e-12))) AS score FROM u JOIN lists USING (user_id) WHERE vec_id % 2 = 1),
+top AS (SELECT * FROM pairs QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY score DESC, label) <= 3),
+both_sides AS MATERIALIZED (SELECT row_number() OVER (ORDER BY top.vec_id, top.label, ex.vec_id) AS pid, top.*, list_inner_product(u.q, ex.q) AS cos, {FRAMES.format("u.embedding")} AS fa, {FRAMES.format("ex.embedding")} AS fb FROM top JOIN u ON u.vec_id = top.vec_id JOIN ex ON ex.user_id = top.user_id AND ex.label = top.label),
+{ALIGN_SQL},
+per AS (SELECT vec_id, user_id, label, score AS first, max(1 - 0.5::DOUBLE * distance) AS second, avg(cos) AS mean, min(cos) AS least, count(*) AS shot FROM both_sides JOIN aligned USING (pid) GROUP BY vec_id, user_id, label, score),
+f AS (SELECT *, 0.75::DOUBLE * first + (1 - 0.75::DOUBLE) * second AS fused FROM per),
+o AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY fused DESC, label) AS k, row_number() OVER (PARTITION BY vec_id ORDER BY first DESC, label) AS k1, row_number() OVER (PARTITION BY vec_id ORDER BY second DESC, label) AS k2 FROM f),
+ev AS (SELECT a.vec_id, a.user_id, a.label, a.shot, a.fused AS fused_top1, a.fused - b.fused AS fused_margin, a.first AS global_top1, a.first - b.first AS global_margin, a.second AS aligned_top1, a.second - b.second AS aligned_margin,
+  CASE WHEN x.label = y.label THEN 1.0::DOUBLE ELSE 0 END AS winners_agree, 0.0::DOUBLE AS duration_log_ratio, ln(a.shot) AS log_shot, a.mean AS support_mean, a.least AS support_min
+  FROM o a JOIN o b ON b.vec_id = a.vec_id AND b.k = 2 JOIN o x ON x.vec_id = a.vec_id AND x.k1 = 1 JOIN o y ON y.vec_id = a.vec_id AND y.k2 = 1 WHERE a.k = 1),
+z AS (SELECT *, exp({_LOGITS[0]}) AS c, exp({_LOGITS[1]}) AS w, exp({_LOGITS[2]}) AS r FROM ev),
+p AS (SELECT vec_id, user_id, label, shot, c / (c + w + r) AS c, w / (c + w + r) AS w, r / (c + w + r) AS r FROM z),
+s AS (SELECT *, CASE WHEN c >= w AND c >= r AND c >= {ACCEPT} THEN 'ACCEPT' WHEN r > c AND r > w AND r >= {REJECT} THEN 'REJECT' ELSE 'CONFIRM' END AS status FROM p)
+SELECT vec_id AS query_id, user_id, status, CASE WHEN status <> 'REJECT' THEN label END AS intent_id, CASE WHEN status <> 'REJECT' THEN 'intent ' || label END AS canonical_text, shot, round(c, 6) AS "C", round(w, 6) AS "W", round(r, 6) AS "U" FROM s"""
+
+
+@query(RECOGNITION_SQL)
+def recognized_trials(spark, sf_dir):
+    """From enrollment to a decision: two examples of each intent are a user's memory, and every trial is recognised by its user's."""
+    rows = table(spark, sf_dir, "embeddings").withColumn("user_id", (F.floor(F.col("vec_id") / 2) % 2).cast("long"))
+    enrolled = rows.where("vec_id % 2 = 0")
+    shots = sampling.support_sample(enrolled.select("user_id", "label", "vec_id", "embedding"), ["user_id", "label"], "vec_id", 2, "memory")
+    enough = shots.groupBy("user_id", "label").count().where("count = 2").select("user_id", "label")
+    frames = sequences.frames_of(as_doubles(F.col("embedding")), 8)
+    examples = shots.join(enough, ["user_id", "label"]).select("user_id", F.col("label").alias("intent_id"), F.concat(F.lit("intent "), F.col("label").cast("string")).alias("canonical_text"), as_doubles(F.col("embedding")).alias("global"), frames.alias("temporal"))
+    trials = rows.where("vec_id % 2 = 1").select(F.col("vec_id").alias("query_id"), "user_id", as_doubles(F.col("embedding")).alias("global"), frames.alias("temporal"))
+    head = recognition.Head(WEIGHT, BIAS, MEAN, STD, ACCEPT, REJECT)
+    out = recognition.recognize(trials, recognition.checked_enrollment(examples, 64), head)
+    return out.select("query_id", "user_id", "status", "intent_id", "canonical_text", "shot", *[F.round(f"decision_scores.{c}", 6).alias(c) for c in "CWU"])

@@ -183,22 +183,78 @@ def stream_metric_log(spark: SparkSession, path: str, schema: T.StructType | str
     return spark.readStream.schema(schema).json(f"{path}/batches/*")
 
 
-def _parsed(text: str) -> dict:
-    try:
-        return json.loads(text)
-    except json.JSONDecodeError:
-        import yaml
+# Kinds of backbones that a sweep may name.
+BACKBONES = ("wav2vec2", "wavlm", "w2v_bert2")
+
+
+def _scalar(text: str):
+    text = text.strip()
+    if text.startswith("[") and text.endswith("]"):
+        return [_scalar(x) for x in text[1:-1].split(",") if x.strip()]
+    return int(text) if re.fullmatch(r"[+-]?\d+", text) else text.strip("'\"")
+
 
-        return yaml.safe_load(text)
+def sweep_of_text(text: str) -> dict:
+    """A sweep written as JSON, or in block form: a key, and below it a list of entries of one field a line.
+
+    Lists are written in brackets or as items of their own lines; comments and blank lines are skipped. Anything else is refused.
+    """
+    if text.lstrip().startswith("{"):
+        return json.loads(text)
+    out: dict = {}
+    entries = field = None
+    for line in text.splitlines():
+        line = re.sub(r"(^|\s)#.*$", "", line).rstrip()
+        found = re.fullmatch(r"(\s*)(- )?\s*(?:([A-Za-z_]\w*):(?:\s+(.*))?|(\S.*))", line)
+        if not line:
+            continue
+        if found is None:
+            raise ValueError(f"not understood: {line}")
+        indent, item, key, value, bare = found.groups()
+        if key and not indent and not item:
+            entries = out[key] = [] if value is None else _scalar(value)
+        elif key and isinstance(entries, list):
+            if item:
+                entries.append({})
+            if not entries:
+                raise ValueError(f"a field of no entry: {line}")
+            field = entries[-1][key] = [] if value is None else _scalar(value)
+        elif item and bare and isinstance(field, list):
+            field.append(_scalar(bare))
+        else:
+            raise ValueError(f"not understood: {line}")
+    return out
 
 
 def expand_sweep(spark: SparkSession, config: str | dict) -> DataFrame:
-    """Unique (backbone, hidden_layer) candidates of a sweep configuration: a mapping, JSON text, or YAML text where PyYAML is installed."""
-    payload = _parsed(config) if isinstance(config, str) else config
-    rows = [(b["name"], int(layer)) for b in payload["backbones"] for layer in b["hidden_layers"]]
-    if len(set(rows)) != len(rows):
-        raise ValueError("duplicate candidates")
-    return spark.createDataFrame(rows, "backbone string, hidden_layer int")
+    """Unique (backbone, base_config, hidden_layer) candidates of a sweep configuration, a mapping or its text.
+
+    Unknown kinds, missing or absolute base configurations, layers that are no whole numbers from 0, repeated
+    candidates and sweeps without any are refused.
+    """
+    payload = sweep_of_text(config) if isinstance(config, str) else config
+    entries = payload.get("backbones") if isinstance(payload, dict) else None
+    if not isinstance(entries, list):
+        raise ValueError("backbones must be a list")
+    rows = []
+    for entry in entries:
+        kind, base, layers = str(entry.get("kind", "")).strip().lower(), str(entry.get("base_config", "")).strip(), entry.get("hidden_layers")
+        if kind not in BACKBONES:
+            raise ValueError(f"unknown kind: {kind}")
+        if not base or base.startswith("/"):
+            raise ValueError(f"base_config must be a relative path: {base}")
+        if not isinstance(layers, list) or any(isinstance(n, bool) or not isinstance(n, int) or n < 0 for n in layers):
+            raise ValueError(f"hidden_layers must be whole numbers from 0: {layers}")
+        rows += [(kind, base, n) for n in layers]
+    if not rows or len({(k, n) for k, _, n in rows}) != len(rows):
+        raise ValueError("no candidates" if not rows else "duplicate candidates")
+    return spark.createDataFrame(rows, "backbone string, base_config string, hidden_layer int")
+
+
+def read_sweep(spark: SparkSession, path: str) -> DataFrame:
+    """The candidates of a sweep file."""
+    text = spark.read.text(path, wholetext=True).first()
+    return expand_sweep(spark, text["value"] if text else "")
 
 
 def read_csv(spark: SparkSession, path: str, schema: T.StructType | str | None = None) -> DataFrame:

@@ -27,10 +27,28 @@ def test_unique_task_rows_and_temporal_index(spark, tmp_path):
         manifests.read_temporal_index(spark, str(tmp_path / "f"))
 
 
-def test_yaml_sweep(spark):
-    pytest.importorskip("yaml")
-    rows = manifests.expand_sweep(spark, "backbones:\n- name: b\n  hidden_layers: [1, 2]\n").collect()
-    assert [tuple(r) for r in rows] == [("b", 1), ("b", 2)]
+SWEEP = """# layers to try
+backbones:
+  - kind: wav2vec2   # the small one
+    base_config: configs/a.yaml
+    hidden_layers: [8, 12]
+
+  - kind: wavlm
+    base_config: "configs/b.yaml"
+    hidden_layers:
+      - 15
+      - 22
+"""
+
+
+def test_sweep_files(spark, tmp_path):
+    (tmp_path / "sweep.yaml").write_text(SWEEP)
+    want = [("wav2vec2", "configs/a.yaml", 8), ("wav2vec2", "configs/a.yaml", 12), ("wavlm", "configs/b.yaml", 15), ("wavlm", "configs/b.yaml", 22)]
+    assert [tuple(r) for r in manifests.read_sweep(spark, str(tmp_path / "sweep.yaml")).collect()] == want
+    assert [tuple(r) for r in manifests.expand_sweep(spark, json.dumps(manifests.sweep_of_text(SWEEP))).collect()] == want
+    for text in ("", "backbones: x", "backbones:\n  {a}", "kind: a\n- b", "backbones:\n    kind: wavlm"):
+        with pytest.raises(ValueError):
+            manifests.expand_sweep(spark, text)
 
 
 def test_audio_sources(spark):
@@ -64,9 +82,9 @@ def test_nested_fields_and_keys(spark):
 
 
 def test_failures(spark):
-    df = spark.createDataFrame([(1, True, "ACCEPT", "a", "a"), (2, True, "ACCEPT", "b", "a"), (3, True, "CONFIRM", "a", "a"), (4, True, "REJECT", None, "a"), (5, False, "ACCEPT", "a", None), (6, False, "CONFIRM", "a", None), (7, False, "REJECT", None, None)], "i int, known boolean, status string, pred string, true string")
+    df = spark.createDataFrame([(1, True, "ACCEPT", "a", "a"), (2, True, "ACCEPT", "b", "a"), (3, True, "CONFIRM", "a", "a"), (4, True, "REJECT", None, "a"), (5, False, "ACCEPT", "a", None), (6, False, "CONFIRM", "a", None), (7, False, "REJECT", None, None), (8, True, None, "a", "a"), (9, True, "ACCEPT", None, "a")], "i int, known boolean, status string, pred string, true string")
     got = views.failure_rows(df, *[F.col(c) for c in ("known", "status", "pred", "true")]).collect()
-    assert {(r.i, r.failure, r.ranking_correct) for r in got} == {(2, "KNOWN_WRONG_ACCEPT", False), (3, "KNOWN_CONFIRM", True), (4, "KNOWN_REJECT", False), (5, "UNKNOWN_FALSE_ACCEPT", False)}
+    assert {(r.i, r.failure, r.ranking_correct) for r in got} == {(2, "KNOWN_WRONG_ACCEPT", False), (3, "KNOWN_CONFIRM", True), (4, "KNOWN_REJECT", False), (5, "UNKNOWN_FALSE_ACCEPT", False), (8, "KNOWN_OTHER", True), (9, "KNOWN_OTHER", False)}
 
 
 def test_coverage_and_readiness(spark):

@@ -73,10 +73,11 @@ def test_metrics_csv_sweep_report(spark, tmp_path):
     manifests.write_csv_with_mark(df, str(tmp_path / "c"))
     assert (next((tmp_path / "c").glob("part-*"))).read_bytes().startswith(b"\xef\xbb\xbf")
     assert manifests.read_csv(spark, str(tmp_path / "c")).columns == ["x", "y"]
-    sweep = {"backbones": [{"name": "b", "hidden_layers": [1, 2]}]}
-    assert manifests.expand_sweep(spark, sweep).count() == 2
-    with pytest.raises(ValueError, match="duplicate"):
-        manifests.expand_sweep(spark, {"backbones": [{"name": "b", "hidden_layers": [1, 1]}]})
+    entry = {"kind": "wavlm", "base_config": "c/w.yaml", "hidden_layers": [1, 2]}
+    assert [tuple(r) for r in manifests.expand_sweep(spark, {"backbones": [entry]}).collect()] == [("wavlm", "c/w.yaml", 1), ("wavlm", "c/w.yaml", 2)]
+    for change, message in (({"hidden_layers": [1, 1]}, "duplicate"), ({"hidden_layers": []}, "no candidates"), ({"hidden_layers": [True]}, "whole"), ({"hidden_layers": "1"}, "whole"), ({"hidden_layers": [-1]}, "whole"), ({"kind": "other"}, "kind"), ({"base_config": "/abs"}, "relative"), ({"base_config": " "}, "relative")):
+        with pytest.raises(ValueError, match=message):
+            manifests.expand_sweep(spark, {"backbones": [entry | change]})
     manifests.write_report(spark, str(tmp_path / "r"), df)
     assert json.loads((next((tmp_path / "r").glob("part-*"))).read_text()) == {"x": 1, "y": "a"}
     manifests.append_metrics(df, str(tmp_path / "a"))
