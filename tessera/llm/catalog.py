@@ -13,7 +13,7 @@ from tessera.llm.packing import op3_sequence_packing
 from tessera.llm.quality import op9_quality_classifier
 from tessera.llm.secrets import op5_secret_scan
 from tessera.llm.spelling import OP11_SQL, op11_spelling_variants
-from tessera.llm.suffix_dedup import op8_suffix_dedup
+from tessera.llm.suffix_dedup import OP8_SQL, op8_suffix_dedup
 from tessera.llm.topk import OP7_SQL, op7_topk_search
 
 QUERIES = {
@@ -37,6 +37,7 @@ ORACLE_SQL: dict[str, str] = {
     "op2_minhash_neardup": OP2_SQL,
     "op4_merkle_fixity": OP4_SQL,
     "op7_topk_search": OP7_SQL,
+    "op8_suffix_dedup": OP8_SQL,
     "op11_spelling_variants": OP11_SQL,
     "op12_fm_index_dedup": OP12_SQL,
     "op13_lloyd_clusters": OP13_SQL,

@@ -42,3 +42,11 @@ def remove(spark: SparkSession, path: str) -> None:
     """Deletes a table that nothing reads any more, in whatever store it lies."""
     where = spark._jvm.org.apache.hadoop.fs.Path(path)
     where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def unused(name: str, columns: list[str]) -> str:
+    """A column name that none of ``columns`` has, in any case of letters."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.checkpoints import cut
+from tessera.llm.checkpoints import cut, unused
 from tessera.llm.textbytes import U64, RollingHash, Words, byte_class, mixed, slices, small_batches, text_buffers
 
 WINDOW = 13
@@ -445,7 +445,7 @@ def remove_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "do
     small_batches(docs.sparkSession)
     parts = _benchmark_parts(benchmark, part_bytes, item_col, item_text_col)
     if len(parts) > 1:
-        names, key = docs.columns, "__row"
+        names, key = docs.columns, unused("row", docs.columns)
         numbered = cut(docs.withColumn(key, F.monotonically_increasing_id()))
         bad = decontaminate(numbered, benchmark, percent, id_col=key, text_col=text_col, item_col=item_col, item_text_col=item_text_col, window=window, part_bytes=part_bytes)
         bad = bad.where("contaminated").select(F.col("doc_id").alias(key))

@@ -11,7 +11,8 @@ that is more than ``MOST`` each, they are cut into new blocks.
 
 Documents carry their own edits, applied in order, so nothing is shuffled.
 Positions are code points; a position or length beyond the text is cut to it.
-Null texts are empty, null edits none. Repeated rows are counted each.
+Null texts are empty, null edits none. Every row is a document: rows that repeat an id, or have
+none, are counted each, and keep the id they have.
 """
 
 from __future__ import annotations

@@ -40,7 +40,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.checkpoints import cut
+from tessera.llm.checkpoints import cut, unused
 from tessera.llm.components import least_members
 from tessera.llm.textbytes import U64, RollingHash, Words, byte_class, mixed, slices, small_batches
 
@@ -276,16 +276,17 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with one document of each group, one with the least id; of rows equal in id and text too, one stays."""
+    own_id, own_hash = unused("id", docs.columns), unused("hash", docs.columns)
     found = near_duplicates(docs, id_col, text_col)
-    rows = found.where("n_shingles > 0").groupBy(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash"))
-    rows = cut(rows.agg(F.max("stays").alias("__stays"), F.count("*").alias("__n")).where("not __stays or __n > 1"), narrow=True)
-    key = docs[id_col].cast("long").eqNullSafe(F.col("__id")) & (F.xxhash64(docs[text_col]) == F.col("__hash"))
-    out = docs.join(rows, key, "left_anti")
-    again = rows.where("__stays")
+    rows = found.where("n_shingles > 0").groupBy(F.col("doc_id").alias(own_id), F.col("text_hash").alias(own_hash))
+    rows = cut(rows.agg(F.max("stays").alias("stays"), F.count("*").alias("n")).where("not stays or n > 1"), narrow=True)
+    key = docs[id_col].cast("long").eqNullSafe(F.col(own_id)) & (F.xxhash64(docs[text_col]) == F.col(own_hash))
+    out = docs.join(rows.select(own_id, own_hash), key, "left_anti")
+    again = rows.where("stays").select(own_id, own_hash)
     if again.limit(1).count():
         # rows alike in id and text, one of which stays
-        alike = docs.join(again.select("__id", "__hash"), key).dropDuplicates(["__id", "__hash"])
-        out = out.unionByName(alike.select(*[alike[c] for c in docs.columns]))
+        alike = docs.join(again, key).dropDuplicates([own_id, own_hash])
+        out = out.unionByName(alike.select(docs.columns))
     return out
 
 

@@ -491,3 +491,19 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
 def op8_suffix_dedup(spark, sf_dir: str) -> DataFrame:
     return remove_repeats(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
+#: Every window of every text in hexadecimal, so only for small tables.
+OP8_SQL = """
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents
+), w AS (SELECT r, i, md5(substr(h, 2 * i + 1, 400)) AS k FROM d, unnest(range(0, len(h) // 2 - 199)) AS t(i)
+), often AS (SELECT k FROM w GROUP BY k HAVING count(*) > 1
+), starts AS (SELECT r, i, lag(i) OVER (PARTITION BY r ORDER BY i) AS before FROM w WHERE k IN (SELECT k FROM often)
+), runs AS (SELECT r, i, sum(CASE WHEN before IS NULL OR i > before + 200 THEN 1 ELSE 0 END) OVER (PARTITION BY r ORDER BY i) AS run FROM starts
+), spans AS (SELECT r, min(i) AS a, max(i) + 200 AS b FROM runs GROUP BY r, run
+), gaps AS (SELECT spans.r, a, b, substr(h, 2 * coalesce(lag(b) OVER (PARTITION BY spans.r ORDER BY a), 0) + 1, 2 * (a - coalesce(lag(b) OVER (PARTITION BY spans.r ORDER BY a), 0))) AS kept FROM spans JOIN d ON d.r = spans.r
+), cuts AS (SELECT r, sum(b - a) AS n_removed, count(*) AS n_spans, max(b) AS last, string_agg(kept, '' ORDER BY a) AS kept FROM gaps GROUP BY r)
+SELECT doc_id, CAST(len(h) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, CAST(coalesce(n_spans, 0) AS BIGINT) AS n_spans,
+  sha256(unhex(coalesce(kept || substr(h, 2 * last + 1), h))) AS kept_sha256
+FROM d LEFT JOIN cuts ON d.r = cuts.r
+"""

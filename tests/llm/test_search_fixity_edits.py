@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tests.llm.fixtures import documents, with_clashes
-from tessera.llm.edit_counts import MOST, TokenTree, count_after_edits, edited_counts
+from tessera.llm.edit_counts import MOST, TokenTree, count_after_edits, edited_counts, hashed_edits
 from tessera.llm.fixity import audit_hashes, audit_replicas, page_hashes, page_replicas
 from tessera.llm.pretokens import default_tokenizer_path, load_tokenizer
 from tessera.llm.topk import Best, SortedLists, quantized, search_blocks, threshold_topk
@@ -190,6 +190,20 @@ def test_edits_of_a_long_text_encode_little(spark):
     assert count_after_edits(documents(spark, []), edits).count() == 0
 
 
+def test_counts_of_rows_with_null_and_repeated_ids(spark):
+    rows = [(None, "one two"), (None, "one two"), (4, "three"), (4, "four five six"), (4, None), (None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    edits = F.array(F.struct(F.lit(0).alias("start"), F.lit(0).alias("removed"), F.lit("so ").alias("added")))
+    tokens = lambda t: len(load_tokenizer(default_tokenizer_path()).encode(t, add_special_tokens=False).ids)
+    found = sorted(((r.doc_id, r.tokens_before, r.tokens_after) for r in count_after_edits(docs, edits).collect()), key=str)
+    assert found == sorted(((i, tokens(t or ""), tokens("so " + (t or ""))) for i, t in rows), key=str)
+    assert op10_rows(spark, docs) == len(rows)
+
+
+def op10_rows(spark, docs):
+    return count_after_edits(docs, hashed_edits()).count()
+
+
 def test_blocks_stay_small_after_a_large_insertion():
     rng = random.Random(8)
     encode = lambda pieces: [len(p) for p in pieces]
