@@ -10,8 +10,8 @@ into blocks of bounded size, and queries into blocks too; a task scores one bloc
 
 Scores are sums of products in the order of components, whatever the blocks, so that results
 depend neither on the grouping nor on the partitioning. Ties go to the smaller label.
-Queries without a vector, or with one of another length, have no row; classes without a prototype
-are none. Null components count as zero. Rows that repeat a key and a vector are one query, and rows that
+Queries without a vector, or with one of another length, have no row; classes without a prototype,
+or with one shorter than the longest, are none. Null components count as zero. Rows that repeat a key and a vector are one query, and rows that
 repeat a label and a prototype one class.
 """
 
@@ -60,10 +60,11 @@ def grouped(protos: DataFrame, label: str, block: int = BLOCK) -> tuple[DataFram
     """
     spark = protos.sparkSession
     rows = protos.where("prototype is not null").select(F.col(label).alias("label"), l2_normalized(F.transform("prototype", lambda x: F.coalesce(x, F.lit(0.0)))).alias("unit"))
-    many = rows.count()
-    if not many:
-        return rows.select("label", "unit", F.lit(0).alias("block")), []
-    groups = max(1, -(-many // max(block, int(many**0.5))))
+    many, dims = rows.agg(F.count("*"), F.max(F.size("unit"))).first()
+    rows = rows.where(F.size("unit") == F.lit(dims))
+    groups = -(-many // max(block, int(many**0.5)))
+    if groups < 2:  # there is nothing to skip
+        return rows.select("label", "unit", F.lit(0).alias("block")), [(0, np.ones(dims), np.pi, many)] * groups
     picked = rows.select("unit", F.xxhash64("label").alias("h"), "label").orderBy("h", "label").limit(groups).select("unit").collect()
     centers = np.array([r["unit"] for r in picked], dtype=np.float64)
     placed = rows.mapInArrow(_nearest_center(spark.sparkContext.broadcast(centers)), f"label {rows.schema['label'].dataType.simpleString()}, unit array<double>, center int, angle double")
@@ -170,7 +171,7 @@ def top_classes(queries: DataFrame, protos: DataFrame, key: str, label: str, vec
         return chosen.groupBy("block", "part").cogroup(held.groupBy("block", "part")).applyInArrow(_score(k), scored_row)
 
     entry = F.struct((-F.col("score")).alias("minus"), "label")
-    first = scores(asked.mapInArrow(_first_blocks(sent, k), query_row))
+    first = scores(asked.mapInArrow(_first_blocks(sent, k), query_row) if len(blocks) > 1 else asked.withColumn("block", F.lit(0)))
     if len(blocks) > 1:
         so_far = first.groupBy("key").agg(F.slice(F.array_sort(F.collect_set(entry)), 1, k).alias("best"), F.collect_set("block").alias("met"))
         # fewer than k classes so far: nothing is ruled out

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import itertools
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
@@ -114,3 +116,26 @@ def running_offsets(rows: DataFrame, shard: str, order: list[str], size: str) ->
 def length_bucketed(rows: DataFrame, length: str, key: str, partitions: int) -> DataFrame:
     """Rows sorted by length then key within ranges of length, for batches of like length."""
     return rows.repartitionByRange(partitions, length, key).sortWithinPartitions(length, key)
+
+
+#: Rows of a range that one task sorts.
+RANGE_ROWS = 1_000_000
+
+
+def length_batches(rows: DataFrame, length: str, key: str, size: int, range_rows: int = RANGE_ROWS) -> DataFrame:
+    """Adds ``batch``: rows in order of length, then key, in batches of ``size``; rows without a length have none.
+
+    Approximate quantiles part the lengths into ranges; a row's place is its place in its range after the rows of the
+    ranges below, which are counted first. So batches go across ranges, and no task sorts all rows.
+    """
+    known = rows.where(F.col(length).isNotNull())
+    ranges = max(1, -(-known.count() // range_rows))
+    bounds = sorted(set(known.agg(F.percentile_approx(length, [i / ranges for i in range(1, ranges)], 10_000)).first()[0] or [])) if ranges > 1 else []
+    place = F.size(F.filter(F.array(*[F.lit(b) for b in bounds]), lambda b: b <= F.col(length))) if bounds else F.lit(0)
+    held = known.withColumn("__range", place)
+    counts = {r["__range"]: r["n"] for r in held.groupBy("__range").agg(F.count("*").alias("n")).collect()} if bounds else {}
+    below = list(itertools.accumulate([counts.get(i, 0) for i in range(len(bounds))], initial=0))
+    nth = F.row_number().over(Window.partitionBy("__range").orderBy(length, key)) - 1
+    start = F.element_at(F.array(*[F.lit(b).cast("long") for b in below]), F.col("__range") + 1)
+    batched = held.withColumn("batch", F.floor((start + nth) / size)).drop("__range")
+    return batched.unionByName(rows.where(F.col(length).isNull()).withColumn("batch", F.lit(None).cast("long")))

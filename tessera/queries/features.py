@@ -9,7 +9,7 @@ from tessera.functions.hashing import canonical_json_hash, fingerprint
 from tessera.functions.scoring import log_ratio
 from tessera.functions.text import dataset_of
 from tessera.functions.vectors import as_doubles, dot, l2_normalized
-from tessera.operators import inventory, retrieval, sampling, sequences, thresholds, views
+from tessera.operators import inventory, retrieval, sampling, selection, sequences, thresholds, views
 from tessera.plans import recognition
 from tessera.queries import manifest as m
 from tessera.queries import vectors
@@ -254,3 +254,9 @@ def recognized_trials(spark, sf_dir):
     head = recognition.Head(WEIGHT, BIAS, MEAN, STD, ACCEPT, REJECT)
     out = recognition.recognize(trials, recognition.checked_enrollment(examples, 64), head)
     return out.select("query_id", "user_id", "status", "intent_id", "canonical_text", "shot", *[F.round(f"decision_scores.{c}", 6).alias(c) for c in "CWU"])
+
+
+@query("SELECT doc_id, n_chars, (row_number() OVER (ORDER BY n_chars, doc_id) - 1) // 16 AS batch FROM documents")
+def length_batches(spark, sf_dir):
+    """Documents of like length in batches of 16."""
+    return selection.length_batches(table(spark, sf_dir, "documents").select("doc_id", "n_chars"), "n_chars", "doc_id", 16)

@@ -1,7 +1,7 @@
 import numpy as np
 from pyspark.sql import functions as F
 
-from tessera.operators import inventory, nearest, retrieval, sampling, sequences, views
+from tessera.operators import inventory, nearest, retrieval, sampling, selection, sequences, views
 
 
 def clustered(rng, n, centers=12, dims=6, spread=0.05):
@@ -99,3 +99,13 @@ def test_pairs_of_blocks_are_all_pairs(spark):
         assert len(own) == len({(r.g, r.a, r.b) for r in own})
         assert {(r.g, r.a, r.b): round(r.distance, 9) for r in own} == {k: round(v, 9) for k, v in want.items() if not (k[0] == "w" and 2 in k[1:])}
         assert sum(r.g == "w" and 2 in (r.a, r.b) for r in found) == 2 * 5
+
+
+def test_batches_of_like_length_go_across_ranges(spark):
+    rng = np.random.default_rng(5)
+    rows = [(i, int(n)) for i, n in enumerate(rng.integers(1, 40, 500))] + [(900, None)]
+    df = spark.createDataFrame(rows, "k long, n int").repartition(6)
+    order = sorted((n, k) for k, n in rows if n is not None)
+    want = {k: i // 7 for i, (_, k) in enumerate(order)} | {900: None}
+    for size in (1, 60, 10_000):
+        assert {r.k: r.batch for r in selection.length_batches(df, "n", "k", 7, size).collect()} == want
