@@ -21,12 +21,30 @@ def slots_of(hashes: np.ndarray, bits: int) -> np.ndarray:
     return (hashes >> U64(64 - bits)).astype(np.int64)
 
 
-def held(bitmap: np.ndarray, slot: np.ndarray) -> np.ndarray:
-    return (bitmap[slot >> 6] >> (slot & 63).astype(U64)) & U64(1) == 1
+def held(some: np.ndarray, slot: np.ndarray) -> np.ndarray:
+    """Whether slots are in a bitmap, or in an ascending list of slots."""
+    if some.dtype != U64:
+        at = np.minimum(np.searchsorted(some, slot), max(len(some) - 1, 0))
+        return some[at] == slot if len(some) else np.zeros(len(slot), dtype=bool)
+    return (some[slot >> 6] >> (slot & 63).astype(U64)) & U64(1) == 1
+
+
+#: Slots that are sent as a list; more of them are sent as a bitmap.
+FEW = 1 << 16
+
+
+def listed(bitmap: np.ndarray) -> np.ndarray:
+    """The slots of a bitmap that holds a few, ascending; else the bitmap."""
+    words = np.flatnonzero(bitmap)
+    if int(np.bitwise_count(bitmap[words]).sum()) > FEW:
+        return bitmap
+    bits = (bitmap[words][:, None] >> np.arange(64, dtype=U64)) & U64(1) == 1
+    row, bit = np.nonzero(bits)
+    return words[row] * 64 + bit
 
 
 def recurring(slots: DataFrame, bits: int, hot: int) -> tuple[np.ndarray, np.ndarray | None, int]:
-    """Of counts (slot, n): bitmaps of the slots that occur more than once and more than ``hot`` times (None without any), and the sum of all counts over one."""
+    """Of counts (slot, n): a bitmap of the slots that occur more than once, those that do more than ``hot`` times (``listed``; None without any), and the sum of all counts over one."""
     total = slots.groupBy("slot").agg(F.sum("n").alias("n")).where("n > 1")
     bit = F.expr("shiftleft(1L, cast(slot & 63 as int))")
     words = total.groupBy(F.shiftright("slot", 6).alias("word")).agg(F.bit_or(bit).alias("twice"), F.bit_or(F.when(F.col("n") > hot, bit).otherwise(F.lit(0))).alias("often"), F.sum("n").alias("n")).toArrow()
@@ -34,7 +52,7 @@ def recurring(slots: DataFrame, bits: int, hot: int) -> tuple[np.ndarray, np.nda
     for name in ("twice", "often"):
         out.append(np.zeros((1 << bits) // 64, dtype=U64))
         out[-1][at] = words.column(name).to_numpy().view(U64)
-    return out[0], out[1] if out[1].any() else None, pc.sum(words.column("n")).as_py() or 0
+    return out[0], listed(out[1]) if out[1].any() else None, pc.sum(words.column("n")).as_py() or 0
 
 
 def parted(rows: DataFrame, keys: DataFrame, on: list[str]) -> tuple[DataFrame, DataFrame]:

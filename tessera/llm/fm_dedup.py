@@ -50,7 +50,7 @@ WORD_BASE = 0xC2B2AE3D27D4EB4F
 IS_WORD = byte_class((0x20, 0x20), (0x09, 0x0D), negate=True)
 #: Segments of a shard, of about 110 bytes each, and kinds of a minimizer beyond which its windows are dealt one by one.
 SHARD_SEGMENTS = 4096
-HOT = 8192
+HOT = 4096
 BITMAP_BITS = 28
 #: The id that stands for null.
 LAST = 2**63 - 1
