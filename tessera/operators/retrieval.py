@@ -25,9 +25,15 @@ def prototypes(rows: DataFrame, keys: list[str], vector: str) -> DataFrame:
     return class_means(rows, keys, vector).select(*keys, l2_normalized(F.col("mean")).alias("prototype"))
 
 
+#: Classes that one row may hold.
+MOST_CLASSES = 100_000
+
+
 def gathered(protos: DataFrame, label: str) -> DataFrame:
-    """One row: array of (label, prototype) by label."""
-    return protos.agg(F.array_sort(F.collect_list(F.struct(F.col(label).alias("label"), "prototype"))).alias("protos"))
+    """One row: array of (label, prototype) by label. More than ``MOST_CLASSES`` fail; ``nearest.top_classes`` takes any number."""
+    few = F.when(F.count("*") > MOST_CLASSES, F.raise_error(F.lit(f"more than {MOST_CLASSES} classes in one row")).cast("int")).otherwise(0)
+    held = F.array_sort(F.collect_list(F.struct(F.col(label).alias("label"), "prototype"))).alias("protos")
+    return protos.agg(held, few.alias("few")).where("few = 0").select("protos")
 
 
 def second_scores(rows: DataFrame, protos: DataFrame, key: str, label: str, candidates: str, score) -> DataFrame:
