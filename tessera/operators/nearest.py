@@ -61,10 +61,12 @@ def grouped(protos: DataFrame, label: str, block: int = BLOCK) -> tuple[DataFram
     spark = protos.sparkSession
     rows = protos.where("prototype is not null").select(F.col(label).alias("label"), l2_normalized(F.transform("prototype", lambda x: F.coalesce(x, F.lit(0.0)))).alias("unit"))
     many, dims = rows.agg(F.count("*"), F.max(F.size("unit"))).first()
-    rows = rows.where(F.size("unit") == F.lit(dims))
+    if not many:
+        return rows.select("label", "unit", F.lit(0).alias("block")), []
+    rows = rows.where(F.size("unit") == dims)
     groups = -(-many // max(block, int(many**0.5)))
     if groups < 2:  # there is nothing to skip
-        return rows.select("label", "unit", F.lit(0).alias("block")), [(0, np.ones(dims), np.pi, many)] * groups
+        return rows.select("label", "unit", F.lit(0).alias("block")), [(0, np.ones(dims), np.pi, many)]
     picked = rows.select("unit", F.xxhash64("label").alias("h"), "label").orderBy("h", "label").limit(groups).select("unit").collect()
     centers = np.array([r["unit"] for r in picked], dtype=np.float64)
     placed = rows.mapInArrow(_nearest_center(spark.sparkContext.broadcast(centers)), f"label {rows.schema['label'].dataType.simpleString()}, unit array<double>, center int, angle double")
