@@ -27,8 +27,7 @@ def norm(v: Column) -> Column:
 
 
 def l2_normalized(v: Column) -> Column:
-    n = F.greatest(norm(v), F.lit(NORM_FLOOR))
-    return F.transform(as_doubles(v), lambda x: x / n)
+    return bound(as_doubles(v), lambda d: bound(F.greatest(norm(d), F.lit(NORM_FLOOR)), lambda n: F.transform(d, lambda x: x / n)))
 
 
 def cosine(a: Column, b: Column) -> Column:
@@ -41,9 +40,9 @@ def array_mean(v: Column) -> Column:
 
 def standardized(v: Column) -> Column:
     """Zero mean and unit population variance, with a floor under the variance."""
-    m = array_mean(v)
-    var = F.aggregate(F.transform(as_doubles(v), lambda x: (x - m) * (x - m)), F.lit(0.0), lambda s, x: s + x) / F.size(v)
-    return F.transform(as_doubles(v), lambda x: (x - m) / F.sqrt(var + F.lit(1e-7)))
+    variance = lambda d, m: F.aggregate(d, F.lit(0.0), lambda s, x: s + (x - m) * (x - m)) / F.size(d)
+    scaled = lambda d, m: bound(F.sqrt(variance(d, m) + F.lit(1e-7)), lambda r: F.transform(d, lambda x: (x - m) / r))
+    return bound(as_doubles(v), lambda d: F.when(F.size(d) > 0, bound(array_mean(d), lambda m: scaled(d, m))).otherwise(d))
 
 
 def chunk_means(seq: Column, size: int) -> Column:

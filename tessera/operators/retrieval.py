@@ -129,8 +129,7 @@ def contributions(features: dict[str, Column], weights: list[float], bias: float
 
 def subcenter_logits(vector: Column, centers: Column, scale: float = 1.0) -> Column:
     """Per class the greatest cosine to its sub-centers, scaled, without margin."""
-    unit = l2_normalized(vector)
-    return F.transform(centers, lambda c: F.lit(scale) * F.array_max(F.transform(c, lambda s: dot(unit, l2_normalized(s)))))
+    return bound(l2_normalized(vector), lambda unit: F.transform(centers, lambda c: F.lit(scale) * F.array_max(F.transform(c, lambda s: dot(unit, l2_normalized(s))))))
 
 
 def attention_pooled(frames: Column, scores: Column) -> Column:

@@ -8,7 +8,7 @@ from tessera.functions import audio
 from tessera.functions.hashing import canonical_json_hash, fingerprint
 from tessera.functions.scoring import log_ratio
 from tessera.functions.text import dataset_of
-from tessera.functions.vectors import as_doubles, dot, l2_normalized
+from tessera.functions.vectors import as_doubles, bound, dot, l2_normalized
 from tessera.operators import inventory, retrieval, sampling, selection, sequences, thresholds, views
 from tessera.plans import recognition
 from tessera.queries import manifest as m
@@ -56,8 +56,8 @@ def _reranked(spark, sf_dir):
     shots = sampling.support_sample(vectors.enrollment(spark, sf_dir).select("label", "vec_id", "embedding"), ["label"], "vec_id", 15, "enroll")
     support = shots.groupBy(F.col("label").alias("winner")).agg(F.collect_list(l2_normalized(F.col("embedding"))).alias("shots"))
     held = rows.withColumn("winner", F.element_at("r", 1)["label"]).join(support, "winner")
-    unit = l2_normalized(F.col("embedding"))
-    return held.select("vec_id", "label", "winner", "r", F.size("shots").alias("shot"), F.transform("shots", lambda e: dot(unit, e)).alias("support"))
+    support = bound(l2_normalized(F.col("embedding")), lambda unit: F.transform("shots", lambda e: dot(unit, e)))
+    return held.select("vec_id", "label", "winner", "r", F.size("shots").alias("shot"), support.alias("support"))
 
 
 def _evidence(spark, sf_dir):
