@@ -1,4 +1,7 @@
+from types import SimpleNamespace
+
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from tessera.operators import inventory, nearest, retrieval, sampling, selection, sequences, views
@@ -34,6 +37,34 @@ def test_best_classes_with_ties_few_classes_and_vectors_of_other_lengths(spark):
     assert nearest.top_classes(queries.limit(0), protos, "id", "name", "v", 2).collect() == []
 
 
+def test_best_classes_of_many_slabs_with_repeated_classes(spark):
+    rng = np.random.default_rng(8)
+    vectors = rng.integers(-3, 4, size=(500, 3)).astype(float)  # nothing to skip, many ties
+    vectors[(vectors == 0).all(axis=1)] = 1.0
+    rows = [(i, v.tolist()) for i, v in enumerate(vectors)]
+    protos = spark.createDataFrame(rows * 3, "label int, prototype array<double>").repartition(5)
+    queries = spark.createDataFrame(rows[:60] + [(900, rng.normal(size=3).tolist())], "id int, v array<double>")
+    unit = {i: np.array(v) / np.sqrt(np.dot(v, v)) for i, v in rows}
+    want = {q.id: sorted(np.round([unit[i] @ (np.array(q.v) / np.linalg.norm(q.v)) for i in unit], 9), reverse=True)[:4] for q in queries.collect()}
+    ranked = []
+    for sizes in ((1, 7, 20), (40, 1000, 100), (1000, 1000, 100_000)):
+        found = nearest.top_classes(queries, protos, "id", "label", "v", 4, *sizes).collect()
+        assert {r.id: [round(c.score, 9) for c in r.ranked] for r in found} == want
+        assert all(len({c.label for c in r.ranked}) == 4 and r.classes_scored <= 500 for r in found)
+        ranked.append({r.id: r.ranked for r in found})
+    assert ranked[0] == ranked[1] == ranked[2]
+
+
+def test_a_query_goes_to_a_slab_once_however_many_groups_may_hold_its_best(spark):
+    unit = np.random.default_rng(1).normal(size=(3000, 16))
+    unit /= np.linalg.norm(unit, axis=1, keepdims=True)
+    cells = nearest.Cells(unit[:600], np.full(600, np.pi), np.full(600, 50.0), np.arange(600) // 200)
+    batch = pa.RecordBatch.from_pydict({"key": list(range(3000)), "unit": unit.tolist(), "part": [0] * 3000, "floor": [0.5] * 3000, "met": [[1]] * 3000})
+    sent = list(nearest._other_slabs(SimpleNamespace(value=cells))([batch]))
+    assert sum(b.num_rows for b in sent) == 6000 and max(b.num_rows for b in sent) <= 2 * nearest.ROWS
+    assert {s for b in sent for s in b.column("slab").to_pylist()} == {0, 2}
+
+
 def test_mean_cosine_of_all_pairs(spark):
     rng = np.random.default_rng(2)
     units = [v / np.linalg.norm(v) for v in rng.normal(size=(9, 4))]
