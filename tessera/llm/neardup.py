@@ -238,7 +238,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     stars = weighted.join(leaders, "key").where("id <> a").select("a", F.col("id").alias("b")).distinct()
     sketches = classes.select("id", "sketch")
     near = stars.join(sketches.select(F.col("id").alias("b"), F.col("sketch").alias("sketch_b")), "b").join(sketches.select(F.col("id").alias("a"), F.col("sketch").alias("sketch_a")), "a")
-    pairs = near.where(estimate(F.col("sketch_a"), F.col("sketch_b")) >= ESTIMATE_FLOOR).select("a", "b")
+    # kept by itself: the driver holds all stages of a plan at once
+    pairs = cut(near.where(estimate(F.col("sketch_a"), F.col("sketch_b")) >= ESTIMATE_FLOOR).select("a", "b"), narrow=True)
 
     wanted = classes.select(*SAME, "id", "first.slot").join(members.select("id").distinct(), "id")
     held = texts.select("text", slot.alias("slot")).mapInArrow(_sets(_bitmap(wanted)), "set_a long, set_b long, n_shingles long, shingles array<long>")
@@ -252,7 +253,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     parts = labelled.groupBy("key", "component").agg(F.count("*").alias("n"))
     mixed_ = parts.groupBy("key").agg(F.sum("n").alias("n"), F.max(F.struct("n", "component")).alias("lead")).where("n > lead.n")
     blocks_of = lambda n: F.ceil(n / BLOCK).cast("int")
-    mixed_ = mixed_.select("key", F.col("lead.component").alias("largest"), blocks_of(F.col("n") - F.col("lead.n")).alias("rest"), blocks_of(F.col("lead.n")).alias("more"))
+    mixed_ = cut(mixed_.select("key", F.col("lead.component").alias("largest"), blocks_of(F.col("n") - F.col("lead.n")).alias("rest"), blocks_of(F.col("lead.n")).alias("more")), narrow=True)
     slot = F.xxhash64("id")
     in_rest = F.col("component") != F.col("largest")
     left = labelled.join(mixed_, "key").withColumn("block", F.when(in_rest, F.pmod(slot, F.col("rest"))).otherwise(F.col("rest") + F.pmod(slot, F.col("more"))).cast("int"))
@@ -261,7 +262,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     dealt = dealt.select("key", "id", "component", "block", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"))
     small = sets.join(sketches, "id").select("id", "sketch", F.transform("shingles", lambda x: x.bitwiseAND(F.lit(0x7FFFFFFF)).cast("int")).alias("small"))
     more = dealt.join(small, "id").groupBy("key", "low", "high").applyInArrow(_compare, "a long, b long")
-    found = _confirmed(more.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), sets)
+    # both directions of a link are read from it, and blocks are to be compared once
+    found = cut(_confirmed(more.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), sets), narrow=True)
     labels = least_members(links.unionByName(found))
 
     named = classes.select(*SAME, "id", "least").join(labels, "id", "left")

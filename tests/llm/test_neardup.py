@@ -98,3 +98,17 @@ def test_identical_rows_leave_one(spark):
     kept = drop_near_duplicates(docs)
     assert kept.columns == docs.columns
     assert [(r.doc_id, r.text) for r in kept.collect()] == [(4, text)]
+
+
+def test_blocks_are_compared_once(spark, monkeypatch):
+    base = [f"w{i}" for i in range(60)]
+    rows = [(i, " ".join(base[: 60 - i % 7] + [f"x{i}"] * (i % 5))) for i in range(40)]
+    plans = []
+
+    def recorded(links):
+        plans.append(links._jdf.queryExecution().optimizedPlan().toString())
+        return least_members(links)
+
+    monkeypatch.setattr(neardup, "least_members", recorded)
+    neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert len(plans) == 2 and not any(word in plan for plan in plans for word in ("FlatMapGroupsInArrow", "Join", "Aggregate"))
